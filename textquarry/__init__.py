@@ -1,0 +1 @@
+"""A Spark-native engine for building and measuring document retrieval."""
