@@ -15,9 +15,10 @@ from textquarry.operators import overlap as O
 from textquarry.operators import questions as Q
 from textquarry.operators import retrieve as R
 from textquarry.operators import segment as S
-from textquarry.plans.conditions import described
+from textquarry.plans.conditions import CONDITIONS, described
 from textquarry.plans.gazette import GAZETTE_SQL, gazette, table
 from textquarry.sources import corpus
+from textquarry.sources.runs import to_generate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -600,8 +601,6 @@ def compare_conditions(spark, sf_dir):
 @query("""WITH p AS (SELECT conv_id, text FROM conversations WHERE turn = 2 AND NOT starts_with(text, 'ERRO'))
 SELECT DISTINCT conv_id AS query_id FROM conversations WHERE turn = 0 AND conv_id NOT IN (SELECT conv_id FROM p)""")
 def resume_antijoin(spark, sf_dir):
-    from textquarry.sources.runs import to_generate
-
     c = table(spark, sf_dir, "conversations")
     asked = c.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.lit(True).alias("para_geracao")).distinct()
     before = c.where("turn = 2").select(F.col("conv_id").alias("query_id"), F.col("text").alias("resposta"))
@@ -634,15 +633,16 @@ def answer_generation(spark, sf_dir):
     return C.answered(ctx.select("query_id", T.prompt(F.col("context"), F.col("query")).alias("prompt")))
 
 
-@query()
-def condition_hits(spark, sf_dir):
-    """All seven conditions over the gazette's acts and the questions made from them (every hundredth)."""
-    from textquarry.plans.conditions import CONDITIONS
-
-    docs = gazette(spark, sf_dir)
-    asked = Q.questions(described(docs)).where(F.get("documentos_esperados", F.lit(0)) % 100 == 0).select(F.col("id").alias("query_id"), "query")
-    out = None
-    for c in CONDITIONS.values():
-        part = c.hits(docs, asked).select(F.lit(c.name).alias("condicao"), "query_id", "doc_id", "rank", F.round("score", 6).alias("score"), "method")
-        out = part if out is None else out.unionByName(part)
-    return out
+def _condition(name: str):
+    def f(spark, sf_dir):
+        docs = gazette(spark, sf_dir)
+        asked = Q.questions(described(docs)).where(F.get("documentos_esperados", F.lit(0)) % 100 == 0).select(F.col("id").alias("query_id"), "query")
+        return CONDITIONS[name].hits(docs, asked).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), "method")
+
+    f.__name__ = "condition_" + name.replace("-", "_")
+    f.__doc__ = f"Hits of the condition {name}: the gazette's acts, asked the questions made from every hundredth one."
+    return f
+
+
+for _name in CONDITIONS:
+    query()(_condition(_name))
