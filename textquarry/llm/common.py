@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -41,6 +43,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_made: list[str] = []
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """Deletes the tables that were written inside, when their readers are done."""
+    mark = len(_made)
+    yield
+    while len(_made) > mark:
+        remove(spark, _made.pop())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, read again.
 
@@ -49,10 +63,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows where the session has Spark's default of 10,000:
+    texts may be long, and a batch is in memory on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system; workers live on after a task."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def unbound(df: DataFrame, key: str) -> DataFrame:
+    """df with a key that is computed anew.
+
+    A grouped table is already placed by its key, and a join would bring the other
+    side to it as it is. Without that placement both sides are shuffled for the join,
+    and Spark can split a partition that one hot key fills.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    return df.withColumn(key, F.concat(F.col(key), F.lit("")) if kind == "string" else F.col(key).bitwiseXOR(F.lit(0).cast(kind)))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of the whole text; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
