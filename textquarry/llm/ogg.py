@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from textquarry.llm.common import small_batches
+
 UNIT = 576
 RATE = 8000
 #: Serial numbers of the two logical streams.
@@ -134,6 +136,8 @@ def padded(text: str | None) -> tuple[bytes, int]:
 def store(docs: DataFrame) -> DataFrame:
     """doc_id and media: every whole text as an Ogg stream."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import written
+from textquarry.llm.common import small_batches, written
 
 #: Weight of the pooled covariance in each class's, and of its mean variance in that.
 POOLED, RIDGE = 0.3, 0.02
@@ -102,6 +102,8 @@ def statistics(text: str | None) -> list[float]:
 def described(docs: DataFrame) -> DataFrame:
     """doc_id and x, the statistics of every row."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [statistics(t.as_py()) for t in batch.column("text")]

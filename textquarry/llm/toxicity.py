@@ -1,7 +1,7 @@
 """Operator 9: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is a hashed embedding of the word beside the mean of hashed
-embeddings of its character 3- and 4-grams (bounds marked). A text is read in
+A word's input is a hashed embedding of the word beside the scaled sum of
+hashed embeddings of its character 3- and 4-grams (bounds marked). A text is read in
 overlapping windows of WINDOW words, each STRIDE on, all of them scored; a text's
 score is its highest window's. Training sees windows of labelled texts: of a toxic
 text the window that scores highest so far, of a clean one its highest and a random
@@ -24,14 +24,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.llm.common import give_back, small_batches
+
 WINDOW, STRIDE = 64, 48
 #: Labelled rows of each class that are fitted.
 SAMPLE = 1200
 WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 15
 D_WORD, D_CHAR, H, ATT = 8, 12, 8, 8
-EPOCHS, BATCH, RATE, LEAST_BATCHES = 5, 64, 0.01, 250
+EPOCHS, BATCH, RATE, LEAST_BATCHES = 6, 64, 0.01, 400
+#: Random windows of a clean text in an epoch; times that a toxic one is seen at most.
+CLEAN, MOST_AGAIN = 3, 2
+#: Embeddings learn by this times the rate.
+FASTER = np.float32(5)
 #: Words that a worker remembers before it starts anew; words of a step.
-KNOWN, STEP = 100_000, 300_000
+KNOWN, STEP = 50_000, 150_000
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_/\\~`^+="
 _U = np.uint64
 
@@ -62,6 +68,12 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return row.astype(np.int64), grams[order].astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
+def _features_in_parts(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_features of many words, in little memory."""
+    parts = [word_features(words[lo : lo + step]) for lo in range(0, len(words), step)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int32) for p in parts]), np.concatenate([p[2] for p in parts])
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -90,7 +102,7 @@ def inputs(p: dict, words: list[str]) -> np.ndarray:
     out = np.empty((len(words), D_WORD + D_CHAR), dtype=np.float32)
     out[:, :D_WORD] = p["word"][row]
     sums = np.add.reduceat(p["gram"][grams], np.cumsum(n) - n, axis=0)  # every word has a gram
-    out[:, D_WORD:] = sums / n[:, None]
+    out[:, D_WORD:] = sums / np.sqrt(n)[:, None]
     return out
 
 
@@ -262,25 +274,27 @@ def train(texts: list[str | None], toxic: np.ndarray, epochs: int = EPOCHS, seed
     split = [(t or "").lower().split() for t in texts]
     vocabulary = sorted(set().union(*split)) or [""]
     number = {w: i for i, w in enumerate(vocabulary)}
-    flat = np.array([number[w] for s in split for w in s], dtype=np.int64)
+    flat = np.concatenate([np.fromiter(map(number.__getitem__, s), dtype=np.int32, count=len(s)) for s in split] or [np.zeros(0, dtype=np.int32)])
     counts = np.array([len(s) for s in split], dtype=np.int64)
-    row, grams, n_grams = word_features(vocabulary)
+    del split, number
+    row, grams, n_grams = _features_in_parts(vocabulary)
     gram_at = np.cumsum(n_grams) - n_grams
     text, first, n = windows(counts)
     start = (np.cumsum(counts) - counts)[text] + first
     m1, m2, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    steps = max(epochs, -(-LEAST_BATCHES * BATCH // (2 * max(1, len(texts)))))  # a small sample is seen more often
+    steps = max(epochs, -(-LEAST_BATCHES * BATCH // (4 * max(1, len(texts)))))  # a small sample is seen more often
     for epoch in range(steps):
         if epoch:
-            scorer = Scorer(p)
-            logit = np.concatenate([scorer.logits(texts[lo : lo + 500])[1] for lo in range(0, len(texts), 500)])
+            scorer = Scorer(p)  # forgets words as it goes, as when scoring
+            logit = np.concatenate([scorer.logits(texts[lo : lo + 200])[1] for lo in range(0, len(texts), 200)])
         else:
             logit = rng.random(len(text))
         order = np.lexsort((-logit, text))
         top = order[np.concatenate(([True], text[order][1:] != text[order][:-1]))]
-        some = rng.permutation(len(text))[: len(top)]
-        chosen = np.concatenate((top, some[toxic[text[some]] == 0]))
-        chosen = rng.permutation(chosen)
+        clean = rng.permutation(np.flatnonzero(toxic[text] == 0))[: CLEAN * int(np.sum(toxic == 0))]
+        bad = top[toxic[text[top]] == 1]
+        again = max(1, round(len(clean) / (2 * max(1, len(bad)))))  # of the few toxic windows each is seen more often
+        chosen = rng.permutation(np.concatenate((top[toxic[text[top]] == 0], clean, np.repeat(bad, min(again, MOST_AGAIN)))))
         for lo in range(0, len(chosen), BATCH):
             w = chosen[lo : lo + BATCH]
             ids, mask = _laid(flat, start[w], n[w])
@@ -290,20 +304,21 @@ def train(texts: list[str | None], toxic: np.ndarray, epochs: int = EPOCHS, seed
             g = grams[np.repeat(gram_at[used] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
             X = np.empty((len(used), D_WORD + D_CHAR), dtype=np.float32)
             X[:, :D_WORD] = p["word"][row[used]]
-            X[:, D_WORD:] = np.add.reduceat(p["gram"][g], np.cumsum(k) - k, axis=0) / k[:, None]
+            k_root = np.sqrt(k)[:, None]
+            X[:, D_WORD:] = np.add.reduceat(p["gram"][g], np.cumsum(k) - k, axis=0) / k_root
             grad, dX, _ = gradients(p, X, inverse, mask, toxic[text[w]].astype(np.float32))
             step += 1
             scale = np.float32(RATE * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step))
             for key, at, d in [(key, slice(None), d) for key, d in grad.items()] + [
                 ("word", *_by_row(row[used], dX[:, :D_WORD])),
-                ("gram", *_by_row(g, np.repeat(dX[:, D_WORD:] / k[:, None], k, axis=0))),
+                ("gram", *_by_row(g, np.repeat(dX[:, D_WORD:] / k_root, k, axis=0))),
             ]:  # of the embeddings only the rows in use move
                 a = m1[key][at] * np.float32(0.9) + np.float32(0.1) * d
                 b = m2[key][at] * np.float32(0.999) + np.float32(0.001) * d * d
                 m1[key][at], m2[key][at] = a, b
-                p[key][at] -= scale * a / (np.sqrt(b) + np.float32(1e-8))
+                p[key][at] -= (scale * FASTER if key in ("word", "gram") else scale) * a / (np.sqrt(b) + np.float32(1e-8))
     # The bias moves so that 0.5 parts the fitted texts best.
-    best = np.concatenate([np.log((s := Scorer(p).scores(texts[lo : lo + 500]).astype(np.float64)) + 1e-12) - np.log(1 - s + 1e-12) for lo in range(0, len(texts), 500)])
+    best = np.concatenate([np.log((s := Scorer(p).scores(texts[lo : lo + 200]).astype(np.float64)) + 1e-12) - np.log(1 - s + 1e-12) for lo in range(0, len(texts), 200)])
     order = np.argsort(best)
     right = np.concatenate(([np.sum(toxic == 1)], np.sum(toxic == 1) + np.cumsum(np.where(toxic[order] == 0, 1, -1))))
     at = np.flatnonzero(right == right.max())
@@ -327,6 +342,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int
 
 def score(docs: DataFrame, p: dict | None) -> DataFrame:
     """doc_id, score, n_windows of every row."""
+    small_batches(docs.sparkSession)
     p = docs.sparkSession.sparkContext.broadcast(p)  # a few MB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,14 +363,19 @@ def score(docs: DataFrame, p: dict | None) -> DataFrame:
                     ids, texts, size = [], [], 0
             if ids:
                 yield made(ids, texts)
+        del scorer
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> dict | None:
     rows = labelled_sample(docs, labels, "toxic")
-    y = np.array([r.y for r in rows], dtype=np.int64)
-    return train([r.text for r in rows], y) if len(set(y.tolist())) == 2 else None
+    texts, y = [r.text for r in rows], np.array([r.y for r in rows], dtype=np.int64)
+    del rows
+    p = train(texts, y) if len(set(y.tolist())) == 2 else None
+    give_back()
+    return p
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,7 +388,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    p = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    small_batches(spark)
+    p = spark.sparkContext.broadcast(fitted(docs, labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(p.value) if p.value is not None else None
@@ -379,5 +401,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     part = batch.slice(at, i + 1 - at)
                     yield part.filter(pa.array(scorer.scores(texts[at : i + 1]) < 0.5)) if scorer else part
                     at, size = i + 1, 0
+        del scorer
+        give_back()
 
     return docs.mapInArrow(keep, docs.schema)
