@@ -29,6 +29,8 @@ BLOCK = 64
 BUCKETS = 1024
 #: Slots of an output shard on average; the number of shards follows from it.
 SHARD_SLOTS = 65536
+#: Sources that can be mixed; their sizes and targets reach the driver and are broadcast.
+MOST_SOURCES = 1_000_000
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
@@ -125,7 +127,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     base = docs.select("doc_id", "source", key.alias("source_key"), text_crc32(F.col("text")).alias("text_crc32"), word_count(F.col("text")).alias("size"))
     base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BUCKETS)).cast("int"))
     base = written(base, "mix-sizes")  # counting words reads every text; do it once
-    per_source = base.groupBy("source", "source_key").agg(F.sum("size").alias("size")).collect()  # one row a source
+    per_source = base.groupBy("source", "source_key").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(per_source) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
     goal = targets([(r.source, r["size"]) for r in per_source], weights, share, most)
     infos, wanted = [], []
     for r in sorted(per_source, key=lambda r: (r.source is None, r.source or "")):
@@ -164,7 +168,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     lo = F.greatest(F.col("block") * block, F.col("start"))
     hi = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
     pieces = pieces.select("source_key", "block", "start", (lo - F.col("start")).alias("word"), (hi - lo).alias("n_words"))
-    picks = pieces.join(drawn, ["source_key", "block"])
+    # Spark takes the slots for as few as the runs they are made of; without the hint it would broadcast them.
+    picks = pieces.join(drawn.hint("merge"), ["source_key", "block"])
     return stream, picks
 
 
