@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textquarry.llm.common import WORD, written
+from textquarry.llm.common import WORD, unbound, written
 
 MIN_WORDS = 50
 
@@ -87,10 +87,11 @@ def earlier_runs(levels: list[DataFrame]) -> DataFrame:
     for k in range(len(levels) - 1, -1, -1):
         block = levels[k].select(F.col("p").alias("at"), F.col("rank").alias("block"))
         tried = state.withColumn("at", F.col("p") + F.col("n_lines")).join(block, "at", "left")
-        tried = tried.withColumn("block", F.when(F.col("at") <= F.col("seg"), F.col("block"))).drop("at")
+        # Suffixes without such a block get a key of their own, so that they don't meet in one place.
+        tried = tried.withColumn("block", F.coalesce(F.when(F.col("at") <= F.col("seg"), F.col("block")), -1 - F.col("p"))).drop("at")
         name = ["node", "n_lines", "block"]
-        deeper = tried.where("block is not null").groupBy(*name).agg(F.min("p").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        tried = tried.join(deeper, name, "left")
+        deeper = tried.where("block >= 0").groupBy(*name).agg(F.min("p").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        tried = tried.join(unbound(deeper, "node"), name, "left")
         stay = F.struct("own", "node", "n_lines")
         down = F.struct(F.col("own"), F.col("first").alias("node"), (F.col("n_lines") + (1 << k)).alias("n_lines"))
         witness = F.struct(F.lit(False).alias("own"), F.col("first").alias("node"), (F.col("n_lines") + (1 << k)).alias("n_lines"))
