@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import written
+from textquarry.llm.common import unbound, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,11 +19,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # (u, v) with v > u, that is the edges read upwards.
-        up = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u")
+        up = edges.select(F.col("v").alias("u"), F.col("u").alias("v")).join(unbound(least, "u"), "u")
         out = up.select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        down = edges.join(least, "u")
+        down = edges.join(unbound(least, "u"), "u")
         out = down.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 

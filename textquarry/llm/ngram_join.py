@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import written
+from textquarry.llm.common import give_back, small_batches, unbound, written
 from textquarry.llm.components import components
 
 N = 5
 #: Similarity as a fraction of whole numbers: 75 / 100.
 NUM, DEN = 75, 100
 #: Words of a step within a batch, and known words of a worker (a cache, nothing else).
-STEP, KNOWN = 400_000, 300_000
+STEP, KNOWN = 300_000, 100_000
 #: Packed prefix hashes to a bucket, about.
 BUCKET = 1_000_000
 BROADCAST_ROWS = 1_000_000
@@ -120,7 +120,7 @@ def _asked(n):
 def sieve(docs: DataFrame) -> DataFrame:
     """(node, n, d1, d2, hits): set size, digest of the set, and how many of its prefix
     hashes another prefix has; docs have distinct, non-null doc_ids."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     n_buckets = max(1, size // 6 * 3 // 10 // BUCKET + 1)
 
@@ -159,6 +159,7 @@ def sieve(docs: DataFrame) -> DataFrame:
                         rows.append((int(b[lo]), by[lo:hi].astype(np.int64).tobytes(), h[lo:hi].tobytes(), b"", b"", b""))
                 names = ["bucket", "node", "x", "d1", "d2", "hits"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
+        give_back()
 
     names = ["node", "n", "d1", "d2", "hits"]
 
@@ -192,6 +193,7 @@ def sieve(docs: DataFrame) -> DataFrame:
                 hashes.append(x)
         if nodes:
             yield close(nodes, hashes)
+        give_back()
 
     packed = docs.mapInArrow(pack, "bucket long, node binary, x binary, d1 binary, d2 binary, hits binary")
     met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "node long, n long, d1 long, d2 long, hits long")
@@ -209,6 +211,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 s, n = shingle_sets(texts)
                 offsets = pa.array(np.append(0, np.cumsum(n)), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(s))], names=["node", "hs"])
+        give_back()
 
     return docs.mapInArrow(run, "node long, hs array<long>")
 
@@ -285,7 +288,7 @@ def groups(docs: DataFrame) -> DataFrame:
     docs = _single(docs)
     meta = sieve(docs)
     classes = meta.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("node").alias("rep"))
-    member = written(meta.join(classes, ["n", "d1", "d2"], "left").select("node", "n", F.coalesce("rep", "node").alias("rep"), "hits"), "join-classes")
+    member = written(meta.join(unbound(classes, "d1"), ["n", "d1", "d2"], "left").select("node", "n", F.coalesce("rep", "node").alias("rep"), "hits"), "join-classes")
     asked = F.greatest(F.lit(1), F.expr("n div 20"))
     alive = member.where((F.col("n") > 0) & (F.col("node") == F.col("rep")) & (F.col("hits") >= asked)).select(F.col("node").alias("doc_id"))
     alive = _few(written(alive, "join-alive"))
@@ -293,7 +296,7 @@ def groups(docs: DataFrame) -> DataFrame:
     each = full.select("node", F.explode("hs").alias("h"))
     df = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     key = F.shiftleft(F.least("df", F.lit(32767)), 48).bitwiseOR(F.col("h").bitwiseAND(F.lit((1 << 48) - 1)))
-    keys = each.join(df, "h").select("node", key.alias("key")).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    keys = each.join(unbound(df, "h"), "h").select("node", key.alias("key")).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     front = F.expr(f"n - cast(ceil(n * {NUM} / {DEN}D) as long) + 1 - (n - size(keys))")
     sets = member.where("node = rep").select("node", "n").join(keys, "node").withColumn("front", front).where("front > 0")
     sets = written(sets, "join-sets")
@@ -303,7 +306,7 @@ def groups(docs: DataFrame) -> DataFrame:
     # Stars by length band: linked sizes differ by 4/3 at most.
     band = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)))
     least = tokens.groupBy("key", band.alias("band")).agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    star = tokens.withColumn("band", band).join(least, ["key", "band"]).where("node <> hub")
+    star = tokens.withColumn("band", band).join(unbound(least, "key"), ["key", "band"]).where("node <> hub")
     star = written(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "join-star")
     links = written(verified(star, sets), "join-links")
     comp = written(components(links), "join-components")
@@ -311,7 +314,7 @@ def groups(docs: DataFrame) -> DataFrame:
     own = tokens.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     own = written(own, "join-labelled")
     sizes = own.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("k")).where("k > 1").select("key", "big")
-    mixed = written(own.join(sizes, "key"), "join-mixed")
+    mixed = written(own.join(unbound(sizes, "key"), "key"), "join-mixed")
     x = mixed.where("comp <> big").select("key", "big", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "comp")))
     y = mixed.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "comp")))
     shared = 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
