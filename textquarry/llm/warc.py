@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import scratch_path, written
+from textquarry.llm.common import scratch_path, small_batches, unbound, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range that one task reads, and of an archive before the next begins.
@@ -71,6 +71,7 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, archive_bytes: int
     payloads that occur twice or more meet the pages again. A task that runs twice
     leaves a file that the returned table doesn't name.
     """
+    small_batches(pages.sparkSession)
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha1(body.cast("binary")).alias("digest"))
     twice = (
@@ -81,7 +82,7 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, archive_bytes: int
         .select("digest", "largest")
     )
     last = F.when((F.octet_length(body) >= least_bytes) & (F.col("largest") != F.col("page_id")), F.col("largest"))
-    marked = rows.join(twice, "digest", "left").select("page_id", "url", "html", last.alias("refers_to"))
+    marked = rows.join(unbound(twice, "digest"), "digest", "left").select("page_id", "url", "html", last.alias("refers_to"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, path, done, base = None, "", [], ""
