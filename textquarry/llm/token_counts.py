@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textquarry.llm.common import small_batches, written
+
 #: Place of the rank file; a parameter of :func:`token_lengths`.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-token pattern of this vocabulary.
@@ -49,6 +51,7 @@ def token_lengths(docs: DataFrame, ranks_file: str = RANKS) -> DataFrame:
         for texts in parts:
             yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", lengths("text").alias("n_tokens"))
 
 
@@ -61,6 +64,7 @@ def histogram(lengths: DataFrame) -> DataFrame:
     quantile: share of documents of length L or less.
     """
     counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("block", F.expr(f"n_tokens div {SPAN}"))
+    counts = written(counts, "lengths")  # a row a length; else texts would be encoded twice
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     # One row for each SPAN lengths, so this window sees few rows at any input size.
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
