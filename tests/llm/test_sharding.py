@@ -91,6 +91,20 @@ def test_rewrite_only_affected(spark, tmp_path):
     assert again.count() == 20 and {r.shard for r in again.select("shard").distinct().collect()} == {0, 1}
 
 
+def test_rewrite_keeps_untouched_files(spark, tmp_path):
+    root = f"{tmp_path}/all"
+    old = F.when(F.col("doc_id") < 15, 0).when(F.col("doc_id") < 20, 1).when(F.col("doc_id") < 30, 2).otherwise(3)
+    docs = spark.createDataFrame([(i, "x" * 99, "en", "a", 99) for i in range(40)], DOCS)
+    docs.withColumn("shard", old).write.partitionBy("shard").parquet(root)
+    files = lambda i: sorted(p.name for p in (tmp_path / "all" / f"shard={i}").glob("*.parquet"))
+    before = {i: files(i) for i in range(4)}
+    S.rewrite_affected(docs, S.plan(docs, old, 4, 4), root)
+    assert [files(i) == before[i] for i in range(4)] == [False, False, True, True]
+    again = spark.read.parquet(root).collect()
+    assert sorted(r.doc_id for r in again) == list(range(40)) and [sum(r.shard == i for r in again) for i in range(4)] == [10] * 4
+    assert {p.name for p in (tmp_path / "all").iterdir() if p.is_dir()} == {f"shard={i}" for i in range(4)}
+
+
 def test_stage_keeps_rows_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3, 9, "x"), (1, "a b", "en", "s", 3, 9, "x"), (1, "c", "en", "s", 1, 8, "y"), (2, None, None, None, None, None, None)], DOCS + ", tag long, shard string")
     out = S.stage(spark, docs, "")

@@ -16,13 +16,14 @@ ignored by the plan and kept by :func:`reshard`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textquarry.llm.common import text_crc32
+from textquarry.llm.common import remove, text_crc32
 
 #: Buckets of a (old shard, size class); more of them make smaller sort groups.
 BUCKETS = 128
@@ -168,23 +169,42 @@ def transfers(planned: DataFrame) -> DataFrame:
     return planned.groupBy("old_shard", "shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n_rows"))
 
 
+def _swap_in(spark: SparkSession, root: str, fresh: str, ids: Sequence[int]) -> None:
+    """Puts the shard=N folders of fresh in place of root's, by renaming; other shards aren't touched.
+
+    Old folders go aside first and are deleted at the end, so a failure leaves them to be put back.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = f"{fresh}-old"
+    fs.mkdirs(path(aside))
+    for i in ids:
+        for src, dst in ((f"{root}/shard={i}", f"{aside}/shard={i}"), (f"{fresh}/shard={i}", f"{root}/shard={i}")):
+            if fs.exists(path(src)) and not fs.rename(path(src), path(dst)):
+                raise OSError(f"{src} can't be renamed to {dst}")
+    remove(spark, fresh)
+    remove(spark, aside)
+
+
 def rewrite_affected(docs: DataFrame, planned: DataFrame, root: str) -> DataFrame:
     """Writes anew those shards that gain or lose a document, as shard=N folders under root.
 
-    A shard whose documents are the same as before keeps its old files. docs need
-    doc_ids without repetition here. Returns (shard, rewritten, n_rows, bytes).
+    A shard whose documents are the same as before keeps its old files. The new ones are
+    written beside them and swapped in when they are whole, so docs may be read from root.
+    docs need doc_ids without repetition here. Returns (shard, rewritten, n_rows, bytes).
     """
     spark = docs.sparkSession
-    moved = F.col("old_shard") != F.col("shard")
-    touched = planned.where(moved).select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
-    ids = [r.shard for r in touched.collect()]  # at most the number of shards
-    inside = planned.where(F.col("shard").isin(ids)).select("doc_id", "shard", "slot")
-    rows = docs.join(inside, "doc_id")
+    # At most old times new shards; taken now, since files that planned reads may be swapped out.
+    moves = transfers(planned).collect()
+    ids = sorted({i for r in moves if r.old_shard != r.shard for i in (r.old_shard, r.shard)})
     if ids:
-        rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(root)
-    flags = spark.createDataFrame([(i,) for i in ids], "shard int").withColumn("touched", F.lit(True))
-    sizes = planned.groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("size").alias("bytes"))
-    return sizes.join(F.broadcast(flags), "shard", "left").select("shard", F.coalesce("touched", F.lit(False)).alias("rewritten"), "n_rows", "bytes")
+        inside = planned.where(F.col("shard").isin(ids)).select("doc_id", "shard", "slot")
+        rows = docs.drop("shard", "slot").join(inside, "doc_id")
+        fresh = f"{root}/_fresh-{uuid.uuid4().hex}"  # readers pass over such names
+        rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(fresh)
+        _swap_in(spark, root, fresh, ids)
+    told = [(j, j in ids, sum(r.n_rows for r in moves if r.shard == j), sum(r.bytes for r in moves if r.shard == j)) for j in sorted({r.shard for r in moves})]
+    return spark.createDataFrame(told, "shard int, rewritten boolean, n_rows long, bytes long")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
