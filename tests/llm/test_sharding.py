@@ -105,6 +105,30 @@ def test_rewrite_keeps_untouched_files(spark, tmp_path):
     assert {p.name for p in (tmp_path / "all").iterdir() if p.is_dir()} == {f"shard={i}" for i in range(4)}
 
 
+def test_query_rewrites_the_files(spark, table, tmp_path, monkeypatch):
+    rows = _rows() + [(None, "é", "en", "s1", 1), (None, "é", "en", "s2", 1), (None, None, None, None, None), (7, "y", "en", "s2", 1), (7, "y", "en", "s2", 1)]
+    path = table("documents", rows, DOCS)
+    monkeypatch.setattr(S, "scratch_path", lambda spark, name: f"{tmp_path}/layout")
+    out = S.op1_sharding(spark, path).collect()
+    files = spark.read.parquet(f"{tmp_path}/layout")
+    got = files.collect()
+    assert sorted(map(repr, (tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in got))) == sorted(map(repr, rows))
+    key = lambda r: (r.shard, r.slot)
+    assert sorted(map(key, got)) == sorted(map(key, out)) and len(set(map(key, out))) == len(rows)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    planned = S.plan(docs, S.old_shard_of("source", 8), 8, 8).collect()
+    same = lambda r: (str(r.doc_id), r["size"], r.text_crc32, r.old_shard, r.shard, r.slot)
+    assert sorted(map(same, planned)) == sorted(map(same, out))
+
+
+def test_reshard_numbers_untouched_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * 99, "en", "a", 99) for i in range(40)], DOCS)
+    old = F.when(F.col("doc_id") < 15, 0).when(F.col("doc_id") < 20, 1).when(F.col("doc_id") < 30, 2).otherwise(3)
+    got = S.reshard(docs, f"{tmp_path}/some", old, 4, 4).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40))
+    assert all(sorted(r.slot for r in got if r.shard == i) == list(range(10)) for i in range(4))
+
+
 def test_stage_keeps_rows_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3, 9, "x"), (1, "a b", "en", "s", 3, 9, "x"), (1, "c", "en", "s", 1, 8, "y"), (2, None, None, None, None, None, None)], DOCS + ", tag long, shard string")
     out = S.stage(spark, docs, "")

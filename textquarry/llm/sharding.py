@@ -11,7 +11,8 @@ documents.
 Defined results: a null text has size 1 (no bytes plus 1) and CRC-32 0; a null
 old-shard key counts as a key of its own; repeated rows are rows of their own and
 get slots of their own; an empty table gives an empty result; other columns are
-ignored by the plan and kept by :func:`reshard`.
+ignored by the plan, or carried through it (keep), so that no row has to be found
+again by its id.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textquarry.llm.common import remove, text_crc32
+from textquarry.llm.common import remove, scratch_path, text_crc32
 
 #: Buckets of a (old shard, size class); more of them make smaller sort groups.
 BUCKETS = 128
@@ -84,6 +85,10 @@ def _equal_capacities(total: int, n: int) -> list[int]:
     return [total * (j + 1) // n - total * j // n for j in range(n)]
 
 
+def _size() -> Column:
+    return (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+
+
 def plan(
     docs: DataFrame,
     old_shard: Column,
@@ -92,18 +97,21 @@ def plan(
     capacities: Sequence[int] | None = None,
     cost: Sequence[Sequence[int]] | None = None,
     buckets: int = BUCKETS,
+    keep: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, old_shard, shard, slot.
 
     old_shard: an int from 0 to n_old - 1. capacities: bytes of each new shard
-    (scaled to the total), equal by default.
+    (scaled to the total), equal by default. keep: the whole row goes along as the
+    struct kept; whole blocks are dealt by hash, so that large documents are spread.
     """
     spark = docs.sparkSession
     keys = docs.select(
         "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        _size().alias("size"),
         text_crc32(F.col("text")).alias("text_crc32"),
         old_shard.cast("int").alias("old_shard"),
+        *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept")] if keep else []),
     ).withColumns(
         {
             "cls": (F.length(F.bin("size")) - 1).cast("int"),
@@ -156,7 +164,8 @@ def plan(
     before = Window.partitionBy("shard").orderBy("old_shard", F.desc("cls"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy(*part).count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     out = placed.join(F.broadcast(bases), part)  # blocks, split at most once per cut
-    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("place") - 1).cast("long").alias("slot"))
+    slot = (F.col("base") + F.col("place") - 1).cast("long").alias("slot")
+    return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", slot, *(["kept"] if keep else []))
 
 
 def old_shard_of(column: str, n_old: int) -> Column:
@@ -186,31 +195,60 @@ def _swap_in(spark: SparkSession, root: str, fresh: str, ids: Sequence[int]) ->
     remove(spark, aside)
 
 
-def rewrite_affected(docs: DataFrame, planned: DataFrame, root: str) -> DataFrame:
+def rewrite_affected(docs: DataFrame | None, planned: DataFrame, root: str) -> DataFrame:
     """Writes anew those shards that gain or lose a document, as shard=N folders under root.
 
     A shard whose documents are the same as before keeps its old files. The new ones are
     written beside them and swapped in when they are whole, so docs may be read from root.
-    docs need doc_ids without repetition here. Returns (shard, rewritten, n_rows, bytes).
+    docs need doc_ids without repetition and nulls here; None takes the rows that planned
+    keeps, whatever their ids. A file is in the order of slots; the kept rows' files of
+    one shard hold blocks of slots in any order. Returns (shard, rewritten, n_rows, bytes).
     """
-    spark = docs.sparkSession
+    spark = planned.sparkSession
     # At most old times new shards; taken now, since files that planned reads may be swapped out.
     moves = transfers(planned).collect()
     ids = sorted({i for r in moves if r.old_shard != r.shard for i in (r.old_shard, r.shard)})
     if ids:
-        inside = planned.where(F.col("shard").isin(ids)).select("doc_id", "shard", "slot")
-        rows = docs.drop("shard", "slot").join(inside, "doc_id")
+        inside = planned.where(F.col("shard").isin(ids))
+        if docs is None:
+            names = [c for c in planned.schema["kept"].dataType.names if c not in ("shard", "slot")]
+            rows = inside.select(*(F.col("kept")[c].alias(c) for c in names), "shard", "slot")
+        else:
+            rows = docs.drop("shard", "slot").join(inside.select("doc_id", "shard", "slot"), "doc_id").repartitionByRange("shard", "slot")
         fresh = f"{root}/_fresh-{uuid.uuid4().hex}"  # readers pass over such names
-        rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(fresh)
+        rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(fresh)
         _swap_in(spark, root, fresh, ids)
     told = [(j, j in ids, sum(r.n_rows for r in moves if r.shard == j), sum(r.bytes for r in moves if r.shard == j)) for j in sorted({r.shard for r in moves})]
     return spark.createDataFrame(told, "shard int, rewritten boolean, n_rows long, bytes long")
 
 
+def reshard(docs: DataFrame, root: str, old_shard: Column, n_old: int, n_new: int) -> DataFrame:
+    """docs laid out as old shards under root, resharded there, and read back: their columns, shard and slot."""
+    spark = docs.sparkSession
+    docs = docs.drop("shard", "slot")
+    docs.withColumn("shard", old_shard).write.partitionBy("shard").option("compression", "zstd").parquet(root)
+    schema = docs.withColumns({"slot": F.lit(0).cast("long"), "shard": F.lit(0)}).schema
+    files = spark.read.schema(schema).parquet(root)
+    told = rewrite_affected(None, plan(files, F.col("shard"), n_old, n_new, keep=True), root).collect()
+    files = spark.read.schema(schema).parquet(root)  # listed anew
+    same = {r.shard: r.bytes for r in told if not r.rewritten}
+    if not same:
+        return files
+    # Old files hold no slots; those of a shard that nothing enters or leaves follow from its files alone.
+    old = files.where(F.col("shard").isin(list(same)))
+    slots = plan(old, F.col("shard"), n_old, n_old, [same.get(i, 0) for i in range(n_old)], keep=True)
+    slots = slots.select(*(F.col("kept")[c].alias(c) for c in docs.columns), "slot", "shard")
+    return files.where(~F.col("shard").isin(list(same))).unionByName(slots)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    out = plan(docs, old_shard_of("source", 8), 8, 8)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """The whole table resharded: files of hashed sources to eight equal shards; told from the new files."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = reshard(docs, scratch_path(spark, "shards"), old_shard_of("source", 8), 8, 8)
+    return out.select(
+        "doc_id", _size().alias("size"), text_crc32(F.col("text")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), old_shard_of("source", 8).alias("old_shard"),
+    )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
