@@ -49,3 +49,10 @@ def test_edges(spark, table):
     table("benchmark", [], "item_id long, text string")
     assert D.op4_decontamination(spark, path).count() == 0
     assert D.op4_decontamination(spark, table("documents", [], DOCS)).count() == 0
+
+
+def test_stage_by_text(spark, table):
+    path = table("benchmark", [(1, "a b c d e f")], "item_id long, text string")
+    docs = [(None, "x a b c d e f"), (None, "clean"), (None, None), (4, "a b c d e f y"), (4, "clean too")]
+    out = D.stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), path).collect()
+    assert {tuple(r) for r in out} == {(None, "clean"), (None, None), (4, "clean too")} and len(out) == 3

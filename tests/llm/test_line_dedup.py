@@ -57,6 +57,13 @@ def test_rows_that_repeat(spark):
     assert out == [(1, []), (1, []), (2, [0])]
 
 
+def test_null_ids(spark):
+    run = " ".join(["word"] * 60)
+    docs = [(None, run), (None, "a\n" + run), (None, None), (1, run)]
+    out = {(r.doc_id, r.text, tuple(r.lines_removed)) for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(out) == 4 and sum(run in (t or "") for _, t, _ in out) == 1 and (1, "", (0,)) in out
+
+
 def test_native_plan(spark, table):
     df = L.op2_line_dedup(spark, table("documents", [(1, "a\nb", "en", "s", 3)], DOCS))
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()

@@ -85,6 +85,16 @@ def test_stage_words(spark):
             assert set(r.text.split()) <= set(text[r.doc_id].split())
 
 
+def test_stage_keeps_null_ids(spark):
+    rows = [(None if k % 2 else r[0], *r[1:4], k) for k, r in enumerate(_rows(80))] + [(None, "twin " * 90, "en", "s0", -1)] * 2
+    docs = spark.createDataFrame(rows, DOCS)
+    _, picks = M.mix(docs)
+    got = M.stage(spark, docs, "").collect()
+    assert sum(len(r.text.split()) for r in got) == sum(p.n_words for p in picks.collect())
+    text = {(r[0], r[3], t) for r in rows if r[1] for t in r[1].split()}
+    assert any(r.doc_id is None for r in got) and all((r.doc_id, r.source, t) in text for r in got for t in r.text.split())
+
+
 def test_empty(spark, table):
     assert M.op5_mixing(spark, table("documents", [], DOCS)).count() == 0
     assert M.op5_mixing(spark, table("documents", [(1, None, None, None, None)], DOCS)).collect()[0].taken == 0

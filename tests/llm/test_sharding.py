@@ -133,3 +133,9 @@ def test_stage_keeps_rows_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3, 9, "x"), (1, "a b", "en", "s", 3, 9, "x"), (1, "c", "en", "s", 1, 8, "y"), (2, None, None, None, None, None, None)], DOCS + ", tag long, shard string")
     out = S.stage(spark, docs, "")
     assert out.count() == 4 and {"tag", "shard", "slot"} <= set(out.columns) and out.columns.count("shard") == 1
+
+
+def test_stage_keeps_null_ids(spark):
+    rows = [(None, "a b", "en", "s", 3), (None, "a b", "en", "t", 3), (None, "c", None, None, 1), (None, None, None, None, None), (1, "c", "en", "s", 1)]
+    got = S.stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(map(repr, (tuple(r)[:5] for r in got))) == sorted(map(repr, rows))

@@ -97,11 +97,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Whether a row does follows from its text alone, so the key is a hash of the text: ids
+    may be null or repeated, and a clean row stays beside a contaminated one of its id.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    bad = written(contained(docs.select("doc_id", "text"), items).select("doc_id").distinct(), "decontam-bad")
+    bad = written(contained(docs.select(F.md5(F.col("text").cast("binary")).alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__key")).distinct(), "decontam-bad")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad, F.md5(F.col("text").cast("binary")) == F.col("__key"), "left_anti").select(*docs.columns)
 
 
 _SETS = """

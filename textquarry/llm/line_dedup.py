@@ -14,7 +14,7 @@ earlier position (by doc_id, then line), overlapping runs included. So one copy
 every run stays.
 
 Defined results: lines are what newlines separate; a null text has no lines, an
-empty one has one empty line; empty lines are lines of no words; rows of one doc_id
+empty one has one empty line; a null doc_id is an id like others, first in order; empty lines are lines of no words; rows of one doc_id
 with several texts follow one another by the texts' hash; rows that repeat wholly
 are one document here, whose marks all of them get; an empty table gives an empty
 result; other columns are kept by :func:`dedup_lines`.
@@ -117,8 +117,9 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the lines that go, with lines_removed (int array, sorted)."""
     gone = removed_lines(docs.select("doc_id", "text"), min_words)
-    gone = gone.groupBy("doc_id", F.col("th").alias("__th")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
-    keyed = docs.withColumn("__th", _text_hash()).join(gone, ["doc_id", "__th"], "left")
+    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__of")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
+    alike = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__of"))
+    keyed = docs.withColumn("__th", _text_hash()).join(gone, alike, "left")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda t, i: ~F.array_contains("__gone", i)), "\n")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     rest = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "lines_removed"]

@@ -11,7 +11,7 @@ the source). Blocks are joined to the documents that they cut by source and inde
 
 Defined results: a null or wordless text has size 0 and takes nothing; null is a
 source of its own, last in order; repeated rows are parts of the stream of their
-own; an empty table gives an empty mix. Reruns agree: every draw is seeded, and
+own, and so are rows with a null doc_id; an empty table gives an empty mix. Reruns agree: every draw is seeded, and
 the stream depends on the rows alone.
 """
 
@@ -114,17 +114,21 @@ def _permuted(index: Column, n: Column, key: Column) -> Column:
     return F.pandas_udf(run, "long")(index, n, key)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(stream, picks).
 
-    stream: one row per document: doc_id, source, text_crc32, size, source_size,
+    stream: one row per document: doc_id, source, text_crc32, text_hash, size, source_size,
     target, start (first word's place in its source's stream).
     picks: one row per block drawn: source_key, block, pass_no, shard, shard_slot, and the part
     of a document that it cuts: start (the document's), word (in the document), n_words.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    base = docs.select("doc_id", "source", key.alias("source_key"), text_crc32(F.col("text")).alias("text_crc32"), word_count(F.col("text")).alias("size"))
+    base = docs.select("doc_id", "source", key.alias("source_key"), text_crc32(F.col("text")).alias("text_crc32"), _text_hash().alias("text_hash"), word_count(F.col("text")).alias("size"))
     base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BUCKETS)).cast("int"))
     base = written(base, "mix-sizes")  # counting words reads every text; do it once
     per_source = base.groupBy("source", "source_key").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
@@ -148,7 +152,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     inside = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stream = base.withColumn("upto", F.sum("size").over(inside)).join(small, ["source_key", "bucket"])
     stream = stream.join(F.broadcast(info.select("source_key", "source_size", "target")), "source_key")  # one row a source
-    stream = written(stream.select("doc_id", "source", "source_key", "text_crc32", "size", "source_size", "target", (F.col("base") + F.col("upto") - F.col("size")).alias("start")), "mix-stream")
+    stream = written(stream.select("doc_id", "source", "source_key", "text_crc32", "text_hash", "size", "source_size", "target", (F.col("base") + F.col("upto") - F.col("size")).alias("start")), "mix-stream")
     # Slots of each source in each shard, numbered through the shards.
     runs = []
     first = counts.cumsum(axis=0) - counts
@@ -187,22 +191,23 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: a row for each pass in which words of a document are drawn.
 
     Its text is the whole text as it is where the pass draws all its blocks, else the
-    drawn words in order, joined by spaces; n_chars follows.
+    drawn words in order, joined by spaces; n_chars follows. Rows are told apart by
+    doc_id (null is an id like others) and text.
     """
     stream, picks = mix(docs)
     piece = F.struct("word", "n_words")
     got = picks.groupBy("source_key", "start", "pass_no").agg(F.sort_array(F.collect_list(piece)).alias("__pieces"), F.sum("n_words").alias("__taken"))
     # Rows of the same id and text have equal pieces of work: number both sides alike.
-    twins = Window.partitionBy("doc_id", "__crc").orderBy("__at")
-    chosen = stream.where("size > 0").join(got, ["source_key", "start"]).select("doc_id", F.col("text_crc32").alias("__crc"), F.col("source_key").alias("__key"), "start", F.col("size").alias("__size"), "__pieces", "__taken")
-    rank = Window.partitionBy("doc_id", "__crc").orderBy("__key", "start")
-    numbers = stream.where("size > 0").select("doc_id", F.col("text_crc32").alias("__crc"), F.col("source_key").alias("__key"), "start").withColumn("__nth", F.row_number().over(rank))
-    chosen = chosen.join(numbers, ["doc_id", "__crc", "__key", "start"]).drop("start")
+    twins = Window.partitionBy("doc_id", "__hash").orderBy("__at")
+    rank = Window.partitionBy("doc_id", "text_hash").orderBy("source_key", "start")
+    numbers = stream.where("size > 0").withColumn("nth", F.row_number().over(rank))
+    chosen = numbers.join(got, ["source_key", "start"]).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__own"), F.col("nth").alias("__own_nth"), F.col("size").alias("__size"), "__pieces", "__taken")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    rows = docs.withColumns({"__crc": text_crc32(F.col("text")), "__at": key}).withColumn("__nth", F.row_number().over(twins))
+    rows = docs.withColumns({"__hash": _text_hash(), "__at": key}).withColumn("__nth", F.row_number().over(twins))
     cut = F.array_join(F.flatten(F.transform(F.col("__pieces"), lambda p: F.slice(F.col("__words"), p["word"].cast("int") + 1, p["n_words"].cast("int")))), " ")
     words = F.when(F.col("__taken") < F.col("__size"), F.regexp_extract_all("text", F.lit(f"({WORD})")))
-    out = rows.join(chosen.drop("__key"), ["doc_id", "__crc", "__nth"]).withColumn("__words", words)
+    alike = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__own")) & (F.col("__nth") == F.col("__own_nth"))
+    out = rows.join(chosen, alike).withColumn("__words", words)
     out = out.withColumn("text", F.when(F.col("__taken") < F.col("__size"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -252,14 +252,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the pipeline: the rows of docs with their shard and slot.
+    """Last stage of the pipeline: the rows of docs with their size, shard and slot.
 
-    Rows are told apart by doc_id and text; rows that agree in both share a size
-    and are given the shard and slots of their kind in some order.
+    The plan carries whole rows, so every row comes back once, whatever its doc_id.
     """
     docs = docs.drop("size", "shard", "slot")  # columns of these names give way to the stage's own
-    mark = F.row_number().over(Window.partitionBy("doc_id", "__crc").orderBy("slot"))
-    planned = plan(docs, old_shard_of("source", 8), 8, 8).withColumnRenamed("text_crc32", "__crc").withColumn("__nth", mark)
-    twin = F.row_number().over(Window.partitionBy("doc_id", "__crc").orderBy("n_chars"))
-    rows = docs.withColumn("__crc", text_crc32(F.col("text"))).withColumn("__nth", twin)
-    return rows.join(planned.select("doc_id", "__crc", "__nth", "size", "shard", "slot"), ["doc_id", "__crc", "__nth"]).drop("__crc", "__nth")
+    out = plan(docs, old_shard_of("source", 8), 8, 8, keep=True)
+    return out.select(*(F.col("kept")[c].alias(c) for c in docs.columns), "size", "shard", "slot")
