@@ -381,7 +381,7 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 @query(f"WITH {_RRF_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM fr WHERE rank <= 5")
 def rrf_hybrid(spark, sf_dir):
-    """Documents like every hundredth one, by their vectors and by their words."""
+    """Documents like every hundredth one that has a vector, by their vectors and by their words."""
     docs = _texts(spark, sf_dir)
     asked = docs.where("doc_id % 100 = 0").join(_vectors(spark, sf_dir).select("doc_id"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("texto").alias("query"))
     out = R.rrf([_dense(spark, sf_dir, R.PREFETCH), R.bm25_topk(docs, asked, R.PREFETCH)], 5)
