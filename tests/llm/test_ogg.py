@@ -47,7 +47,10 @@ def test_streams_are_separated_and_timed():
     out = G.decode(G.encode(payload, b"bytes=1;rate=8000"))
     assert set(out) == {G.SAMPLES, G.NOTES} and b"".join(out[G.SAMPLES]["packets"]) == payload
     times = G.packet_times(out[G.SAMPLES])
-    assert times == [(i + 1) * 576 / 8000 for i in range(len(payload) // 576)]
+    assert times.tolist() == [(i + 1) * 576 / 8000 for i in range(len(payload) // 576)]
+    wrong = out[G.SAMPLES] | {"granules": [*out[G.SAMPLES]["granules"][:-1], len(payload) + 1]}
+    with pytest.raises(G.OggError):
+        G.packet_times(wrong)
 
 
 def test_damage_is_found():
@@ -75,3 +78,15 @@ def test_query(spark, table):
         assert r.media_sha256 == hashlib.sha256(media).hexdigest() and r.media_bytes == len(media)
     assert out[3].feature == out[5].feature and out[0].media_sha256 == out[1].media_sha256
     assert G.op8_media(spark, table("documents", [], DOCS)).count() == 0
+
+
+def test_times_reach_the_feature(spark, table):
+    # Bytes near 128 are silent: "\x7f" has power 1 a sample, " " much more.
+    quiet_first = "\x7f" * 576 * 3 + " " * 576
+    rows = [(None, quiet_first, "x"), (5, "\x7f" * 576 * 4, "y")]
+    got = {r.doc_id: dict(x.split("=") for x in r.feature.split(";")) for r in G.op8_media(spark, table("documents", rows, "doc_id long, text string, media string")).collect()}
+    packet = 576 / 8000
+    power = [1.0, 1.0, 1.0, 96.0**2]
+    centre = sum(p * (i + 0.5) * packet for i, p in enumerate(power)) / sum(power)
+    assert got[None]["seconds"] == f"{4 * packet:.3f}" and got[None]["centre"] == f"{centre:.4f}"
+    assert got[5]["centre"] == f"{2 * packet:.4f}"

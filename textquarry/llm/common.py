@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
+import re
 import tempfile
+import threading
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +24,16 @@ DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session leaves it unset (as in tests) a local one is made.
+    Where the session leaves it unset, a folder of this machine does for a session that
+    runs in one process (as in tests); on a cluster executors couldn't see it, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -43,16 +50,25 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_made: list[str] = []
+class _Made(threading.local):
+    """Paths of the tables that this thread has written."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_made = _Made()
 
 
 @contextlib.contextmanager
 def swept(spark: SparkSession):
-    """Deletes the tables that were written inside, when their readers are done."""
-    mark = len(_made)
-    yield
-    while len(_made) > mark:
-        remove(spark, _made.pop())
+    """Deletes the tables that this thread wrote inside, when their readers are done or have failed."""
+    mark = len(_made.paths)
+    try:
+        yield
+    finally:
+        while len(_made.paths) > mark:
+            remove(spark, _made.paths.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -63,21 +79,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    _made.append(path)
+    _made.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows where the session has Spark's default of 10,000:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Arrow batches of so many rows and bytes at most, where the session has Spark's defaults:
     texts may be long, and a batch is in memory on both sides of the pipe."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+    for key, usual, own in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", f"{size}b")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, own)
 
 
 def give_back() -> None:
     """Returns a Python worker's freed memory to the system; workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library

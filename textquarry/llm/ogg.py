@@ -2,13 +2,16 @@
 
 A payload is kept as packets of 8-bit samples in one logical stream, beside a second
 logical stream that describes it; the pages of both are multiplexed into one
-physical stream. Reading verifies each page's checksum, puts packets together from
-lacing values (through page bounds), separates the logical streams and derives
-times from granule positions.
+physical stream. The streams are written as a table in the shared folder and read
+back from there in a stage of their own. Reading verifies each page's checksum, puts
+packets together from lacing values (through page bounds), separates the logical
+streams and derives every packet's time from granule positions.
 
 Defined results: a null text is the empty payload; the payload is padded with bytes
-255 up to a positive multiple of 576; equal texts give equal values; repeated rows
-stay; damaged bytes raise :class:`OggError`.
+255 up to a positive multiple of 576; a text of any length is one stream, taken whole;
+equal texts give equal values; repeated rows stay, and so do null doc_ids; an empty
+table gives an empty result; other columns are ignored; damaged bytes raise
+:class:`OggError`.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textquarry.llm.common import small_batches
+from textquarry.llm.common import give_back, small_batches, written
 
 UNIT = 576
 RATE = 8000
@@ -134,20 +138,35 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id and media: every whole text as an Ogg stream."""
-
+    """doc_id and media: every whole text as an Ogg stream, read from the table it is stored in."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
             media = []
-            for t in texts:
+            for t in batch.column("text"):
                 payload, n = padded(t.as_py())
                 media.append(encode(payload, b"bytes=%d;rate=%d" % (n, RATE)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(media, pa.binary())], names=["doc_id", "media"])
+        give_back()
+
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, media binary"), "media")
+
+
+def packet_times(stream: dict, rate: int = RATE, unit: int = UNIT) -> np.ndarray:
+    """Seconds at each packet's end: from positions where pages tell them, between them by
+    counting packets of unit samples back from the next known position.
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary")
+    A position that differs from the samples up to there raises OggError.
+    """
+    told = np.array(stream["granules"], dtype=np.int64)
+    known = np.flatnonzero(told >= 0)
+    samples = np.cumsum([len(p) for p in stream["packets"]])
+    if len(told) and (not len(known) or known[-1] != len(told) - 1 or (told[known] != samples[known]).any()):
+        raise OggError("a position differs from the samples up to there")
+    at = np.arange(len(told))
+    after = known[np.searchsorted(known, at)]
+    return (told[after] - (after - at) * unit) / rate
 
 
 def read_back(media: bytes) -> tuple:
@@ -163,15 +182,22 @@ def read_back(media: bytes) -> tuple:
     scale = np.arange(256) - 128
     total, power = int((level * scale).sum()), int((level * scale * scale).sum())
     changes = int(np.count_nonzero((values[1:] < 128) != (values[:-1] < 128)))
-    # A page's packets end evenly up to its position, so every packet has its time.
-    seconds = samples["granules"][-1] / int(told[b"rate"])
+    times = packet_times(samples, int(told[b"rate"]))
+    # Where the sound's power lies in time: packets by power, each at its middle.
+    loud = np.add.reduceat((scale * scale)[values], np.arange(0, len(values), UNIT)).astype(np.float64)
+    middle = (times + np.concatenate(([0.0], times[:-1]))) / 2
+    centre = float((loud * middle).sum() / loud.sum()) if loud.any() else 0.0
     pages = sum(s["pages"] for s in streams.values())
-    feature = f"streams={len(streams)};pages={pages};packets={len(samples['packets'])};seconds={seconds:.3f};mean={total / len(values):.4f};rms={(power / len(values)) ** 0.5:.4f};crossings={changes}"
+    feature = (
+        f"streams={len(streams)};pages={pages};packets={len(times)};seconds={times[-1]:.3f};centre={centre:.4f};"
+        f"mean={total / len(values):.4f};rms={(power / len(values)) ** 0.5:.4f};crossings={changes}"
+    )
     return int(told[b"bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 def features(stored: DataFrame) -> DataFrame:
     """Reads stored streams back: sizes, digests and features by doc_id."""
+    small_batches(stored.sparkSession)
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -180,20 +206,10 @@ def features(stored: DataFrame) -> DataFrame:
             rows = [read_back(m.as_py()) for m in batch.column("media")]
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", *names])
+        give_back()
 
     return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def packet_times(stream: dict, rate: int = RATE, unit: int = UNIT) -> list[float]:
-    """Seconds at each packet's end: from positions where pages tell them, between them
-    by counting packets of unit samples back from the next known position."""
-    out: list[float] = [0.0] * len(stream["packets"])
-    known = None
-    for i in range(len(out) - 1, -1, -1):
-        known = stream["granules"][i] if stream["granules"][i] >= 0 else known - unit
-        out[i] = known / rate
-    return out
-
-
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
