@@ -44,18 +44,49 @@ def test_chains_and_large_groups(spark):
     walk = [f"v{k}" for k in range(100)]
     for i in range(20):  # a chain: ends have little in common
         rows.append((1000 + i, " ".join(walk[i * 3 : i * 3 + 60] + [f"u{k}" for k in range(max(0, i * 3 - 40))])))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.node: (r.n_shingles, r.component) for r in J.groups(spark.createDataFrame(rows, "node long, text string")).collect()}
     assert got == brute(rows)
 
 
 def test_repeated_ids_nulls_empty(spark, table):
-    text = "a b c d e f g"
+    text, other = "a b c d e f g", "h i j k l m n o"
     rows = [(5, text, "en", "s", 1), (5, text, "en", "s", 1), (None, text, "en", "s", 1), (9, text.upper(), "en", "s", 1), (7, None, None, None, None)]
-    out = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in J.op3_ngram_join(spark, table("documents", rows, DOCS)).collect())
-    assert out == [(-1, 0, None), (5, 3, 5), (5, 3, 5), (7, 0, 7), (9, 3, 5)]
+    rows += [(9, other, "en", "s", 1), (None, other + " p q", "en", "s", 1), (-3, "only one", "en", "s", 1), (None, "quite alone here", "en", "s", 1)]
+    none = -99
+    out = sorted((none if r.doc_id is None else r.doc_id, r.n_shingles, none if r.component_id is None else r.component_id) for r in J.op3_ngram_join(spark, table("documents", rows, DOCS)).collect())
+    # other has 4 shingles, its longer form 6: 4 / 6 is no link.
+    assert out == sorted([(none, 1, none), (none, 3, 5), (none, 6, none), (-3, 1, -3), (5, 3, 5), (5, 3, 5), (7, 0, 7), (9, 3, 5), (9, 4, 9)])
     assert J.op3_ngram_join(spark, table("documents", [], DOCS)).count() == 0
 
 
+def test_stage_with_odd_ids_and_clashing_columns(spark):
+    text, other = "a b c d e f g", "h i j k l m n o"
+    rows = [(None, text, 1), (5, text, 2), (5, text, 3), (5, other, 4), (None, other, 5), (None, "x y", 6), (None, None, 7), (None, None, 8)]
+    out = J.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, node int"), "")
+    assert out.columns == ["doc_id", "text", "node"]
+    got = {r.node for r in out.collect()}
+    assert len(got & {2, 3}) == 1 and got - {2, 3} == {4, 6, 7, 8}
+
+
+def test_small_packs_and_hot_hashes(spark, monkeypatch):
+    """Coarse ranges parted once more, packs and pieces of a few hashes, a passage in every document."""
+    for name, n in (("PACK", 40), ("BUCKET", 15), ("PIECE", 7), ("FAN", 4), ("STEP", 30)):
+        monkeypatch.setattr(J, name, n)
+    rng = random.Random(6)
+    hot = [f"h{i}" for i in range(30)]
+    rows = [(i, " ".join(hot + [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((4, 5, 60)))])) for i in range(60)]
+    df = spark.createDataFrame(rows, "node long, text string").repartition(3)
+    meta = {r.node: (r.n, r.hits) for r in J.sieve(df).collect()}
+    fronts = {}
+    for i, t in rows:
+        s, n = J.shingle_sets([t])
+        fronts[i] = set(s[: int(n[0]) - int(J._need(n)[0]) + int(J._asked(n)[0])].tolist())
+    want = {i: sum(any(h in fronts[j] for j in fronts if j != i) for h in f) for i, f in fronts.items()}
+    assert {i: h for i, (_, h) in meta.items()} == want
+    got = {r.node: (r.n_shingles, r.component) for r in J.groups(df).collect()}
+    assert got == brute(rows)
+
+
 def test_stage_keeps_one_of_each(spark):
     rows = near_copies(3)
     out = J.stage(spark, spark.createDataFrame(rows, DOCS), "")

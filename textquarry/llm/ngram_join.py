@@ -5,23 +5,32 @@ Sets are distinct 5-word shingles (64-bit hashes). The steps:
 1. Sieve. In hash order, two sets with Jaccard >= t share at least l hashes within
    their first n - ceil(t n) + l; a document whose prefix has fewer than l hashes that
    any other prefix has takes no part in what follows. Prefixes travel packed by hash
-   range; what repeats within a batch is credited there, so a hash that a third of all
-   documents hold travels once a batch.
-2. Equal sets are one class, represented by its least doc_id.
-3. Rare-first order. Each remaining shingle's key is its document frequency, then its
-   hash; frequency-1 shingles, which can't be shared, stand first and only count. The
-   prefix of n - ceil(t n) + 1 keys is indexed.
+   range; what repeats within a pack is credited there, so a hash that a third of all
+   documents hold travels once a pack, and a range is met piece by piece, of which only
+   distinct hashes are kept.
+2. Equal sets are one class, represented by its least node.
+3. Rare-first order. Each remaining shingle's key is the power of two below its document
+   frequency, then 58 bits of its hash; frequency-1 shingles, which can't be shared, stand
+   first and only count. The prefix of n - ceil(t n) + 1 keys is what a set is probed with;
+   of the smaller set of a pair the first n - ceil(2t/(1+t) n) + 1 keys are indexed.
 4. Stars. In each key's list, by length band, all sets are paired with the least one;
    distinct pairs pass length, positional and suffix filters and are verified.
 5. Rest. Lists that still hold several components are joined across components only,
-   so that a group of thousands of near copies never becomes all its pairs; new pairs
-   pass the same filters and are verified once. No link between components is lost:
-   every linked pair shares a prefix key, and within a component none is needed.
+   smaller indexed sets with larger probing ones of their band or the next, so that a
+   group of thousands of near copies never becomes all its pairs; new pairs pass the
+   same filters and are verified once. No link between components is lost: every linked
+   pair shares such a key, and within a component none is needed. Candidates are sets of
+   different components whose rarest seventh (the smaller one's) and rarest quarter
+   meet at a place that leaves room for the similarity.
+
+A node is a row: its doc_id where ids are neither repeated nor null nor negative, else a
+number that the rows get in a table written for it.
 
 Defined results: a null, empty or wordless text has an empty set, no links and
-itself as component; a null doc_id keeps its size and has no component; rows that
-repeat a doc_id are read as the one text of them with the greatest length, then
-CRC, and all get its result; an empty table gives an empty result.
+itself as component; a null doc_id keeps its size, links as others do and has the least
+doc_id of its component, null if there is none; rows that repeat a doc_id are documents
+of their own; texts of any length are taken whole, in steps; an empty table gives an
+empty result; other columns are ignored here and kept by :func:`stage`.
 """
 
 from __future__ import annotations
@@ -31,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import give_back, small_batches, unbound, written
@@ -42,8 +51,11 @@ N = 5
 NUM, DEN = 75, 100
 #: Words of a step within a batch, and known words of a worker (a cache, nothing else).
 STEP, KNOWN = 300_000, 100_000
-#: Packed prefix hashes to a bucket, about.
-BUCKET = 1_000_000
+#: Prefix hashes of a pack; of a bucket (a range of hashes), about; and of a piece of it that is met at once.
+PACK, BUCKET, PIECE = 1_000_000, 400_000, 200_000
+#: Buckets that packs are parted into; where there are more, coarse ranges are parted once more.
+FAN = 4096
+NOBODY = -1
 BROADCAST_ROWS = 1_000_000
 
 
@@ -95,7 +107,7 @@ def shingle_sets(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.nd
 def _steps(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str | None]]]:
     """Rows of a batch in pieces of about STEP words."""
     ids, texts, size = [], [], 0
-    for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+    for i, t in zip(batch.column("node"), batch.column("text"), strict=True):
         t = t.as_py()
         ids.append(i.as_py())
         texts.append(t)
@@ -117,15 +129,79 @@ def _asked(n):
     return np.maximum(1, n // 20)
 
 
+class _Meeting:
+    """Prefix hashes of one bucket, met piece by piece; distinct ones are kept, each with its
+    holder as long as it has one only."""
+
+    def __init__(self):
+        self.h, self.who = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def add(self, who: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Holders to be credited, once for each of their hashes that has become shared."""
+        order = np.argsort(h, kind="stable")
+        who, h = who[order], h[order]
+        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        times = np.diff(np.append(start, len(h)))
+        own = h[start]
+        at = np.searchsorted(self.h, own)
+        known = np.zeros(len(own), dtype=bool)
+        inside = at < len(self.h)
+        known[inside] = self.h[at[inside]] == own[inside]
+        credit = who[np.repeat(known | (times > 1), times)]
+        credit = np.concatenate((credit, self.who[at[known]]))
+        self.who[at[known]] = NOBODY
+        new = ~known
+        self.who = np.insert(self.who, at[new], np.where(times > 1, NOBODY, who[start])[new])
+        self.h = np.insert(self.h, at[new], own[new])
+        return credit[credit != NOBODY]
+
+
+def _long(x: np.ndarray) -> bytes:
+    return x.astype(np.int64).tobytes()
+
+
+def _parted(who: np.ndarray, h: np.ndarray, n_buckets: int, coarse: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, nodes, hashes) of ascending hashes; coarse: buckets that stay together."""
+    b = (((h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)) // np.uint64(coarse)
+    cuts = np.flatnonzero(np.diff(b)) + 1
+    for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(h)), strict=True):
+        yield int(b[lo]), _long(who[lo:hi]), h[lo:hi].tobytes()
+
+
+_PACKED = ["bucket", "node", "x", "d1", "d2", "hits"]
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] + [pa.binary()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_PACKED)
+
+
 def sieve(docs: DataFrame) -> DataFrame:
-    """(node, n, d1, d2, hits): set size, digest of the set, and how many of its prefix
-    hashes another prefix has; docs have distinct, non-null doc_ids."""
+    """(node, n, d1, d2, hits) of docs (node, text): set size, digest of the set, and how many
+    of its prefix hashes another prefix has; nodes are distinct and not negative."""
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
     n_buckets = max(1, size // 6 * 3 // 10 // BUCKET + 1)
+    coarse = -(-n_buckets // FAN)  # buckets of a coarse range
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        turn, held, fronts, owners = 0, 0, [], []
+
+        def told(turn: int, node: np.ndarray, n=None, d1=None, d2=None, hits=None) -> tuple:
+            zero = bytes(8 * len(node))
+            return (n_buckets + turn % n_buckets, _long(node), *(zero if x is None else _long(x) for x in (n, d1, d2, hits)))
+
+        def close() -> pa.RecordBatch:
+            h, who = np.concatenate(fronts), np.concatenate(owners)
+            order = np.argsort(h, kind="stable")
+            h, who = h[order], who[order]
+            first = np.concatenate(([True], h[1:] != h[:-1]))
+            times = np.diff(np.append(np.flatnonzero(first), len(h)))
+            node, hits = np.unique(who[np.repeat(times > 1, times)], return_counts=True)
+            # One of each hash goes on; those that repeat here are credited and have no holder later.
+            rows = [(b, w, x, b"", b"", b"") for b, w, x in _parted(np.where(times > 1, NOBODY, who[first]), h[first], n_buckets, coarse)]
+            return _blobs([*rows, told(turn, node, hits=hits)])
+
         for batch in batches:
             for ids, texts in _steps(batch):
                 s, n = shingle_sets(texts)
@@ -139,63 +215,81 @@ def sieve(docs: DataFrame) -> DataFrame:
                         d1[full] = np.add.reduceat(u, starts[full]).view(np.int64)
                         d2[full] = np.add.reduceat(_mixed(u * _ODD[40]), starts[full]).view(np.int64)
                 own = np.repeat(np.arange(len(n)), n)
-                place = np.arange(len(s)) - starts[own]
-                front = place < (n - _need(n) + _asked(n))[own]
-                h, who = s[front], own[front]
-                order = np.argsort(h, kind="stable")
-                h, who = h[order], who[order]
-                first = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=bool)
-                times = np.diff(np.append(np.flatnonzero(first), len(h)))
-                many = np.repeat(times > 1, times)
-                hits = np.bincount(who[many], minlength=len(n))
-                keep = first  # one of each; those that repeat here credit no one later
-                h, by = h[keep], np.where(many[keep], -1, node[who[keep]])
+                front = np.arange(len(s)) - starts[own] < (n - _need(n) + _asked(n))[own]
+                fronts.append(s[front])
+                owners.append(node[own[front]])
+                held += len(fronts[-1])
                 turn += 1
-                rows = [(n_buckets + turn % n_buckets, node.tobytes(), n.tobytes(), d1.tobytes(), d2.tobytes(), hits.astype(np.int64).tobytes())]
-                if len(h):
-                    b = ((h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)
-                    cuts = np.flatnonzero(np.diff(b)) + 1
-                    for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(h)), strict=True):
-                        rows.append((int(b[lo]), by[lo:hi].astype(np.int64).tobytes(), h[lo:hi].tobytes(), b"", b"", b""))
-                names = ["bucket", "node", "x", "d1", "d2", "hits"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows, strict=True))], names=names)
+                yield _blobs([told(turn, node, n, d1, d2)])
+                if held >= PACK:
+                    yield close()
+                    held, fronts, owners = 0, [], []
+        if held:
+            yield close()
+        fronts, owners = [], []
+        give_back()
+
+    def pieces(batches: Iterator[pa.RecordBatch], most: int):
+        """(bucket, nodes, hashes) of at most about so many hashes of one bucket, then None; other rows as they are."""
+        at, who, h, held = None, [], [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in _PACKED), strict=True):
+                b = row[0].as_py()
+                if b >= n_buckets:
+                    yield tuple(x.as_py() for x in row)
+                    continue
+                if held and (b != at or held >= most):
+                    yield at, np.concatenate(who), np.concatenate(h)
+                    who, h, held = [], [], 0
+                at = b
+                who.append(np.frombuffer(row[1].as_py(), dtype=np.int64))
+                h.append(np.frombuffer(row[2].as_py(), dtype=np.int64))
+                held += len(h[-1])
+        if held:
+            yield at, np.concatenate(who), np.concatenate(h)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in pieces(batches, PACK):
+            if len(x) > 3:
+                yield _blobs([x])
+                continue
+            order = np.argsort(x[2], kind="stable")
+            yield _blobs([(b, w, h, b"", b"", b"") for b, w, h in _parted(x[1][order], x[2][order], n_buckets, 1)])
         give_back()
 
     names = ["node", "n", "d1", "d2", "hits"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(node, n, d1, d2, hits):
+        at, meeting, credit, held = None, _Meeting(), [], 0
+
+        def told(node, n, d1, d2, hits) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (node, n, d1, d2, hits)], names=names)
 
-        def close(nodes: list[bytes], hashes: list[bytes]) -> pa.RecordBatch:
-            who, h = np.frombuffer(b"".join(nodes), dtype=np.int64), np.frombuffer(b"".join(hashes), dtype=np.int64)
-            order = np.argsort(h, kind="stable")
-            who, h = who[order], h[order]
-            first = np.concatenate(([True], h[1:] != h[:-1]))
-            times = np.diff(np.append(np.flatnonzero(first), len(h)))
-            shared = np.repeat(times > 1, times) & (who >= 0)
-            node, hits = np.unique(who[shared], return_counts=True)
+        def close() -> pa.RecordBatch:
+            node, hits = np.unique(np.concatenate(credit), return_counts=True)
             zero = np.zeros(len(node), dtype=np.int64)
-            return row(node, zero, zero, zero, hits)
+            return told(node, zero, zero, zero, hits)
 
-        at, nodes, hashes = None, [], []
-        for batch in batches:
-            for b, node, x, d1, d2, hits in zip(*(batch.column(c) for c in ("bucket", "node", "x", "d1", "d2", "hits")), strict=True):
-                b, node, x = b.as_py(), node.as_py(), x.as_py()
-                if b >= n_buckets:
-                    yield row(*(np.frombuffer(c, dtype=np.int64) for c in (node, x, d1.as_py(), d2.as_py(), hits.as_py())))
-                    continue
-                if b != at and nodes:
-                    yield close(nodes, hashes)
-                    nodes, hashes = [], []
-                at = b
-                nodes.append(node)
-                hashes.append(x)
-        if nodes:
-            yield close(nodes, hashes)
+        for x in pieces(batches, PIECE):
+            if len(x) > 3:
+                yield told(*(np.frombuffer(c, dtype=np.int64) for c in x[1:]))
+                continue
+            if x[0] != at:
+                at, meeting = x[0], _Meeting()
+            credit.append(meeting.add(x[1], x[2]))
+            held += len(credit[-1])
+            if held >= PACK:  # a node's credits of many buckets in one row
+                yield close()
+                credit, held = [], 0
+        if held:
+            yield close()
+        meeting, credit = None, []
         give_back()
 
-    packed = docs.mapInArrow(pack, "bucket long, node binary, x binary, d1 binary, d2 binary, hits binary")
+    schema = "bucket long, node binary, x binary, d1 binary, d2 binary, hits binary"
+    packed = docs.select("node", "text").mapInArrow(pack, schema)
+    if coarse > 1:
+        packed = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(part, schema)
     met = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "node long, n long, d1 long, d2 long, hits long")
     # Rows of hits have zeros for the rest.
     out = met.groupBy("node").agg(F.max("n").alias("n"), F.sum("d1").alias("d1"), F.sum("d2").alias("d2"), F.sum("hits").alias("hits"))
@@ -203,7 +297,7 @@ def sieve(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(node, hs) of documents: all shingle hashes."""
+    """(node, hs) of docs (node, text): all shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +307,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(s))], names=["node", "hs"])
         give_back()
 
-    return docs.mapInArrow(run, "node long, hs array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, hs array<long>")
 
 
 def _enough(a: int, b: int) -> int:
@@ -268,14 +362,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _single(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with distinct, non-null doc_ids."""
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if twice.isEmpty():
-        return docs
-    best = F.max_by("text", F.struct(F.coalesce(F.length("text"), F.lit(-1)), F.crc32(F.col("text").cast("binary"))))
-    return docs.groupBy("doc_id").agg(best.alias("text"))
+def numbered(docs: DataFrame) -> tuple[DataFrame, str, bool]:
+    """(docs with a distinct number in a column, its name, whether that is doc_id itself)."""
+    name = "node"
+    while name in docs.columns:
+        name += "_"
+    seen = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.count_if(F.col("doc_id").isNull() | (F.col("doc_id") < 0)).alias("odd")).first()
+    if (seen.n or 0) <= 1 and not seen.odd:
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name, True
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "join-numbered"), name, False
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -283,31 +378,69 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+def _least(n: str) -> Column:
+    """The least overlap with any set of a set's size."""
+    return F.expr(f"({n} * {NUM} + {DEN - 1}) div {DEN}")
+
+
+def _overlap(a: str, b: str) -> Column:
+    """The least overlap of linked sets of sizes a and b."""
+    return F.expr(f"(({a} + {b}) * {NUM} + {NUM + DEN - 1}) div {NUM + DEN}")
+
+
+def _may_link(x: str, y: str) -> Column:
+    """Length and positional filters of two rows (n, pos) that meet at a key."""
+    near = F.least(f"{x}_n", f"{y}_n") * DEN >= F.greatest(f"{x}_n", f"{y}_n") * NUM
+    room = F.least(F.col(f"{x}_n") - F.col(f"{x}_pos"), F.col(f"{y}_n") - F.col(f"{y}_pos"))
+    return near & (room >= _overlap(f"{x}_n", f"{y}_n"))
+
+
+def _as(df: DataFrame, x: str, *keys: str) -> DataFrame:
+    return df.select(*keys, *(F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "pos", "comp")))
+
+
+def across(mixed: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of mixed (key, big, node, n, pos, comp, band) that may be linked, of different components.
+
+    Of a key's largest component big no two sets meet.
+    """
+    probe = mixed.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    index = mixed.where(F.col("pos") <= F.col("n") - F.expr(f"(n * {2 * NUM} + {NUM + DEN - 1}) div {NUM + DEN}"))
+    rest, big = F.col("comp") != F.col("big"), F.col("comp") == F.col("big")
+    out = None
+    for p, i in ((probe.where(rest), index), (probe.where(big), index.where(rest))):
+        met = _as(p, "x", "key", "band").join(_as(i, "y", "key", "band"), ["key", "band"])
+        smaller = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_node") < F.col("x_node")))
+        met = met.where(smaller & (F.col("x_comp") != F.col("y_comp")) & _may_link("x", "y")).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
+        out = met if out is None else out.unionAll(met)
+    return out.distinct()
+
+
 def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of distinct doc_ids."""
-    docs = _single(docs)
+    """(node, n_shingles, component) of docs (node, text); component: its least node."""
     meta = sieve(docs)
     classes = meta.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("node").alias("rep"))
     member = written(meta.join(unbound(classes, "d1"), ["n", "d1", "d2"], "left").select("node", "n", F.coalesce("rep", "node").alias("rep"), "hits"), "join-classes")
     asked = F.greatest(F.lit(1), F.expr("n div 20"))
-    alive = member.where((F.col("n") > 0) & (F.col("node") == F.col("rep")) & (F.col("hits") >= asked)).select(F.col("node").alias("doc_id"))
+    alive = member.where((F.col("n") > 0) & (F.col("node") == F.col("rep")) & (F.col("hits") >= asked)).select("node")
     alive = _few(written(alive, "join-alive"))
-    full = full_sets(docs.join(alive, "doc_id", "left_semi"))
+    full = full_sets(docs.join(alive, "node", "left_semi"))
     each = full.select("node", F.explode("hs").alias("h"))
     df = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    key = F.shiftleft(F.least("df", F.lit(32767)), 48).bitwiseOR(F.col("h").bitwiseAND(F.lit((1 << 48) - 1)))
+    key = F.shiftleft(F.least(F.length(F.bin("df")) - 1, F.lit(31)).cast("long"), 58).bitwiseOR(F.col("h").bitwiseAND(F.lit((1 << 58) - 1)))
     keys = each.join(unbound(df, "h"), "h").select("node", key.alias("key")).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    front = F.expr(f"n - cast(ceil(n * {NUM} / {DEN}D) as long) + 1 - (n - size(keys))")
+    front = F.col("n") - _least("n") + 1 - (F.col("n") - F.size("keys"))
     sets = member.where("node = rep").select("node", "n").join(keys, "node").withColumn("front", front).where("front > 0")
     sets = written(sets, "join-sets")
-    tokens = sets.select("node", "n", (F.col("n") - F.size("keys")).alias("rare"), F.posexplode(F.slice("keys", F.lit(1), F.col("front").cast("int"))).alias("j", "key"))
-    tokens = tokens.select("key", "node", "n", (F.col("rare") + F.col("j")).cast("int").alias("pos"))
-    tokens = written(tokens, "join-prefixes")
-    # Stars by length band: linked sizes differ by 4/3 at most.
-    band = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)))
-    least = tokens.groupBy("key", band.alias("band")).agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    star = tokens.withColumn("band", band).join(unbound(least, "key"), ["key", "band"]).where("node <> hub")
-    star = written(star.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "join-star")
+    # Linked sizes differ by 4/3 at most, so by a band at most.
+    band = F.floor(F.log("n") / F.log(F.lit(DEN / NUM))).alias("band")
+    tokens = sets.select("node", "n", band, (F.col("n") - F.size("keys")).alias("rare"), F.posexplode(F.slice("keys", F.lit(1), F.col("front").cast("int"))).alias("j", "key"))
+    tokens = written(tokens.select("key", "node", "n", "band", (F.col("rare") + F.col("j")).cast("int").alias("pos")), "join-prefixes")
+    hub = F.min(F.struct("node", "n", "pos")).alias("hub")
+    hubs = tokens.groupBy("key", "band").agg(hub, F.count("*").alias("c")).where("c > 1").select("key", "band", *(F.col(f"hub.{c}").alias(f"x_{c}") for c in ("node", "n", "pos")))
+    star = tokens.select("key", "band", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos"))).join(unbound(hubs, "key"), ["key", "band"])
+    star = star.where((F.col("x_node") != F.col("y_node")) & _may_link("x", "y")).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+    star = written(star.distinct(), "join-star")
     links = written(verified(star, sets), "join-links")
     comp = written(components(links), "join-components")
     # Across components.
@@ -315,34 +448,38 @@ def groups(docs: DataFrame) -> DataFrame:
     own = written(own, "join-labelled")
     sizes = own.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("big"), F.count("*").alias("k")).where("k > 1").select("key", "big")
     mixed = written(own.join(unbound(sizes, "key"), "key"), "join-mixed")
-    x = mixed.where("comp <> big").select("key", "big", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos", "comp")))
-    y = mixed.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos", "comp")))
-    shared = 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
-    need = F.expr(f"cast(ceil((x_n + y_n) * {NUM} / {NUM + DEN}D) as long)")
-    cross = x.join(y, "key").where(
-        (F.col("x_comp") != F.col("y_comp"))
-        & ((F.col("y_comp") == F.col("big")) | (F.col("x_node") < F.col("y_node")))
-        & (F.least("x_n", "y_n") * DEN >= F.greatest("x_n", "y_n") * NUM)
-        & (shared >= need)
-    )
-    pairs = cross.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "join-pairs")
+    pairs = written(across(mixed).join(star, ["a", "b"], "left_anti"), "join-pairs")
     more = written(verified(pairs, sets), "join-more")
     if not more.isEmpty():
         comp = written(components(links.unionAll(more)), "join-components")
     out = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    return out.select("node", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
+
+
+def linked_groups(rows: DataFrame, node: str, plain: bool) -> DataFrame:
+    """(node, doc_id, n_shingles, component_id, first) of numbered rows: first is the node that stays
+    of a group, the one of least doc_id (null last)."""
+    own = rows.select(F.col(node).alias("node"), "doc_id", "text")
+    found = groups(own.select("node", "text"))
+    if plain:
+        return found.select("node", F.col("node").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("component").alias("first"))
+    found = written(found.join(own.select("node", "doc_id"), "node"), "join-found")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
+    found = found.join(unbound(first, "component"), "component")
+    return found.select("node", "doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"), F.col("best.node").alias("first"))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.select("doc_id").join(groups(docs), "doc_id", "left").select("doc_id", F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"), "component_id")
+    return linked_groups(*numbered(docs)).select("doc_id", "n_shingles", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the least doc_id."""
-    gone = written(groups(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id"), "join-gone")
-    return docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group: the one with the least doc_id (a null one only where there is no
+    other); of rows that repeat wholly one stays."""
+    rows, node, plain = numbered(docs)
+    gone = linked_groups(rows, node, plain).where("first <> node").select(F.col("node").alias(node))
+    return rows.join(_few(written(gone, "join-gone")), node, "left_anti").select(*docs.columns)
 
 
 OP3_SQL = """
