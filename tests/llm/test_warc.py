@@ -3,6 +3,8 @@ import gzip
 import hashlib
 import random
 
+import pytest
+
 from textquarry.llm import warc as W
 from textquarry.llm.common import scratch_path
 
@@ -64,3 +66,39 @@ def test_least_bytes_and_false_magic(spark):
     data = outer + inner
     more = lambda at, n: data[at : at + n]
     assert [at for at, _ in W.members(data, 0, len(data), more, len(data))] == [0, len(outer)]
+
+
+def test_large_and_null_ids(spark, table):
+    big = 2**60
+    rows = [(big + 1, "u", "same"), (big + 3, "v", "same"), (None, "w", "same"), (None, "x", "alone"), (None, "y", "alone"), (-5, "z", "other")]
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in W.op10_warc(spark, table("pages", [(*r, 1) for r in rows], PAGES + ", digest int")).collect()), key=str)
+    want = [(big + 1, "revisit", big + 3), (big + 3, "response", None), (None, "revisit", big + 3), (None, "response", None), (None, "response", None), (-5, "response", None)]
+    assert got == sorted(want, key=str)
+
+
+def test_shuffled_digests_give_the_same(spark, table, monkeypatch):
+    monkeypatch.setattr(W, "BROADCAST_ROWS", 0)
+    out = W.op10_warc(spark, table("pages", _rows(), PAGES)).collect()
+    assert sorted([tuple(r) for r in out], key=str) == brute(_rows())
+
+
+def test_damage_is_an_error_for_some_range():
+    rng = random.Random(3)
+    parts = [W.record(i, "u", rng.randbytes(300).hex().encode(), None) for i in range(12)]
+    data = b"".join(parts)
+    starts = [sum(map(len, parts[:i])) for i in range(len(parts))]
+
+    def all_ranges(data: bytes, size: int) -> list[int]:
+        more = lambda at, n: data[at : at + n]
+        return [at for lo in range(0, len(data), size) for at, _ in W.members(data[lo : lo + size + 2], lo, min(lo + size, len(data)), more, len(data))]
+
+    for size in (50, 333, 1000, 10**6):
+        assert all_ranges(data, size) == starts
+        for i in range(12):
+            # The magic, the first block's head, the middle, the checksum at the end of a record.
+            for at in (starts[i], starts[i] + 10, starts[i] + len(parts[i]) // 2, starts[i] + len(parts[i]) - 6):
+                with pytest.raises(W.WarcError):
+                    all_ranges(data[:at] + bytes([data[at] ^ 0xFF]) + data[at + 1 :], size)
+        for cut in (1, 9, len(parts[-1]) // 2, len(parts[-1]) - 3):
+            with pytest.raises(W.WarcError):
+                all_ranges(data[:-cut], size)

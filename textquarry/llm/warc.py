@@ -4,11 +4,17 @@ Writing: each task writes gzip archives of one member per record into the shared
 folder; a record whose payload equals that of a larger page is a revisit of it.
 Reading: archives are cut into byte ranges; a task looks for gzip magic in its
 range, proves a candidate by decoding the header it would open, and owns the
-records that begin in its range, the last of which may end beyond it.
+records that begin in its range, the last of which may end beyond it. Members follow
+one another without a gap, so from a proven one on every next must open as one too,
+also the first beyond the range: a damaged or cut archive raises :class:`WarcError`
+instead of losing records.
 
 Defined results: a null html is the empty payload; a null url is written as the
 unknown URI; pages of equal payload all refer to the largest page_id, whose own
-rows (repeated ones too) are responses; an empty table gives an empty result.
+rows (repeated ones too) are responses; a null page_id is written as no number, read
+back as null, and revisits a page of equal payload that has an id (else it is a
+response); pages of any length are one record, taken whole; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,20 +25,28 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import scratch_path, small_batches, unbound, written
+from textquarry.llm.common import give_back, scratch_path, small_batches, unbound, written
 
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a range that one task reads, and of an archive before the next begins.
 RANGE, ARCHIVE = 8 << 20, 64 << 20
+#: Digests of payloads that occur more than once, as many as are broadcast (some 60 bytes each).
+BROADCAST_ROWS = 1_000_000
+#: Tasks up to which each range has one; beyond, up to so many ranges go to a task.
+TASKS, RANGES = 4096, 64
 LEVEL = 1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 UNKNOWN = "urn:unknown"
 
 
+class WarcError(ValueError):
+    """An archive that is damaged or cut."""
+
+
 def _fs(uri: str):
     """File system and path of a URI (file, hdfs, s3, gs), in any worker."""
     from pyarrow import fs
@@ -44,7 +58,7 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record as a gzip member. A revisit has the HTTP head and no payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
@@ -52,7 +66,7 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         "WARC-Date: 2026-01-01T00:00:00Z",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
@@ -67,25 +81,27 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
 def write(pages: DataFrame, root: str, least_bytes: int = 0, archive_bytes: int = ARCHIVE) -> DataFrame:
     """Writes pages (page_id, url, html) as archives under root; returns (path, bytes).
 
-    Payloads of least_bytes or more are deduplicated. Only (digest, page_id) pairs of
-    payloads that occur twice or more meet the pages again. A task that runs twice
-    leaves a file that the returned table doesn't name.
+    Payloads of least_bytes or more are deduplicated. Digests of payloads that occur twice
+    or more are broadcast to the pages while they are few; else pages meet them by digest.
+    A task that runs twice leaves a file that the returned table doesn't name.
     """
     small_batches(pages.sparkSession)
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.sha1(body.cast("binary")).alias("digest"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.unhex(F.sha1(body.cast("binary"))).alias("digest"))
     twice = (
         rows.where(F.octet_length(body) >= least_bytes)
         .groupBy("digest")
         .agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
-        .where("n > 1")
+        .where("n > 1 and largest is not null")
         .select("digest", "largest")
     )
-    last = F.when((F.octet_length(body) >= least_bytes) & (F.col("largest") != F.col("page_id")), F.col("largest"))
-    marked = rows.join(unbound(twice, "digest"), "digest", "left").select("page_id", "url", "html", last.alias("refers_to"))
+    twice = written(twice, "warc-repeated")
+    twice = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    last = F.when((F.octet_length(body) >= least_bytes) & ~F.col("largest").eqNullSafe(F.col("page_id")), F.col("largest"))
+    marked = rows.join(twice, "digest", "left").select("page_id", "url", "html", last.alias("refers_to"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, path, done, base = None, "", [], ""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, path, size, done = None, "", 0, []
         files, base = _fs(root)
         files.create_dir(base, recursive=True)
 
@@ -94,13 +110,13 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, archive_bytes: int
             files.move(f"{base}/{path}.open", f"{base}/{path}")
             done.append((f"{root}/{path}", size))
 
-        size = 0
-        for part in parts:
-            for p, u, h, r in zip(part["page_id"], part["url"], part["html"], part["refers_to"], strict=True):
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
+                p, u, h, r = (x.as_py() for x in row)
                 if out is None:
                     path, size = f"pages-{uuid.uuid4().hex}.warc.gz", 0
                     out = files.open_output_stream(f"{base}/{path}.open", compression=None)
-                member = record(int(p), u, (h or "").encode(), None if pd.isna(r) else int(r))
+                member = record(p, u, (h or "").encode(), r)
                 out.write(member)
                 size += len(member)
                 if size >= archive_bytes:
@@ -108,9 +124,10 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, archive_bytes: int
                     out = None
         if out is not None:
             close()
-        yield pd.DataFrame(done, columns=["path", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "bytes"])
+        give_back()
 
-    return written(marked.mapInPandas(run, "path string, bytes long"), "warc-list")
+    return written(marked.mapInArrow(run, "path string, bytes long"), "warc-list")
 
 
 def members(data: bytes, start: int, stop: int, more, whole: int) -> Iterator[tuple[int, bytes]]:
@@ -118,14 +135,11 @@ def members(data: bytes, start: int, stop: int, more, whole: int) -> Iterator[tu
 
     data begins at offset start; more(offset, n) reads on, up to whole bytes in all.
     """
-    at = start
-    while at < stop:
-        found = data.find(MAGIC, at - start)
-        if found < 0 or start + found >= stop:
-            return
-        at = start + found
-        z, body, feed = zlib.decompressobj(31), [], found
-        seen, ok = b"", True
+
+    def opened(at: int, head_only: bool = False) -> tuple[bytes, int] | None:
+        """The record of the member at an offset, and where it ends; None if no record opens there."""
+        nonlocal data
+        z, body, feed, seen, proven = zlib.decompressobj(31), [], at - start, b"", False
         try:
             while not z.eof:
                 chunk = data[feed : feed + 65536]
@@ -137,18 +151,38 @@ def members(data: bytes, start: int, stop: int, more, whole: int) -> Iterator[tu
                     continue
                 feed += len(chunk)
                 body.append(z.decompress(chunk))
-                if len(seen) < 5:
-                    seen += body[-1][: 5 - len(seen)]
-                    if not b"WARC/".startswith(seen[:5]):
-                        ok = False
-                        break
-        except zlib.error:
-            ok = False
-        if not ok or not z.eof or seen != b"WARC/":
+                if not proven:
+                    seen += body[-1][:5]
+                    if not seen.startswith(b"WARC/"[: len(seen[:5])]):
+                        return None
+                    proven = len(seen) >= 5
+                    if proven and head_only:
+                        return b"", at
+        except zlib.error as e:
+            if proven:
+                raise WarcError(f"damaged record at byte {at}: {e}") from e
+            return None
+        if proven and not z.eof:
+            raise WarcError(f"cut record at byte {at}")
+        return (b"".join(body), start + feed - len(z.unused_data)) if proven else None
+
+    at, sure = start, start == 0
+    while at < stop:
+        if not sure:
+            found = data.find(MAGIC, at - start)
+            if found < 0 or start + found >= stop:
+                return
+            at = start + found
+        got = opened(at)
+        if got is None:
+            if sure:
+                raise WarcError(f"no record at byte {at}")
             at += 1  # magic by chance inside of a member
             continue
-        yield at, b"".join(body)
-        at = start + feed - len(z.unused_data)
+        yield at, got[0]
+        at, sure = got[1], True
+    if sure and at < whole and opened(at, True) is None:
+        raise WarcError(f"no record at byte {at}")
 
 
 def parse(raw: bytes) -> dict:
@@ -164,16 +198,31 @@ def parse(raw: bytes) -> dict:
     return fields | {"payload": payload, "payload_length": told}
 
 
+def _number(urn: str | None) -> int | None:
+    own = (urn or "").strip("<>").rpartition(":")[2]
+    return int(own) if own else None
+
+
+#: Columns of records that are read.
+_READ = {
+    "page_id": pa.int64(), "url": pa.string(), "payload": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(),
+    "record_type": pa.string(), "refers_to": pa.int64(), "path": pa.string(), "offset": pa.int64(),
+}
+
+
 def read(archives: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """Records of archives (path, bytes): page_id, url, payload, payload_bytes,
     payload_digest, record_type, refers_to, with path and offset."""
     ranges = archives.where("bytes > 0").withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))))
     n = max(1, ranges.count())
-    ranges = ranges.repartition(min(n, 4096)) if n > 1 else ranges
+    ranges = ranges.repartition(n if n <= TASKS else max(TASKS, n // RANGES)) if n > 1 else ranges
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _READ.values(), strict=True)], names=list(_READ))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for path, whole, start in zip(part["path"], part["bytes"], part["start"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, whole, start in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start")), strict=True):
                 files, name = _fs(path)
                 with files.open_input_file(name) as f:
 
@@ -181,24 +230,23 @@ def read(archives: DataFrame, range_bytes: int = RANGE) -> DataFrame:
                         f.seek(offset)
                         return f.read(n)
 
-                    stop, rows = min(start + range_bytes, whole), []
+                    stop, rows, held = min(start + range_bytes, whole), [], 0
                     for at, raw in members(more(start, stop - start + 2), start, stop, more, whole):
                         x = parse(raw)
-                        if x["warc-type"] == "response" and payload_digest(x["payload"]) != x["warc-payload-digest"][5:]:
-                            raise ValueError(f"the digest of the record at byte {at} of {path} differs")
-                        revisit = x.get("warc-refers-to")
-                        rows.append((int(x["warc-record-id"].strip("<>").rsplit(":", 1)[1]), x["warc-target-uri"], x["payload"].decode() if x["warc-type"] == "response" else None, x["payload_length"], x["warc-payload-digest"][5:], x["warc-type"], int(revisit.strip("<>").rsplit(":", 1)[1]) if revisit else None, path, at))
-                        if len(rows) >= 256:
-                            yield frame(rows)
-                            rows = []
-                    yield frame(rows)
-
-    def frame(rows: list) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "offset"])
-        out["refers_to"] = out["refers_to"].astype("Int64")
-        return out
-
-    return ranges.mapInPandas(run, "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long")
+                        told = x["warc-payload-digest"][5:]
+                        response = x["warc-type"] == "response"
+                        if response and payload_digest(x["payload"]) != told:
+                            raise WarcError(f"the digest of the record at byte {at} of {path} differs")
+                        rows.append((_number(x["warc-record-id"]), x["warc-target-uri"], x["payload"].decode() if response else None, x["payload_length"], told, x["warc-type"], _number(x.get("warc-refers-to")), path, at))
+                        held += len(raw)
+                        if held >= 4 << 20 or len(rows) >= 1000:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield batch_of(rows)
+        give_back()
+
+    return ranges.mapInArrow(run, "page_id long, url string, payload string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
