@@ -37,6 +37,11 @@ ANY_CASE, UNICODE = "(?idU)", "(?dU)"
 SPACE = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once: a column named inside a lambda is worked out again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
 

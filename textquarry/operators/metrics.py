@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from textquarry.sources.scratch import numbered, small
 
 # Fixed values of the interval.
 RESAMPLES, ALPHA, SEED = 2000, 0.05, 42
@@ -69,34 +71,39 @@ def evaluators(results: DataFrame) -> DataFrame:
 
 
 def bootstrap(values: list[float], n: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> tuple[float, float]:
-    """Percentile interval of the mean, by the generator of Python's random module."""
-    if len(values) < 2:
-        x = round(values[0], 4) if values else 0.0
-        return x, x
-    rng, m = random.Random(seed), len(values)
-    means = sorted(sum(values[rng.randrange(m)] for _ in range(m)) / m for _ in range(n))
-    return round(means[int(alpha / 2 * n)], 4), round(means[int((1 - alpha / 2) * n) - 1], 4)
-
-
-def bootstrap_by(measured: DataFrame, group: str, value: str, order: str) -> DataFrame:
-    """(group, n, low, high): the exact interval, values in the order given; a group is one evaluation's queries."""
+    """Percentile interval of the mean; the places drawn are those of Python's seeded random module."""
+    x = np.asarray(values, dtype=np.float64)
+    if len(x) < 2:
+        one = round(float(x[0]), 4) if len(x) else 0.0
+        return one, one
+    place = random.Random(seed).randrange
+    drawn = np.fromiter((place(len(x)) for _ in range(n * len(x))), dtype=np.int64, count=n * len(x))
+    # Summed one after another, as a plain sum does.
+    means = np.sort(np.add.accumulate(x[drawn].reshape(n, -1), axis=1)[:, -1] / len(x))
+    low, high = int(alpha / 2 * n), int((1 - alpha / 2) * n) - 1
+    return round(float(means[low]), 4), round(float(means[high]), 4)
+
+
+def bootstrap_by(measured: DataFrame, group: str | None, value: str, order: str) -> DataFrame:
+    """(grp, n, low, high): the exact interval, values in the order given; a group is one evaluation's queries, None all of them."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order)
         low, high = bootstrap(part[value].astype(float).tolist())
         return pd.DataFrame({"grp": [str(part["grp"].iloc[0])], "n": [len(part)], "low": [low], "high": [high]})
 
-    rows = measured.select(F.coalesce(F.col(group).cast("string"), F.lit("?")).alias("grp"), F.col(value).cast("double").alias(value), order)
+    own = F.lit("total") if group is None else F.coalesce(F.col(group).cast("string"), F.lit("?"))
+    rows = measured.select(own.alias("grp"), F.col(value).cast("double").alias(value), order)
     return rows.groupBy("grp").applyInPandas(run, "grp string, n long, low double, high double")
 
 
-def hashed_bootstrap(measured: DataFrame, value: str, order: str, n: int = 200, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+def hashed_bootstrap(measured: DataFrame, value: str, order: str, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """(n, low, high) by resampling through hashes: distributed, and the same in any engine.
 
     Draw j of resample b takes the value at the place that the MD5 of (b, j, seed) gives,
     values being numbered by order. Not the same numbers as :func:`bootstrap`.
     """
-    rows = measured.select(F.col(value).cast("double").alias("v"), (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint").alias("i"))
+    rows = numbered(measured.select(F.col(value).cast("double").alias("v"), order), order).select("v", "i")
     size = rows.agg(F.count("*").alias("m"))
     draws = rows.select(F.col("i").alias("j")).join(F.broadcast(size)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     h = F.md5(F.concat_ws(":", F.col("b").cast("string"), F.col("j").cast("string"), F.lit(str(seed))).cast("binary"))
@@ -107,6 +114,25 @@ def hashed_bootstrap(measured: DataFrame, value: str, order: str, n: int = 200,
     return ordered.join(F.broadcast(size)).select(F.col("m").alias("n"), F.round(F.get("a", F.lit(lo)), 4).alias("low"), F.round(F.get("a", F.lit(hi)), 4).alias("high"))
 
 
+def held_by(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id): documents (doc_id, texto) that hold a passage (query_id, query) as it is.
+
+    What lies between a passage's first and last white space are whole words of such a
+    document, so its longest one leads to the candidates. Passages without one (two words
+    or fewer) are held against all documents.
+    """
+    words = F.split("query", r"\s+")
+    inner = F.array_sort(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
+    keyed = passages.where("query <> ''").select("query_id", "query", F.nullif(F.get(inner, F.lit(0)), F.lit("")).alias("word"))
+    whole = keyed.where("word is not null")
+    own = docs.select("doc_id", F.explode(F.array_distinct(F.split("texto", r"\s+"))).alias("word")).join(small(whole.select("word").distinct()), "word", "left_semi")
+    found = own.join(small(whole.select("word", "query_id")), "word").select("query_id", "doc_id")
+    found = found.join(docs.select("doc_id", "texto"), "doc_id").join(small(passages.select("query_id", "query")), "query_id")
+    short = small(keyed.where("word is null").select("query_id", "query"))
+    rest = docs.join(short, F.contains("texto", F.col("query")))
+    return found.where(F.contains("texto", F.col("query"))).select("query_id", "doc_id").unionByName(rest.select("query_id", "doc_id"))
+
+
 def budget_stats(results: DataFrame) -> DataFrame:
     """Tokens (mean, population deviation, least, most) and blocks over rows where they aren't 0."""
     t, b = F.nullif(F.col("tokens_contexto"), F.lit(0)), F.nullif(F.col("n_blocos_usados"), F.lit(0))

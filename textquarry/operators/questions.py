@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textquarry.functions import text as T
+from textquarry.sources.scratch import numbered
 
 # Fixed values.
 LEAST, MOST, FOR_GENERATION, SEED = 25, 160, 15, 42
@@ -30,11 +32,9 @@ def questions(docs: DataFrame, seed: int = SEED) -> DataFrame:
     The longest summaries (ties by order) are marked for generation.
     """
     valid = unique_summaries(candidates(docs))
-    shuffle = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")).cast("binary"))
-    i = F.row_number().over(Window.orderBy(shuffle, "doc_id")) - 1  # numbers run through all questions
-    rows = valid.withColumn("i", i)
-    rich = F.row_number().over(Window.orderBy(F.desc(F.length("sumario")), "i"))
-    return rows.withColumn("rich", rich).select(
+    rows = numbered(valid.withColumn("mix", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")).cast("binary"))), "mix", "doc_id")
+    rich = rows.orderBy(F.desc(F.length("sumario")), "i").limit(FOR_GENERATION).select("i", F.lit(True).alias("rich"))
+    return rows.join(F.broadcast(rich), "i", "left").select(  # FOR_GENERATION rows
         T.question_id(F.col("tipo"), F.col("i")).alias("id"),
         T.question_text(F.col("tipo"), F.col("sumario"), F.col("i")).alias("query"),
         F.lit("identificador").alias("tipo"),
@@ -42,10 +42,27 @@ def questions(docs: DataFrame, seed: int = SEED) -> DataFrame:
         F.col("sumario").alias("ground_truth"),
         F.array("doc_id").alias("documentos_esperados"),
         F.concat_ws(" ", "tipo", "numero").alias("ancora"),
-        (F.col("rich") <= FOR_GENERATION).alias("para_geracao"),
+        F.coalesce("rich", F.lit(False)).alias("para_geracao"),
     )
 
 
+def seeded_order(n: int, seed: int = SEED) -> list[int]:
+    """The order in which Python's seeded shuffle leaves n rows."""
+    order = list(range(n))
+    random.Random(seed).shuffle(order)
+    return order
+
+
+def shuffled(rows: DataFrame, *order: str, seed: int = SEED) -> DataFrame:
+    """rows (numbered by order) with place: where Python's seeded shuffle puts each.
+
+    The permutation is made on the driver from the number of rows, 16 bytes a row.
+    """
+    own = numbered(rows, *order, name="at")
+    places = list(enumerate(seeded_order(own.count(), seed)))
+    return own.join(rows.sparkSession.createDataFrame([(at, place) for place, at in places], "at long, place long"), "at").drop("at")
+
+
 def merged(generated: DataFrame, manual: DataFrame) -> DataFrame:
     """Generated and manual questions as one table."""
     return generated.unionByName(manual, allowMissingColumns=True)

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textquarry.sources.scratch import small, written
+
 # The usual BM25 constants with a constant mean length, and the fusion constant.
 K1, B, MEAN_LENGTH, RRF_K0, PREFETCH, MOST_EXPANDED = 1.2, 0.75, 256.0, 2, 50, 3
-#: Query-side rows that are broadcast; beyond this the join shuffles.
-BROADCAST_ROWS = 500_000
 #: Query vectors that are multiplied at once.
 QUERY_BLOCK = 4096
 
@@ -42,10 +42,6 @@ def idf(post: DataFrame, n_docs: int) -> DataFrame:
     return per.withColumn("idf", F.log(1 + (F.lit(float(n_docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5)))
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def top_k(scored: DataFrame, k: int, by: str = "query_id", tie: str = "doc_id") -> DataFrame:
     """The k best of each query with rank from 1; ties by id. Scores compare at nine decimals."""
     w = Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), tie)
@@ -55,8 +51,8 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", tie: str = "doc_id")
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, doc_id, score, rank) of queries (query_id, query); each distinct query term weighs 1."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    asked = _small(asked)
-    terms = _small(asked.select("term").distinct())
+    asked = small(asked)
+    terms = small(asked.select("term").distinct())
     # Only terms that some query has are counted and weighed.
     post = postings(docs).join(terms, "term", "left_semi")
     weights = idf(post, docs.count())
@@ -71,15 +67,18 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Null vectors take no part; a zero vector has cosine 0 with all.
     """
     spark = rows.sparkSession
+    asked = queries.where("vector is not null")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    kind, qkind = rows.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     out = None
-    ids = [r.query_id for r in queries.where("vector is not null").select("query_id").orderBy("query_id").collect()]
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    for lo in range(0, len(ids), QUERY_BLOCK):
-        part = ids[lo : lo + QUERY_BLOCK]
-        got = queries.where(F.col("query_id").isin(part) if len(ids) > QUERY_BLOCK else F.col("vector").isNotNull()).orderBy("query_id").collect()
+    for b in range(blocks):
+        # One block of queries at a time is on the driver and in the workers, about QUERY_BLOCK vectors.
+        got = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vector").collect() if blocks > 1 else asked.select("query_id", "vector").collect()
+        if not got:
+            continue
         q = np.array([r.vector for r in got], dtype=np.float64).reshape(len(got), -1)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        sent = spark.sparkContext.broadcast((q, np.array([r.query_id for r in got])))  # QUERY_BLOCK vectors at most
+        sent = spark.sparkContext.broadcast((q, np.array([r.query_id for r in got])))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             q, names = sent.value
@@ -100,8 +99,10 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     [pa.array(np.repeat(names, m)), pa.array(doc[at.ravel()]), pa.array(np.take_along_axis(score, at, axis=1).ravel())], names=["query_id", "doc_id", "score"]
                 )
 
-        qkind = queries.schema["query_id"].dataType.simpleString()
         hit = rows.where("vector is not null").select("doc_id", "vector").mapInArrow(run, f"query_id {qkind}, doc_id {kind}, score double")
+        if blocks > 1:
+            hit = written(top_k(hit, k).drop("rank"), "dense")
+            sent.destroy()
         out = hit if out is None else out.unionAll(hit)
     if out is None:
         out = rows.limit(0).crossJoin(queries.limit(0)).select("query_id", "doc_id", F.lit(0.0).alias("score"))

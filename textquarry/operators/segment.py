@@ -13,17 +13,22 @@ from textquarry.functions import text as T
 
 # Fixed values of segmentation.
 SINGLE_BLOCK, WINDOW, OVERLAP, LEAST, LEAST_RATIO = 8000, 4000, 400, 40, 0.6
-_MARK = "\u0001"
+#: What stands before an article while a text is cut, and what a U+0001 of the text becomes meanwhile.
+_MARK, _OWN = "\u0001\u0002", "\u0001\u0003"
 SEGMENT = "array<struct<texto:string,rotulo:string,nivel:string>>"
 
 
 def is_articulated(text: Column) -> Column:
     """Whether headings form a real sequence of articles: two at least, the first 1 or 2
     at most, and of the steps between them a share of LEAST_RATIO 0 or 1."""
-    nums = T.article_numbers(text)
-    steps = F.zip_with(F.slice(nums, F.lit(2), F.greatest(F.size(nums) - 1, F.lit(0))), F.slice(nums, F.lit(1), F.greatest(F.size(nums) - 1, F.lit(0))), lambda b, a: (b - a).isin(0, 1).cast("int"))
-    good = F.aggregate(steps, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
-    return F.coalesce((F.size(nums) >= 2) & (F.get(nums, F.lit(0)) <= 2) & (good / F.nullif(F.size(nums) - 1, F.lit(0)) >= LEAST_RATIO), F.lit(False))
+
+    def real(nums: Column) -> Column:
+        n = F.size(nums)
+        steps = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (F.get(nums, i) - F.get(nums, i - 1)).isin(0, 1))
+        good = F.size(F.filter(steps, lambda x: F.coalesce(x, F.lit(False))))
+        return F.coalesce((n >= 2) & (F.get(nums, F.lit(0)) <= 2) & (good / F.nullif(n - 1, F.lit(0)) >= LEAST_RATIO), F.lit(False))
+
+    return T.let(T.article_numbers(text), real)
 
 
 def _segment(texto: Column, rotulo: Column, nivel: str) -> Column:
@@ -32,10 +37,15 @@ def _segment(texto: Column, rotulo: Column, nivel: str) -> Column:
 
 def by_article(text: Column) -> Column:
     """Preamble and articles; segments under LEAST stripped characters are left out."""
-    clean = F.replace(text, F.lit(_MARK), F.lit(""))
-    parts = F.split(F.regexp_replace(clean, T.ANY_CASE + T.RE_ARTICLE, _MARK + "$0"), _MARK, -1)
-    labels = F.regexp_extract_all(clean, F.lit(T.ANY_CASE + T.RE_ARTICLE), F.lit(1))
-    rows = F.transform(parts, lambda p, i: _segment(T.strip(p), F.when(i == 0, F.lit("preambulo")).otherwise(F.concat(F.lit("Artigo "), F.get(labels, i - 1))), "artigo"))
+    own = F.replace(text, F.lit("\u0001"), F.lit(_OWN))
+    parts = F.split(F.regexp_replace(own, T.ANY_CASE + T.RE_ARTICLE, _MARK + "$0"), _MARK, -1)
+    labels = F.regexp_extract_all(own, F.lit(T.ANY_CASE + T.RE_ARTICLE), F.lit(1))
+
+    def named(s: Column) -> Column:
+        title = lambda i: F.when(i == 0, F.lit("preambulo")).otherwise(F.concat(F.lit("Artigo "), F.get(s["labels"], i - 1)))
+        return F.transform(s["parts"], lambda p, i: _segment(T.strip(F.replace(p, F.lit(_OWN), F.lit("\u0001"))), title(i), "artigo"))
+
+    rows = T.let(F.struct(parts.alias("parts"), labels.alias("labels")), named)
     return F.filter(rows, lambda s: F.length(s["texto"]) >= LEAST)
 
 

@@ -19,6 +19,7 @@ from textquarry.plans.conditions import CONDITIONS, described
 from textquarry.plans.gazette import GAZETTE_SQL, gazette, table
 from textquarry.sources import corpus
 from textquarry.sources.runs import to_generate
+from textquarry.sources.scratch import shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,15 +47,15 @@ def _texts(spark, sf_dir):
 
 _STATUS_SQL = """
 s AS (SELECT doc_id, lang, md5(text) AS guid, length(text) AS n FROM documents),
-f AS (SELECT *, min(CASE WHEN n BETWEEN 50 AND 8000 THEN doc_id END) OVER (PARTITION BY guid) AS fst FROM s),
-c AS (SELECT *, CASE WHEN doc_id > fst THEN 'guid_duplicado' WHEN n < 50 THEN 'vazio_ou_curto' WHEN n > 8000 THEN 'grande_demais' ELSE 'aceite' END AS estado FROM f)
+f AS (SELECT *, min(CASE WHEN n BETWEEN 50 AND 500000 THEN doc_id END) OVER (PARTITION BY guid) AS fst FROM s),
+c AS (SELECT *, CASE WHEN doc_id > fst THEN 'guid_duplicado' WHEN n < 50 THEN 'vazio_ou_curto' WHEN n > 500000 THEN 'grande_demais' ELSE 'aceite' END AS estado FROM f)
 """
 
 
 def _statuses(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", "lang", _md5(F.col("text")).alias("guid"), F.length("text").alias("n"))
-    first = F.min(F.when(F.col("n").between(50, 8000), F.col("doc_id"))).over(Window.partitionBy("guid"))
-    late = F.when(F.col("doc_id") > F.col("fst"), "guid_duplicado").when(F.col("n") < 50, "vazio_ou_curto").when(F.col("n") > 8000, "grande_demais").otherwise("aceite")
+    first = F.min(F.when(F.col("n").between(corpus.LEAST_CHARS, corpus.MOST_CHARS), F.col("doc_id"))).over(Window.partitionBy("guid"))
+    late = F.when(F.col("doc_id") > F.col("fst"), "guid_duplicado").when(F.col("n") < corpus.LEAST_CHARS, "vazio_ou_curto").when(F.col("n") > corpus.MOST_CHARS, "grande_demais").otherwise("aceite")
     return own.withColumn("fst", first).withColumn("estado", late)
 
 
@@ -81,8 +82,8 @@ def type_histogram(spark, sf_dir):
     return corpus.histogram(table(spark, sf_dir, "documents"), "lang", "doc_id")
 
 
-@query("""WITH p AS (SELECT substr(md5(doc_id::VARCHAR), 1, 3) AS g, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)) AS h FROM documents GROUP BY g)
-SELECT substr(sha256('50:500000:' || string_agg(g || '=' || h, ';' ORDER BY g)), 1, 16) AS fingerprint FROM p""")
+@query("""WITH p AS (SELECT md5(doc_id::VARCHAR) AS h FROM documents)
+SELECT substr(sha256('50:500000:' || count(*) || ':' || coalesce(sum(('0x' || substr(h, 1, 15))::BIGINT), 0) || ':' || coalesce(sum(('0x' || substr(h, 16, 15))::BIGINT), 0)), 1, 16) AS fingerprint FROM p""")
 def corpus_fingerprint(spark, sf_dir):
     return corpus.corpus_fingerprint(table(spark, sf_dir, "documents"), id_column="doc_id")
 
@@ -93,18 +94,20 @@ def config_fingerprint(spark, sf_dir):
 
 
 _JSON_SQL = """
-j AS (SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN NULL ELSE md5(text) END AS guid, CASE WHEN doc_id % 13 = 5 THEN 'timeout' ELSE '' END AS error,
-  trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t, 'dump_' || doc_id % 4 || '.json' AS f FROM documents),
-o AS (SELECT *, row_number() OVER (ORDER BY f, doc_id) AS ord, length(t) AS n FROM j),
-k AS (SELECT *, min(CASE WHEN error = '' AND guid IS NOT NULL AND n BETWEEN 50 AND 8000 THEN ord END) OVER (PARTITION BY guid) AS fst FROM o),
-r AS (SELECT doc_id, guid, n, CASE WHEN error <> '' THEN 'erro_scraping' WHEN guid IS NULL THEN 'sem_guid' WHEN ord > fst THEN 'guid_duplicado'
-  WHEN n < 50 THEN 'vazio_ou_curto' WHEN n > 8000 THEN 'grande_demais' ELSE 'aceite' END AS estado FROM k)
+j AS (SELECT doc_id, doc_id // 50 AS f, CASE WHEN doc_id % 11 = 3 THEN NULL ELSE md5(text) END AS guid, CASE WHEN doc_id % 13 = 5 THEN 'timeout' ELSE '' END AS error,
+  trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents),
+o AS (SELECT *, row_number() OVER (ORDER BY f, doc_id) AS ord, length(t) AS n FROM j WHERE f % 7 <> 2),
+k AS (SELECT *, min(CASE WHEN error = '' AND guid IS NOT NULL AND doc_id % 17 <> 4 AND n BETWEEN 50 AND 500000 THEN ord END) OVER (PARTITION BY guid) AS fst FROM o),
+r AS (SELECT doc_id, guid, n, CASE WHEN doc_id % 17 = 4 THEN 'nao_dict' WHEN error <> '' THEN 'erro_scraping' WHEN guid IS NULL THEN 'sem_guid' WHEN ord > fst THEN 'guid_duplicado'
+  WHEN n < 50 THEN 'vazio_ou_curto' WHEN n > 500000 THEN 'grande_demais' ELSE 'aceite' END AS estado FROM k
+  UNION ALL SELECT NULL, NULL, 0, 'ficheiro_partido' FROM (SELECT DISTINCT f FROM j WHERE f % 7 = 2))
 """
 
 
 @query(f"WITH {_JSON_SQL} SELECT guid AS id, n::INT AS n_chars, 'Despacho' AS tipo, doc_id || '/2026' AS numero, '2026-03-02' AS data_publicacao FROM r WHERE estado = 'aceite'")
 def json_corpus_load(spark, sf_dir):
-    """Documents as JSON dump files of arrays, loaded again with all rejects."""
+    """Documents written as JSON dump files, 50 to a file (an array, or a single object where one is alone),
+    and loaded from these files again: some files are cut off, some elements are no objects."""
     return corpus.documents(_dumped(spark, sf_dir)).select("id", "n_chars", "tipo", "numero", "data_publicacao")
 
 
@@ -114,14 +117,21 @@ def json_reject_counts(spark, sf_dir):
 
 
 def _dumped(spark, sf_dir):
-    """Elements of dump files made from documents; one file a remainder, elements by doc_id."""
+    """Elements read back from dump files made of documents."""
     docs = table(spark, sf_dir, "documents")
     item = F.struct(
         F.when(F.col("doc_id") % 11 != 3, _md5(F.col("text"))).alias("guid"), F.concat(F.lit("Despacho "), F.col("doc_id").cast("string"), F.lit("/2026, de 2 de Março")).alias("title"),
         F.col("text").alias("article_text"), F.when(F.col("doc_id") % 13 == 5, "timeout").otherwise("").alias("error"),
     )
-    rows = docs.select(F.concat(F.lit("dump_"), (F.col("doc_id") % 4).cast("string"), F.lit(".json")).alias("ficheiro"), F.col("doc_id").alias("pos"), F.try_parse_json(F.to_json(item)).alias("item"))
-    return corpus.classified(rows, 50, 8000)
+    each = docs.select(F.expr("doc_id div 50").alias("f"), "doc_id", F.when(F.col("doc_id") % 17 == 4, F.lit('"solto"')).otherwise(F.to_json(item)).alias("j"))
+    files = each.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("doc_id", "j"))).alias("all"))  # 50 a row
+    items = F.transform("all", lambda x: x["j"])
+    whole = F.when((F.size("all") == 1) & F.get(items, F.lit(0)).startswith("{"), F.get(items, F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")))
+    files = files.select(F.lpad(F.col("f").cast("string"), 12, "0").alias("dump"), "f", whole.alias("value"))
+    files = files.withColumn("value", F.when(F.col("f") % 7 == 2, F.substring("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))).drop("f")
+    root = shared(spark, "dumps")
+    files.repartition("dump").write.partitionBy("dump").option("lineSep", "\n").text(root)
+    return corpus.classified(corpus.elements(spark, root, "*/part-*"))
 
 
 # Scalar functions over the gazette.
@@ -370,7 +380,7 @@ def dense_topk(spark, sf_dir):
 
 _RRF_SQL = f"""
 {_DENSE_SQL}, {_POST_SQL},
-qt AS (SELECT DISTINCT doc_id AS query_id, unnest({_TOK_SQL.format(c="text")}) AS term FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)),
+qt AS (SELECT DISTINCT doc_id AS query_id, unnest({_TOK_SQL.format(c="text")}) AS term FROM documents WHERE doc_id % 100 = 0),
 sc AS (SELECT query_id, doc_id, sum(weight * idf) AS score FROM qt JOIN pw USING (term) JOIN pi USING (term) GROUP BY ALL),
 sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc),
 u AS (SELECT query_id, doc_id, 1 / (2 + rank - 1) AS s FROM dr WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 1 / (2 + rank - 1) FROM sr WHERE rank <= 50),
@@ -381,9 +391,9 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 @query(f"WITH {_RRF_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM fr WHERE rank <= 5")
 def rrf_hybrid(spark, sf_dir):
-    """Documents like every hundredth one that has a vector, by their vectors and by their words."""
+    """Documents like every hundredth one, by their words and, where they have one, by their vectors."""
     docs = _texts(spark, sf_dir)
-    asked = docs.where("doc_id % 100 = 0").join(_vectors(spark, sf_dir).select("doc_id"), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("texto").alias("query"))
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("texto").alias("query"))
     out = R.rrf([_dense(spark, sf_dir, R.PREFETCH), R.bm25_topk(docs, asked, R.PREFETCH)], 5)
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
@@ -452,14 +462,18 @@ def graph_property_filter(spark, sf_dir):
 # Context, questions.
 
 
-@query("""WITH b AS (SELECT source AS query_id, list(greatest(1, length(text) // 4)::BIGINT ORDER BY doc_id) AS n FROM documents GROUP BY source),
-r AS (SELECT query_id, list_reduce(n, lambda s, x: {'t': CASE WHEN s.t + x.t <= 6000 THEN s.t + x.t ELSE s.t END, 'k': CASE WHEN s.t + x.t <= 6000 THEN s.k || ',' || (s.i + 1) ELSE s.k END, 'i': s.i + 1},
-  {'t': 0::BIGINT, 'k': '', 'i': 0::BIGINT}) AS s FROM (SELECT query_id, list_transform(n, lambda x: {'t': x, 'k': '', 'i': 0::BIGINT}) AS n FROM b))
-SELECT query_id, s.t AS tokens, (length(s.k) - length(replace(s.k, ',', '')))::INT AS n_used, substr(s.k, 2) AS prompt_ranks FROM r""")
+@query(f"""WITH {_BM25_SQL}, h AS (SELECT query_id, rank, greatest(1, length(text) // 4)::BIGINT AS n, text FROM rk JOIN documents USING (doc_id) WHERE rank <= 20),
+b AS (SELECT query_id, list(n ORDER BY rank) AS n FROM h GROUP BY query_id),
+r AS (SELECT query_id, list_reduce(n, lambda s, x: {{'t': CASE WHEN s.t + x.t <= 6000 THEN s.t + x.t ELSE s.t END, 'k': CASE WHEN s.t + x.t <= 6000 THEN s.k || ',' || (s.i + 1) ELSE s.k END, 'i': s.i + 1}},
+  {{'t': 0::BIGINT, 'k': '', 'i': 0::BIGINT}}) AS s FROM (SELECT query_id, list_transform(n, lambda x: {{'t': x, 'k': '', 'i': 0::BIGINT}}) AS n FROM b)),
+u AS (SELECT query_id, s.t AS tokens, (length(s.k) - length(replace(s.k, ',', '')))::INT AS n_used, substr(s.k, 2) AS prompt_ranks FROM r),
+c AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS c FROM h JOIN u USING (query_id) WHERE list_contains(string_split(prompt_ranks, ','), rank::VARCHAR) GROUP BY query_id)
+SELECT query_id, tokens, n_used, prompt_ranks, md5(coalesce(c, '')) AS m FROM u LEFT JOIN c USING (query_id)""")
 def context_budget(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", T.token_estimate(F.col("text")).alias("tokens"))
-    blocks = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))).withColumn("texto", F.lit(""))
-    return C.packed(blocks).select("query_id", "tokens", "n_used", F.array_join(F.transform("prompt_ranks", lambda x: x.cast("string")), ",").alias("prompt_ranks"))
+    """The twenty best documents of each benchmark passage, whole, packed into the token budget."""
+    rows = _bm25(spark, sf_dir, 20).join(_texts(spark, sf_dir), "doc_id").select("query_id", "rank", "texto", T.token_estimate(F.col("texto")).alias("tokens"))
+    ranks = F.array_join(F.transform("prompt_ranks", lambda x: x.cast("string")), ",")
+    return C.packed(rows).select("query_id", "tokens", "n_used", ranks.alias("prompt_ranks"), _md5(F.col("context")).alias("m"))
 
 
 _QUESTION_SQL = f"""
@@ -517,9 +531,7 @@ def _results(spark, sf_dir):
     """(query_id, tipo, hits, targets) of BM25 over the benchmark."""
     asked = _benchmark(spark, sf_dir)
     hits = _bm25(spark, sf_dir).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))).alias("h"))
-    # Passages are a stated query set, held against all documents.
-    held = _texts(spark, sf_dir).join(F.broadcast(asked), F.contains(F.col("texto"), F.col("query")))
-    goal = held.groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("targets"))
+    goal = M.held_by(asked, _texts(spark, sf_dir)).groupBy("query_id").agg(F.sort_array(F.collect_list("doc_id")).alias("targets"))
     none = F.array().cast("array<bigint>")
     rows = asked.join(hits, "query_id", "left").join(goal, "query_id", "left")
     kind = F.concat(F.lit("L"), F.floor(F.length("query") / 100).cast("string"))
@@ -548,9 +560,9 @@ def bootstrap_ci(spark, sf_dir):
 
 
 @query(f"""WITH {_MEASURE_SQL}, va AS (SELECT mrr::DOUBLE AS v, row_number() OVER (ORDER BY query_id) - 1 AS i FROM me), sz AS (SELECT count(*) AS m FROM va),
-dr2 AS (SELECT b, ('0x' || substr(md5(b || ':' || i || ':42'), 1, 12))::BIGINT % m AS j FROM va, sz, (SELECT unnest(range(200)) AS b)),
+dr2 AS (SELECT b, ('0x' || substr(md5(b || ':' || i || ':42'), 1, 12))::BIGINT % m AS j FROM va, sz, (SELECT unnest(range(2000)) AS b)),
 mn AS (SELECT b, avg(v) AS mean FROM dr2 JOIN va ON va.i = dr2.j GROUP BY b), ls AS (SELECT list(mean ORDER BY mean) AS a FROM mn)
-SELECT m AS n, round(a[6], 4) AS low, round(a[195], 4) AS high FROM ls, sz""")
+SELECT m AS n, round(a[51], 4) AS low, round(a[1950], 4) AS high FROM ls, sz""")
 def hashed_bootstrap_ci(spark, sf_dir):
     return M.hashed_bootstrap(M.per_query(_results(spark, sf_dir)), "mrr", "query_id")
 

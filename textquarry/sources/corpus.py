@@ -17,15 +17,18 @@ LEAST_CHARS, MOST_CHARS = 50, 500_000
 STATUSES = ["nao_dict", "erro_scraping", "sem_guid", "guid_duplicado", "vazio_ou_curto", "grande_demais", "aceite"]
 
 
-def elements(spark: SparkSession, folder: str) -> DataFrame:
-    """Array elements of the folder's *.json files: ficheiro, pos, item (variant); broken files have item null and pos -1."""
-    raw = spark.read.text(f"{folder.rstrip('/')}/*.json", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("ficheiro"), "value")
+def elements(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
+    """Array elements of the folder's files: ficheiro, pos, item (variant); broken files have item null and pos -1.
+
+    A file's name has as many parts as the pattern; a file must fit into one variant.
+    """
+    name = F.slice(F.split(F.input_file_name(), "/"), -1 - pattern.count("/"), 1 + pattern.count("/"))
+    raw = spark.read.text(f"{folder.rstrip('/')}/{pattern}", wholetext=True).select(F.array_join(name, "/").alias("ficheiro"), "value")
     raw = raw.where(~F.col("ficheiro").startswith(".")).select("ficheiro", F.try_parse_json("value").alias("v"))
     broken = raw.where("v is null").select("ficheiro", F.lit(-1).alias("pos"), F.col("v").alias("item"))
     is_list = F.schema_of_variant("v").like("ARRAY%")
     lists = raw.where("v is not null").select("ficheiro", F.when(is_list, F.col("v")).otherwise(F.parse_json(F.concat(F.lit("["), F.to_json("v"), F.lit("]")))).alias("v"))
-    lists.createOrReplaceTempView("__quarry_lists")
-    each = spark.sql("select ficheiro, e.pos, e.value as item from __quarry_lists, lateral variant_explode(v) e")
+    each = lists.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("ficheiro", "pos", F.col("value").alias("item"))
     return each.unionByName(broken)
 
 
@@ -37,7 +40,8 @@ def _truthy(item: Column, path: str) -> Column:
 def classified(items: DataFrame, least: int = LEAST_CHARS, most: int = MOST_CHARS) -> DataFrame:
     """Elements with ord (file order, then place) and estado, the first rule that rejects them or 'aceite'."""
     shape = F.schema_of_variant("item")
-    has_id = shape.rlike(r"[<, ]guid: ") | shape.startswith("OBJECT<guid:")
+    # Of the object itself: a guid in an object that it holds is none of its own. A null one counts.
+    has_id = F.array_contains(F.json_object_keys(F.to_json("item")), "guid")
     guid = F.when(has_id, T.strip(F.coalesce(F.try_variant_get("item", "$.guid", "string"), F.lit("None"))))
     rows = items.select(
         "ficheiro", "pos", shape.alias("shape"), F.col("item").isNull().alias("broken"), guid.alias("id"),
@@ -55,8 +59,9 @@ def classified(items: DataFrame, least: int = LEAST_CHARS, most: int = MOST_CHAR
     )
     rows = rows.withColumn("early", early)
     fits = F.col("early").isNull() & F.col("n_chars").between(least, most)
-    # A guid is taken from its first accepted element on.
-    first = F.min(F.when(fits, F.col("at"))).over(Window.partitionBy("id"))
+    # A guid is taken from its first accepted element on. What is rejected before has a window of its own.
+    alone = F.when(F.col("early").isNotNull(), F.concat_ws("\x00", "ficheiro", F.col("pos").cast("string")))
+    first = F.min(F.when(fits, F.col("at"))).over(Window.partitionBy(F.when(F.col("early").isNull(), F.col("id")), alone))
     late = (
         F.when(F.col("at") > F.col("first"), "guid_duplicado").when(F.col("n_chars") < least, "vazio_ou_curto").when(F.col("n_chars") > most, "grande_demais").otherwise("aceite")
     )
@@ -94,14 +99,14 @@ def length_stats(rows: DataFrame, n: str = "n_chars") -> DataFrame:
 
 
 def corpus_fingerprint(docs: DataFrame, least: int = LEAST_CHARS, most: int = MOST_CHARS, id_column: str = "id") -> DataFrame:
-    """One row: 16 hex digits of the bounds and the sorted ids.
+    """One row: 16 hex digits of the bounds and the ids, whatever their order.
 
-    Ids are hashed in groups of their leading hash digit first, so that no row holds all of them.
+    Ids go in as their number and two sums of 60 bits of their MD5 each, so no row holds them all.
     """
-    one = docs.select(F.col(id_column).cast("string").alias("i"))
-    parts = one.groupBy(F.substring(F.md5(F.col("i").cast("binary")), 1, 3).alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("i")), ",").cast("binary"), 256).alias("h"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: F.concat(x["g"], F.lit("="), x["h"])), ";")
-    return parts.agg(F.substring(F.sha2(F.concat(F.lit(f"{least}:{most}:"), F.coalesce(whole, F.lit(""))).cast("binary"), 256), 1, 16).alias("fingerprint"))
+    h = F.md5(F.col(id_column).cast("string").cast("binary"))
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)")).cast("string"), F.lit("0"))
+    one = docs.agg(F.count("*").cast("string").alias("n"), part(1).alias("a"), part(16).alias("b"))
+    return one.select(F.substring(F.sha2(F.concat_ws(":", F.lit(f"{least}:{most}"), "n", "a", "b").cast("binary"), 256), 1, 16).alias("fingerprint"))
 
 
 def report(rows: DataFrame, path: str, least: int = LEAST_CHARS, most: int = MOST_CHARS, oversized: int = 20) -> None:
