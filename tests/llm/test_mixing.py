@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from textquarry.llm import mixing as M
 from tests.llm.conftest import DOCS
@@ -26,12 +27,27 @@ def test_permutations():
             assert sorted(M.permute(np.arange(n), np.full(n, n), np.full(n, key)).tolist()) == list(range(n))
 
 
-def test_slot_counts():
-    c = M.slot_counts([100, 3, 0, 57], 4)
-    assert c.sum(axis=0).tolist() == [100, 3, 0, 57] and c.sum(axis=1).tolist() == [40] * 4
-
-
-def test_contract(spark, table):
+def test_drawn_slots():
+    wanted, n = np.array([100, 3, 0, 57]), 7
+    whole = list(M.drawn_slots(wanted, n, 0, n))
+    assert [x[0] for x in whole] == list(range(n))
+    seen = np.zeros(4, dtype=np.int64)
+    for shard, own, counts, before in whole:
+        assert counts.sum() == 160 * (shard + 1) // n - 160 * shard // n and (before == seen[own]).all() and (counts > 0).all()
+        seen[own] += counts
+    assert seen.tolist() == wanted.tolist()
+    # A task that draws some shards draws the same.
+    for x, y in zip(M.drawn_slots(wanted, n, 3, 5), whole[3:5], strict=True):
+        assert x[0] == y[0] and all((p == q).all() for p, q in zip(x[1:], y[1:], strict=True))
+    # Counts of a shard are spread as draws are: of 1000 slots of a, 3000 of b, 40 to a shard.
+    a = np.array([c[o == 0].sum() for _, o, c, _ in M.drawn_slots(np.array([1000, 3000]), 100, 0, 100)])
+    assert abs(a.mean() - 10) < 1e-9 and 1 < a.std() < 6
+
+
+@pytest.mark.parametrize("most", [1_000_000, 2])
+def test_contract(spark, table, monkeypatch, most):
+    monkeypatch.setattr(M, "MOST_SOURCES", most)  # beyond it: the way without a driver
+    monkeypatch.setattr(M, "SHARD_SLOTS", 50)
     rows = _rows()
     path = table("documents", rows, DOCS)
     out = M.op5_mixing(spark, path).collect()
@@ -51,22 +67,23 @@ def test_contract(spark, table):
         assert abs(target[s] - goal[s]) < 1e-6 and abs(taken[s] - goal[s]) <= 2 * M.BLOCK
 
 
-def test_taken_by_brute_force(spark):
+def test_taken_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(M, "SHARD_SLOTS", 20)
     docs = spark.createDataFrame(_rows(120), DOCS)
     stream, picks = M.mix(docs, block=16)
     stream, picks = stream.collect(), picks.collect()
-    for source in {r.source_key for r in stream}:
-        own = sorted((r.start, r["size"]) for r in stream if r.source_key == source and r["size"])
+    for source in {r.source_no for r in stream}:
+        own = sorted((r.start, r["size"]) for r in stream if r.source_no == source and r["size"])
         total = sum(n for _, n in own)
         assert [a for a, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
         n = -(-total // 16)
-        drawn = {(p.pass_no, p.block) for p in picks if p.source_key == source}
-        slots = {(p.pass_no, p.block): (p.shard, p.shard_slot) for p in picks if p.source_key == source}
+        drawn = {(p.pass_no, p.block) for p in picks if p.source_no == source}
+        slots = {(p.pass_no, p.block): (p.shard, p.shard_slot) for p in picks if p.source_no == source}
         assert len(set(slots.values())) == len(drawn)
         k = len(drawn)
         assert len([1 for e, _ in drawn if e == 0]) == min(k, n)
         expect = sum(min(total, (b + 1) * 16) - b * 16 for _, b in drawn)
-        assert expect == sum(p.n_words for p in picks if p.source_key == source)
+        assert expect == sum(p.n_words for p in picks if p.source_no == source)
 
 
 def test_stage_words(spark):
@@ -85,6 +102,24 @@ def test_stage_words(spark):
             assert set(r.text.split()) <= set(text[r.doc_id].split())
 
 
+def test_gaps_of_cut_texts_stay(spark):
+    rows = [(i, "".join(f"{i}-{k}" + ("\n\n" if k % 9 == 0 else " \t" if k % 5 == 0 else " ") for k in range(300)), "en", "ab"[i % 2], 0) for i in range(40)]
+    rows.append((99, "c " * 4000, "en", "c", 0))  # its excess makes others be drawn in part
+    text = {r[0]: r[1] for r in rows}
+    cut = [r for r in M.stage(spark, spark.createDataFrame(rows, DOCS), "").collect() if r.text != text[r.doc_id]]
+    assert cut
+    for r in cut:
+        if r.doc_id == 99:
+            continue
+        words = r.text.split()
+        at = 0
+        for word, after in zip(words, words[1:], strict=False):
+            at = r.text.index(word, at) + len(word)
+            gap = r.text[at : r.text.index(after, at)]
+            k = int(word.split("-")[1])
+            assert gap == ("\n\n" if k % 9 == 0 else " \t" if k % 5 == 0 else " ")
+
+
 def test_stage_keeps_null_ids(spark):
     rows = [(None if k % 2 else r[0], *r[1:4], k) for k, r in enumerate(_rows(80))] + [(None, "twin " * 90, "en", "s0", -1)] * 2
     docs = spark.createDataFrame(rows, DOCS)

@@ -2,35 +2,47 @@
 
 The words of each source form one stream (documents in the order of a hash bucket
 and their id), packed into blocks of BLOCK words. Output shards have a number of
-slots each; the sources' slot counts in a shard are a multinomial draw whose
-probabilities are the shares still owed, so that totals end at the targets. The
-slots of a source are numbered through all shards; slot t stands for block
-perm(t mod n), where perm is a pseudorandom permutation of the source's n block
-indices (a Feistel network with cycle walking, another one for each pass through
-the source). Blocks are joined to the documents that they cut by source and index.
+slots each. The sources' slot counts are multinomial draws along a tree of shard
+ranges: a range's slots are drawn for its first half by the shares that the range
+holds, down to single shards, so totals end at the targets and any task can draw its
+own shards from the seed alone. The slots of a source are numbered through all
+shards; slot t stands for block perm(t mod n), where perm is a pseudorandom
+permutation of the source's n block indices (a Feistel network with cycle walking,
+another one for each pass through the source). Blocks are joined to the documents
+that they cut by source and index.
+
+Beyond MOST_SOURCES sources nothing a source holds reaches the driver or is broadcast:
+targets come from aggregates, and each slot draws its shard for itself, which makes a
+source's counts over the shards one multinomial draw.
 
 Defined results: a null or wordless text has size 0 and takes nothing; null is a
 source of its own, last in order; repeated rows are parts of the stream of their
-own, and so are rows with a null doc_id; an empty table gives an empty mix. Reruns agree: every draw is seeded, and
-the stream depends on the rows alone.
+own, and so are rows with a null doc_id; texts of any length are taken whole; an empty
+table gives an empty mix; other columns are ignored, and kept by :func:`stage`. Reruns
+agree: every draw is seeded, and the stream depends on the rows alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textquarry.llm.common import WORD, text_crc32, word_count, written
+from textquarry.llm.common import GAP, WORD, text_crc32, word_count, written
 
 BLOCK = 64
 BUCKETS = 1024
 #: Slots of an output shard on average; the number of shards follows from it.
 SHARD_SLOTS = 65536
-#: Sources that can be mixed; their sizes and targets reach the driver and are broadcast.
+#: Sources whose sizes and targets reach the driver and every task; more are mixed without that.
 MOST_SOURCES = 1_000_000
+#: Shards that a row of work draws, and tasks that the drawing is dealt to at most.
+RUN, TASKS = 8, 10_000
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
@@ -61,24 +73,32 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float =
     return out
 
 
-def slot_counts(wanted: list[int], n_shards: int, seed: int = SEED) -> np.ndarray:
-    """Slots of each source (column) in each output shard (row).
+def drawn_slots(wanted: np.ndarray, n_shards: int, lo: int, hi: int, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, sources, slots of each, its slots in shards before) of the shards from lo to hi.
 
-    Each shard is a multinomial draw by the shares still owed; draws beyond what a
-    source is still owed go to the others, and the last shard takes what is left.
+    Only the tree's ranges that hold them are drawn; sources without slots drop out on the way.
     """
-    rng = np.random.Generator(np.random.PCG64(seed))
-    owed = np.array(wanted, dtype=np.int64)
-    total, out = int(owed.sum()), np.zeros((n_shards, len(wanted)), dtype=np.int64)
-    for s in range(n_shards):
-        room = total * (s + 1) // n_shards - total * s // n_shards
-        while room > 0:
-            free = owed - out[s]
+    wanted = np.asarray(wanted, dtype=np.int64)
+    total = int(wanted.sum())
+    todo = [(0, n_shards, np.flatnonzero(wanted), wanted[wanted > 0], np.zeros(int((wanted > 0).sum()), dtype=np.int64))]
+    while todo:
+        a, b, own, owed, before = todo.pop()
+        if b <= lo or a >= hi:
+            continue
+        if b - a == 1:
+            yield a, own, owed, before
+            continue
+        m = (a + b) // 2
+        rng = np.random.Generator(np.random.PCG64([seed, a, b]))
+        room, left = total * m // n_shards - total * a // n_shards, np.zeros(len(owed), dtype=np.int64)
+        while room > 0:  # what is drawn beyond a source's slots goes to the others
+            free = owed - left
             drawn = np.minimum(rng.multinomial(room, free / free.sum()), free)
-            out[s] += drawn
+            left += drawn
             room -= int(drawn.sum())
-        owed = owed - out[s]
-    return out
+        rest = owed - left
+        todo.append((m, b, own[rest > 0], rest[rest > 0], (before + left)[rest > 0]))
+        todo.append((a, m, own[left > 0], left[left > 0], before[left > 0]))
 
 
 def _mix(x: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -118,71 +138,126 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
+def _many_targets(sizes: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """targets() for any number of sources (source, source_key, size), by aggregates: with target and rank."""
+    order = sizes.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
+    placed = written(order.withColumn("at", F.monotonically_increasing_id()), "mix-sources")
+    # Numbers begin anew in each partition, 2^33 apart; the rows before it are added.
+    part = F.shiftright("at", 33)
+    counts = placed.groupBy(part.alias("part")).count().collect()  # one row a partition
+    before, run = {}, 0
+    for r in sorted(counts, key=lambda r: r.part):
+        before[r.part], run = run, run + r["count"]
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), part) if before else F.lit(0)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank"), F.lit(len(weights))) + 1).cast("int"))
+    rows = placed.withColumn("rank", base + F.col("at").bitwiseAND((1 << 33) - 1)).withColumn("w", weight).drop("at")
+    left = share * (rows.agg(F.sum("size")).first()[0] or 0)
+    rate = 0.0  # words a unit of weight; only grows, so what is over once stays over
+    while True:
+        over = F.lit(rate) * F.col("w") > most * F.col("size")
+        told = rows.agg(F.sum(F.when(over, most * F.col("size"))).alias("fixed"), F.sum(F.when(~over, F.col("w"))).alias("w"), F.count_if(over).alias("n")).first()
+        now = (left - (told.fixed or 0.0)) / told.w if told.w else rate
+        if now <= rate or not told.w:
+            break
+        rate = now
+    return rows.withColumn("target", F.least(F.lit(rate) * F.col("w"), most * F.col("size"))).drop("w")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(stream, picks).
 
-    stream: one row per document: doc_id, source, text_crc32, text_hash, size, source_size,
-    target, start (first word's place in its source's stream).
-    picks: one row per block drawn: source_key, block, pass_no, shard, shard_slot, and the part
-    of a document that it cuts: start (the document's), word (in the document), n_words.
+    stream: one row per document: doc_id, source, source_no, text_crc32, text_hash, size,
+    source_size, target, start (first word's place in its source's stream).
+    picks: one row per block drawn and document that it cuts: source_no, block, pass_no, shard,
+    shard_slot, start (the document's), word (in the document), n_words.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     base = docs.select("doc_id", "source", key.alias("source_key"), text_crc32(F.col("text")).alias("text_crc32"), _text_hash().alias("text_hash"), word_count(F.col("text")).alias("size"))
     base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BUCKETS)).cast("int"))
     base = written(base, "mix-sizes")  # counting words reads every text; do it once
-    per_source = base.groupBy("source", "source_key").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(per_source) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
-    goal = targets([(r.source, r["size"]) for r in per_source], weights, share, most)
-    infos, wanted = [], []
-    for r in sorted(per_source, key=lambda r: (r.source is None, r.source or "")):
-        n = -(-r["size"] // block)
-        t = goal.get(r.source, 0.0)
-        k = min(int(most * n), round(t * n / r["size"])) if r["size"] else 0
-        infos.append([r.source_key, r["size"], float(t), n, k])
-        wanted.append(k)
-    n_shards = max(1, min(sum(wanted), -(-sum(wanted) // SHARD_SLOTS)))
-    counts = slot_counts(wanted, n_shards, seed) if sum(wanted) else np.zeros((1, len(wanted)), dtype=np.int64)
-    info = spark.createDataFrame([tuple(x) for x in infos], "source_key string, source_size long, target double, n_blocks long, n_slots long")
+    sizes = base.groupBy("source", "source_key").agg(F.sum("size").alias("size"))
+    known = sizes.limit(MOST_SOURCES + 1).collect()
+    few = len(known) <= MOST_SOURCES
+    blocks, slots = F.expr(f"(size + {block - 1}) div {block}"), F.expr("case when size > 0 then least(cast(most * n as long), cast(round(target * n / size) as long)) else 0L end")
+    if few:
+        goal = targets([(r.source, r["size"]) for r in known], weights, share, most)
+        known.sort(key=lambda r: (r.source is None, r.source or ""))
+        info = spark.createDataFrame([(i, r.source_key, r["size"], float(goal.get(r.source, 0.0))) for i, r in enumerate(known)], "rank long, source_key string, size long, target double")
+    else:
+        info = written(_many_targets(sizes, weights, share, most), "mix-targets")
+    info = info.withColumns({"n": blocks, "most": F.lit(float(most))}).withColumn("k", slots).drop("most")
+    told = info.select(F.col("rank").alias("source_no"), "source_key", F.col("size").alias("source_size"), "target")
+    told = F.broadcast(told) if few else told
     # Places in the stream: buckets' totals first, then the sums within a bucket.
     small = base.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     small = small.select("source_key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stream = base.withColumn("upto", F.sum("size").over(inside)).join(small, ["source_key", "bucket"])
-    stream = stream.join(F.broadcast(info.select("source_key", "source_size", "target")), "source_key")  # one row a source
-    stream = written(stream.select("doc_id", "source", "source_key", "text_crc32", "text_hash", "size", "source_size", "target", (F.col("base") + F.col("upto") - F.col("size")).alias("start")), "mix-stream")
-    # Slots of each source in each shard, numbered through the shards.
-    runs = []
-    first = counts.cumsum(axis=0) - counts
-    for s in range(counts.shape[0]):
-        at = 0
-        for c, x in enumerate(infos):
-            if counts[s, c]:
-                runs.append((x[0], x[3], s, int(first[s, c]), int(counts[s, c]), at, seed * 1_000_003 + c))
-                at += int(counts[s, c])
-    slots = spark.createDataFrame(runs, "source_key string, n long, shard int, first long, n_slots long, at long, seed long")
-    slots = slots.repartition(F.col("shard"), F.col("source_key")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1)))
-    slots = slots.withColumns({"t": F.col("first") + F.col("i"), "shard_slot": F.col("at") + F.col("i")}).withColumn("pass_no", F.expr("t div n"))
-    drawn = slots.select("source_key", _permuted(F.expr("t % n"), F.col("n"), F.expr("seed * 64 + pass_no")).alias("block"), F.col("pass_no").cast("int").alias("pass_no"), "shard", "shard_slot")
+    stream = base.withColumn("upto", F.sum("size").over(inside)).join(small, ["source_key", "bucket"]).join(told, "source_key")
+    stream = written(stream.select("doc_id", "source", "source_no", "text_crc32", "text_hash", "size", "source_size", "target", (F.col("base") + F.col("upto") - F.col("size")).alias("start")), "mix-stream")
+    if few:
+        rows = sorted(info.select("rank", "n", "k").collect())
+        drawn = _drawn(spark, np.array([r.k for r in rows], dtype=np.int64), np.array([r.n for r in rows], dtype=np.int64), seed)
+    else:
+        drawn = _each_drawn(info, seed)
     pieces = stream.where("size > 0").select(
-        "source_key", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block")
+        "source_no", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block")
     )
     lo = F.greatest(F.col("block") * block, F.col("start"))
     hi = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
-    pieces = pieces.select("source_key", "block", "start", (lo - F.col("start")).alias("word"), (hi - lo).alias("n_words"))
-    # Spark takes the slots for as few as the runs they are made of; without the hint it would broadcast them.
-    picks = pieces.join(drawn.hint("merge"), ["source_key", "block"])
+    pieces = pieces.select("source_no", "block", "start", (lo - F.col("start")).alias("word"), (hi - lo).alias("n_words"))
+    # Spark takes the slots for as few as the rows they are made of; without the hint it would broadcast them.
+    picks = pieces.join(drawn.hint("merge"), ["source_no", "block"])
     return stream, picks
 
 
+_DRAWN = "source_no long, block long, pass_no int, shard long, shard_slot long"
+
+
+def _shards(total: int) -> int:
+    return max(1, -(-total // SHARD_SLOTS))
+
+
+def _drawn(spark: SparkSession, wanted: np.ndarray, n_blocks: np.ndarray, seed: int) -> DataFrame:
+    """All slots with the block that each stands for; every row of work draws RUN shards."""
+    n_shards = _shards(int(wanted.sum()))
+    sent = spark.sparkContext.broadcast((wanted, n_blocks))  # 16 bytes a source, MOST_SOURCES at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, n_blocks = sent.value
+        for batch in batches:
+            for g in batch.column("id").to_pylist():
+                for shard, own, counts, first in drawn_slots(wanted, n_shards, g * RUN, min(g * RUN + RUN, n_shards), seed):
+                    source = np.repeat(own, counts)
+                    at = np.arange(len(source))
+                    t = at - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+                    n = n_blocks[source]
+                    block = permute(t % n, n, (seed * 1_000_003 + source) * 64 + t // n)
+                    cols = (source, block, (t // n).astype(np.int32), np.full(len(t), shard), at)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["source_no", "block", "pass_no", "shard", "shard_slot"])
+
+    groups = -(-n_shards // RUN)
+    return spark.range(0, groups, 1, min(groups, TASKS)).mapInArrow(run, _DRAWN)
+
+
+def _each_drawn(info: DataFrame, seed: int) -> DataFrame:
+    """The same for any number of sources (rank, n, k): each slot draws its shard by hash."""
+    n_shards = _shards(int(info.agg(F.sum("k")).first()[0] or 0))
+    slots = info.where("k > 0").select(F.col("rank").alias("source_no"), "n", F.explode(F.expr("sequence(0L, k - 1)")).alias("t"))
+    shard = F.pmod(F.xxhash64(F.lit(seed), "source_no", "t"), F.lit(n_shards))
+    slots = slots.withColumns({"shard": shard, "pass_no": F.expr("cast(t div n as int)")})
+    slots = slots.withColumn("shard_slot", (F.row_number().over(Window.partitionBy("shard").orderBy("source_no", "t")) - 1).cast("long"))
+    key = (F.lit(seed * 1_000_003) + F.col("source_no")) * 64 + F.col("pass_no")
+    return slots.select("source_no", _permuted(F.expr("t % n"), F.col("n"), key).alias("block"), "pass_no", "shard", "shard_slot")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     stream, picks = mix(docs)
-    taken = picks.groupBy("source_key", "start").agg(F.sum("n_words").alias("taken"))
+    taken = picks.groupBy("source_no", "start").agg(F.sum("n_words").alias("taken"))
     # Wordless documents share their start with the next one and take nothing.
-    joined = stream.join(taken, ["source_key", "start"], "left")
+    joined = stream.join(taken, ["source_no", "start"], "left")
     words = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return joined.select("doc_id", "size", "source_size", "target", words.alias("taken"), "source")
 
@@ -190,25 +265,26 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: a row for each pass in which words of a document are drawn.
 
-    Its text is the whole text as it is where the pass draws all its blocks, else the
-    drawn words in order, joined by spaces; n_chars follows. Rows are told apart by
-    doc_id (null is an id like others) and text.
+    Its text is the whole text as it is where the pass draws all its blocks, else the drawn
+    words in order, each with the white space that follows it there (but for the last);
+    n_chars follows. Rows are told apart by doc_id (null is an id like others) and text.
     """
     stream, picks = mix(docs)
     piece = F.struct("word", "n_words")
-    got = picks.groupBy("source_key", "start", "pass_no").agg(F.sort_array(F.collect_list(piece)).alias("__pieces"), F.sum("n_words").alias("__taken"))
+    got = picks.groupBy("source_no", "start", "pass_no").agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.sum("n_words").alias("taken"))
     # Rows of the same id and text have equal pieces of work: number both sides alike.
-    twins = Window.partitionBy("doc_id", "__hash").orderBy("__at")
-    rank = Window.partitionBy("doc_id", "text_hash").orderBy("source_key", "start")
+    rank = Window.partitionBy("doc_id", "text_hash").orderBy("source_no", "start")
     numbers = stream.where("size > 0").withColumn("nth", F.row_number().over(rank))
-    chosen = numbers.join(got, ["source_key", "start"]).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__own"), F.col("nth").alias("__own_nth"), F.col("size").alias("__size"), "__pieces", "__taken")
+    chosen = numbers.join(got, ["source_no", "start"]).select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), F.col("nth").alias("own_nth"), "size", "pieces", "taken")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    rows = docs.withColumns({"__hash": _text_hash(), "__at": key}).withColumn("__nth", F.row_number().over(twins))
-    cut = F.array_join(F.flatten(F.transform(F.col("__pieces"), lambda p: F.slice(F.col("__words"), p["word"].cast("int") + 1, p["n_words"].cast("int")))), " ")
-    words = F.when(F.col("__taken") < F.col("__size"), F.regexp_extract_all("text", F.lit(f"({WORD})")))
-    alike = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__own")) & (F.col("__nth") == F.col("__own_nth"))
-    out = rows.join(chosen, alike).withColumn("__words", words)
-    out = out.withColumn("text", F.when(F.col("__taken") < F.col("__size"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("kept"), F.col("doc_id").alias("id"), _text_hash().alias("hash"), key.alias("at"))
+    twins = Window.partitionBy("id", "hash").orderBy(F.when(F.col("at") == "", 1).otherwise(0), "at")  # null last, as sources are numbered
+    rows = rows.withColumn("nth", F.row_number().over(twins))
+    alike = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("hash") == F.col("own_hash")) & (F.col("nth") == F.col("own_nth"))
+    out = rows.join(chosen, alike).withColumn("words", F.when(F.col("taken") < F.col("size"), F.regexp_extract_all("kept.text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"))))
+    cut = F.array_join(F.flatten(F.transform(F.col("pieces"), lambda p: F.slice(F.col("words"), p["word"].cast("int") + 1, p["n_words"].cast("int")))), "")
+    text = F.when(F.col("taken") < F.col("size"), F.regexp_replace(cut, rf"{GAP}\z", "")).otherwise(F.col("kept.text"))
+    out = out.withColumn("text", text)
+    made = {"text": F.col("text"), "n_chars": F.length("text")}
+    kinds = {f.name: f.dataType for f in docs.schema}
+    return out.select(*(made[c].cast(kinds[c]).alias(c) if c in made else F.col("kept")[c].alias(c) for c in docs.columns))
