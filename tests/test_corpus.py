@@ -77,10 +77,10 @@ def test_index_is_built_when_it_must(spark, tmp_path):
     docs = spark.createDataFrame([(f"d{i}", f"Lei {i}/2020", f"palavra{i} comum " * 30) for i in range(4)], "doc_id string, titulo string, texto string")
     c = condition(" Hibrido-Esparso ")
     root = f"file://{tmp_path}"
-    assert runner.ingest(spark, c, docs, root) == "no index"
-    assert runner.ingest(spark, c, docs, root) is None
-    assert runner.ingest(spark, c, docs.where("doc_id <> 'd1'"), root) == "other configuration"
-    assert runner.ingest(spark, c, docs.where("doc_id <> 'd1'"), root, forced=True) == "forced"
+    assert runner.ingest(spark, c, docs, root)[1]["reingerido"] == "no index"
+    assert runner.ingest(spark, c, docs, root)[1]["reingerido"] is None
+    assert runner.ingest(spark, c, docs.where("doc_id <> 'd1'"), root)[1]["reingerido"] == "other configuration"
+    assert runner.ingest(spark, c, docs.where("doc_id <> 'd1'"), root, forced=True)[1] == {"reingerido": "forced", "n_chunks": 3, "n_documentos": 3, "segmentacao": {"bloco": 3}, "corpus": corpus.corpus_fingerprint(docs.where("doc_id <> 'd1'"), id_column="doc_id").first()[0]}
     assert [x.name for x in family("estrutural")] == ["estrutural-enriquecido", "estrutural-enriquecido_grafo"]
     for f, bad in ((condition, "nada"), (family, "nada")):
         with pytest.raises(ValueError):

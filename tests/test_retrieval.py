@@ -136,13 +136,79 @@ def test_all_conditions_run(spark):
     assert len(CONDITIONS) == 7
     for name in ("hibrido-hibrido", "estrutural-enriquecido_grafo", "langchain"):
         out = runner.run(CONDITIONS[name], docs, asked, k=2, retrieval_only=False).collect()
-        assert len(out) == 2 and all(len(r.hits) >= 2 for r in out)
+        assert len(out) == 2 and all(len(r.hits) >= 2 and len(r.contextos) == len(r.metadados) == r.n_blocos_recuperados for r in out)
         by = {r.query_id: r for r in out}
-        assert by[1].resposta and by[2].resposta is None and by[1].tokens_contexto > 0
+        assert by["1"].resposta and by["2"].resposta is None and by["1"].tokens_contexto > 0
+        assert by["1"].metadados[0].titulo.startswith("Lei ") and by["1"].metadados[0].tipo == "Lei" and by["1"].metadados[0].nivel
+        assert by["1"].tempo_retrieval_s > 0 and by["1"].tempo_geracao_s > 0 == by["2"].tempo_geracao_s
     out = runner.run(CONDITIONS["hibrido-esparso"], docs, asked, k=2)
     tables = runner.evaluate(out)
     assert {r.estrato for r in tables["retrieval"].collect()} == {"total", "tipo=identificador", "tipo=?"}
-    assert tables["tempos"].count() == 1 and tables["intervals"].count() == 2
+    assert tables["tempos"].count() == 1 and {r.grp for r in tables["ic95_recall"].collect()} == {"total", "tipo=identificador", "tipo=?"}
+
+
+def test_models_can_be_put_in(spark):
+    class Lengths:
+        def __call__(self, texts):
+            return [[float(len(t)), 1.0, float(t.startswith("passage: "))] for t in texts]
+
+    docs = spark.createDataFrame([(i, "Lei 1/2020", "x" * (60 + 40 * i)) for i in range(5)], "doc_id long, titulo string, texto string")
+    asked = spark.createDataFrame([(1, "y" * 102)], "query_id long, query string")
+    c = CONDITIONS["hibrido-denso"]
+    got = c.hits(c.index(docs, Lengths), asked, 5, Lengths).collect()
+    assert sorted(r.rank for r in got) == [1, 2, 3, 4, 5] and all(r.score > 0.99 for r in got)
+    post = R.postings(docs.select("doc_id", F.lit("the running dogs run").alias("texto")), stop=["the"], stem=O.porter).where("doc_id = 0").collect()
+    assert {r.term: r.tf for r in post} == {"run": 2, "dog": 1}
+
+
+def test_passages_are_found_by_a_word(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["ab", "cde", "fghi", "jklmn", "op,"]) for _ in range(rng.randrange(1, 30))) + rng.choice(["", "\nend"]) for _ in range(60)]
+    asked = [t[rng.randrange(len(t)) :][: rng.randrange(1, 25)] for t in texts[:40]] + ["x", "ab", " ", "none of them here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, texto string")
+    got = {(r.query_id, r.doc_id) for r in M.held_by(spark.createDataFrame([(i, q) for i, q in enumerate(asked) if q], "query_id long, query string"), docs).collect()}
+    assert got == {(i, d) for i, q in enumerate(asked) if q for d, t in enumerate(texts) if q in t}
+
+
+def test_judge_and_patience(spark):
+    rows = spark.createDataFrame([(1, "que lei", "z" * 4000 + " fim", "a lei um", "a lei"), (2, "q", "c", "r", None)], "query_id long, query string, context string, referencia string, resposta string")
+    got = {r.query_id: r for r in C.judged(rows).collect()}
+    assert got[1].correctness == pytest.approx(2 / 3, abs=1e-3) and got[1].faithfulness == 0.0 and got[2].answer_relevancy == 0.0
+    prompt = rows.select(C.judge_prompt(*(F.col(c) for c in ("query", "context", "referencia", "resposta"))).alias("p")).first().p
+    assert "fim" not in prompt and prompt.count("z") == 4000 + prompt.split("CONTEXTO:")[0].count("z")
+    calls, slept = [], []
+
+    def call(p):
+        calls.append(p)
+        if len(calls) < 3:
+            raise RuntimeError("429 too many")
+        return "ok"
+
+    assert C.Patient(call, pause=1, wait=10, sleep=slept.append)(["a"]) == ["ok"] and slept == [10, 20, 1]
+    with pytest.raises(RuntimeError, match="other"):
+        C.Patient(lambda p: (_ for _ in ()).throw(RuntimeError("other")), sleep=slept.append)(["a"])
+
+
+def test_one_failing_prompt_spoils_no_other(spark):
+    class Picky:
+        def __call__(self, prompts):
+            if any("bad" in p for p in prompts):
+                raise RuntimeError("quota")
+            return [p.upper() for p in prompts]
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "query_id long, prompt string").coalesce(1)
+    assert {r.query_id: r.resposta for r in C.answered(rows, Picky).collect()} == {1: "A", 2: "ERRO: quota", 3: "C"}
+
+
+def test_seeded_shuffle_and_subset(spark):
+    rows = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
+    order = list(range(50))
+    random.Random(42).shuffle(order)
+    got = {r.place: r.doc_id for r in Q.shuffled(rows, "doc_id").collect()}
+    assert [got[i] for i in range(50)] == order
+    nodes = rows.withColumnRenamed("doc_id", "node")
+    assert R.visible(nodes, nodes.where("node < 3")).where("not hidden").count() == 3
+    assert R.visible(nodes, nodes.limit(0)).where("not hidden").count() == 50
 
 
 def test_generator_errors_become_rows(spark):

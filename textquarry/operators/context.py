@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.functions import text as T
+
 BUDGET = 6000
 
 
@@ -64,17 +69,86 @@ class Extractive:
         return out
 
 
+class Patient:
+    """A client that waits between calls and tries again when told that there were too many of them."""
+
+    def __init__(self, call: Callable[[str], str], pause: float = 0.0, tries: int = 6, wait: float = 10.0, sleep: Callable[[float], None] = time.sleep):
+        self.call, self.pause, self.tries, self.wait, self.sleep = call, pause, tries, wait, sleep
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            for n in range(1, self.tries + 1):
+                try:
+                    out.append(self.call(p))
+                    break
+                except Exception as e:
+                    if "429" not in str(e) or n == self.tries:
+                        raise
+                    self.sleep(self.wait * n)
+            self.sleep(self.pause)
+        return out
+
+
 def answered(prompts: DataFrame, make=Extractive) -> DataFrame:
-    """(query_id, resposta) of prompts (query_id, prompt); an error becomes the row's answer 'ERRO: ...'."""
+    """(query_id, resposta) of prompts (query_id, prompt).
+
+    If a batch fails, its prompts are asked one by one; one that fails then becomes 'ERRO: ...'.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         generate = make()
-        for part in parts:
+
+        def alone(prompt: str) -> str:
             try:
-                answers = generate(part["prompt"].fillna("").tolist())
+                return generate([prompt])[0]
             except Exception as e:  # a query that fails is a row, not a failed run
-                answers = [f"ERRO: {e}"] * len(part)
+                return f"ERRO: {e}"
+
+        for part in parts:
+            asked = part["prompt"].fillna("").tolist()
+            try:
+                answers = generate(asked)
+            except Exception:
+                answers = [alone(p) for p in asked]
             yield pd.DataFrame({"query_id": part["query_id"], "resposta": answers})
 
     kind = prompts.schema["query_id"].dataType.simpleString()
     return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {kind}, resposta string")
+
+
+#: Characters of the context that a judge sees (a fixed value).
+JUDGED_CHARS = 4000
+
+
+def judge_prompt(question: Column, context: Column, reference: Column, answer: Column) -> Column:
+    """What a judge is asked: three scores from 0 to 1 as one JSON object."""
+    rules = (
+        "Avalia a RESPOSTA de 0 a 1 em três pontos, usando só o que está abaixo. fidelidade: tudo o que diz está no CONTEXTO. "
+        "relevancia: responde à PERGUNTA. correcao: concorda com a REFERÊNCIA. Devolve apenas um objeto JSON com estas três chaves.\n\n"
+    )
+    none = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(
+        F.lit(rules + "PERGUNTA:\n"), none(question), F.lit("\n\nCONTEXTO:\n"), F.substring(none(context), 1, JUDGED_CHARS),
+        F.lit("\n\nREFERÊNCIA:\n"), none(reference), F.lit("\n\nRESPOSTA:\n"), none(answer),
+    )
+
+
+class OverlapJudge:
+    """Offline default: shares of the answer's words that the context, the question and the reference have."""
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            parts = dict(zip(("q", "c", "r", "a"), re.split(r"\n\n(?:CONTEXTO|REFERÊNCIA|RESPOSTA):\n", p.split("PERGUNTA:\n", 1)[-1]), strict=False))
+            words = {k: set(re.findall(r"\w+", v.lower())) for k, v in parts.items()}
+            share = lambda x, y: round(len(x & y) / len(x), 4) if x else 0.0
+            a = words.get("a", set())
+            out.append(json.dumps({"fidelidade": share(a, words.get("c", set())), "relevancia": share(words.get("q", set()), a), "correcao": share(words.get("r", set()), a)}))
+        return out
+
+
+def judged(rows: DataFrame, make=OverlapJudge) -> DataFrame:
+    """(query_id, faithfulness, answer_relevancy, correctness) of rows (query_id, query, context, referencia, resposta); null where the judge's answer can't be read."""
+    asked = rows.select("query_id", judge_prompt(F.col("query"), F.col("context"), F.col("referencia"), F.col("resposta")).alias("prompt"))
+    return answered(asked, make).select("query_id", T.judge_scores(F.col("resposta")).alias("s")).select("query_id", "s.*")

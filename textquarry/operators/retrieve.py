@@ -7,9 +7,11 @@ batch's best k before anything is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,10 +30,27 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def postings(docs: DataFrame, k1: float = K1, b: float = B, mean: float = MEAN_LENGTH) -> DataFrame:
-    """(doc_id, term, tf, weight) of docs (doc_id, texto)."""
-    own = docs.select("doc_id", tokens(F.col("texto")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    own = own.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+def terms_of(docs: DataFrame, key: str = "doc_id", stop: Sequence[str] = (), stem: Callable[[str], str] | None = None) -> DataFrame:
+    """(key, dl, term) of docs (key, texto): every term with its text's number of terms.
+
+    stop: terms that are left out; stem: what each remaining one becomes, in Python workers.
+    """
+    found = tokens(F.col("texto"))
+    found = F.filter(found, lambda x: ~x.isin(*stop)) if stop else found
+    out = docs.select(key, found.alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if stem is None:
+        return out
+
+    def stems(words: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+        return words.map(lambda w: known[w] if w in known else known.setdefault(w, stem(w)))
+
+    return out.withColumn("term", F.pandas_udf(stems, "string")("term"))
+
+
+def postings(docs: DataFrame, k1: float = K1, b: float = B, mean: float = MEAN_LENGTH, **words) -> DataFrame:
+    """(doc_id, term, tf, weight) of docs (doc_id, texto); words: stop and stem of :func:`terms_of`."""
+    own = terms_of(docs, **words).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
     return own.select("doc_id", "term", "tf", weight.alias("weight"))
 
@@ -48,19 +67,25 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", tie: str = "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, doc_id, score, rank) of queries (query_id, query); each distinct query term weighs 1."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    asked = small(asked)
-    terms = small(asked.select("term").distinct())
-    # Only terms that some query has are counted and weighed.
-    post = postings(docs).join(terms, "term", "left_semi")
-    weights = idf(post, docs.count())
-    hits = post.join(weights, "term").join(asked, "term")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
+def query_terms(queries: DataFrame, **words) -> DataFrame:
+    """(query_id, term): distinct terms of queries (query_id, query)."""
+    return terms_of(queries.select("query_id", F.col("query").alias("texto")), "query_id", **words).select("query_id", "term").distinct()
+
+
+def bm25_search(post: DataFrame, weights: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, doc_id, score, rank) from stored postings and term weights; each distinct query term (query_id, term) weighs 1."""
+    asked = small(asked.join(weights.select("term", "idf"), "term"))
+    scored = post.select("doc_id", "term", "weight").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
     return top_k(scored, k)
 
 
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The same from texts (doc_id, texto) without an index: only terms that some query has are counted and weighed."""
+    asked = query_terms(queries)
+    post = written(postings(docs).join(small(asked.select("term").distinct()), "term", "left_semi"), "postings")
+    return bm25_search(post, idf(post, docs.count()), asked, k)
+
+
 def dense_topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, doc_id, score, rank) by cosine; rows (doc_id, vector), queries (query_id, vector).
 
@@ -130,6 +155,29 @@ def hash_embedding(docs: DataFrame, dims: int = 64) -> DataFrame:
     return maps.select("doc_id", vector.alias("vector"))
 
 
+class Embedder(Protocol):
+    """Anything that turns texts into vectors; made anew in each worker."""
+
+    def __call__(self, texts: list[str]) -> list[list[float]]: ...
+
+
+def embedded(docs: DataFrame, make: Callable[[], Embedder] | None = None, batch: int = 64) -> DataFrame:
+    """(doc_id, vector) of docs (doc_id, texto), of length 1, by a model in Python workers; without one by hashing."""
+    if make is None:
+        return hash_embedding(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for whole in batches:
+            for at in range(0, len(whole), batch):
+                part = whole.slice(at, batch)
+                x = np.array(model([t or "" for t in part.column("texto").to_pylist()]), dtype=np.float64)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["doc_id", "vector"])
+
+    return docs.select("doc_id", "texto").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, vector array<double>")
+
+
 def number_index(docs: DataFrame) -> DataFrame:
     """(numero, target): the first document, by doc_id, of each number."""
     return docs.where("numero <> ''").groupBy("numero").agg(F.min("doc_id").alias("target"))
@@ -173,6 +221,13 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.min("hops").alias("hops"))
 
 
+def visible(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """nodes (node, ...) with hidden: false for the chosen ones (node), and for all where none is chosen."""
+    marked = nodes.join(small(chosen.select("node", F.lit(True).alias("shown")).distinct()), "node", "left")
+    none = chosen.isEmpty()
+    return marked.withColumn("hidden", F.lit(False) if none else F.col("shown").isNull()).drop("shown")
+
+
 def nodes_by_property(nodes: DataFrame, column: str, values: list) -> DataFrame:
     return nodes.where(F.col(column).isin(values)).select("node")
 

@@ -1,20 +1,23 @@
 """Conditions of the benchmark: how a corpus is cut, indexed and searched.
 
-A condition turns documents (doc_id, titulo, texto) and questions (query_id, query)
-into hits (query_id, doc_id, chunk_id, score, rank, method) for all questions at once.
+A condition turns documents (doc_id, titulo, texto) into an index of tables, and an index
+and questions (query_id, query) into hits (query_id, doc_id, chunk_id, score, rank,
+method) for all questions at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
 from textquarry.operators import retrieve as R
 from textquarry.operators import segment as S
+from textquarry.sources.runs import exists
+from textquarry.sources.scratch import written
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -40,47 +43,91 @@ class Condition:
         return {"family": self.family, "search": self.search, "enriched": self.enriched, "graph": self.graph, "k1": R.K1, "b": R.B, "rrf_k0": R.RRF_K0, "prefetch": R.PREFETCH}
 
     def segments(self, docs: DataFrame) -> DataFrame:
-        """chunk_id, doc_id, texto, texto_embebido, point_id."""
-        out = self.chunk(docs.select("doc_id", "texto"))
-        text = F.col("texto")
-        if self.enriched:
-            out = out.join(described(docs).select("doc_id", "fm"), "doc_id")
-            text = T.enriched(F.col("fm"), text)
-        return out.select("doc_id", "chunk_id", "texto", text.alias("texto_embebido"), T.point_id(F.col("chunk_id")).alias("point_id"))
-
-    def hits(self, docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-        """k best chunks of each query (and documents that they cite, with graph)."""
-        segs = self.segments(docs)
+        """PAYLOAD columns of docs (doc_id, titulo, texto), one row a segment."""
+        own = described(docs)
+        out = self.chunk(own)
+        text = T.enriched(F.col("fm"), F.col("texto")) if self.enriched else F.col("texto")
+        return out.withColumns({"texto_embebido": text, "point_id": T.point_id(F.col("chunk_id"))}).select(*PAYLOAD)
+
+    def index(self, docs: DataFrame, embed: Callable | None = None) -> Index:
+        """All that a search needs, not yet worked out; see :meth:`Index.stored`."""
+        segs = written(self.segments(docs), "segments")
         texts = segs.select(F.col("chunk_id").alias("doc_id"), F.col("texto_embebido").alias("texto"))
+        out = Index(segs)
+        if self.search != "sparse":
+            out.vectors = R.embedded(texts.withColumn("texto", T.passage_prefixed(F.col("texto"))) if embed else texts, embed)
+        if self.search != "dense":
+            out.postings = written(R.postings(texts), "postings")
+            out.terms = R.idf(out.postings, segs.count())
+        if self.graph:
+            own = described(docs)
+            out.edges, out.numbers = R.citation_edges(own), R.number_index(own)
+        return out
+
+    def hits(self, index: Index, queries: DataFrame, k: int = 5, embed: Callable | None = None) -> DataFrame:
+        """k best chunks of each query (query_id, query), and documents that they cite, with graph."""
         n = R.PREFETCH if self.search == "hybrid" else k
         ranked = []
         if self.search != "dense":
-            ranked.append(R.bm25_topk(texts, queries, n))
+            ranked.append(R.bm25_search(index.postings, index.terms, R.query_terms(queries), n))
         if self.search != "sparse":
-            asked = R.hash_embedding(queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("texto")))
-            ranked.append(R.dense_topk(R.hash_embedding(texts), asked.withColumnRenamed("doc_id", "query_id"), n))
+            asked = queries.select(F.col("query_id").alias("doc_id"), (T.query_prefixed(F.col("query")) if embed else F.col("query")).alias("texto"))
+            ranked.append(R.dense_topk(index.vectors, R.embedded(asked, embed).withColumnRenamed("doc_id", "query_id"), n))
         best = R.rrf(ranked, k) if self.search == "hybrid" else ranked[0]
-        best = best.withColumnRenamed("doc_id", "chunk_id").join(segs.select("chunk_id", "doc_id"), "chunk_id")
+        segs = index.segments.select("chunk_id", "doc_id")
+        best = best.withColumnRenamed("doc_id", "chunk_id").join(segs, "chunk_id")
         hits = best.select("query_id", "doc_id", "chunk_id", "score", "rank", F.lit(self.search).alias("method"))
         if not self.graph:
             return hits
-        own = described(docs)
-        extra = R.expand(hits, R.citation_edges(own), R.number_index(own))
-        first = R.first_segment(segs)
+        hits = written(hits, "hits")
+        extra = R.expand(hits, index.edges, index.numbers)
+        first = R.first_segment(index.segments.join(extra.select(F.col("target").alias("doc_id")).distinct(), "doc_id", "left_semi"))
         tail = R.with_expansion(hits.select("query_id", "doc_id", "score", "rank"), extra).where("method = 'grafo_expansao'")
         return hits.unionByName(tail.join(first, "doc_id").select(*hits.columns))
 
 
+#: What an index stores of a segment.
+PAYLOAD = ["doc_id", "chunk_id", "point_id", "titulo", "tipo", "numero", "data_publicacao", "nivel_segmentacao", "texto", "texto_embebido"]
+
+
+@dataclass
+class Index:
+    """Tables of one condition: segments, and as the search needs them vectors, postings with term weights, citations."""
+
+    segments: DataFrame
+    vectors: DataFrame | None = None
+    postings: DataFrame | None = None
+    terms: DataFrame | None = None
+    edges: DataFrame | None = None
+    numbers: DataFrame | None = None
+
+    def stored(self, root: str) -> Index:
+        """The index as tables under root, which replace those of before; reads them from there."""
+        for f in fields(self):
+            if (df := getattr(self, f.name)) is not None:
+                # Terms that many segments have are spread over the files.
+                (df.sort("term") if f.name == "postings" else df).write.mode("overwrite").parquet(f"{root}/{f.name}")
+        return Index.load(self.segments.sparkSession, root)
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str) -> Index:
+        return cls(**{f.name: spark.read.parquet(f"{root}/{f.name}") for f in fields(cls) if exists(spark, f"{root}/{f.name}")})
+
+
 def _plain(docs: DataFrame) -> DataFrame:
     return S.segment_corpus(docs)
 
 
+def _split(docs: DataFrame, cut: Callable[[str], list[str]], level: str) -> DataFrame:
+    return S.split_with(docs, cut, level).join(docs.drop("texto"), "doc_id")
+
+
 def _recursive(docs: DataFrame) -> DataFrame:
-    return S.split_with(docs, S.recursive_pieces, "recursivo")
+    return _split(docs, S.recursive_pieces, "recursivo")
 
 
 def _sentences(docs: DataFrame) -> DataFrame:
-    return S.split_with(docs, S.sentence_pieces, "frase")
+    return _split(docs, S.sentence_pieces, "frase")
 
 
 CONDITIONS = {

@@ -19,7 +19,7 @@ from textquarry.plans.conditions import CONDITIONS, described
 from textquarry.plans.gazette import GAZETTE_SQL, gazette, table
 from textquarry.sources import corpus
 from textquarry.sources.runs import to_generate
-from textquarry.sources.scratch import shared
+from textquarry.sources.scratch import shared, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -701,11 +701,18 @@ la AS (SELECT query_id, max(rank) AS last FROM hh GROUP BY query_id)"""
     return f"WITH {', '.join(parts)} {last}"
 
 
+def _asked(docs):
+    """Questions made from every hundredth act."""
+    rows = Q.questions(described(docs)).where(F.get("documentos_esperados", F.lit(0)) % 100 == 0)
+    return rows.withColumnsRenamed({"id": "query_id", "documentos_esperados": "targets"})
+
+
 def _condition(name: str):
     def f(spark, sf_dir):
-        docs = gazette(spark, sf_dir)
-        asked = Q.questions(described(docs)).where(F.get("documentos_esperados", F.lit(0)) % 100 == 0).select(F.col("id").alias("query_id"), "query")
-        return CONDITIONS[name].hits(docs, asked).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), "method")
+        docs = written(gazette(spark, sf_dir), "gazette")
+        asked = written(_asked(docs).select("query_id", "query"), "questions")
+        cond = CONDITIONS[name]
+        return cond.hits(cond.index(docs).stored(shared(spark, "index")), asked).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), "method")
 
     f.__name__ = "condition_" + name.replace("-", "_")
     f.__doc__ = f"Hits of the condition {name}: the gazette's acts, asked the questions made from every hundredth one."

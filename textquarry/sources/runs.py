@@ -1,41 +1,97 @@
-"""Run files, evaluation files, the index on disk, and its fingerprint."""
+"""Run files, evaluation files, the mark of an index, and answers of earlier runs."""
 
 from __future__ import annotations
 
 import datetime
+import json
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.operators import metrics as M
 
+#: A result of a run file.
+RESULT = (
+    "id string, query string, tipo string, camada int, ground_truth string, documentos_esperados array<string>, para_geracao boolean, resposta string, contextos array<string>, "
+    "metadados array<struct<doc_id:string,titulo:string,tipo:string,numero:string,nivel:string,score:double,method:string>>, "
+    "tempo_retrieval_s double, tempo_geracao_s double, tempo_total_s double, n_blocos_recuperados int, n_blocos_usados int, tokens_contexto int"
+)
+#: A run file; config and ingestao are kept as JSON text.
+RUN = f"framework string, condicao string, repeticao int, timestamp string, config string, ingestao string, resultados array<struct<{RESULT.replace(' array', ':array').replace(' string', ':string').replace(' int', ':int').replace(' boolean', ':boolean').replace(' double', ':double')}>>"
 
-def write_index(points: DataFrame, path: str) -> None:
-    """The index as a table; writing again replaces it."""
-    points.write.mode("overwrite").parquet(path)
 
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def put_text(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
+    """One file of this name, written part by part."""
+    fs, p = _path(spark, path)
+    out = fs.create(p, True)
+    try:
+        for part in parts:
+            out.write(bytearray(part.encode()))
+    finally:
+        out.close()
+
+
+def stamp() -> str:
+    return datetime.datetime.now(datetime.UTC).strftime("%Y%m%d_%H%M%S")
+
+
+def write_run(results: DataFrame, folder: str, framework: str, condition: str, repetition: int, config: dict, ingest: dict, when: str | None = None) -> str:
+    """Results of one repetition: Parquet under runs/, and one JSON file of the run; the file's path.
+
+    The time is part of both names, so a rerun stands beside the earlier one. Rows go to the
+    file one by one.
+    """
+    when, folder, spark = when or stamp(), folder.rstrip("/"), results.sparkSession
+    at = f"{folder}/runs/condicao={condition}/repeticao={repetition}/quando={when}"
+    results.write.parquet(at)
+    head = json.dumps({"framework": framework, "condicao": condition, "repeticao": repetition, "timestamp": when, "config": config, "ingestao": ingest}, ensure_ascii=False)
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    def parts():
+        yield head[:-1] + ', "resultados": ['
+        rows = spark.read.parquet(at).orderBy("id").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
+        for i, r in enumerate(rows.toLocalIterator()):
+            yield ("," if i else "") + "\n" + r.j
+        yield "\n]}\n"
 
+    path = f"{folder}/{condition}_r{repetition}_{when}.json"
+    put_text(spark, path, parts())
+    return path
 
-def write_run(results: DataFrame, path: str, condition: str, repetition: int, config: dict) -> None:
-    """Results of one repetition of a condition, as Parquet by both and as JSON beside it."""
-    own = results.withColumns({"condicao": F.lit(condition), "repeticao": F.lit(repetition), "timestamp": F.lit(datetime.datetime.now(datetime.UTC).isoformat())})
-    own = own.withColumn("config", F.to_json(F.create_map(*[F.lit(str(x)) for kv in sorted(config.items()) for x in kv]))) if config else own
-    part = f"{path.rstrip('/')}/parquet/condicao={condition}/repeticao={repetition}"
-    own.drop("condicao", "repeticao").write.mode("overwrite").parquet(part)
-    own.write.mode("overwrite").json(f"{path.rstrip('/')}/json/{condition}_r{repetition}")
 
+def read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Results of all runs that were written there, with condicao, repeticao and quando."""
+    return spark.read.option("basePath", f"{folder.rstrip('/')}/runs").parquet(f"{folder.rstrip('/')}/runs")
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", f"{path.rstrip('/')}/parquet").parquet(f"{path.rstrip('/')}/parquet")
 
+def run_files(spark: SparkSession, path: str) -> DataFrame:
+    """Run files of a folder, or one file, in order of name: ficheiro and RUN; evaluations and comparisons are passed over."""
+    path = path if path.endswith(".json") else f"{path.rstrip('/')}/*.json"
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    raw = spark.read.text(path, wholetext=True).select(name.alias("ficheiro"), F.from_json("value", RUN).alias("r"))
+    return raw.where(~F.col("ficheiro").contains("_avaliacao") & ~F.col("ficheiro").contains("comparacao")).select("ficheiro", "r.*").orderBy("ficheiro")
 
-def run_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw run files of a folder as (ficheiro, v), without evaluations and comparisons."""
-    raw = spark.read.text(f"{folder.rstrip('/')}/*.json", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("ficheiro"), F.try_parse_json("value").alias("v"))
-    return raw.where(~F.col("ficheiro").contains("_avaliacao") & ~F.col("ficheiro").contains("comparacao")).orderBy("ficheiro")
+
+def run_results(files: DataFrame) -> DataFrame:
+    """A row per result of run files, as the measures take them: query_id, hits and targets beside RESULT."""
+    rows = files.select("ficheiro", "framework", "condicao", "repeticao", F.explode("resultados").alias("r")).select("ficheiro", "framework", "condicao", "repeticao", "r.*")
+    return rows.withColumns({"query_id": F.col("id"), "hits": F.coalesce(F.transform("metadados", lambda m: m["doc_id"]), F.array().cast("array<string>")), "targets": F.coalesce("documentos_esperados", F.array().cast("array<string>"))})
+
+
+def by_query(results: DataFrame) -> DataFrame:
+    """One result per query text: of several the last by id."""
+    whole = F.struct(*results.columns)
+    return results.groupBy(F.col("query").alias("asked")).agg(F.max_by(whole, F.col("query_id")).alias("r")).select("r.*")
 
 
 def evaluations(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,21 +102,34 @@ def evaluations(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("ficheiro", F.try_variant_get("v", "$.condicao", "string").alias("condicao"), *values)
 
 
+def write_evaluation(spark: SparkSession, run_file: str, summary: dict) -> str:
+    """The summary beside its run file, as *_avaliacao.json; its path."""
+    path = run_file.removesuffix(".json") + "_avaliacao.json"
+    put_text(spark, path, [json.dumps(summary, ensure_ascii=False, indent=2)])
+    return path
+
+
 def write_comparison(table: DataFrame, path: str) -> None:
-    table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """The table as one CSV file: a row per condition."""
+    names = table.columns
+    cell = lambda x: "" if x is None else str(x)
+    put_text(table.sparkSession, path, [",".join(names) + "\n", *(",".join(cell(x) for x in r) + "\n" for r in table.collect())])
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.mode("overwrite").json(path)
+def write_questions(rows: DataFrame, path: str) -> None:
+    """Questions as one JSON array file, row by row."""
 
+    def parts():
+        yield "["
+        for i, r in enumerate(rows.orderBy("id").select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()):
+            yield ("," if i else "") + "\n" + r.j
+        yield "\n]\n"
 
-def store_fingerprint(spark: SparkSession, path: str, fingerprint: str) -> None:
-    spark.createDataFrame([(fingerprint, datetime.datetime.now(datetime.UTC).isoformat())], "fingerprint string, quando string").coalesce(1).write.mode("overwrite").json(path)
+    put_text(rows.sparkSession, path, parts())
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def store_fingerprint(spark: SparkSession, path: str, fingerprint: str) -> None:
+    put_text(spark, path, [json.dumps({"fingerprint": fingerprint, "quando": stamp()})])
 
 
 def stored_fingerprint(spark: SparkSession, path: str) -> str | None:
@@ -74,9 +143,9 @@ def must_ingest(spark: SparkSession, index: str, mark: str, wanted: str, forced:
     """Why the index must be built, or None: forced, absent, empty, of unknown origin, or of another configuration."""
     if forced:
         return "forced"
-    if not exists(spark, index):
+    if not exists(spark, f"{index}/segments"):
         return "no index"
-    if read_index(spark, index).isEmpty():
+    if spark.read.parquet(f"{index}/segments").isEmpty():
         return "empty index"
     stored = stored_fingerprint(spark, mark)
     if stored is None:
@@ -84,7 +153,11 @@ def must_ingest(spark: SparkSession, index: str, mark: str, wanted: str, forced:
     return None if stored == wanted else "other configuration"
 
 
+def valid_answers(previous: DataFrame) -> DataFrame:
+    """(query_id, resposta) that a previous run answered without an error."""
+    return previous.where(~F.coalesce("resposta", F.lit("ERRO")).startswith("ERRO")).select("query_id", "resposta").dropDuplicates(["query_id"])
+
+
 def to_generate(questions: DataFrame, previous: DataFrame) -> DataFrame:
     """Questions for generation without a valid answer in a previous run (query_id, resposta)."""
-    valid = previous.where(~F.coalesce("resposta", F.lit("ERRO")).startswith("ERRO")).select("query_id")
-    return questions.where("para_geracao").join(valid, "query_id", "left_anti")
+    return questions.where("para_geracao").join(valid_answers(previous), "query_id", "left_anti")
