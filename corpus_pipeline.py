@@ -1,4 +1,14 @@
-"""A corpus pipeline: five stages over documents, each written and read again."""
+"""A corpus pipeline: five stages over documents, each written and read again.
+
+Defined results, whatever the stage: a null or empty text is not toxic, links with no
+other, holds no benchmark item, and is left out by the mix (no words are drawn of it);
+rows with a null doc_id, rows that repeat an id and rows that repeat wholly are rows of
+their own, told apart by their texts (of wholly repeated ones the n-gram join keeps one);
+ties go to the least doc_id; texts of any length are taken whole; without labelled rows of
+both classes nothing is rejected as toxic; an empty table goes through as an empty table;
+columns beside those of documents are kept, but columns called size, shard or slot give
+way to those of the last stage.
+"""
 
 from __future__ import annotations
 
