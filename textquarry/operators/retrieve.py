@@ -74,7 +74,7 @@ def query_terms(queries: DataFrame, **words) -> DataFrame:
 
 def bm25_search(post: DataFrame, weights: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, doc_id, score, rank) from stored postings and term weights; each distinct query term (query_id, term) weighs 1."""
-    asked = small(asked.join(weights.select("term", "idf"), "term"))
+    asked = small(written(asked.join(weights.select("term", "idf"), "term"), "asked"))
     scored = post.select("doc_id", "term", "weight").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
     return top_k(scored, k)
 

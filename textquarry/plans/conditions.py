@@ -17,7 +17,7 @@ from textquarry.functions import text as T
 from textquarry.operators import retrieve as R
 from textquarry.operators import segment as S
 from textquarry.sources.runs import exists
-from textquarry.sources.scratch import written
+from textquarry.sources.scratch import shared, written
 
 
 def described(docs: DataFrame) -> DataFrame:
@@ -49,20 +49,26 @@ class Condition:
         text = T.enriched(F.col("fm"), F.col("texto")) if self.enriched else F.col("texto")
         return out.withColumns({"texto_embebido": text, "point_id": T.point_id(F.col("chunk_id"))}).select(*PAYLOAD)
 
-    def index(self, docs: DataFrame, embed: Callable | None = None) -> Index:
-        """All that a search needs, not yet worked out; see :meth:`Index.stored`."""
-        segs = written(self.segments(docs), "segments")
+    def index(self, docs: DataFrame, embed: Callable | None = None, root: str | None = None) -> Index:
+        """All that a search needs, as tables under root (else in the shared folder), which replace those of before."""
+        spark = docs.sparkSession
+        root = root or shared(spark, "index")
+
+        def put(name: str, df: DataFrame) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+        segs = put("segments", self.segments(docs))
         texts = segs.select(F.col("chunk_id").alias("doc_id"), F.col("texto_embebido").alias("texto"))
-        out = Index(segs)
         if self.search != "sparse":
-            out.vectors = R.embedded(texts.withColumn("texto", T.passage_prefixed(F.col("texto"))) if embed else texts, embed)
+            put("vectors", R.embedded(texts.withColumn("texto", T.passage_prefixed(F.col("texto"))) if embed else texts, embed))
         if self.search != "dense":
-            out.postings = written(R.postings(texts), "postings")
-            out.terms = R.idf(out.postings, segs.count())
+            put("terms", R.idf(put("postings", R.postings(texts)), segs.count()))
         if self.graph:
-            own = described(docs)
-            out.edges, out.numbers = R.citation_edges(own), R.number_index(own)
-        return out
+            own = described(docs).select("doc_id", "numero", "citacoes")
+            put("edges", R.citation_edges(own))
+            put("numbers", R.number_index(own))
+        return Index.load(spark, root)
 
     def hits(self, index: Index, queries: DataFrame, k: int = 5, embed: Callable | None = None) -> DataFrame:
         """k best chunks of each query (query_id, query), and documents that they cite, with graph."""
@@ -92,7 +98,7 @@ PAYLOAD = ["doc_id", "chunk_id", "point_id", "titulo", "tipo", "numero", "data_p
 
 @dataclass
 class Index:
-    """Tables of one condition: segments, and as the search needs them vectors, postings with term weights, citations."""
+    """Stored tables of one condition: segments, and as the search needs them vectors, postings with term weights, citations."""
 
     segments: DataFrame
     vectors: DataFrame | None = None
@@ -101,14 +107,6 @@ class Index:
     edges: DataFrame | None = None
     numbers: DataFrame | None = None
 
-    def stored(self, root: str) -> Index:
-        """The index as tables under root, which replace those of before; reads them from there."""
-        for f in fields(self):
-            if (df := getattr(self, f.name)) is not None:
-                # Terms that many segments have are spread over the files.
-                (df.sort("term") if f.name == "postings" else df).write.mode("overwrite").parquet(f"{root}/{f.name}")
-        return Index.load(self.segments.sparkSession, root)
-
     @classmethod
     def load(cls, spark: SparkSession, root: str) -> Index:
         return cls(**{f.name: spark.read.parquet(f"{root}/{f.name}") for f in fields(cls) if exists(spark, f"{root}/{f.name}")})

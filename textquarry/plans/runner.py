@@ -161,7 +161,7 @@ def ingest(spark: SparkSession, cond: Condition, docs: DataFrame, root: str, for
     at = f"{root.rstrip('/')}/index/{name}"
     why = runs.must_ingest(spark, at, f"{at}.json", wanted, forced)
     if why:
-        index = cond.index(docs, embed).stored(at)
+        index = cond.index(docs, embed, at)
         runs.store_fingerprint(spark, f"{at}.json", wanted)
     else:
         index = Index.load(spark, at)
