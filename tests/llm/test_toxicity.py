@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -96,3 +97,13 @@ def test_stage(spark, table):
     kept = {r.doc_id for r in out.collect()}
     wrong = sum((i in kept) == bool(t) for i, _, t in labels)
     assert out.columns == docs.columns and wrong <= 0.1 * len(labels)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_recall_on_the_test_tables(spark):
+    path = "/root/testdata/sf0.01"
+    out = {r.doc_id: r for r in X.op9_toxicity(spark, path).collect() if r.held_out}
+    held = [(r.toxic, out[r.doc_id].predicted) for r in spark.read.parquet(f"{path}/labels.parquet").where("toxic is not null").collect() if r.doc_id in out]
+    assert sum(y for y, _ in held) >= 5
+    assert sum(p for y, p in held if y) >= 0.9 * sum(y for y, _ in held)
+    assert sum(p for y, p in held if not y) <= 0.05 * sum(1 - y for y, _ in held)

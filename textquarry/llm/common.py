@@ -103,6 +103,11 @@ def give_back() -> None:
         return
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once: a column named inside another lambda is worked out again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def unbound(df: DataFrame, key: str) -> DataFrame:
     """df with a key that is computed anew.
 
@@ -124,5 +129,10 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether a row's label may not be learnt from; a null id has no label and isn't held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -1,18 +1,23 @@
 """Operator 9: a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input is a hashed embedding of the word beside the scaled sum of
-hashed embeddings of its character 3- and 4-grams (bounds marked). A text is read in
+hashed embeddings of its character grams of 3 to 6 (bounds marked). A text is read in
 overlapping windows of WINDOW words, each STRIDE on, all of them scored; a text's
 score is its highest window's. Training sees windows of labelled texts: of a toxic
 text the window that scores highest so far, of a clean one its highest and a random
 one. Each known word's gate inputs are cached by the worker.
 
+Trained words lose their own embedding in half of the batches, and the parameters are
+averaged over the second half of the epochs, so that grams carry what they can.
+
 Learnt from at most SAMPLE rows of each class (those of least hash), only of rows
 whose crc32(doc_id as text) mod 5 is not 0; everything else covers all texts.
 
 Defined results: null and empty texts have one window without words, scored by the
 bias alone; without labelled rows of both classes every score is 0; rows that repeat
-are scored alike; an empty table gives an empty result; a null doc_id is not held out.
+are scored alike; an empty table gives an empty result; a null doc_id is not held out
+and has no label; texts of any length are scored whole, in all their windows; other
+columns are ignored, and kept by :func:`stage`.
 """
 
 from __future__ import annotations
@@ -21,19 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import give_back, small_batches
+from textquarry.llm.common import give_back, held_out, small_batches
 
 WINDOW, STRIDE = 64, 48
 #: Labelled rows of each class that are fitted.
 SAMPLE = 1200
-WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 15
+WORD_ROWS, GRAM_ROWS = 1 << 14, 1 << 16
+#: Lengths of character grams, bounds counted.
+GRAMS = (3, 4, 5, 6)
 D_WORD, D_CHAR, H, ATT = 8, 12, 8, 8
 EPOCHS, BATCH, RATE, LEAST_BATCHES = 6, 64, 0.01, 400
 #: Random windows of a clean text in an epoch; times that a toxic one is seen at most.
 CLEAN, MOST_AGAIN = 3, 2
+#: Share of words whose own embedding is left out of a batch.
+DROPPED = 0.5
 #: Embeddings learn by this times the rate.
 FASTER = np.float32(5)
 #: Words that a worker remembers before it starts anew; words of a step.
@@ -42,10 +51,6 @@ _EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_/\\~`^+="
 _U = np.uint64
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
-
-
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word row, gram rows of all words, gram count of each word)."""
     marked = ["\x02" + (w.strip(_EDGE) or w) + "\x03" for w in words]
@@ -58,12 +63,15 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     with np.errstate(over="ignore"):
         powers = _mix(place.astype(np.uint64) + _U(17)) | _U(1)
         row = _mix(np.add.reduceat(codes * powers, starts)) % _U(WORD_ROWS)
-        padded = np.concatenate((codes, np.zeros(3, dtype=np.uint64)))
-        g3 = codes * _U(0x9E3779B97F4A7C15) + padded[1:-2] * _U(0xC2B2AE3D27D4EB4F) + padded[2:-1] * _U(0x165667B19E3779F9)
-        g4 = g3 * _U(31) + padded[3:] * _U(0x27D4EB2F165667C5) + _U(7)
-    ok3, ok4 = left >= 3, left >= 4
-    grams = np.concatenate((_mix(g3[ok3]), _mix(g4[ok4]))) % _U(GRAM_ROWS)
-    owner = np.concatenate((own[ok3], own[ok4]))
+        padded = np.concatenate((codes, np.zeros(GRAMS[-1] - 1, dtype=np.uint64)))
+        grams, owner, g = [], [], np.zeros(len(codes), dtype=np.uint64)
+        for k in range(GRAMS[-1]):
+            g = g * _U(0x9E3779B97F4A7C15) + padded[k : k + len(codes)] * _U(0xC2B2AE3D27D4EB4F) + _U(k)
+            if k + 1 in GRAMS:
+                whole = left > k
+                grams.append(_mix(g[whole]) % _U(GRAM_ROWS))
+                owner.append(own[whole])
+    grams, owner = np.concatenate(grams), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
     return row.astype(np.int64), grams[order].astype(np.int64), np.bincount(owner, minlength=len(words))
 
@@ -281,6 +289,7 @@ def train(texts: list[str | None], toxic: np.ndarray, epochs: int = EPOCHS, seed
     gram_at = np.cumsum(n_grams) - n_grams
     text, first, n = windows(counts)
     start = (np.cumsum(counts) - counts)[text] + first
+    mean: dict[str, np.ndarray] = {}
     m1, m2, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     steps = max(epochs, -(-LEAST_BATCHES * BATCH // (4 * max(1, len(texts)))))  # a small sample is seen more often
     for epoch in range(steps):
@@ -306,17 +315,23 @@ def train(texts: list[str | None], toxic: np.ndarray, epochs: int = EPOCHS, seed
             X[:, :D_WORD] = p["word"][row[used]]
             k_root = np.sqrt(k)[:, None]
             X[:, D_WORD:] = np.add.reduceat(p["gram"][g], np.cumsum(k) - k, axis=0) / k_root
+            # Words are left out by halves, so that what grams can tell isn't learnt by heart.
+            whole = np.where(rng.random((len(used), 1)) < DROPPED, 0, 1 / (1 - DROPPED)).astype(np.float32)
+            X[:, :D_WORD] *= whole
             grad, dX, _ = gradients(p, X, inverse, mask, toxic[text[w]].astype(np.float32))
             step += 1
             scale = np.float32(RATE * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step))
             for key, at, d in [(key, slice(None), d) for key, d in grad.items()] + [
-                ("word", *_by_row(row[used], dX[:, :D_WORD])),
+                ("word", *_by_row(row[used], dX[:, :D_WORD] * whole)),
                 ("gram", *_by_row(g, np.repeat(dX[:, D_WORD:] / k_root, k, axis=0))),
             ]:  # of the embeddings only the rows in use move
                 a = m1[key][at] * np.float32(0.9) + np.float32(0.1) * d
                 b = m2[key][at] * np.float32(0.999) + np.float32(0.001) * d * d
                 m1[key][at], m2[key][at] = a, b
                 p[key][at] -= (scale * FASTER if key in ("word", "gram") else scale) * a / (np.sqrt(b) + np.float32(1e-8))
+        if epoch >= steps // 2:
+            mean = {k: x.astype(np.float64) / (steps - steps // 2) + (mean[k] if mean else 0) for k, x in p.items()}
+    p = {k: x.astype(np.float32) for k, x in mean.items()}
     # The bias moves so that 0.5 parts the fitted texts best.
     best = np.concatenate([np.log((s := Scorer(p).scores(texts[lo : lo + 200]).astype(np.float64)) + 1e-12) - np.log(1 - s + 1e-12) for lo in range(0, len(texts), 200)])
     order = np.argsort(best)
