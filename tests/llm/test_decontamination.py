@@ -56,3 +56,18 @@ def test_stage_by_text(spark, table):
     docs = [(None, "x a b c d e f"), (None, "clean"), (None, None), (4, "a b c d e f y"), (4, "clean too")]
     out = D.stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), path).collect()
     assert {tuple(r) for r in out} == {(None, "clean"), (None, None), (4, "clean too")} and len(out) == 3
+
+
+def test_null_ids_and_very_long_texts(spark):
+    long = " ".join(f"w{k}" for k in range(60_000)) + " a b c d e f g " + " ".join(f"v{k}" for k in range(60_000))
+    docs = spark.createDataFrame([(None, "x a b c d e f g"), (None, "clean"), (7, long)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "A b c d e f g"), (None, "a b c d e f g")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in D.contained(docs, items).collect()}
+    assert got == {(None, 1): (3, 3), (7, 1): (3, 3)}
+
+
+def test_clashing_columns(spark, table):
+    path = table("benchmark", [(1, "a b c d e f")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "k"), (2, "z", 6, "l")], "doc_id long, text string, item_id int, __key string")
+    out = D.stage(spark, docs, path)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(2, "z", 6, "l")]

@@ -72,3 +72,27 @@ def test_empty(spark, table):
     table("labels", [], "doc_id long, quality int, toxic int")
     table("benchmark", [], "item_id long, text string")
     assert corpus_pipeline.run(spark, table("documents", [], DOCS)).count() == 0
+
+
+def test_odd_rows(spark, table):
+    """Null, repeated and clashing ids, empty and very long texts, other columns."""
+    rng = random.Random(5)
+    texts = [" ".join(words(rng, 80, 10**6)) for _ in range(4)]
+    long = " ".join(words(rng, 60_000, 10**6))
+    item = " ".join(words(rng, 30, 10**6))
+    rows = [
+        (1, texts[0]), (1, texts[0]), (1, texts[1]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (None, None), (2, ""), (2, " \n"), (3, long), (None, "x " + item + " y"), (4, item), (-5, texts[3]),
+    ]
+    rows = [(i, t, "en", "ab"[k % 2] if k % 5 else None, None, k, k) for k, (i, t) in enumerate(rows)]
+    table("labels", [(None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+    table("benchmark", [(1, item), (None, item), (2, None)], "item_id long, text string")
+    out = corpus_pipeline.run(spark, table("documents", rows, DOCS + ", node int, size int"))
+    assert out.columns == [*(c.split()[0] for c in DOCS.split(", ")), "node", "size", "shard", "slot"]
+    got = out.collect()
+    # One of each group, no benchmark item, nothing without words; the mix may draw rows more or less often.
+    allowed = [{0, 1}, {2}, {4, 5}, {9}, {12}]
+    assert got and all(any(r.node in g for g in allowed) for r in got)
+    assert all(sum(any(r.node == n for r in got) for n in g) <= 1 for g in allowed)
+    assert any(r.node == 9 for r in got) and all(r.n_chars == len(r.text) for r in got)
+    where = {k: r[1] for k, r in enumerate(rows)}
+    assert all(set(r.text.split()) <= set(where[r.node].split()) for r in got)

@@ -10,8 +10,10 @@ lacks fewer than k of its shingles and so holds one of the k: no such pair is
 missed. Candidates are then verified on the shingles themselves.
 
 Defined results: a null or wordless text matches nothing; rows that repeat a doc_id
-or an item_id count once, with their largest containment; an empty table on either
-side gives an empty result; other columns are ignored.
+or an item_id count once, with their largest containment; a null doc_id is an id like
+others, an item without an id takes no part in the pairs; texts of any length are
+taken whole; an empty table on either side gives an empty result; other columns are
+ignored, and kept by :func:`stage`.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n
     sets = items.select("item_id", shingles(words(F.col("text")), n).alias("item_set")).where(F.size("item_set") > 0)
     # Shingles repeat each word five times; what is broadcast stays under 100 MB.
     few = (items.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0) <= 16 << 20
-    own = docs.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "items", words(F.col("text")).alias("w"))
+    own = docs.select(F.col("doc_id").alias("own_id"), "text").join(per_doc, F.col("own_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "items", words(F.col("text")).alias("w"))
     own = own.select("doc_id", "items", shingles(F.col("w"), n).alias("doc_set"))
     pairs = own.select("doc_id", F.explode("items").alias("item_id"), "doc_set").join(F.broadcast(sets) if few else sets, "item_id")
     shared = F.size(F.array_intersect("item_set", "doc_set"))
@@ -102,10 +104,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Whether a row does follows from its text alone, so the key is a hash of the text: ids
     may be null or repeated, and a clean row stays beside a contaminated one of its id.
     """
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), "text")
     bad = written(contained(docs.select(F.md5(F.col("text").cast("binary")).alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__key")).distinct(), "decontam-bad")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, F.md5(F.col("text").cast("binary")) == F.col("__key"), "left_anti").select(*docs.columns)
+    return docs.join(bad, F.md5(docs["text"].cast("binary")) == bad["__key"], "left_anti").select(*docs.columns)
 
 
 _SETS = """

@@ -10,9 +10,10 @@ documents.
 
 Defined results: a null text has size 1 (no bytes plus 1) and CRC-32 0; a null
 old-shard key counts as a key of its own; repeated rows are rows of their own and
-get slots of their own; an empty table gives an empty result; other columns are
-ignored by the plan, or carried through it (keep), so that no row has to be found
-again by its id.
+get slots of their own, and so do rows with a null doc_id; a text of any length is one
+row; documents of equal size are in the order of their ids (null first); an empty table
+gives an empty result; other columns are ignored by the plan, or carried through it
+(keep), so that no row has to be found again by its id.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from pyspark.sql.window import Window
 
 from textquarry.llm.common import remove, scratch_path, text_crc32
 
-#: Buckets of a (old shard, size class); more of them make smaller sort groups.
-BUCKETS = 128
+#: Buckets of a (old shard, size class), at least and at most, and documents to a bucket in all
+#: shards: more buckets make smaller sort groups, and more block totals on the driver.
+BUCKETS, MOST_BUCKETS, BUCKET_DOCS = 128, 1024, 1_000_000
 #: Size classes are powers of two; sizes are longs, so there are 63 at most.
 
 
@@ -96,7 +98,7 @@ def plan(
     n_new: int = 8,
     capacities: Sequence[int] | None = None,
     cost: Sequence[Sequence[int]] | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
     keep: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, old_shard, shard, slot.
@@ -106,6 +108,7 @@ def plan(
     struct kept; whole blocks are dealt by hash, so that large documents are spread.
     """
     spark = docs.sparkSession
+    buckets = buckets or min(MOST_BUCKETS, max(BUCKETS, docs.count() // BUCKET_DOCS))
     keys = docs.select(
         "doc_id",
         _size().alias("size"),
