@@ -134,3 +134,21 @@ def test_no_python_in_scalar_plans(spark):
     rows = spark.createDataFrame([("Artigo 1 x", "Lei 1/2020")], "t string, n string")
     plan = rows.select(S.segments(F.col("t")), T.parse_title(F.col("n")), T.judge_scores(F.col("t")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_token_counters(spark):
+    import os
+
+    import pytest
+
+    from textquarry.operators.tokens import counter
+
+    rows = spark.createDataFrame([(1, "Olá mundo, isto é um texto."), (2, ""), (3, None)], "doc_id long, texto string")
+    count, name = counter()
+    assert [r.n for r in rows.select(count(F.col("texto")).alias("n")).collect()] == [6, 1, 1] and name == "chars/4"
+    ranks = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(ranks):
+        pytest.skip("no vocabulary file here")
+    count, name = counter(ranks)
+    got = [r.n for r in rows.select(count(F.col("texto")).alias("n")).collect()]
+    assert got[0] > 6 and got[1:] == [1, 1] and name == "bpe:byte_bpe_50k.tiktoken"

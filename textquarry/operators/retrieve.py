@@ -21,8 +21,8 @@ from textquarry.sources.scratch import small, written
 
 # The usual BM25 constants with a constant mean length, and the fusion constant.
 K1, B, MEAN_LENGTH, RRF_K0, PREFETCH, MOST_EXPANDED = 1.2, 0.75, 256.0, 2, 50, 3
-#: Query vectors that are multiplied at once.
-QUERY_BLOCK = 4096
+#: Query vectors that are multiplied at once, and queries whose terms are.
+QUERY_BLOCK, SPARSE_BLOCK = 4096, 512
 
 
 def tokens(text: Column) -> Column:
@@ -73,10 +73,74 @@ def query_terms(queries: DataFrame, **words) -> DataFrame:
 
 
 def bm25_search(post: DataFrame, weights: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, doc_id, score, rank) from stored postings and term weights; each distinct query term (query_id, term) weighs 1."""
-    asked = small(written(asked.join(weights.select("term", "idf"), "term"), "asked"))
-    scored = post.select("doc_id", "term", "weight").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
-    return top_k(scored, k)
+    """(query_id, doc_id, score, rank) from stored postings and term weights; each distinct query term (query_id, term) weighs 1.
+
+    Postings of the asked terms meet by document; a block of queries is multiplied with runs of
+    documents, and a run's k best are kept, so that pairs of queries and documents are never rows.
+    """
+    spark = post.sparkSession
+    pairs = written(asked.join(weights.select("term", "idf"), "term"), "asked")
+    blocks = max(1, -(-pairs.select("query_id").distinct().count() // SPARSE_BLOCK))
+    kind, qkind = post.schema["doc_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    out = None
+    for b in range(blocks):
+        # About SPARSE_BLOCK queries' terms are on the driver and in the workers at a time.
+        got = pairs.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not got:
+            continue
+        place = {t: i for i, t in enumerate(sorted({r.term for r in got}))}
+        names = sorted({r.query_id for r in got})
+        row = {q: i for i, q in enumerate(names)}
+        w = np.zeros((len(names), len(place)))
+        for r in got:
+            w[row[r.query_id], place[r.term]] = r.idf
+        sent = spark.sparkContext.broadcast((w, np.array(names)))
+        known = spark.createDataFrame(list(place.items()), "term string, ix int")
+        rows = post.join(F.broadcast(known), "term").select("doc_id", "ix", "weight").repartition("doc_id").sortWithinPartitions("doc_id")
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            w, names = sent.value
+            most = max(1, min(2000, 4_000_000 // w.shape[1]))
+            tail = None
+
+            def best(ids: np.ndarray, ix: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+                first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+                ends = np.append(first[1:], len(ids))
+                for lo in range(0, len(first), most):
+                    docs = ids[first[lo : lo + most]]
+                    part = slice(first[lo], ends[min(lo + most, len(first)) - 1])
+                    cells = np.zeros((w.shape[1], len(docs)))
+                    cells[ix[part], np.repeat(np.arange(len(docs)), (ends - first)[lo : lo + most])] = weight[part]
+                    score = np.round(w @ cells, 12)
+                    m = min(k, len(docs))
+                    # Documents are in the order of their ids, which decides ties.
+                    at = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :m]
+                    top = np.take_along_axis(score, at, axis=1).ravel()
+                    hit = top > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, m)[hit]), pa.array(docs[at.ravel()][hit]), pa.array(top[hit])], names=["query_id", "doc_id", "score"])
+
+            for batch in batches:
+                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "ix", "weight")]
+                if tail is not None:
+                    cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
+                if not len(cols[0]):
+                    continue
+                # The last document may go on in the next batch.
+                cut = int(np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))[-1])
+                tail = [c[cut:] for c in cols]
+                if cut:
+                    yield from best(*(c[:cut] for c in cols))
+            if tail is not None:
+                yield from best(*tail)
+
+        hit = rows.mapInArrow(run, f"query_id {qkind}, doc_id {kind}, score double")
+        if blocks > 1:
+            hit = written(top_k(hit, k).drop("rank"), "sparse")
+            sent.destroy()
+        out = hit if out is None else out.unionAll(hit)
+    if out is None:
+        out = post.limit(0).select(F.lit(None).cast(qkind).alias("query_id"), "doc_id", F.lit(0.0).alias("score"))
+    return top_k(out, k)
 
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

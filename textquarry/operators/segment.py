@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textquarry.functions import text as T
 
@@ -78,6 +79,20 @@ def segment_report(segs: DataFrame) -> DataFrame:
     return per.agg(F.sum("n").alias("n_segmentos"), F.count("*").alias("n_documentos"), F.round(F.avg("n"), 6).alias("media"), F.round(F.median("n"), 6).alias("mediana"), F.max("n").alias("maximo"), *counts)
 
 
+def firing_types(docs: DataFrame, most: int = 10) -> DataFrame:
+    """(tipo, n): the types of docs (doc_id, tipo, texto) in which most texts have an article heading."""
+    fires = docs.where(F.col("texto").rlike(T.ANY_CASE + T.RE_ARTICLE))
+    return fires.groupBy("tipo").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tipo").limit(most)
+
+
+def firing_samples(docs: DataFrame, types: list[str], n_docs: int = 5, n_headings: int = 3) -> DataFrame:
+    """(tipo, doc_id, amostras): of each of these types the first documents with article headings, with their first headings."""
+    found = F.regexp_extract_all("texto", F.lit(T.ANY_CASE + T.RE_ARTICLE), F.lit(0))
+    fires = docs.where(F.col("tipo").isin(types) & F.col("texto").rlike(T.ANY_CASE + T.RE_ARTICLE))
+    placed = fires.withColumn("place", F.row_number().over(Window.partitionBy("tipo").orderBy("doc_id"))).where(F.col("place") <= n_docs)
+    return placed.select("tipo", "doc_id", F.slice(found, 1, n_headings).alias("amostras"))
+
+
 def recursive_pieces(text: str, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
     """Greedy pieces of at most size characters with up to overlap characters in common.
 

@@ -17,7 +17,8 @@ from textquarry.operators import retrieve as R
 from textquarry.operators import segment as S
 from textquarry.plans.conditions import CONDITIONS, described
 from textquarry.plans.gazette import GAZETTE_SQL, gazette, table
-from textquarry.sources import corpus
+from textquarry.plans.runner import evaluate
+from textquarry.sources import corpus, runs
 from textquarry.sources.runs import to_generate
 from textquarry.sources.scratch import shared, written
 
@@ -635,7 +636,13 @@ def bleu_rouge_means(spark, sf_dir):
     return O.overlap_means(O.overlap(_pairs(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {_BM25_SQL}, h AS (SELECT query_id, rank, greatest(1, length(text) // 4)::BIGINT AS n, text FROM rk JOIN documents USING (doc_id) WHERE rank <= 5),
+b AS (SELECT query_id, list(n ORDER BY rank) AS n FROM h GROUP BY query_id),
+r AS (SELECT query_id, list_reduce(n, lambda s, x: {{'t': CASE WHEN s.t + x.t <= 6000 THEN s.t + x.t ELSE s.t END, 'k': CASE WHEN s.t + x.t <= 6000 THEN s.k || ',' || (s.i + 1) ELSE s.k END, 'i': s.i + 1}},
+  {{'t': 0::BIGINT, 'k': '', 'i': 0::BIGINT}}) AS s FROM (SELECT query_id, list_transform(n, lambda x: {{'t': x, 'k': '', 'i': 0::BIGINT}}) AS n FROM b)),
+u AS (SELECT query_id, substr(s.k, 2) AS ranks FROM r),
+c AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS c FROM h JOIN u USING (query_id) WHERE list_contains(string_split(ranks, ','), rank::VARCHAR) GROUP BY query_id)
+SELECT query_id, coalesce(trim(string_split(list_filter(string_split(c, chr(10)), lambda x: x <> '')[1], '. ')[1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') AS resposta FROM u LEFT JOIN c USING (query_id)""")
 def answer_generation(spark, sf_dir):
     """Extractive answers to the benchmark from BM25 contexts within the budget."""
     docs = _texts(spark, sf_dir)
@@ -645,6 +652,113 @@ def answer_generation(spark, sf_dir):
     return C.answered(ctx.select("query_id", T.prompt(F.col("context"), F.col("query")).alias("prompt")))
 
 
+# Files: runs and evaluations made of the events table, written, read again and measured.
+
+_FILES_SQL = """
+rf AS (SELECT event_id, event_type AS condicao, 'q' || event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'semantica' ELSE 'identificador' END AS tipo, CASE WHEN event_id % 17 = 0 THEN 'ERRO: quota' ELSE 'resposta ' || event_id END AS resposta,
+  (event_id % 5) * 700 AS tokens, [(user_id % 7 = event_id % 7)::INT::DOUBLE, 0.0, (user_id % 3 = event_id % 3)::INT::DOUBLE] AS rel FROM events)
+"""
+
+
+def _run_files(spark, sf_dir) -> str:
+    """A folder with a run file for each event type."""
+    e = table(spark, sf_dir, "events")
+    key = lambda letter, c, m: F.concat(F.lit(letter), (F.col(c) % m).cast("string"))
+    hit = lambda c: F.struct(c.alias("doc_id"), F.lit("t").alias("titulo"), F.lit("Aviso").alias("tipo"), F.lit("").alias("numero"), F.lit("bloco").alias("nivel"), F.lit(0.5).alias("score"), F.lit("sparse").alias("method"))
+    rows = e.select(
+        F.concat(F.lit("q"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("pergunta "), F.col("event_id").cast("string")).alias("query"), F.when(F.col("event_id") % 2 == 0, "semantica").otherwise("identificador").alias("tipo"),
+        F.lit(1).alias("camada"), F.lit("r").alias("ground_truth"), F.array(key("a", "event_id", 7), key("c", "event_id", 3)).alias("documentos_esperados"), (F.col("event_id") % 4 == 0).alias("para_geracao"),
+        F.when(F.col("event_id") % 17 == 0, "ERRO: quota").otherwise(F.concat(F.lit("resposta "), F.col("event_id").cast("string"))).alias("resposta"), F.array(F.lit("c")).alias("contextos"),
+        F.array(hit(key("a", "user_id", 7)), hit(F.lit("b")), hit(key("c", "user_id", 3))).alias("metadados"),
+        F.lit(0.1).alias("tempo_retrieval_s"), F.lit(0.2).alias("tempo_geracao_s"), F.lit(0.3).alias("tempo_total_s"), F.lit(3).alias("n_blocos_recuperados"), F.lit(3).alias("n_blocos_usados"),
+        ((F.col("event_id") % 5) * 700).cast("int").alias("tokens_contexto"), F.col("event_type"),
+    )
+    root = shared(spark, "run-files")
+    for r in rows.select("event_type").distinct().collect():  # a file a type
+        runs.write_run(rows.where(F.col("event_type") == r.event_type).drop("event_type"), root, "eventos", r.event_type, 1, {"top_k": 5}, {})
+    return root
+
+
+@query(f"WITH {_FILES_SQL} SELECT id, condicao, 1 AS repeticao, tipo, resposta, tokens::INT AS tokens_contexto, 3 AS n_hits FROM rf")
+def run_file_scan(spark, sf_dir):
+    rows = runs.run_results(runs.run_files(spark, _run_files(spark, sf_dir)))
+    return rows.select("id", "condicao", "repeticao", "tipo", "resposta", "tokens_contexto", F.size("hits").alias("n_hits"))
+
+
+@query(f"""WITH {_FILES_SQL}, rn AS (SELECT *, list_sum(rel) AS nr FROM rf), me AS (SELECT condicao, tipo, nr / 3 AS precision, nr / 2 AS recall, CASE WHEN rel[1] = 1 THEN 1.0 WHEN rel[3] = 1 THEN 1.0 / 3 ELSE 0 END AS mrr,
+  CASE WHEN nr > 0 THEN (rel[1] + rel[3] / 2) / (CASE WHEN nr = 2 THEN 1 + 1 / log2(3) ELSE 1 END) ELSE 0 END AS ndcg, CASE WHEN nr > 0 THEN 1.0 ELSE 0.0 END AS hit_rate FROM rn)
+SELECT condicao, CASE WHEN grouping(tipo) = 1 THEN 'total' ELSE 'tipo=' || tipo END AS estrato, count(*) AS n, {_MEANS_SQL} FROM me GROUP BY GROUPING SETS ((condicao, tipo), (condicao))""")
+def evaluate_runs(spark, sf_dir):
+    """The retrieval part of the evaluation of every run file of a folder."""
+    rows, out = runs.run_results(runs.run_files(spark, _run_files(spark, sf_dir))), None
+    for r in rows.select("condicao").distinct().collect():  # one a run file
+        one = evaluate(rows.where(F.col("condicao") == r.condicao), retrieval_only=True)["retrieval"].withColumn("condicao", F.lit(r.condicao))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""WITH c AS (SELECT text, max(conv_id) AS conv_id FROM conversations WHERE turn = 0 GROUP BY text)
+SELECT conv_id AS query_id, md5(text) AS m FROM c""")
+def lookup_by_query(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    return runs.by_query(rows).select("query_id", _md5(F.col("query")).alias("m"))
+
+
+_EVAL_SQL = """
+ef AS (SELECT event_type AS condicao, user_id % 3 AS rep, round(avg(value), 6) AS v, round(avg((event_id % 4 = 0)::INT), 6) AS h, count(*) AS n FROM events GROUP BY ALL)
+"""
+
+
+@query(f"""WITH {_EVAL_SQL} SELECT condicao, count(*) AS n_exec, round(avg(h * 2), 6) AS "precision@5", round(avg(h), 6) AS "hit@5", round(avg(h * 4), 6) AS "recall@5", round(avg(v), 6) AS "ndcg@5", round(avg(v * 2), 6) AS mrr,
+  round(avg(h), 6) AS hit_ident, round(avg(CASE WHEN rep > 0 THEN v END), 6) AS hit_seman, round(avg(CASE WHEN rep > 0 THEN h END), 6) AS faithful, round(avg(CASE WHEN rep > 0 THEN v END), 6) AS relevancy, round(avg(CASE WHEN rep > 0 THEN v * 4 END), 6) AS correctness,
+  round(avg(CASE WHEN rep <> 1 THEN n END), 6) AS tokens_ctx, round(avg(v * 2), 6) AS latencia_s, round(CASE WHEN count(h) > 1 THEN stddev_pop(h) ELSE 0 END, 6) AS "hit@5_sd" FROM ef GROUP BY condicao""")
+def compare_evaluations(spark, sf_dir):
+    """All columns of the comparison, from evaluation files: some runs have no judge, some no budget."""
+    e = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 3).alias("rep"))
+    root = shared(spark, "evaluations")
+    for r in e.agg(F.round(F.avg("value"), 6).alias("v"), F.round(F.avg((F.col("event_id") % 4 == 0).cast("int")), 6).alias("h"), F.count("*").alias("n")).collect():  # a row a run
+        told = {
+            "condicao": r.event_type, "retrieval": {"precision@5": r.h * 2, "hit_rate@5": r.h, "recall@5": r.h * 4, "ndcg@5": r.v, "mrr": r.v * 2}, "tempos": {"total_medio_s": r.v * 2},
+            "retrieval_estratificado": {"tipo=identificador": {"hit_rate@5": r.h}} | ({"tipo=semantica": {"hit_rate@5": r.v}} if r.rep else {}), "orcamento_contexto": {"tokens_media": r.n} if r.rep != 1 else {},
+        } | ({"juiz_llm": {"faithfulness": r.h, "answer_relevancy": r.v, "correctness": r.v * 4}} if r.rep else {})
+        runs.write_evaluation(spark, f"{root}/{r.event_type}_r{r.rep}.json", told)
+    return M.compare(runs.evaluations(spark, root), list(M.COMPARED))
+
+
+@query(f"""WITH {GAZETTE_SQL}, {_SEG_SQL}, cg AS (SELECT doc_id, doc_id || '::' || j AS chunk_id, nivel FROM art UNION ALL SELECT doc_id, doc_id || '::0', 'bloco' FROM ad WHERE NOT ok)
+SELECT chunk_id, ('0x' || substr(md5(chunk_id), 1, 15))::BIGINT AS point_id, cg.doc_id, 'Despacho' AS tipo, {_NUM_SQL} AS numero, nivel FROM cg JOIN g USING (doc_id)""")
+def index_scan(spark, sf_dir):
+    """What a stored index holds of its segments, read back."""
+    index = CONDITIONS["hibrido-esparso"].index(gazette(spark, sf_dir))
+    return index.segments.select("chunk_id", "point_id", "doc_id", "tipo", "numero", F.col("nivel_segmentacao").alias("nivel"))
+
+
+_TYPED_SQL = r"""tg AS (SELECT doc_id, o_orderpriority AS tipo, len(regexp_extract_all(texto, '(?i)(?:^|
+)#{0,6}\s*\**\s*Art(?:igo)?\.?\s*(\d+)', 1)) AS a FROM g JOIN orders ON o_orderkey = doc_id)"""
+
+
+@query(f"WITH {GAZETTE_SQL}, {_TYPED_SQL} SELECT tipo, count(*) AS n FROM tg WHERE a > 0 GROUP BY tipo ORDER BY n DESC, tipo LIMIT 10")
+def diagnosis_types(spark, sf_dir):
+    return S.firing_types(_typed(spark, sf_dir))
+
+
+@query(f"WITH {GAZETTE_SQL}, {_TYPED_SQL} SELECT tipo, doc_id, least(a, 3)::INT AS n FROM tg WHERE a > 0 AND tipo IN ('1-URGENT', '5-LOW') QUALIFY row_number() OVER (PARTITION BY tipo ORDER BY doc_id) <= 5")
+def diagnosis_samples(spark, sf_dir):
+    return S.firing_samples(_typed(spark, sf_dir), ["1-URGENT", "5-LOW"]).select("tipo", "doc_id", F.size("amostras").alias("n"))
+
+
+def _typed(spark, sf_dir):
+    kinds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("tipo"))
+    return gazette(spark, sf_dir).join(kinds, "doc_id")
+
+
+@query("""WITH c AS (SELECT DISTINCT l_suppkey AS node FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49)
+SELECT s_suppkey AS node, c.node IS NULL AS hidden FROM supplier LEFT JOIN c ON c.node = s_suppkey""")
+def graph_visible_subset(spark, sf_dir):
+    chosen = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A' and l_quantity > 49").select(F.col("l_suppkey").alias("node"))
+    return R.visible(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")), chosen)
+
+
 def _condition_sql(search: str, enriched: bool, graph: bool) -> str:
     """The same condition in DuckDB's SQL: segments, questions, rankings, their fusion, the expansion."""
     head = "'Tipo: Despacho | Número: ' || numero || ' | Entidade: ' || entidade || ' | Assunto: ' || sumario || chr(10) || chr(10) || " if enriched else ""

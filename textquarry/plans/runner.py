@@ -13,16 +13,17 @@ from textquarry.operators import context as C
 from textquarry.operators import metrics as M
 from textquarry.operators import overlap as O
 from textquarry.operators import questions as Q
+from textquarry.operators.tokens import counter
 from textquarry.plans.conditions import CONDITIONS, Condition, Index, condition, described, family
 from textquarry.sources import corpus, runs
-from textquarry.sources.scratch import written
+from textquarry.sources.scratch import sweep, written
 
 _HIT = "array<struct<doc_id:string,titulo:string,tipo:string,numero:string,nivel:string,score:double,method:string>>"
 
 
 def run(
     cond: Condition, docs: DataFrame | None, questions: DataFrame, k: int = 5, retrieval_only: bool = True, budget: int = C.BUDGET, make=C.Extractive,
-    index: Index | None = None, previous: DataFrame | None = None, embed=None,
+    index: Index | None = None, previous: DataFrame | None = None, embed=None, count=T.token_estimate,
 ) -> DataFrame:
     """A run's results, one row per question (runs.RESULT, with query_id, hits and targets).
 
@@ -38,7 +39,7 @@ def run(
     searched = (time.time() - began) / max(1, questions.count())
     rows = hits.join(index.segments.drop("doc_id"), "chunk_id")
     block = T.source_block(F.col("tipo"), F.col("numero"), F.col("texto"))
-    blocks = rows.select("query_id", "rank", block.alias("texto"), T.token_estimate(block).alias("tokens"))
+    blocks = rows.select("query_id", "rank", block.alias("texto"), count(block).alias("tokens"))
     packed = written(C.packed(blocks, budget), "contexts")
     meta = F.struct(F.col("doc_id").cast("string").alias("doc_id"), "titulo", "tipo", "numero", F.col("nivel_segmentacao").alias("nivel"), "score", "method")
     listed = rows.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", meta.alias("m"), "texto"))).alias("h"))
@@ -170,7 +171,7 @@ def ingest(spark: SparkSession, cond: Condition, docs: DataFrame, root: str, for
     return index, told
 
 
-def benchmark(spark: SparkSession, cond: Condition, docs: DataFrame, asked: DataFrame, out: str, k: int = 5, repetition: int = 1, retrieval_only: bool = False, forced: bool = False, resume: bool = False, make=C.Extractive, embed=None) -> str:
+def benchmark(spark: SparkSession, cond: Condition, docs: DataFrame, asked: DataFrame, out: str, k: int = 5, repetition: int = 1, retrieval_only: bool = False, forced: bool = False, resume: bool = False, make=C.Extractive, embed=None, ranks: str | None = None) -> str:
     """Ingests, runs and writes one repetition of a condition; the run file's path. resume: valid answers of its last run are kept."""
     index, told = ingest(spark, cond, docs, out, forced, embed)
     before = None
@@ -178,8 +179,9 @@ def benchmark(spark: SparkSession, cond: Condition, docs: DataFrame, asked: Data
         earlier = runs.read_runs(spark, out).where((F.col("condicao") == cond.name) & (F.col("repeticao") == repetition))
         last = earlier.agg(F.max(F.col("quando").cast("string"))).first()[0]
         before = earlier.where(F.col("quando").cast("string") == last).select(F.col("id").alias("query_id"), "resposta") if last else None
-    results = run(cond, docs, asked, k, retrieval_only, make=make, index=index, previous=before, embed=embed)
-    return runs.write_run(results.drop("query_id", "hits", "targets"), out, cond.family, cond.name, repetition, cond.config() | {"top_k": k, "context_budget_tokens": C.BUDGET, "variante": cond.name}, told)
+    count, counted = counter(ranks)
+    results = run(cond, docs, asked, k, retrieval_only, make=make, index=index, previous=before, embed=embed, count=count)
+    return runs.write_run(results.drop("query_id", "hits", "targets"), out, cond.family, cond.name, repetition, cond.config() | {"top_k": k, "context_budget_tokens": C.BUDGET, "variante": cond.name, "tokenizer_orcamento": counted}, told)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -194,6 +196,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--reingest", action="store_true")
     p.add_argument("--retrieval-only", action="store_true")
     p.add_argument("--resume", action="store_true")
+    p.add_argument("--ranks", help="a byte-pair rank file for token counts")
     p.add_argument("--out", default="results")
     p.add_argument("--evaluate", help="a run file, or a folder of them")
     p.add_argument("--compare", help="a folder of evaluation files")
@@ -214,7 +217,8 @@ def main(argv: list[str] | None = None) -> None:
         asked = corpus.question_file(spark, a.questions).withColumnsRenamed({"id": "query_id", "documentos_esperados": "targets"})
         for cond in family(a.ablation) if a.ablation else [condition(a.condition)]:
             for r in range(1, a.repetitions + 1):
-                print(benchmark(spark, cond, docs, asked, a.out, a.top_k, r, a.retrieval_only, a.reingest and r == 1, a.resume))
+                print(benchmark(spark, cond, docs, asked, a.out, a.top_k, r, a.retrieval_only, a.reingest and r == 1, a.resume, ranks=a.ranks))
+    sweep(spark)
 
 
 if __name__ == "__main__":

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_made: list[str] = []
+
+
 def shared(spark: SparkSession, name: str) -> str:
     """A fresh path under spark.checkpoint.dir; a folder of this machine only for a session of one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,7 +24,15 @@ def shared(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all that this process put there, for when nothing reads it any more."""
+    while _made:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
