@@ -1,6 +1,9 @@
 import random
+import time
 import zlib
 
+from pyspark.sql import functions as F
+
 from textquarry.llm import line_dedup as L
 from tests.llm.conftest import DOCS
 
@@ -67,3 +70,21 @@ def test_null_ids(spark):
 def test_native_plan(spark, table):
     df = L.op2_line_dedup(spark, table("documents", [(1, "a\nb", "en", "s", 3)], DOCS))
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_very_many_lines(spark):
+    """A text of 60,000 lines, nearly all of them repeated: steps go with lines, not with their square."""
+    run = "\n".join(f"line {k} of ten words or so that is here twice" for k in range(20_000))
+    docs = [(1, run), (2, "top\n" + run + "\nmiddle\n" + run + "\nend")]
+    began = time.time()
+    out = {r.doc_id: r for r in L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "text", F.size("lines_removed").alias("n")).collect()}
+    assert out[1].n == 0 and out[2].n == 40_000 and out[2].text == "top\nmiddle\nend"
+    assert time.time() - began < 300
+
+
+def test_clashing_columns(spark):
+    run = " ".join(["word"] * 60)
+    docs = [(1, run, "a", 1, 2), (2, "x\n" + run, "b", 3, 4)]
+    out = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string, gone string, id int, lines_removed int"))
+    assert out.columns == ["doc_id", "text", "gone", "id", "lines_removed"]
+    assert sorted((r.doc_id, r.text, r.gone, r.id, r.lines_removed) for r in out.collect()) == [(1, run, "a", 1, []), (2, "x", "b", 3, [1])]

@@ -14,19 +14,21 @@ earlier position (by doc_id, then line), overlapping runs included. So one copy
 every run stays.
 
 Defined results: lines are what newlines separate; a null text has no lines, an
-empty one has one empty line; a null doc_id is an id like others, first in order; empty lines are lines of no words; rows of one doc_id
-with several texts follow one another by the texts' hash; rows that repeat wholly
-are one document here, whose marks all of them get; an empty table gives an empty
-result; other columns are kept by :func:`dedup_lines`.
+empty one has one empty line; a null doc_id is an id like others, first in order;
+empty lines are lines of no words; texts of any number of lines are taken whole; rows of
+one doc_id with several texts follow one another by the texts' hash; rows that repeat
+wholly are one document here, whose marks all of them get; an empty table gives an empty
+result; other columns, whatever their names, are kept by :func:`dedup_lines`, only
+one called lines_removed gives way to the result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textquarry.llm.common import WORD, unbound, written
+from textquarry.llm.common import WORD, let, unbound, written
 
 MIN_WORDS = 50
 
@@ -114,16 +116,25 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return covered.select("doc_id", "th", "line", "n_words")
 
 
+def _kept(text: Column, gone: Column) -> Column:
+    """The text without the lines of these numbers, in steps in proportion to its lines."""
+
+    def rest(s: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["gone"])
+        return F.transform(numbers, lambda i: F.get(s["lines"], i))
+
+    return F.array_join(let(F.struct(F.split(text, "\n", -1).alias("lines"), gone.alias("gone")), rest), "\n")
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the lines that go, with lines_removed (int array, sorted)."""
     gone = removed_lines(docs.select("doc_id", "text"), min_words)
-    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__of")).agg(F.sort_array(F.collect_list("line")).alias("__gone"))
-    alike = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__of"))
-    keyed = docs.withColumn("__th", _text_hash()).join(gone, alike, "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda t, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    rest = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "lines_removed"]
-    return keyed.select(*rest, F.coalesce("__gone", F.array().cast("array<int>")).alias("lines_removed"))
+    gone = gone.groupBy(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th")).agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), _text_hash().alias("th"))
+    rows = rows.join(gone, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th")), "left")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(_kept(F.col("row.text"), F.col("gone")))
+    rest = [text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != "lines_removed"]
+    return rows.select(*rest, F.coalesce("gone", F.array().cast("array<int>")).alias("lines_removed"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
