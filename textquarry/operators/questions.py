@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
-from textquarry.sources.scratch import numbered
+from textquarry.sources.scratch import numbered, written
 
 # Fixed values.
 LEAST, MOST, FOR_GENERATION, SEED = 25, 160, 15, 42
@@ -31,7 +31,8 @@ def questions(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     The longest summaries (ties by order) are marked for generation.
     """
-    valid = unique_summaries(candidates(docs))
+    # Texts are parsed once: the candidates are read for the counts, the join and the ranges.
+    valid = unique_summaries(written(candidates(docs), "candidates"))
     rows = numbered(valid.withColumn("mix", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}")).cast("binary"))), "mix", "doc_id")
     rich = rows.orderBy(F.desc(F.length("sumario")), "i").limit(FOR_GENERATION).select("i", F.lit(True).alias("rich"))
     return rows.join(F.broadcast(rich), "i", "left").select(  # FOR_GENERATION rows

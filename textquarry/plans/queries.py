@@ -436,7 +436,7 @@ fi AS (SELECT query_id, target, min(rank * 1000000 + pos) AS ky FROM ne GROUP BY
 nu AS (SELECT query_id, target, row_number() OVER (PARTITION BY query_id ORDER BY ky) AS i FROM fi)
 SELECT query_id, i::INT AS i, target FROM nu WHERE i <= 3""")
 def graph_expand(spark, sf_dir):
-    own = described(gazette(spark, sf_dir)).select("doc_id", "numero", "citacoes")
+    own = written(described(gazette(spark, sf_dir)).select("doc_id", "numero", "citacoes"), "cited")  # read for edges and numbers
     return R.expand(_line_hits(spark, sf_dir), R.citation_edges(own), R.number_index(own))
 
 
