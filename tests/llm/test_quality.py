@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pytest
 
 from textquarry.llm import quality as Q
 from tests.llm.conftest import DOCS, words
@@ -54,3 +56,26 @@ def test_without_labels_or_documents(spark, table):
     table("labels", [], "doc_id long, quality int, toxic int")
     assert [r.score for r in Q.op6_quality(spark, table("documents", [(1, "a", "en", "s", 1)], DOCS)).collect()] == [0.0]
     assert Q.op6_quality(spark, table("documents", [], DOCS)).count() == 0
+
+
+def test_steps_and_very_long_texts():
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["Ab", "cde!", "fgh", "%x", "ij\n", "1", "é|"]) for _ in range(3000)) + "\n\n end."
+    assert np.allclose(Q.statistics(text), Q.statistics(text, step=17), atol=1e-12)
+    long = Q.statistics("word word " * 1_000_000)
+    assert len(long) == len(Q.NAMES) and np.isfinite(long).all()
+
+
+def test_other_columns_are_ignored(spark):
+    docs = spark.createDataFrame([(1, "a b", [1.0], 5)], "doc_id long, text string, x array<double>, score int")
+    assert Q.described(docs).collect()[0].x == Q.statistics("a b")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_held_out_labels_of_the_test_tables(spark):
+    path = "/root/testdata/sf0.01"
+    out = {r.doc_id: r for r in Q.op6_quality(spark, path).collect() if r.held_out}
+    held = [(r.quality, out[r.doc_id].predicted) for r in spark.read.parquet(f"{path}/labels.parquet").where("quality is not null").collect() if r.doc_id in out]
+    for y in (0, 1):
+        own = [p == y for t, p in held if t == y]
+        assert len(own) >= 5 and np.mean(own) >= 0.9

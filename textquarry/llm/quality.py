@@ -10,27 +10,27 @@ by Cholesky factors that are computed once and sent to the workers.
 Defined results: null and empty texts have the statistics of no words; without
 labelled rows of both classes every score is 0; rows that repeat are scored alike,
 and count once for learning; an empty table gives an empty result; a null doc_id is
-not held out.
+not held out and has no label; texts of any length are taken whole, step by step; other
+columns of the documents are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import small_batches, written
+from textquarry.llm.common import give_back, held_out, small_batches, written
 
 #: Weight of the pooled covariance in each class's, and of its mean variance in that.
 POOLED, RIDGE = 0.3, 0.02
 THRESHOLD = 0.3
-#: Characters a step takes at once within a batch.
-STEP = 4_000_000
+#: Characters of a text that are taken at once.
+STEP = 1_000_000
 _CLASSES = {"upper": 1, "lower": 2, "digit": 3, "space": 4, "stop": 5, "bang": 6, "bar": 7, "mark": 8}
 NAMES = [
     "words", "word_length", "word_spread", "upper", "digit", "stop", "bang", "bar", "mark", "distinct",
@@ -63,38 +63,57 @@ def _kinds() -> np.ndarray:
     return _table[0]
 
 
-_MARKED = re.compile(r"[^\w.,;:?'\"()\-]", re.ASCII)
+_SPACE = re.compile(r"\s")
 
 
-def statistics(text: str | None) -> list[float]:
-    """The transformed statistics of one whole text, in the order of NAMES."""
+def _pieces(text: str, step: int) -> Iterator[str]:
+    """A text in pieces of about step characters that end before white space."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + step) if at + step < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+def statistics(text: str | None, step: int = STEP) -> list[float]:
+    """The transformed statistics of one whole text, in the order of NAMES.
+
+    Words are taken step by step; of a text's words only numbers and the distinct ones stay.
+    """
     text = text or ""
-    words = text.split()
-    n = len(words)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kinds = np.bincount(_kinds()[np.minimum(codes, 0x2FFF)], minlength=9) if len(codes) else np.zeros(9)
+    kinds, number, runs = np.zeros(9), {}, [np.zeros(0, dtype=np.int64)]
+    n = total = square = short = marked = 0
+    for piece in _pieces(text, step):
+        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kinds += np.bincount(_kinds()[np.minimum(codes, 0x2FFF)], minlength=9)
+        words = piece.split()
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        n, total, square = n + len(words), total + int(lengths.sum()), square + int((lengths * lengths).sum())
+        short += int((lengths <= 3).sum())
+        marked += sum(1 for w in words if w[-1] in "!%$&*#|" or w[0] in "!%$&*#|<{[")
+        runs.append(np.fromiter((number.setdefault(w.lower(), len(number)) for w in words), dtype=np.int64, count=len(words)))
+    ids = np.concatenate(runs)
     chars = max(1, len(text) - int(kinds[4]))
     share = [kinds[_CLASSES[k]] / chars for k in ("upper", "digit", "stop", "bang", "bar", "mark")]
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
-    lowered = [w.lower() for w in words]
-    counts = Counter(lowered)
-    pairs = list(zip(lowered, lowered[1:]))  # noqa: B905
     lines = [x for x in text.split("\n") if x.strip()]
-    d = max(1, n)
+    d, n_pairs = max(1, n), max(1, n - 1)
+    mean = total / d
+    pairs = len(np.unique(ids[:-1] * len(number) + ids[1:])) if n > 1 else 1
     logit = lambda x: float(np.log((x + 0.002) / (1.002 - x)))
     return [
         float(np.log1p(n)),
-        float(np.log1p(lengths.mean())) if n else 0.0,
-        float(np.log1p(lengths.std())) if n else 0.0,
+        float(np.log1p(mean)),
+        float(np.log1p(max(0.0, square / d - mean * mean) ** 0.5)),
         *map(logit, share),
-        float(np.log1p(len(counts)) / np.log1p(n)) if n else 1.0,
-        logit(max(counts.values(), default=0) / d),
-        logit(sum(a == b for a, b in pairs) / d),
-        logit(1 - len(set(pairs)) / len(pairs) if pairs else 0.0),
+        float(np.log1p(len(number)) / np.log1p(n)) if n else 1.0,
+        logit(int(np.bincount(ids).max()) / d if n else 0.0),
+        logit(int((ids[1:] == ids[:-1]).sum()) / d),
+        logit(1 - pairs / n_pairs),
         logit(1 - len(set(lines)) / len(lines) if lines else 0.0),
         float(np.log1p(n / max(1, len(lines)))),
-        logit(int((lengths <= 3).sum()) / d),
-        logit(sum(1 for w in words if w[-1] in "!%$&*#|" or w[0] in "!%$&*#|<{[") / d),
+        logit(short / d),
+        logit(marked / d),
         logit(sum(1 for x in lines if x.rstrip()[-1] in ".?!:\"'") / max(1, len(lines))),
     ]
 
@@ -108,14 +127,11 @@ def described(docs: DataFrame) -> DataFrame:
         for batch in batches:
             x = [statistics(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
-
-
 def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """(count, sum, sum of products) of x by y, over all rows (y, x)."""
 
