@@ -31,3 +31,11 @@ def test_limits(spark):
 
 def test_empty(spark, table):
     assert K.op7_token_counts(spark, table("documents", [], DOCS)).count() == 0
+
+
+def test_pieces_of_long_texts():
+    encode = K.encoder(K.RANKS).encode_ordinary
+    for text in ("It's 12 a-b  c\n d's  " * 50, "x" * 500, "a b " * 99, " \n" * 60, "ß é" * 70):
+        for step in (1, 7, 64):
+            assert K.length(encode, text, step) == len(encode(text))
+    assert K.length(encode, None) == K.length(encode, "") == 0

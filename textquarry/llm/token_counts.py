@@ -5,13 +5,15 @@ answer, for every context limit, how many documents and tokens there are, how
 many documents are longer, and what is left when each is cut at the limit.
 
 Encoding is byte-pair merging within pre-tokens, so a text's length is the sum of
-its pre-tokens' lengths. Defined results: a null or empty text has length 0;
-repeated rows count each; an empty table gives an empty histogram.
+its pre-tokens' lengths, and very long texts are encoded piece by piece. Defined results: a
+null or empty text has length 0; repeated rows count each, whatever their ids (null
+ones too); an empty table gives an empty histogram; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,7 +28,11 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-token pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths to a block of the two-level suffix sums.
-SPAN = 1024
+SPAN = 128
+#: Characters of a text that are encoded at once.
+STEP = 1_000_000
+#: A place between pre-tokens: a single space between other characters opens the next one.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 _encoders: dict[str, object] = {}
 
@@ -42,6 +48,17 @@ def encoder(ranks_file: str):
     return _encoders[ranks_file]
 
 
+def length(encode, text: str | None, step: int = STEP) -> int:
+    """Tokens of a whole text, encoded in pieces that end between pre-tokens."""
+    n, at = 0, 0
+    while text and at < len(text):
+        cut = _CUT.search(text, at + step) if at + step < len(text) else None
+        end = cut.start() if cut else len(text)
+        n += len(encode(text[at:end]))
+        at = end
+    return n
+
+
 def token_lengths(docs: DataFrame, ranks_file: str = RANKS) -> DataFrame:
     """doc_id and n_tokens of every row's whole text."""
 
@@ -49,7 +66,7 @@ def token_lengths(docs: DataFrame, ranks_file: str = RANKS) -> DataFrame:
     def lengths(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder(ranks_file).encode_ordinary
         for texts in parts:
-            yield pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([length(encode, t) for t in texts], dtype="int64")
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", lengths("text").alias("n_tokens"))
