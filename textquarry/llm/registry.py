@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textquarry.llm import decontamination, hard_negatives, importance, line_dedup, mixing, ngram_join, ogg, quality, sharding, token_counts, toxicity, warc
+from textquarry.llm import decontamination, hard_negatives, importance, line_dedup, mixing, ngram_join, ogg, pii, quality, sharding, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_media": ogg.op8_media,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
+    "op11_pii": pii.op11_pii,
     "op12_importance": importance.op12_importance,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
