@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textquarry.operators.sparse import few
 from textquarry.sources.scratch import numbered, small
 
 # Fixed values of the interval.
@@ -47,14 +48,16 @@ def per_query(results: DataFrame, k: int = 5) -> DataFrame:
     return own.withColumns(out).drop("u", "al", "rel")
 
 
-def aggregate(measured: DataFrame, stratum: str | None = None) -> DataFrame:
-    """Means over all queries, and by stratum ('tipo=...', missing '?') in the same pass."""
+def aggregate(measured: DataFrame, stratum: str | None = None, by: str | None = None) -> DataFrame:
+    """Means over all queries, and by stratum ('tipo=...', missing '?') in the same pass; by: of each value of it."""
     means = [F.round(F.avg(m), 6).alias(m) for m in METRICS]
+    keys = [by] if by else []
     if stratum is None:
-        return measured.agg(F.count("*").alias("n"), *means)
+        return measured.groupBy(*keys).agg(F.count("*").alias("n"), *means)
     own = measured.withColumn("__s", F.coalesce(F.col(stratum).cast("string"), F.lit("?")))
-    rows = own.rollup("__s").agg(F.grouping("__s").alias("g"), F.count("*").alias("n"), *means)
-    return rows.select(F.when(F.col("g") == 1, "total").otherwise(F.concat(F.lit(f"{stratum}="), "__s")).alias("estrato"), "n", *METRICS)
+    sets = [[*(F.col(k) for k in keys), F.col("__s")], [F.col(k) for k in keys]]
+    rows = own.groupingSets(sets, *keys, "__s").agg(F.grouping("__s").alias("g"), F.count("*").alias("n"), *means)
+    return rows.select(*keys, F.when(F.col("g") == 1, "total").otherwise(F.concat(F.lit(f"{stratum}="), "__s")).alias("estrato"), "n", *METRICS)
 
 
 def evaluators(results: DataFrame) -> DataFrame:
@@ -125,9 +128,12 @@ def held_by(passages: DataFrame, docs: DataFrame) -> DataFrame:
     inner = F.array_sort(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
     keyed = passages.where("query <> ''").select("query_id", "query", F.nullif(F.get(inner, F.lit(0)), F.lit("")).alias("word"))
     whole = keyed.where("word is not null")
-    own = docs.select("doc_id", F.explode(F.array_distinct(F.split("texto", r"\s+"))).alias("word")).join(small(whole.select("word").distinct()), "word", "left_semi")
-    found = own.join(small(whole.select("word", "query_id")), "word").select("query_id", "doc_id")
-    found = found.join(docs.select("doc_id", "texto"), "doc_id").join(small(passages.select("query_id", "query")), "query_id")
+    # Of a document's words only asked ones leave its row.
+    asked = few(whole.select(F.col("word").alias("term")).distinct(), 20_000)
+    found = F.array_distinct(F.split("texto", r"\s+"))
+    found = found if asked is None else F.array_intersect(found, F.lit(asked) if asked else F.array().cast("array<string>"))
+    own = docs.select("doc_id", "texto", F.explode(found).alias("word"))
+    found = own.join(small(whole), "word").select("query_id", "doc_id", "query", "texto")
     short = small(keyed.where("word is null").select("query_id", "query"))
     rest = docs.join(short, F.contains("texto", F.col("query")))
     return found.where(F.contains("texto", F.col("query"))).select("query_id", "doc_id").unionByName(rest.select("query_id", "doc_id"))

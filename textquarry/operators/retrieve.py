@@ -1,153 +1,30 @@
 """Retrieval: sparse and dense top-k for whole batches of queries, fusion, and the citation graph.
 
-Queries are a table. The sparse side joins query terms with postings by term; the
-dense side multiplies blocks of query vectors with Arrow batches of rows and keeps a
-batch's best k before anything is shuffled.
+Queries are a table. The sparse side is in :mod:`sparse`; the dense side multiplies blocks
+of query vectors with Arrow batches of rows and keeps a batch's best k before anything is
+shuffled, or reads near cells alone (:mod:`cells`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import hashlib
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textquarry.operators.sparse import B, K1, bm25_topk, idf, postings, query_terms, term_counts, top_k  # noqa: F401
 from textquarry.sources.scratch import small, written
 
-# The usual BM25 constants with a constant mean length, and the fusion constant.
-K1, B, MEAN_LENGTH, RRF_K0, PREFETCH, MOST_EXPANDED = 1.2, 0.75, 256.0, 2, 50, 3
-#: Query vectors that are multiplied at once, and queries whose terms are.
-QUERY_BLOCK, SPARSE_BLOCK = 4096, 512
-
-
-def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"), lambda x: x != "")
-
-
-def terms_of(docs: DataFrame, key: str = "doc_id", stop: Sequence[str] = (), stem: Callable[[str], str] | None = None) -> DataFrame:
-    """(key, dl, term) of docs (key, texto): every term with its text's number of terms.
-
-    stop: terms that are left out; stem: what each remaining one becomes, in Python workers.
-    """
-    found = tokens(F.col("texto"))
-    found = F.filter(found, lambda x: ~x.isin(*stop)) if stop else found
-    out = docs.select(key, found.alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    if stem is None:
-        return out
-
-    def stems(words: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return words.map(lambda w: known[w] if w in known else known.setdefault(w, stem(w)))
-
-    return out.withColumn("term", F.pandas_udf(stems, "string")("term"))
-
-
-def postings(docs: DataFrame, k1: float = K1, b: float = B, mean: float = MEAN_LENGTH, **words) -> DataFrame:
-    """(doc_id, term, tf, weight) of docs (doc_id, texto); words: stop and stem of :func:`terms_of`."""
-    own = terms_of(docs, **words).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))
-    return own.select("doc_id", "term", "tf", weight.alias("weight"))
-
-
-def idf(post: DataFrame, n_docs: int) -> DataFrame:
-    """(term, n, idf) of postings over n_docs documents."""
-    per = post.groupBy("term").agg(F.count("*").alias("n"))
-    return per.withColumn("idf", F.log(1 + (F.lit(float(n_docs)) - F.col("n") + 0.5) / (F.col("n") + 0.5)))
-
-
-def top_k(scored: DataFrame, k: int, by: str = "query_id", tie: str = "doc_id") -> DataFrame:
-    """The k best of each query with rank from 1; ties by id. Scores compare at nine decimals."""
-    w = Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), tie)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def query_terms(queries: DataFrame, **words) -> DataFrame:
-    """(query_id, term): distinct terms of queries (query_id, query)."""
-    return terms_of(queries.select("query_id", F.col("query").alias("texto")), "query_id", **words).select("query_id", "term").distinct()
-
-
-def bm25_search(post: DataFrame, weights: DataFrame, asked: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, doc_id, score, rank) from stored postings and term weights; each distinct query term (query_id, term) weighs 1.
-
-    Postings of the asked terms meet by document; a block of queries is multiplied with runs of
-    documents, and a run's k best are kept, so that pairs of queries and documents are never rows.
-    """
-    spark = post.sparkSession
-    pairs = written(asked.join(weights.select("term", "idf"), "term"), "asked")
-    blocks = max(1, -(-pairs.select("query_id").distinct().count() // SPARSE_BLOCK))
-    kind, qkind = post.schema["doc_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
-    out = None
-    for b in range(blocks):
-        # About SPARSE_BLOCK queries' terms are on the driver and in the workers at a time.
-        got = pairs.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        if not got:
-            continue
-        place = {t: i for i, t in enumerate(sorted({r.term for r in got}))}
-        names = sorted({r.query_id for r in got})
-        row = {q: i for i, q in enumerate(names)}
-        w = np.zeros((len(names), len(place)))
-        for r in got:
-            w[row[r.query_id], place[r.term]] = r.idf
-        sent = spark.sparkContext.broadcast((w, np.array(names)))
-        known = spark.createDataFrame(list(place.items()), "term string, ix int")
-        rows = post.join(F.broadcast(known), "term").select("doc_id", "ix", "weight").repartition("doc_id").sortWithinPartitions("doc_id")
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            w, names = sent.value
-            most = max(1, min(2000, 4_000_000 // w.shape[1]))
-            tail = None
-
-            def best(ids: np.ndarray, ix: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
-                first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-                ends = np.append(first[1:], len(ids))
-                for lo in range(0, len(first), most):
-                    docs = ids[first[lo : lo + most]]
-                    part = slice(first[lo], ends[min(lo + most, len(first)) - 1])
-                    cells = np.zeros((w.shape[1], len(docs)))
-                    cells[ix[part], np.repeat(np.arange(len(docs)), (ends - first)[lo : lo + most])] = weight[part]
-                    score = np.round(w @ cells, 12)
-                    m = min(k, len(docs))
-                    # Documents are in the order of their ids, which decides ties.
-                    at = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :m]
-                    top = np.take_along_axis(score, at, axis=1).ravel()
-                    hit = top > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, m)[hit]), pa.array(docs[at.ravel()][hit]), pa.array(top[hit])], names=["query_id", "doc_id", "score"])
-
-            for batch in batches:
-                cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "ix", "weight")]
-                if tail is not None:
-                    cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
-                if not len(cols[0]):
-                    continue
-                # The last document may go on in the next batch.
-                cut = int(np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))[-1])
-                tail = [c[cut:] for c in cols]
-                if cut:
-                    yield from best(*(c[:cut] for c in cols))
-            if tail is not None:
-                yield from best(*tail)
-
-        hit = rows.mapInArrow(run, f"query_id {qkind}, doc_id {kind}, score double")
-        if blocks > 1:
-            hit = written(top_k(hit, k).drop("rank"), "sparse")
-            sent.destroy()
-        out = hit if out is None else out.unionAll(hit)
-    if out is None:
-        out = post.limit(0).select(F.lit(None).cast(qkind).alias("query_id"), "doc_id", F.lit(0.0).alias("score"))
-    return top_k(out, k)
-
-
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The same from texts (doc_id, texto) without an index: only terms that some query has are counted and weighed."""
-    asked = query_terms(queries)
-    post = written(postings(docs).join(small(asked.select("term").distinct()), "term", "left_semi"), "postings")
-    return bm25_search(post, idf(post, docs.count()), asked, k)
+# The fusion constant, what is fetched before fusion, and the most that is added by citations.
+RRF_K0, PREFETCH, MOST_EXPANDED = 2, 50, 3
+#: Query vectors that are multiplied at once.
+QUERY_BLOCK = 4096
 
 
 def dense_topk(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -208,15 +85,28 @@ def rrf(rankings: list[DataFrame], k: int = 5, k0: int = RRF_K0) -> DataFrame:
 
 
 def hash_embedding(docs: DataFrame, dims: int = 64) -> DataFrame:
-    """Offline stand-in for a model: (doc_id, vector) by signed hashing of terms, of length 1."""
-    post = docs.select("doc_id", F.explode(tokens(F.col("texto"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    h = F.md5(F.col("term").cast("binary"))
-    dim = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
-    sign = F.when(F.pmod(F.conv(F.substring(h, 9, 1), 16, 10).cast("int"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    cells = post.groupBy("doc_id", dim.alias("dim")).agg(F.sum(sign * F.col("tf")).alias("x"))
-    maps = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.greatest("norm", F.lit(1e-300)))
-    return maps.select("doc_id", vector.alias("vector"))
+    """Offline stand-in for a model: (doc_id, vector) of docs (doc_id, texto) by signed hashing of terms, of length 1; within the row.
+
+    A text without terms has no vector.
+    """
+    own = term_counts(docs).where(F.size("terms") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, n = batch.column("terms"), len(batch)
+            d = terms.flatten().dictionary_encode()
+            hashes = [hashlib.md5(t.encode()).hexdigest() for t in d.dictionary.to_pylist()]
+            cell = np.array([int(h[:8], 16) % dims for h in hashes], dtype=np.int64)
+            sign = np.array([1.0 if int(h[8], 16) % 2 == 0 else -1.0 for h in hashes])
+            code = d.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+            tf = batch.column("counts").flatten().to_numpy(zero_copy_only=False)
+            x = np.bincount(row * dims + cell[code], weights=sign[code] * tf, minlength=n * dims).reshape(n, dims) if n else np.zeros((0, dims))
+            x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+            ends = pa.array(np.arange(0, (n + 1) * dims, dims), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["doc_id", "vector"])
+
+    return own.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, vector array<double>")
 
 
 class Embedder(Protocol):

@@ -7,16 +7,19 @@ method) for all questions at once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field, fields
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
+from textquarry.operators import cells as cells_
 from textquarry.operators import retrieve as R
 from textquarry.operators import segment as S
-from textquarry.sources.runs import exists
+from textquarry.operators import sparse
+from textquarry.sources.parts import Staged, Store
 from textquarry.sources.scratch import shared, written
 
 
@@ -49,36 +52,116 @@ class Condition:
         text = T.enriched(F.col("fm"), F.col("texto")) if self.enriched else F.col("texto")
         return out.withColumns({"texto_embebido": text, "point_id": T.point_id(F.col("chunk_id"))}).select(*PAYLOAD)
 
-    def index(self, docs: DataFrame, embed: Callable | None = None, root: str | None = None) -> Index:
-        """All that a search needs, as tables under root (else in the shared folder), which replace those of before."""
-        spark = docs.sparkSession
-        root = root or shared(spark, "index")
-
-        def put(name: str, df: DataFrame) -> DataFrame:
-            df.write.mode("overwrite").parquet(f"{root}/{name}")
-            return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+    def index(self, docs: DataFrame, embed: Callable | None = None, root: str | None = None, buckets: int | None = None, cells: bool = False) -> Index:
+        """All that a search needs of docs (doc_id, titulo, texto), as tables under root (else in the shared folder), which replace those of before.
 
-        segs = put("segments", self.segments(docs))
-        texts = segs.select(F.col("chunk_id").alias("doc_id"), F.col("texto_embebido").alias("texto"))
-        if self.search != "sparse":
-            put("vectors", R.embedded(texts.withColumn("texto", T.passage_prefixed(F.col("texto"))) if embed else texts, embed))
+        Documents lie in buckets by the hash of their ids, about BUCKET each; vectors as well, or in cells.
+        """
+        spark = docs.sparkSession
+        n = buckets or max(1, -(-docs.count() // BUCKET))
+        store = Store.open(spark, (root or shared(spark, "index")).rstrip("/"))
+        info = {"buckets": n, "search": self.search, "cells": cells}
+        return Index(store.commit(*self._staged(store, marked(docs, n), embed, info)), info)
+
+    def _vectors(self, segs: DataFrame, embed: Callable | None, n: int) -> DataFrame:
+        """(doc_id, vector, bucket) of segments; doc_id is the segment's."""
+        text = F.col("texto_embebido")
+        texts = segs.select(F.col("chunk_id").alias("doc_id"), (T.passage_prefixed(text) if embed else text).alias("texto"))
+        return R.embedded(texts, embed).withColumn("bucket", bucket_of(document_of(F.col("doc_id")), n))
+
+    def _staged(
+        self, store: Store, docs: DataFrame, embed: Callable | None, info: dict, kept: dict[str, DataFrame] | None = None, parts: dict[str, list] | None = None, segs: DataFrame | None = None, vectors: DataFrame | None = None
+    ) -> tuple[dict[str, Staged], dict | None, dict]:
+        """(staged tables, their parts that are replaced, info) of marked documents, beside what is kept of the tables; segs, vectors: where they are made already."""
+        kept, out, n = kept or {}, {}, info["buckets"]
+
+        def put(name: str, df: DataFrame, part: str = "bucket") -> DataFrame:
+            df = df.unionByName(kept[name]) if name in kept else df
+            out[name] = store.stage(name, df, part)
+            folders = {f.split("/")[0] for f in out[name].folders.values()}
+            return store.spark.read.schema(df.schema).parquet(*(f"{store.root}/{f}" for f in folders)) if folders else df.limit(0)
+
+        segs = written(self.segments(docs).withColumn("bucket", bucket_of(F.col("doc_id"), n)), "segments") if segs is None else segs
+        ranges = segs.groupBy("doc_id").agg(F.array_sort(F.collect_set(range_of(F.col("point_id")))).alias("ranges"))
+        put("marks", docs.join(ranges, "doc_id", "left").select("doc_id", "bucket", "mark", "ranges"))
+        put("points", segs.select(range_of(F.col("point_id")).alias("range"), *POINT), "range")
+        whole = put("segments", segs)
+        if "sub" not in info:  # shards of a bucket, so that each holds about SHARD segments
+            info["sub"] = max(1, -(-whole.count() // (sparse.SHARD * info["buckets"])), -(-store.spark.sparkContext.defaultParallelism // info["buckets"]))
         if self.search != "dense":
-            put("terms", R.idf(put("postings", R.postings(texts)), segs.count()))
+            # The bucket's lists are made anew, of all its segments.
+            texts = whole.select(F.col("chunk_id").alias("doc_id"), F.col("texto_embebido").alias("texto"))
+            counts = sparse.term_counts(texts).withColumn("bucket", bucket_of(document_of(F.col("doc_id")), n))
+            out["lists"] = store.stage("lists", sparse.shards(counts, info["sub"]), "bucket")
+        if self.search != "sparse":
+            vectors = self._vectors(segs, embed, n) if vectors is None else vectors
+            if not info["cells"]:
+                put("vectors", vectors)
+            elif "vectors" in kept:
+                put("vectors", vectors, "cell")
+            else:
+                _, out["vectors"], told, _ = cells_.laid(store, vectors)
+                info |= told
         if self.graph:
-            own = described(docs).select("doc_id", "numero", "citacoes")
-            put("edges", R.citation_edges(own))
-            put("numbers", R.number_index(own))
-        return Index.load(spark, root)
-
-    def hits(self, index: Index, queries: DataFrame, k: int = 5, embed: Callable | None = None) -> DataFrame:
-        """k best chunks of each query (query_id, query), and documents that they cite, with graph."""
+            own = described(docs).select("doc_id", "numero", "citacoes").withColumn("bucket", bucket_of(F.col("doc_id"), n))
+            put("cited", own)
+        return out, parts, info
+
+    def upsert(self, index: Index, docs: DataFrame, deleted: DataFrame | None = None, embed: Callable | None = None) -> Index:
+        """The index with docs (doc_id, titulo, texto) put in or replaced, and deleted ones (doc_id) gone.
+
+        Documents whose content is as stored change nothing. Only buckets (and cells, ranges of
+        points) that a changed document is or was in are written anew, and one manifest switches
+        them all; a search then finds what a whole rebuild would.
+        """
+        store, info = index.store, dict(index.info)
+        spark, n = store.spark, info["buckets"]
+        new = written(marked(docs, n), "new")
+        old = store.read("marks")
+        changed = new.join(old.select("doc_id", F.col("mark").alias("known")), "doc_id", "left").where(~F.col("mark").eqNullSafe(F.col("known"))).drop("known")
+        gone = changed.select("doc_id", "bucket")
+        if deleted is not None:
+            lost = deleted.select("doc_id").distinct().join(new.select("doc_id"), "doc_id", "left_anti")
+            gone = gone.unionByName(old.join(lost, "doc_id", "left_semi").select("doc_id", "bucket"))
+        gone = written(gone, "touched")
+        buckets = [r.bucket for r in gone.select("bucket").distinct().collect()]  # of a fixed number
+        if not buckets:
+            return index
+        changed = written(changed, "changed")
+        stays = lambda df: df.join(gone.select("doc_id"), "doc_id", "left_anti")
+        names = [t for t in ("marks", "segments", "cited") if t in store.tables]
+        kept, parts = {t: stays(store.read(t, buckets)) for t in names}, {t: buckets for t in (*names, "lists") if t in store.tables}
+        segs, vectors = written(self.segments(changed).withColumn("bucket", bucket_of(F.col("doc_id"), n)), "segments"), None
+        ranges = store.read("marks", buckets).join(gone.select("doc_id"), "doc_id", "left_semi").select(F.explode("ranges").alias("range"))
+        ranges = ranges.unionByName(segs.select(range_of(F.col("point_id")).alias("range")))
+        parts["points"] = [r.range for r in ranges.distinct().collect()]
+        kept["points"] = stays(store.read("points", parts["points"]))
+        if "vectors" in store.tables:
+            vectors = self._vectors(segs, embed, n)
+            dead = written(store.read("segments", buckets).join(gone.select("doc_id"), "doc_id", "left_semi").select(F.col("chunk_id").alias("doc_id")), "dead")
+            parts["vectors"] = buckets
+            if info["cells"]:
+                # Old cells by where the old vectors lie; new ones after the centres, which stay.
+                vectors = written(cells_.assigned(vectors, np.array(info["centres"]).reshape(-1, info["dims"])), "new-vectors")
+                was = store.read("vectors").select("doc_id", "cell", "bucket").where(F.col("bucket").isin(buckets)).join(dead, "doc_id", "left_semi").select("cell")
+                parts["vectors"] = [r.cell for r in was.unionByName(vectors.select("cell")).distinct().collect()]
+                info["farthest"] = np.minimum(info["farthest"], cells_.farthest(vectors, len(info["farthest"]))).tolist()
+            kept["vectors"] = store.read("vectors", parts["vectors"]).join(dead, "doc_id", "left_anti")
+        return Index(store.commit(*self._staged(store, changed, embed, info, kept, parts, segs, vectors)), info)
+
+    def hits(self, index: Index, queries: DataFrame, k: int = 5, embed: Callable | None = None, recall: float | None = None) -> DataFrame:
+        """k best chunks of each query (query_id, query), and documents that they cite, with graph.
+
+        The dense side is exact; in an index with cells, recall asks for so many near cells as that takes.
+        """
         n = R.PREFETCH if self.search == "hybrid" else k
         ranked = []
         if self.search != "dense":
-            ranked.append(R.bm25_search(index.postings, index.terms, R.query_terms(queries), n))
+            ranked.append(sparse.search(index.lists, sparse.query_terms(queries), n))
         if self.search != "sparse":
             asked = queries.select(F.col("query_id").alias("doc_id"), (T.query_prefixed(F.col("query")) if embed else F.col("query")).alias("texto"))
-            ranked.append(R.dense_topk(index.vectors, R.embedded(asked, embed).withColumnRenamed("doc_id", "query_id"), n))
+            asked = R.embedded(asked, embed).withColumnRenamed("doc_id", "query_id")
+            ranked.append(cells_.Cells.of(index.store).search(asked, n, recall=recall) if index.info["cells"] else R.dense_topk(index.vectors, asked, n))
         best = R.rrf(ranked, k) if self.search == "hybrid" else ranked[0]
         segs = index.segments.select("chunk_id", "doc_id")
         best = best.withColumnRenamed("doc_id", "chunk_id").join(segs, "chunk_id")
@@ -92,24 +175,90 @@ class Condition:
         return hits.unionByName(tail.join(first, "doc_id").select(*hits.columns))
 
 
-#: What an index stores of a segment.
+#: What an index stores of a segment, and what a page of its points shows.
 PAYLOAD = ["doc_id", "chunk_id", "point_id", "titulo", "tipo", "numero", "data_publicacao", "nivel_segmentacao", "texto", "texto_embebido"]
+POINT = ["doc_id", "chunk_id", "point_id", "titulo", "tipo", "numero", "data_publicacao", "nivel_segmentacao"]
+#: Documents of a bucket, about; points lie in ranges by so many leading bits of their 60; points of a page.
+BUCKET, RANGE_BITS, PAGE = 20_000, 6, 256
+
+
+def bucket_of(doc_id: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(n)).cast("int")
+
+
+def document_of(chunk_id: Column) -> Column:
+    return F.regexp_replace(chunk_id, "::[0-9]+$", "")
+
+
+def range_of(point_id: Column) -> Column:
+    return F.shiftright(point_id, 60 - RANGE_BITS).cast("int")
+
+
+def marked(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs (doc_id, titulo, texto) with bucket, and mark, a hash of the content."""
+    mark = F.sha2(F.concat_ws("\x00", F.coalesce("titulo", F.lit("\x01")), F.coalesce("texto", F.lit("\x01"))).cast("binary"), 256)
+    return docs.select("doc_id", "titulo", "texto", bucket_of(F.col("doc_id"), buckets).alias("bucket"), mark.alias("mark"))
 
 
 @dataclass
 class Index:
-    """Stored tables of one condition: segments, and as the search needs them vectors, postings with term weights, citations."""
+    """A version of a condition's stored tables: segments, points, and as the search needs them lists, vectors, citations."""
 
-    segments: DataFrame
-    vectors: DataFrame | None = None
-    postings: DataFrame | None = None
-    terms: DataFrame | None = None
-    edges: DataFrame | None = None
-    numbers: DataFrame | None = None
+    store: Store
+    info: dict
 
     @classmethod
     def load(cls, spark: SparkSession, root: str) -> Index:
-        return cls(**{f.name: spark.read.parquet(f"{root}/{f.name}") for f in fields(cls) if exists(spark, f"{root}/{f.name}")})
+        store = Store.open(spark, root)
+        return cls(store, store.info)
+
+    @property
+    def segments(self) -> DataFrame:
+        return self.store.read("segments").drop("bucket")
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.store.read("vectors")
+
+    @property
+    def lists(self) -> DataFrame:
+        return self.store.read("lists")
+
+    @property
+    def edges(self) -> DataFrame:
+        return R.citation_edges(self.store.read("cited"))
+
+    @property
+    def numbers(self) -> DataFrame:
+        return R.number_index(self.store.read("cited"))
+
+    def page(self, token: tuple[int, int, str] | None = None, n: int = PAGE) -> tuple[list, tuple[int, int, str] | None]:
+        """(n points in order of point_id, the token to go on with; None at the end).
+
+        A token names the version that the scan began with, so that what is put in meanwhile
+        neither repeats nor hides a point. Only ranges from the last point on are read.
+        """
+        version, last, chunk = token or (self.store.version, -1, "")
+        store = self.store if version == self.store.version else Store.open(self.store.spark, self.store.root, version)
+        rows: list = []
+        after = (F.col("point_id") > last) | (F.col("point_id") == last) & (F.col("chunk_id") > chunk)
+        for part in sorted(int(p) for p in store.tables.get("points", {})):
+            if part < last >> (60 - RANGE_BITS):
+                continue
+            rows += store.read("points", [part]).where((F.col("point_id") >= last) & after).orderBy("point_id", "chunk_id").limit(n + 1 - len(rows)).select(*POINT).collect()
+            if len(rows) > n:
+                return rows[:n], (version, rows[n - 1].point_id, rows[n - 1].chunk_id)
+        return rows, None
+
+    def pages(self, n: int = PAGE) -> Iterator[list]:
+        """All points, a page at a time."""
+        token = None
+        while True:
+            rows, token = self.page(token, n)
+            if rows:
+                yield rows
+            if token is None:
+                return
 
 
 def _plain(docs: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ from textquarry.operators import overlap as O
 from textquarry.operators import questions as Q
 from textquarry.operators import retrieve as R
 from textquarry.operators import segment as S
+from textquarry.operators.cells import Cells
 from textquarry.plans.conditions import CONDITIONS, described
 from textquarry.plans.gazette import GAZETTE_SQL, gazette, table
-from textquarry.plans.runner import evaluate
 from textquarry.sources import corpus, runs
 from textquarry.sources.runs import to_generate
 from textquarry.sources.scratch import shared, written
@@ -379,6 +379,25 @@ def dense_topk(spark, sf_dir):
     return _dense(spark, sf_dir).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {_DENSE_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM dr WHERE rank <= 5")
+def dense_cells_exact(spark, sf_dir):
+    """The same through stored cells: near ones first, then those that can still hold a better row."""
+    return _near(spark, sf_dir)
+
+
+@query()
+def dense_cells_near(spark, sf_dir):
+    """The same through the cells alone that a recall of 0.95 was measured to take."""
+    return _near(spark, sf_dir, recall=0.95)
+
+
+def _near(spark, sf_dir, **how):
+    rows = _vectors(spark, sf_dir)
+    cells = Cells.build(rows, shared(spark, "cells"))
+    found = cells.search(rows.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), 5, **how)
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 _RRF_SQL = f"""
 {_DENSE_SQL}, {_POST_SQL},
 qt AS (SELECT DISTINCT doc_id AS query_id, unnest({_TOK_SQL.format(c="text")}) AS term FROM documents WHERE doc_id % 100 = 0),
@@ -689,12 +708,9 @@ def run_file_scan(spark, sf_dir):
   CASE WHEN nr > 0 THEN (rel[1] + rel[3] / 2) / (CASE WHEN nr = 2 THEN 1 + 1 / log2(3) ELSE 1 END) ELSE 0 END AS ndcg, CASE WHEN nr > 0 THEN 1.0 ELSE 0.0 END AS hit_rate FROM rn)
 SELECT condicao, CASE WHEN grouping(tipo) = 1 THEN 'total' ELSE 'tipo=' || tipo END AS estrato, count(*) AS n, {_MEANS_SQL} FROM me GROUP BY GROUPING SETS ((condicao, tipo), (condicao))""")
 def evaluate_runs(spark, sf_dir):
-    """The retrieval part of the evaluation of every run file of a folder."""
-    rows, out = runs.run_results(runs.run_files(spark, _run_files(spark, sf_dir))), None
-    for r in rows.select("condicao").distinct().collect():  # one a run file
-        one = evaluate(rows.where(F.col("condicao") == r.condicao), retrieval_only=True)["retrieval"].withColumn("condicao", F.lit(r.condicao))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The retrieval part of the evaluation of every run file of a folder, in one pass."""
+    rows = runs.run_results(runs.run_files(spark, _run_files(spark, sf_dir)))
+    return M.aggregate(M.per_query(rows), "tipo", by="condicao")
 
 
 @query("""WITH c AS (SELECT text, max(conv_id) AS conv_id FROM conversations WHERE turn = 0 GROUP BY text)
@@ -705,7 +721,7 @@ def lookup_by_query(spark, sf_dir):
 
 
 _EVAL_SQL = """
-ef AS (SELECT event_type AS condicao, user_id % 3 AS rep, round(avg(value), 6) AS v, round(avg((event_id % 4 = 0)::INT), 6) AS h, count(*) AS n FROM events GROUP BY ALL)
+ef AS (SELECT event_type AS condicao, user_id % 3 AS rep, round(avg(value), 4) AS v, round(avg((event_id % 4 = 0)::INT), 4) AS h, count(*) AS n FROM events GROUP BY ALL)
 """
 
 
@@ -716,7 +732,7 @@ def compare_evaluations(spark, sf_dir):
     """All columns of the comparison, from evaluation files: some runs have no judge, some no budget."""
     e = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 3).alias("rep"))
     root = shared(spark, "evaluations")
-    for r in e.agg(F.round(F.avg("value"), 6).alias("v"), F.round(F.avg((F.col("event_id") % 4 == 0).cast("int")), 6).alias("h"), F.count("*").alias("n")).collect():  # a row a run
+    for r in e.agg(F.round(F.avg("value"), 4).alias("v"), F.round(F.avg((F.col("event_id") % 4 == 0).cast("int")), 4).alias("h"), F.count("*").alias("n")).collect():  # a row a run
         told = {
             "condicao": r.event_type, "retrieval": {"precision@5": r.h * 2, "hit_rate@5": r.h, "recall@5": r.h * 4, "ndcg@5": r.v, "mrr": r.v * 2}, "tempos": {"total_medio_s": r.v * 2},
             "retrieval_estratificado": {"tipo=identificador": {"hit_rate@5": r.h}} | ({"tipo=semantica": {"hit_rate@5": r.v}} if r.rep else {}), "orcamento_contexto": {"tokens_media": r.n} if r.rep != 1 else {},
@@ -833,6 +849,28 @@ def _condition(name: str):
     return f
 
 
+#: The gazette after a change: some acts say more, some are gone, some are new.
+_CHANGED_SQL = (
+    GAZETTE_SQL.replace("\ng AS (", "\ng0 AS (")
+    + """, g AS (SELECT doc_id, titulo, CASE WHEN doc_id % 50 = 7 THEN texto || ' Alterado pelo cliente.' ELSE texto END AS texto FROM g0 WHERE doc_id % 70 <> 3
+  UNION ALL SELECT -doc_id, titulo, texto || ' Republicado.' FROM g0 WHERE doc_id % 90 = 1)
+"""
+)
+
+
+@query(_condition_sql("hybrid", True, True).replace(GAZETTE_SQL, _CHANGED_SQL))
+def index_upsert(spark, sf_dir):
+    """Hits of an index of the gazette into which a change of it was put."""
+    cond, old = CONDITIONS["estrutural-enriquecido_grafo"], written(gazette(spark, sf_dir), "gazette")
+    more = F.when(F.col("doc_id") % 50 == 7, F.concat("texto", F.lit(" Alterado pelo cliente."))).otherwise(F.col("texto"))
+    kept = old.where("doc_id % 70 <> 3").withColumn("texto", more)
+    added = old.where("doc_id % 90 = 1").select((-F.col("doc_id")).alias("doc_id"), "titulo", F.concat("texto", F.lit(" Republicado.")).alias("texto"))
+    new = written(kept.unionByName(added), "gazette-changed")
+    index = cond.upsert(cond.index(old), new, deleted=old.where("doc_id % 70 = 3").select("doc_id"))
+    asked = written(_asked(new).select("query_id", "query"), "questions")
+    return cond.hits(index, asked).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), "method")
+
+
 for _name, _c in CONDITIONS.items():
     # The splitters of two families are greedy loops; SQL has no such thing.
     query(_condition_sql(_c.search, _c.enriched, _c.graph) if _c.family in ("hibrido", "estrutural") else None)(_condition(_name))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textquarry.operators import metrics as M
+from textquarry.sources.parts import Store
 
 #: A result of a run file.
 RESULT = (
@@ -143,9 +144,10 @@ def must_ingest(spark: SparkSession, index: str, mark: str, wanted: str, forced:
     """Why the index must be built, or None: forced, absent, empty, of unknown origin, or of another configuration."""
     if forced:
         return "forced"
-    if not exists(spark, f"{index}/segments"):
+    store = Store.open(spark, index)
+    if "segments" not in store.tables:
         return "no index"
-    if spark.read.parquet(f"{index}/segments").isEmpty():
+    if store.read("segments").isEmpty():
         return "empty index"
     stored = stored_fingerprint(spark, mark)
     if stored is None:

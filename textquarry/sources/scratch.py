@@ -2,53 +2,102 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_made: list[str] = []
+class _Made(threading.local):
+    """Paths that this thread has made."""
 
+    def __init__(self):
+        self.paths: list[str] = []
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A fresh path under spark.checkpoint.dir; a folder of this machine only for a session of one process."""
+
+_made = _Made()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where the session leaves it unset, a folder of this machine does for a session that
+    runs in one process (as in tests); on a cluster executors couldn't see it, so it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not base and known.isDefined():
-        base = known.get()
     if not base:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            return known.get()
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(base)
-    _made.append(f"{base.rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path that its user deletes."""
+    return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A fresh path that :func:`swept` or :func:`sweep` deletes."""
+    _made.paths.append(scratch_path(spark, name))
+    return _made.paths[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Hadoop's file system of its scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession):
+    """Deletes what this thread made inside, when its readers are done or have failed."""
+    mark = len(_made.paths)
+    try:
+        yield
+    finally:
+        while len(_made.paths) > mark:
+            remove(spark, _made.paths.pop())
 
 
 def sweep(spark: SparkSession) -> None:
-    """Deletes all that this process put there, for when nothing reads it any more."""
-    while _made:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Deletes all that this thread made, for when nothing reads it any more."""
+    while _made.paths:
+        remove(spark, _made.paths.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table, read again."""
+    """Cuts the lineage: df as a Parquet table in the shared folder, read again.
+
+    The table is complete before anything reads it, so a lost executor costs no
+    recomputation of what came before.
+    """
     path = shared(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows that are broadcast; beyond this a join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes that are broadcast; beyond this a join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if its rows are few."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, to be broadcast if all its rows together are few bytes: strings and lists by their JSON text, others as 16."""
+    wide = [f.name for f in df.schema if f.dataType.typeName() not in ("long", "integer", "double", "boolean", "date", "timestamp", "float", "short", "byte")]
+    size = F.lit(16 * len(df.columns))
+    for c in wide:
+        text = F.col(f"`{c}`") if df.schema[c].dataType.typeName() == "string" else F.to_json(F.struct(f"`{c}`"))
+        size = size + F.coalesce(F.octet_length(text), F.lit(0))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
 
 
 def numbered(df: DataFrame, *order: Column | str, name: str = "i") -> DataFrame:
