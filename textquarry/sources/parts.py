@@ -74,10 +74,15 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{f}" for f in folders))
 
-    def stage(self, name: str, df: DataFrame, part: str) -> Staged:
-        """Writes df in new folders, by its column `part`; a large part takes several files."""
+    def stage(self, name: str, df: DataFrame, part: str, order: list[str] | None = None) -> Staged:
+        """Writes df in new folders, by its column `part`; a large part takes several files.
+
+        order: rows stay with the tasks that have them and are sorted in their files, for few parts.
+        """
         at = f"{name}-{uuid.uuid4().hex[:12]}"
-        df.withColumn("__part", F.col(part)).hint("rebalance", F.col("__part")).write.option("compression", "zstd").partitionBy("__part").parquet(f"{self.root}/{at}")
+        df_ = df.withColumn("__part", F.col(part))
+        df_ = df_.hint("rebalance", F.col("__part")) if order is None else df_.sortWithinPartitions("__part", *order)
+        df_.write.option("compression", "zstd").partitionBy("__part").parquet(f"{self.root}/{at}")
         found = [n for n in _names(self.spark, f"{self.root}/{at}") if n.startswith("__part=")]
         return Staged({n.removeprefix("__part="): f"{at}/{n}" for n in found}, df.schema.json())
 
