@@ -87,22 +87,48 @@ def test_rewrite_only_affected(spark, tmp_path):
     planned = S.plan(docs, old, 4, 4)
     told = {r.shard: r for r in S.rewrite_affected(docs, planned, f"{tmp_path}/out").collect()}
     assert [told[i].rewritten for i in range(4)] == [True, True, False, False]
-    again = spark.read.parquet(f"{tmp_path}/out")
+    again = S.layout(spark, f"{tmp_path}/out")
     assert again.count() == 20 and {r.shard for r in again.select("shard").distinct().collect()} == {0, 1}
 
 
+def _uneven(spark):
+    old = F.when(F.col("doc_id") < 15, 0).when(F.col("doc_id") < 20, 1).when(F.col("doc_id") < 30, 2).otherwise(3)
+    return spark.createDataFrame([(i, "x" * 99, "en", "a", 99) for i in range(40)], DOCS), old
+
+
 def test_rewrite_keeps_untouched_files(spark, tmp_path):
     root = f"{tmp_path}/all"
-    old = F.when(F.col("doc_id") < 15, 0).when(F.col("doc_id") < 20, 1).when(F.col("doc_id") < 30, 2).otherwise(3)
-    docs = spark.createDataFrame([(i, "x" * 99, "en", "a", 99) for i in range(40)], DOCS)
-    docs.withColumn("shard", old).write.partitionBy("shard").parquet(root)
-    files = lambda i: sorted(p.name for p in (tmp_path / "all" / f"shard={i}").glob("*.parquet"))
-    before = {i: files(i) for i in range(4)}
+    docs, old = _uneven(spark)
+    before = dict(S.lay_out(docs, root, old).tables["shards"])
     S.rewrite_affected(docs, S.plan(docs, old, 4, 4), root)
-    assert [files(i) == before[i] for i in range(4)] == [False, False, True, True]
-    again = spark.read.parquet(root).collect()
+    after = S.Store.open(spark, root).tables["shards"]
+    assert [after[i] == before[i] for i in "0123"] == [False, False, True, True]
+    again = S.layout(spark, root).collect()
+    assert sorted(r.doc_id for r in again) == list(range(40)) and [sum(r.shard == i for r in again) for i in range(4)] == [10] * 4
+    assert not (tmp_path / "all" / before["0"]).exists() and (tmp_path / "all" / before["2"]).exists()
+
+
+@pytest.mark.parametrize("at", ["stage", "commit"])
+def test_a_stop_on_the_way_leaves_the_old_layout(spark, tmp_path, monkeypatch, at):
+    root = f"{tmp_path}/all"
+    docs, old = _uneven(spark)
+    S.lay_out(docs, root, old)
+    want = sorted(map(tuple, S.layout(spark, root).collect()))
+    with monkeypatch.context() as m:
+        real = getattr(S.Store, at)
+
+        def stop(self, *args, **more):
+            if at == "stage":
+                real(self, *args, **more)  # written, not switched
+            raise RuntimeError("stopped")
+
+        m.setattr(S.Store, at, stop)
+        with pytest.raises(RuntimeError, match="stopped"):
+            S.rewrite_affected(docs, S.plan(docs, old, 4, 4), root)
+    assert sorted(map(tuple, S.layout(spark, root).collect())) == want
+    S.rewrite_affected(None, S.plan(S.layout(spark, root), F.col("shard"), 4, 4, keep=True), root)
+    again = S.layout(spark, root).collect()
     assert sorted(r.doc_id for r in again) == list(range(40)) and [sum(r.shard == i for r in again) for i in range(4)] == [10] * 4
-    assert {p.name for p in (tmp_path / "all").iterdir() if p.is_dir()} == {f"shard={i}" for i in range(4)}
 
 
 def test_query_rewrites_the_files(spark, table, tmp_path, monkeypatch):
@@ -110,7 +136,7 @@ def test_query_rewrites_the_files(spark, table, tmp_path, monkeypatch):
     path = table("documents", rows, DOCS)
     monkeypatch.setattr(S, "scratch_path", lambda spark, name: f"{tmp_path}/layout")
     out = S.op1_sharding(spark, path).collect()
-    files = spark.read.parquet(f"{tmp_path}/layout")
+    files = S.layout(spark, f"{tmp_path}/layout")
     got = files.collect()
     assert sorted(map(repr, (tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in got))) == sorted(map(repr, rows))
     key = lambda r: (r.shard, r.slot)

@@ -1,19 +1,16 @@
-"""Shared helpers: where intermediate tables go, and words as the contracts define them."""
+"""Shared helpers: words as the contracts define them, memory; where intermediate tables go is told by :mod:`textquarry.sources.scratch`."""
 
 from __future__ import annotations
 
-import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import threading
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.sources.scratch import remove, scratch_path, swept, written  # noqa: F401
+
 #: Java regex of one word: a run without space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -21,69 +18,6 @@ GAP = r"[\x20\x09-\x0D]+"
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the session leaves it unset, a folder of this machine does for a session that
-    runs in one process (as in tests); on a cluster executors couldn't see it, so it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder through Hadoop's file system of its scheme."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-class _Made(threading.local):
-    """Paths of the tables that this thread has written."""
-
-    def __init__(self):
-        self.paths: list[str] = []
-
-
-_made = _Made()
-
-
-@contextlib.contextmanager
-def swept(spark: SparkSession):
-    """Deletes the tables that this thread wrote inside, when their readers are done or have failed."""
-    mark = len(_made.paths)
-    try:
-        yield
-    finally:
-        while len(_made.paths) > mark:
-            remove(spark, _made.paths.pop())
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again.
-
-    The table is complete before anything reads it, so a lost executor costs no
-    recomputation of what came before.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    _made.paths.append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
     """Arrow batches of so many rows and bytes at most, where the session has Spark's defaults:
     texts may be long, and a batch is in memory on both sides of the pipe."""

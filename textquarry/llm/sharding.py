@@ -18,14 +18,14 @@ gives an empty result; other columns are ignored by the plan, or carried through
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textquarry.llm.common import remove, scratch_path, text_crc32
+from textquarry.llm.common import scratch_path, text_crc32
+from textquarry.sources.parts import Store
 
 #: Buckets of a (old shard, size class), at least and at most, and documents to a bucket in all
 #: shards: more buckets make smaller sort groups, and more block totals on the driver.
@@ -181,34 +181,29 @@ def transfers(planned: DataFrame) -> DataFrame:
     return planned.groupBy("old_shard", "shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n_rows"))
 
 
-def _swap_in(spark: SparkSession, root: str, fresh: str, ids: Sequence[int]) -> None:
-    """Puts the shard=N folders of fresh in place of root's, by renaming; other shards aren't touched.
+def layout(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the shards under root, as its manifest names their folders."""
+    return Store.open(spark, root).read("shards")
 
-    Old folders go aside first and are deleted at the end, so a failure leaves them to be put back.
-    """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    aside = f"{fresh}-old"
-    fs.mkdirs(path(aside))
-    for i in ids:
-        for src, dst in ((f"{root}/shard={i}", f"{aside}/shard={i}"), (f"{fresh}/shard={i}", f"{root}/shard={i}")):
-            if fs.exists(path(src)) and not fs.rename(path(src), path(dst)):
-                raise OSError(f"{src} can't be renamed to {dst}")
-    remove(spark, fresh)
-    remove(spark, aside)
+
+def lay_out(docs: DataFrame, root: str, shard: Column) -> Store:
+    """docs as shards under root, in a folder each."""
+    store = Store.open(docs.sparkSession, root)
+    return store.commit({"shards": store.stage("shards", docs.withColumn("shard", shard.cast("int")), "shard", order=[])})
 
 
 def rewrite_affected(docs: DataFrame | None, planned: DataFrame, root: str) -> DataFrame:
-    """Writes anew those shards that gain or lose a document, as shard=N folders under root.
+    """Writes anew those shards under root (of :func:`lay_out`) that gain or lose a document.
 
     A shard whose documents are the same as before keeps its old files. The new ones are
-    written beside them and swapped in when they are whole, so docs may be read from root.
+    written beside the old, and one manifest switches them all: a stop before it leaves the
+    old layout whole, and after it nothing is left to do but to delete the old files.
     docs need doc_ids without repetition and nulls here; None takes the rows that planned
     keeps, whatever their ids. A file is in the order of slots; the kept rows' files of
     one shard hold blocks of slots in any order. Returns (shard, rewritten, n_rows, bytes).
     """
     spark = planned.sparkSession
-    # At most old times new shards; taken now, since files that planned reads may be swapped out.
+    # At most old times new shards; taken now, since files that planned reads go in the end.
     moves = transfers(planned).collect()
     ids = sorted({i for r in moves if r.old_shard != r.shard for i in (r.old_shard, r.shard)})
     if ids:
@@ -218,9 +213,8 @@ def rewrite_affected(docs: DataFrame | None, planned: DataFrame, root: str) -> D
             rows = inside.select(*(F.col("kept")[c].alias(c) for c in names), "shard", "slot")
         else:
             rows = docs.drop("shard", "slot").join(inside.select("doc_id", "shard", "slot"), "doc_id").repartitionByRange("shard", "slot")
-        fresh = f"{root}/_fresh-{uuid.uuid4().hex}"  # readers pass over such names
-        rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(fresh)
-        _swap_in(spark, root, fresh, ids)
+        store = Store.open(spark, root)
+        store.commit({"shards": store.stage("shards", rows, "shard", order=["slot"])}, {"shards": ids}).vacuum()
     told = [(j, j in ids, sum(r.n_rows for r in moves if r.shard == j), sum(r.bytes for r in moves if r.shard == j)) for j in sorted({r.shard for r in moves})]
     return spark.createDataFrame(told, "shard int, rewritten boolean, n_rows long, bytes long")
 
@@ -229,11 +223,11 @@ def reshard(docs: DataFrame, root: str, old_shard: Column, n_old: int, n_new: in
     """docs laid out as old shards under root, resharded there, and read back: their columns, shard and slot."""
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
-    docs.withColumn("shard", old_shard).write.partitionBy("shard").option("compression", "zstd").parquet(root)
-    schema = docs.withColumns({"slot": F.lit(0).cast("long"), "shard": F.lit(0)}).schema
-    files = spark.read.schema(schema).parquet(root)
+    files = lay_out(docs, root, old_shard).read("shards")
     told = rewrite_affected(None, plan(files, F.col("shard"), n_old, n_new, keep=True), root).collect()
-    files = spark.read.schema(schema).parquet(root)  # listed anew
+    files = layout(spark, root)
+    files = files if "slot" in files.columns else files.withColumn("slot", F.lit(None).cast("long"))
+    files = files.select(*docs.columns, "slot", "shard")
     same = {r.shard: r.bytes for r in told if not r.rewritten}
     if not same:
         return files
