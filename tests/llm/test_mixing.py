@@ -14,11 +14,36 @@ def _rows(n=300, seed=2):
     return rows + [(900, None, "en", "a", None), (901, " \n ", "en", "b", 3), (907, "same same", "en", "c", 9), (907, "same same", "en", "c", 9)]
 
 
-def test_targets_fill_by_weight():
-    t = M.targets([("a", 100), ("b", 100), ("c", 100), (None, 1000)])
-    assert abs(sum(t.values()) - 1950) < 1e-6 and all(t[s] <= 2 * n + 1e-9 for s, n in [("a", 100), ("b", 100), ("c", 100), (None, 1000)])
-    assert t["a"] == 200 and t["b"] == 200
-    assert M.targets([]) == {}
+def _targets(sizes, weights=M.WEIGHTS, share=M.SHARE, most=M.MOST):
+    """Words wanted of each source: by weight, none above most times its size.
+
+    The excess over a stop is shared by weight among the rest until none is above.
+    """
+    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
+    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
+    size = dict(order)
+    out = {}
+    left, open_ = share * sum(size.values()), [s for s, _ in order]
+    while open_:
+        whole = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / whole > most * size[s]]
+        if not over:
+            out |= {s: left * weight[s] / whole for s in open_}
+            break
+        for s in over:
+            out[s] = most * size[s]
+        left -= sum(out[s] for s in over)
+        open_ = [s for s in open_ if s not in out]
+    return out
+
+
+def test_targets_fill_by_weight(spark):
+    for sizes in ([("a", 100), ("b", 100), ("c", 100), (None, 1000)], [], [("a", 0), (None, 0)], [(f"s{i}", i * i) for i in range(40)]):
+        want = _targets(sizes)
+        assert not sizes or abs(sum(want.values()) - 1.5 * sum(n for _, n in sizes)) < 1e-6 and all(want[s] <= 2 * n + 1e-9 for s, n in sizes)
+        rows = spark.createDataFrame([(s, "" if s is None else "=" + s, n) for s, n in sizes], "source string, source_key string, size long")
+        got = {r.source: r.target for r in M.targets(rows).collect()}
+        assert got == {s: pytest.approx(x, abs=1e-6) for s, x in want.items()}
 
 
 def test_permutations():
@@ -27,26 +52,36 @@ def test_permutations():
             assert sorted(M.permute(np.arange(n), np.full(n, n), np.full(n, key)).tolist()) == list(range(n))
 
 
-def test_drawn_slots():
-    wanted, n = np.array([100, 3, 0, 57]), 7
-    whole = list(M.drawn_slots(wanted, n, 0, n))
-    assert [x[0] for x in whole] == list(range(n))
-    seen = np.zeros(4, dtype=np.int64)
-    for shard, own, counts, before in whole:
-        assert counts.sum() == 160 * (shard + 1) // n - 160 * shard // n and (before == seen[own]).all() and (counts > 0).all()
-        seen[own] += counts
-    assert seen.tolist() == wanted.tolist()
-    # A task that draws some shards draws the same.
-    for x, y in zip(M.drawn_slots(wanted, n, 3, 5), whole[3:5], strict=True):
-        assert x[0] == y[0] and all((p == q).all() for p, q in zip(x[1:], y[1:], strict=True))
-    # Counts of a shard are spread as draws are: of 1000 slots of a, 3000 of b, 40 to a shard.
-    a = np.array([c[o == 0].sum() for _, o, c, _ in M.drawn_slots(np.array([1000, 3000]), 100, 0, 100)])
-    assert abs(a.mean() - 10) < 1e-9 and 1 < a.std() < 6
-
-
-@pytest.mark.parametrize("most", [1_000_000, 2])
-def test_contract(spark, table, monkeypatch, most):
-    monkeypatch.setattr(M, "MOST_SOURCES", most)  # beyond it: the way without a driver
+@pytest.mark.parametrize("k", [0, 1, 5, 900, 5000, 200_000])
+def test_drawn_counts(k):
+    for n in (1, 7, 100):
+        shards, counts, before = M.drawn_counts(3, k, n, 0, n)
+        assert counts.sum() == k and (counts > 0).all() and (np.diff(shards) > 0).all() and (before == np.cumsum(counts) - counts).all()
+        # A task that draws some shards draws the same.
+        parts = [M.drawn_counts(3, k, n, lo, min(n, lo + 3)) for lo in range(0, n, 3)]
+        for whole, some in zip((shards, counts, before), zip(*parts, strict=True), strict=True):
+            assert np.concatenate(some).tolist() == whole.tolist()
+    other = M.drawn_counts(4, k, 100, 0, 100)
+    assert k < 900 or other[1].tolist() != counts.tolist()
+    if k >= 5000:  # counts spread as multinomial ones do
+        assert 0.6 < counts.std() / (k / 100 * 0.99) ** 0.5 < 1.5
+
+
+def test_counts_are_multinomial():
+    """Of many sources the counts of a shard have the mean and the variance of the law, by halves and one by one alike."""
+    for k in (40, 3000):
+        x = np.zeros((400, 8))
+        for source in range(400):
+            shards, counts, _ = M.drawn_counts(source, k, 8, 0, 8)
+            x[source, shards] = counts
+        assert abs(x.mean() - k / 8) < 1e-9 and (abs(x.mean(axis=0) - k / 8) < 4 * (k / 8 * 7 / 8 / 400) ** 0.5).all()
+        assert 0.8 < x.var(axis=0).mean() / (k / 8 * 7 / 8) < 1.2
+        assert abs(np.corrcoef(x[:, 0], x[:, 5])[0, 1] + 1 / 7) < 0.2
+
+
+@pytest.mark.parametrize("run", [1 << 19, 30])
+def test_contract(spark, table, monkeypatch, run):
+    monkeypatch.setattr(M, "RUN", run)  # so that a source is drawn in several rows
     monkeypatch.setattr(M, "SHARD_SLOTS", 50)
     rows = _rows()
     path = table("documents", rows, DOCS)
@@ -62,7 +97,7 @@ def test_contract(spark, table, monkeypatch, most):
         assert 0 <= r.taken <= 2 * r["size"]
     for r in out:
         assert r.source_size == size[r.source]
-    goal = M.targets(list(size.items()))
+    goal = _targets(list(size.items()))
     for s in size:
         assert abs(target[s] - goal[s]) < 1e-6 and abs(taken[s] - goal[s]) <= 2 * M.BLOCK
 

@@ -1,19 +1,17 @@
 """Operator 5: mixing sources to target weights.
 
 The words of each source form one stream (documents in the order of a hash bucket
-and their id), packed into blocks of BLOCK words. Output shards have a number of
-slots each. The sources' slot counts are multinomial draws along a tree of shard
-ranges: a range's slots are drawn for its first half by the shares that the range
-holds, down to single shards, so totals end at the targets and any task can draw its
-own shards from the seed alone. The slots of a source are numbered through all
-shards; slot t stands for block perm(t mod n), where perm is a pseudorandom
-permutation of the source's n block indices (a Feistel network with cycle walking,
-another one for each pass through the source). Blocks are joined to the documents
-that they cut by source and index.
-
-Beyond MOST_SOURCES sources nothing a source holds reaches the driver or is broadcast:
-targets come from aggregates, and each slot draws its shard for itself, which makes a
-source's counts over the shards one multinomial draw.
+and their id), packed into blocks of BLOCK words. Output shards have
+SHARD_SLOTS slots on average. How many slots each source has in each shard is a
+multinomial draw: the source's slots, whose number follows from its target, are parted
+among the shards, by a tree of shard ranges that any task can draw its own shards of from
+the seed alone. The slots of a source are numbered through all shards; slot t stands for
+block perm(t mod n), where perm is a pseudorandom permutation of the source's n block
+indices (a Feistel network with cycle walking, another one for each pass through the
+source). Blocks are joined to the documents that they cut by source and index.
+
+Targets come from aggregates and sources are drawn row by row, large ones in several rows,
+so one law holds for any number of sources and nothing that grows with it is on the driver.
 
 Defined results: a null or wordless text has size 0 and takes nothing; null is a
 source of its own, last in order; repeated rows are parts of the stream of their
@@ -27,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +36,10 @@ BLOCK = 64
 BUCKETS = 1024
 #: Slots of an output shard on average; the number of shards follows from it.
 SHARD_SLOTS = 65536
-#: Sources whose sizes and targets reach the driver and every task; more are mixed without that.
-MOST_SOURCES = 1_000_000
-#: Shards that a row of work draws, and tasks that the drawing is dealt to at most.
-RUN, TASKS = 8, 10_000
+#: Slots that a row of work draws, about; and slots of a range that draw their shards one by one.
+RUN, SINGLE = 1 << 19, 1024
+#: Sources whose targets are broadcast; with more, a join shuffles them.
+BROADCAST_SOURCES = 100_000
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
@@ -50,55 +47,33 @@ SEED = 20260
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
-    """Words wanted of each source: by weight, none above most times its size.
+def drawn_counts(source: int, k: int, n_shards: int, lo: int, hi: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shards, slots of each, slots in shards before) of those from lo to hi that get any of a source's k slots.
 
-    The excess over a stop is shared by weight among the rest until none is above.
+    A range's slots are split between its halves by a binomial draw; those of a range with few
+    (SINGLE at most) draw their shards one by one. Together that is one multinomial draw over
+    all shards. Every draw is seeded by its range, so any part of it can be had by itself.
     """
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size = dict(order)
-    out: dict[str | None, float] = {}
-    left, open_ = share * sum(size.values()), [s for s, _ in order]
-    while open_:
-        whole = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / whole > most * size[s]]
-        if not over:
-            out |= {s: left * weight[s] / whole for s in open_}
-            break
-        for s in over:
-            out[s] = most * size[s]
-        left -= sum(out[s] for s in over)
-        open_ = [s for s in open_ if s not in out]
-    return out
-
-
-def drawn_slots(wanted: np.ndarray, n_shards: int, lo: int, hi: int, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(shard, sources, slots of each, its slots in shards before) of the shards from lo to hi.
-
-    Only the tree's ranges that hold them are drawn; sources without slots drop out on the way.
-    """
-    wanted = np.asarray(wanted, dtype=np.int64)
-    total = int(wanted.sum())
-    todo = [(0, n_shards, np.flatnonzero(wanted), wanted[wanted > 0], np.zeros(int((wanted > 0).sum()), dtype=np.int64))]
+    todo, out = [(0, n_shards, k, 0)], []
     while todo:
-        a, b, own, owed, before = todo.pop()
-        if b <= lo or a >= hi:
+        a, b, owed, before = todo.pop()
+        if not owed or b <= lo or a >= hi:
             continue
         if b - a == 1:
-            yield a, own, owed, before
-            continue
-        m = (a + b) // 2
-        rng = np.random.Generator(np.random.PCG64([seed, a, b]))
-        room, left = total * m // n_shards - total * a // n_shards, np.zeros(len(owed), dtype=np.int64)
-        while room > 0:  # what is drawn beyond a source's slots goes to the others
-            free = owed - left
-            drawn = np.minimum(rng.multinomial(room, free / free.sum()), free)
-            left += drawn
-            room -= int(drawn.sum())
-        rest = owed - left
-        todo.append((m, b, own[rest > 0], rest[rest > 0], (before + left)[rest > 0]))
-        todo.append((a, m, own[left > 0], left[left > 0], before[left > 0]))
+            out.append((np.array([a]), np.array([owed]), np.array([before])))
+        elif owed <= SINGLE:
+            with np.errstate(over="ignore"):
+                key = _mix(np.array([source, a, b], dtype=np.uint64), np.uint64(seed)).sum(dtype=np.uint64)
+                h = _mix(np.arange(owed, dtype=np.uint64), key) >> np.uint64(32)
+            own, n = np.unique(a + (h * np.uint64(b - a) >> np.uint64(32)).astype(np.int64), return_counts=True)
+            at, inside = before + np.cumsum(n) - n, (own >= lo) & (own < hi)
+            out.append((own[inside], n[inside], at[inside]))
+        else:
+            m = (a + b) // 2
+            left = int(np.random.Generator(np.random.PCG64([seed, source, a, b])).binomial(owed, (m - a) / (b - a)))
+            todo.append((m, b, owed - left, before + left))
+            todo.append((a, m, left, before))
+    return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, dtype=np.int64) for i in range(3))
 
 
 def _mix(x: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -127,19 +102,16 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _permuted(index: Column, n: Column, key: Column) -> Column:
-    def run(index: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series(permute(index.to_numpy(), n.to_numpy(), key.to_numpy()))
-
-    return F.pandas_udf(run, "long")(index, n, key)
-
-
 def _text_hash() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _many_targets(sizes: DataFrame, weights, share: float, most: float) -> DataFrame:
-    """targets() for any number of sources (source, source_key, size), by aggregates: with target and rank."""
+def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """Sources (source, source_key, size) with rank, and target: the words wanted of each.
+
+    They go by weight, in the order of sources, none above most times its size; the excess
+    over such a stop is shared by weight among the rest until none is above.
+    """
     order = sizes.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
     placed = written(order.withColumn("at", F.monotonically_increasing_id()), "mix-sources")
     # Numbers begin anew in each partition, 2^33 apart; the rows before it are added.
@@ -177,18 +149,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(BUCKETS)).cast("int"))
     base = written(base, "mix-sizes")  # counting words reads every text; do it once
     sizes = base.groupBy("source", "source_key").agg(F.sum("size").alias("size"))
-    known = sizes.limit(MOST_SOURCES + 1).collect()
-    few = len(known) <= MOST_SOURCES
+    info = written(targets(sizes, weights, share, most), "mix-targets")
     blocks, slots = F.expr(f"(size + {block - 1}) div {block}"), F.expr("case when size > 0 then least(cast(most * n as long), cast(round(target * n / size) as long)) else 0L end")
-    if few:
-        goal = targets([(r.source, r["size"]) for r in known], weights, share, most)
-        known.sort(key=lambda r: (r.source is None, r.source or ""))
-        info = spark.createDataFrame([(i, r.source_key, r["size"], float(goal.get(r.source, 0.0))) for i, r in enumerate(known)], "rank long, source_key string, size long, target double")
-    else:
-        info = written(_many_targets(sizes, weights, share, most), "mix-targets")
     info = info.withColumns({"n": blocks, "most": F.lit(float(most))}).withColumn("k", slots).drop("most")
     told = info.select(F.col("rank").alias("source_no"), "source_key", F.col("size").alias("source_size"), "target")
-    told = F.broadcast(told) if few else told
+    told = F.broadcast(told) if info.count() <= BROADCAST_SOURCES else told
     # Places in the stream: buckets' totals first, then the sums within a bucket.
     small = base.groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -196,11 +161,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     inside = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stream = base.withColumn("upto", F.sum("size").over(inside)).join(small, ["source_key", "bucket"]).join(told, "source_key")
     stream = written(stream.select("doc_id", "source", "source_no", "text_crc32", "text_hash", "size", "source_size", "target", (F.col("base") + F.col("upto") - F.col("size")).alias("start")), "mix-stream")
-    if few:
-        rows = sorted(info.select("rank", "n", "k").collect())
-        drawn = _drawn(spark, np.array([r.k for r in rows], dtype=np.int64), np.array([r.n for r in rows], dtype=np.int64), seed)
-    else:
-        drawn = _each_drawn(info, seed)
+    drawn = _drawn(info, seed)
     pieces = stream.where("size > 0").select(
         "source_no", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block")
     )
@@ -212,44 +173,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     return stream, picks
 
 
-_DRAWN = "source_no long, block long, pass_no int, shard long, shard_slot long"
-
-
-def _shards(total: int) -> int:
-    return max(1, -(-total // SHARD_SLOTS))
-
-
-def _drawn(spark: SparkSession, wanted: np.ndarray, n_blocks: np.ndarray, seed: int) -> DataFrame:
-    """All slots with the block that each stands for; every row of work draws RUN shards."""
-    n_shards = _shards(int(wanted.sum()))
-    sent = spark.sparkContext.broadcast((wanted, n_blocks))  # 16 bytes a source, MOST_SOURCES at most
+def _drawn(info: DataFrame, seed: int) -> DataFrame:
+    """All slots of sources (rank, n, k) with the block that each stands for; a row of work draws about RUN slots."""
+    total = int(info.agg(F.sum("k")).first()[0] or 0)
+    n_shards = max(1, -(-total // SHARD_SLOTS))
+    parts = F.least(F.lit(n_shards), F.expr(f"cast((k + {RUN - 1}) div {RUN} as int)"))
+    work = info.where("k > 0").select(F.col("rank").alias("source_no"), "n", "k", parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, n_blocks = sent.value
         for batch in batches:
-            for g in batch.column("id").to_pylist():
-                for shard, own, counts, first in drawn_slots(wanted, n_shards, g * RUN, min(g * RUN + RUN, n_shards), seed):
-                    source = np.repeat(own, counts)
-                    at = np.arange(len(source))
-                    t = at - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
-                    n = n_blocks[source]
-                    block = permute(t % n, n, (seed * 1_000_003 + source) * 64 + t // n)
-                    cols = (source, block, (t // n).astype(np.int32), np.full(len(t), shard), at)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["source_no", "block", "pass_no", "shard", "shard_slot"])
-
-    groups = -(-n_shards // RUN)
-    return spark.range(0, groups, 1, min(groups, TASKS)).mapInArrow(run, _DRAWN)
-
-
-def _each_drawn(info: DataFrame, seed: int) -> DataFrame:
-    """The same for any number of sources (rank, n, k): each slot draws its shard by hash."""
-    n_shards = _shards(int(info.agg(F.sum("k")).first()[0] or 0))
-    slots = info.where("k > 0").select(F.col("rank").alias("source_no"), "n", F.explode(F.expr("sequence(0L, k - 1)")).alias("t"))
-    shard = F.pmod(F.xxhash64(F.lit(seed), "source_no", "t"), F.lit(n_shards))
-    slots = slots.withColumns({"shard": shard, "pass_no": F.expr("cast(t div n as int)")})
-    slots = slots.withColumn("shard_slot", (F.row_number().over(Window.partitionBy("shard").orderBy("source_no", "t")) - 1).cast("long"))
-    key = (F.lit(seed * 1_000_003) + F.col("source_no")) * 64 + F.col("pass_no")
-    return slots.select("source_no", _permuted(F.expr("t % n"), F.col("n"), key).alias("block"), "pass_no", "shard", "shard_slot")
+            for r in batch.to_pylist():
+                shard, counts, before = drawn_counts(r["source_no"], r["k"], n_shards, n_shards * r["part"] // r["parts"], n_shards * (r["part"] + 1) // r["parts"], seed)
+                t = np.repeat(before, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                n = np.full(len(t), r["n"])
+                block = permute(t % n, n, (seed * 1_000_003 + r["source_no"]) * 64 + t // n)
+                cols = (np.full(len(t), r["source_no"]), block, (t // n).astype(np.int32), np.repeat(shard, counts), t)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["source_no", "block", "pass_no", "shard", "t"])
+
+    slots = work.repartition("source_no", "part").mapInArrow(run, "source_no long, block long, pass_no int, shard long, t long")
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("source_no", "t"))  # about SHARD_SLOTS rows
+    return slots.withColumn("shard_slot", (place - 1).cast("long")).drop("t")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
