@@ -36,6 +36,8 @@ def test_against_brute_force(spark):
         assert {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in D.contained(a, b).collect()} == want
         blocks = D.candidates(a, b, broadcast_rows=40)  # several blocks of the sketch
         assert {(r.doc_id, r.item_id) for r in blocks.collect()} >= set(want)
+        for how in ({"copies": 0}, {"copies": 2, "broadcast_rows": 40}, {"broadcast_rows": 10, "most_blocks": 1}):  # by shingles, by a shuffled join
+            assert {(r.doc_id, r.item_id): (r.n_item, r.n_shared) for r in D.contained(a, b, **how).collect()} == want
         kept = {r.doc_id for r in a.join(D.contained(a, b), "doc_id", "left_anti").collect()}
         assert kept == {d[0] for d in docs} - {d for d, _ in want}
 
@@ -66,6 +68,16 @@ def test_null_ids_and_very_long_texts(spark):
     assert got == {(None, 1): (3, 3), (7, 1): (3, 3)}
 
 
+def test_a_document_that_holds_the_whole_benchmark(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(words(rng, rng.randrange(6, 40), 10_000))) for i in range(300)]
+    whole = " ".join(t for _, t in items)
+    docs = [(1, whole), (1, whole), (None, whole + " x"), (2, items[7][1]), (1, "other text of the same id " + items[3][1])]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.containment for r in D.contained(a, b).collect()}
+    assert got == {(d, i): 1.0 for d in (1, None) for i in range(300)} | {(2, 7): 1.0}
+
+
 def test_clashing_columns(spark, table):
     path = table("benchmark", [(1, "a b c d e f")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b c d e f", 5, "k"), (2, "z", 6, "l")], "doc_id long, text string, item_id int, __key string")

@@ -21,12 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import GAP, written
+from textquarry.llm.common import GAP, unbound, written
 
 N = 5
 THRESHOLD = 0.75
-#: Rows of the sketch that are broadcast at once (24 bytes each); more go in blocks.
-BROADCAST_ROWS = 1_000_000
+#: Rows of the sketch that are broadcast at once (24 bytes each), and blocks of them, each a pass
+#: through the documents; a larger sketch meets the documents' hashes in a shuffled join.
+BROADCAST_ROWS, MOST_BLOCKS = 1_000_000, 2
+#: Items that a document's set is copied to; with more candidates, its shingles are joined with theirs.
+COPIES = 64
 
 
 def words(text: Column) -> Column:
@@ -57,11 +60,14 @@ def sketch(items: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFr
     return sets.select("item_id", part.alias("part"), F.explode(F.slice(F.sort_array("h"), F.lit(1), k.cast("int"))).alias("hash"))
 
 
-def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = N, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Distinct (doc_id, item_id) whose sketch meets the document, by blocks of the sketch."""
+def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = N, broadcast_rows: int = BROADCAST_ROWS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """Distinct (doc_id, item_id) whose sketch meets the document: by blocks of the sketch, or by a join on the hashes where these are many."""
     small = written(sketch(items, threshold, n), "decontam-sketch")
     blocks = max(1, -(-small.count() // broadcast_rows))
     own = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(shingle_hashes(F.col("w"), n)).alias("hash"))
+    if blocks > most_blocks:
+        # A hash that many documents hold fills a partition, which Spark splits; both sides are shuffled for this join alone.
+        return own.hint("merge").join(unbound(small.select("item_id", "hash"), "hash"), "hash").select("doc_id", "item_id").distinct()
     out = None
     for b in range(blocks):
         # A block holds about broadcast_rows rows of 20 bytes, whatever the benchmark's size.
@@ -71,13 +77,17 @@ def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     return out.distinct()
 
 
-def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n: int = N, copies: int = COPIES, **how) -> DataFrame:
     """Pairs of documents and items whose containment reaches the threshold.
 
-    doc_id, item_id, n_item (shingles of the item), n_shared, containment.
+    doc_id, item_id, n_item (shingles of the item), n_shared, containment. A document with many
+    candidates isn't copied to each: its shingles meet theirs one by one. how: of :func:`candidates`.
     """
-    found = written(candidates(docs, items, threshold, n), "decontam-candidates")
-    per_doc = found.groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
+    found = written(candidates(docs, items, threshold, n, **how), "decontam-candidates")
+    counts = found.groupBy("doc_id").agg(F.count("*").alias("c"))
+    rich = written(counts.where(F.col("c") > copies).select("doc_id"), "decontam-rich")
+    poor = counts.where(F.col("c") <= copies).select("doc_id")
+    per_doc = found.join(poor, found["doc_id"].eqNullSafe(poor["doc_id"]), "left_semi").groupBy("doc_id").agg(F.collect_list("item_id").alias("items"))  # COPIES at most
     small = found.count() <= BROADCAST_ROWS
     per_doc = F.broadcast(per_doc) if small else per_doc
     sets = items.select("item_id", shingles(words(F.col("text")), n).alias("item_set")).where(F.size("item_set") > 0)
@@ -88,10 +98,26 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, n
     pairs = own.select("doc_id", F.explode("items").alias("item_id"), "doc_set").join(F.broadcast(sets) if few else sets, "item_id")
     shared = F.size(F.array_intersect("item_set", "doc_set"))
     out = pairs.select("doc_id", "item_id", F.size("item_set").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
+    if not rich.isEmpty():
+        out = out.unionByName(_one_by_one(docs, found, rich, sets, n))
     best = out.groupBy("doc_id", "item_id").agg(F.max_by("n_item", F.col("n_shared") / F.col("n_item")).alias("n_item"), F.max("n_shared").alias("n_shared"))
     return best.where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold)).withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
 
 
+def _one_by_one(docs: DataFrame, found: DataFrame, rich: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """The same counts of the rich documents, by a join of shingles: rows are those of the documents and of the candidate items, never their product."""
+    # A row is told from others of its id by its text.
+    row = docs.join(rich.select(F.col("doc_id").alias("rich_id")), F.col("doc_id").eqNullSafe(F.col("rich_id")), "left_semi")
+    row = row.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text").dropDuplicates(["doc_id", "row"])
+    asked = found.join(rich.select(F.col("doc_id").alias("rich_id")), F.col("doc_id").eqNullSafe(F.col("rich_id")), "left_semi")
+    own = row.select("doc_id", "row", F.explode(shingles(words(F.col("text")), n)).alias("s")).withColumn("key", F.xxhash64("doc_id", "s"))
+    theirs = asked.join(sets, "item_id").select(F.col("doc_id").alias("their_id"), "item_id", F.size("item_set").cast("long").alias("n_item"), F.explode("item_set").alias("their_s"))
+    theirs = theirs.withColumn("key", F.xxhash64("their_id", "their_s"))
+    same = F.col("doc_id").eqNullSafe(F.col("their_id")) & (F.col("s") == F.col("their_s"))
+    met = own.join(theirs, "key").where(same).groupBy("doc_id", "row", "item_id").agg(F.max("n_item").alias("n_item"), F.count("*").alias("n_shared"))
+    return met.select("doc_id", "item_id", "n_item", "n_shared")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
