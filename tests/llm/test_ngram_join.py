@@ -116,3 +116,26 @@ def test_components(spark):
             comp[a] = comp[b] = min(comp[a], comp[b])
     assert got == {x: c for x, c in comp.items() if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_steps_within_a_text():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("ab cd ef gh i\tj k\n".split(" ")) for _ in range(n)) for n in (0, 1, 4, 5, 6, 9, 50, 400)] + [None, "", " \n", "one  two\tthree", "x" * 90]
+    whole = J.shingle_sets(texts)
+    for step in (1, 3, 10, 64):
+        some = J.shingle_sets(texts, step=step)
+        assert (whole[0] == some[0]).all() and (whole[1] == some[1]).all()
+
+
+def test_a_text_of_fifty_megabytes(monkeypatch):
+    """Only a step's words are at hand: peak memory beside the text stays near that of its shingles."""
+    import tracemalloc
+
+    text = " ".join(f"w{i % 5000}" for i in range(9_000_000))
+    assert len(text) > 50_000_000
+    monkeypatch.setattr(J, "_known", type(J._known)())
+    tracemalloc.start()
+    s, n = J.shingle_sets([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n[0] == len(s) == 5000 and peak < 3 * len(text)

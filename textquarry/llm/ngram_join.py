@@ -36,6 +36,7 @@ empty result; other columns are ignored here and kept by :func:`stage`.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,9 @@ N = 5
 NUM, DEN = 75, 100
 #: Words of a step within a batch, and known words of a worker (a cache, nothing else).
 STEP, KNOWN = 300_000, 100_000
+#: Bytes of a text whose words are at hand at once.
+TEXT_STEP = 4 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Prefix hashes of a pack; of a bucket (a range of hashes), about; and of a piece of it that is met at once.
 PACK, BUCKET, PIECE = 1_000_000, 400_000, 200_000
 #: Buckets that packs are parted into; where there are more, coarse ranges are parted once more.
@@ -79,31 +83,47 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], n: int = N) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts): each text's distinct shingle hashes, ascending, one after another."""
-    get = _known.__getitem__
+def _word_hashes(text: bytes, step: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's words, those of about step bytes at a time."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + step) if at + step < len(text) else None
+        end = cut.start() if cut else len(text)
+        w = text[at:end].split()
+        yield np.fromiter(map(_known.__getitem__, w), dtype=np.int64, count=len(w)).view(np.uint64)
+        at = end
+
+
+def shingle_sets(texts: list[str | None], n: int = N, step: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts): each text's distinct shingle hashes, ascending, one after another; of a text's words about TEXT_STEP bytes are at hand."""
     parts, counts = [], np.zeros(len(texts), dtype=np.int64)
     with np.errstate(over="ignore"):
         for i, t in enumerate(texts):
-            w = (t or "").encode().lower().split()
-            if len(w) >= n:
-                h = np.fromiter(map(get, w), dtype=np.int64, count=len(w)).view(np.uint64)
-                s = h[: len(h) - n + 1] * _ODD[0]
-                for k in range(1, n):
-                    s = s + h[k : len(h) - n + 1 + k] * _ODD[k]
-                s = _mixed(s).view(np.int64)
-                s.sort()
-                s = s[np.concatenate(([True], s[1:] != s[:-1]))]
-            elif w:
-                whole = hashlib.blake2b(b" ".join(w), digest_size=8, person=b"whole").digest()
-                s = np.frombuffer(whole, dtype=np.int64)
-            else:
+            low, found, lead, total = (t or "").encode().lower(), [], np.zeros(0, dtype=np.uint64), 0
+            for h in _word_hashes(low, step or TEXT_STEP):
+                total += len(h)
+                h = np.concatenate((lead, h))  # shingles go on from the step before
+                lead = h[max(0, len(h) - n + 1) :]
+                if len(h) >= n:
+                    s = h[: len(h) - n + 1] * _ODD[0]
+                    for k in range(1, n):
+                        s = s + h[k : len(h) - n + 1 + k] * _ODD[k]
+                    found.append(_distinct(_mixed(s).view(np.int64)))
+            if 0 < total < n:
+                whole = hashlib.blake2b(b" ".join(low.split()), digest_size=8, person=b"whole").digest()
+                found = [np.frombuffer(whole, dtype=np.int64)]
+            if not found:
                 continue
-            parts.append(s)
-            counts[i] = len(s)
+            parts.append(found[0] if len(found) == 1 else _distinct(np.concatenate(found)))
+            counts[i] = len(parts[-1])
     return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)), counts
 
 
+def _distinct(s: np.ndarray) -> np.ndarray:
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
+
+
 def _steps(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[str | None]]]:
     """Rows of a batch in pieces of about STEP words."""
     ids, texts, size = [], [], 0
