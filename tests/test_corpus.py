@@ -35,6 +35,52 @@ def test_statuses_and_documents(spark, dump):
     assert docs["11"].ficheiro_origem == "b.json"
 
 
+@pytest.mark.parametrize("read", [1, 2, 7, 100, 1 << 20])
+def test_cut_like_a_parser(read):
+    """Elements as a whole parser finds them, broken files told as it tells them, whatever is read at once."""
+    import io
+    import random
+
+    from textquarry.sources import dumps
+
+    rng = random.Random(read)
+    value = lambda d=0: rng.choice([lambda: rng.randrange(99), lambda: rng.choice(['a"b', "x\\", "[,]}{", "é\n", ""]), lambda: None, lambda: [value(d + 1) for _ in range(rng.randrange(3))], lambda: {rng.choice('ab"c'): value(d + 1) for _ in range(rng.randrange(3))}][: 5 if d < 3 else 3])()
+    texts = ["", " ", "[]", " [ ] ", "[1,]", "[,1]", "[1 2]", "[1],", "[1] x", "[", '["a', '["a\\"]', "[[1]", "[1]]", "[}", "5", '"x"', "{}", '{"a": [1, 2]}', '{"a"', "nul", '[{"a": "]"}]', '["\\\\", "\\""]']
+    texts += [json.dumps([value() for _ in range(rng.randrange(5))], indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5) for _ in range(60)]
+    texts += [t[: rng.randrange(len(t) + 1)] for t in texts] + [t.replace(rng.choice(",[]{}"), rng.choice(",]}"), 1) for t in texts]
+    for text in texts:
+        try:
+            want = json.loads(text)
+            want = want if isinstance(want, list) else [want]
+        except ValueError:
+            want = None
+        try:
+            got = [json.loads(e) for e in dumps.cut(io.BytesIO(text.encode()), read)]
+        except ValueError:  # of the list or of an element
+            got = None
+        assert got == want, text
+
+
+def test_files_are_read_in_pieces(spark, dump, monkeypatch):
+    from textquarry.sources import dumps
+
+    _write(dump, "e.json", [])
+    _write(dump, "f.json", '[{"guid": "f1", "article_text": "' + "y" * 90 + '"}, {"guid": f2}]')
+    seen = lambda: sorted((r.ficheiro, r.pos, r.id or "", r.n_chars or 0, r.estado) for r in corpus.classified(corpus.elements(spark, str(dump)), 50, 500).collect())
+    whole = seen()
+    assert [x for x in whole if x[0] == "f.json"] == [("f.json", -1, "", 0, "ficheiro_partido")] and not [x for x in whole if x[0] == "e.json"]
+    monkeypatch.setattr(dumps, "READ", 5)
+    monkeypatch.setattr(dumps, "BATCH", 30)
+    assert seen() == whole
+
+
+def test_an_element_beyond_a_variant(spark, tmp_path):
+    _write(tmp_path, "a.json", [{"guid": "1", "title": "t", "article_text": "x" * 70_000_000}, {"guid": "2", "title": "t", "article_text": LONG}])
+    (tmp_path / "b.json").write_text('[{"guid": "3", "article_text": "' + "x" * 9_000_000 + '" nonsense}]')
+    rows = corpus.classified(corpus.elements(spark, str(tmp_path))).select("id", "estado").collect()
+    assert {(r.id, r.estado) for r in rows} == {("1", "grande_demais"), ("2", "aceite"), (None, "ficheiro_partido")}
+
+
 def test_report_and_fingerprint(spark, dump, tmp_path):
     rows = corpus.classified(corpus.elements(spark, str(dump)), 50, 500)
     corpus.report(rows, f"{tmp_path}/report")

@@ -95,20 +95,20 @@ def config_fingerprint(spark, sf_dir):
 
 
 _JSON_SQL = """
-j AS (SELECT doc_id, doc_id // 50 AS f, CASE WHEN doc_id % 11 = 3 THEN NULL ELSE md5(text) END AS guid, CASE WHEN doc_id % 13 = 5 THEN 'timeout' ELSE '' END AS error,
-  trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents),
-o AS (SELECT *, row_number() OVER (ORDER BY f, doc_id) AS ord, length(t) AS n FROM j WHERE f % 7 <> 2),
+j AS (SELECT doc_id, CASE WHEN doc_id % 97 = 6 THEN 10000000 + doc_id ELSE doc_id // 50 END AS f, CASE WHEN doc_id % 11 = 3 THEN NULL ELSE md5(text) END AS guid, CASE WHEN doc_id % 13 = 5 THEN 'timeout' ELSE '' END AS error,
+  trim(CASE WHEN doc_id % 89 = 9 THEN repeat(text || ' ', 500001 // greatest(length(text), 1) + 1) ELSE text END, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents),
+o AS (SELECT *, row_number() OVER (ORDER BY f, doc_id) AS ord, length(t) AS n FROM j WHERE f >= 10000000 OR f % 7 <> 2),
 k AS (SELECT *, min(CASE WHEN error = '' AND guid IS NOT NULL AND doc_id % 17 <> 4 AND n BETWEEN 50 AND 500000 THEN ord END) OVER (PARTITION BY guid) AS fst FROM o),
 r AS (SELECT doc_id, guid, n, CASE WHEN doc_id % 17 = 4 THEN 'nao_dict' WHEN error <> '' THEN 'erro_scraping' WHEN guid IS NULL THEN 'sem_guid' WHEN ord > fst THEN 'guid_duplicado'
   WHEN n < 50 THEN 'vazio_ou_curto' WHEN n > 500000 THEN 'grande_demais' ELSE 'aceite' END AS estado FROM k
-  UNION ALL SELECT NULL, NULL, 0, 'ficheiro_partido' FROM (SELECT DISTINCT f FROM j WHERE f % 7 = 2))
+  UNION ALL SELECT NULL, NULL, 0, 'ficheiro_partido' FROM (SELECT DISTINCT f FROM j WHERE f < 10000000 AND f % 7 = 2))
 """
 
 
 @query(f"WITH {_JSON_SQL} SELECT guid AS id, n::INT AS n_chars, 'Despacho' AS tipo, doc_id || '/2026' AS numero, '2026-03-02' AS data_publicacao FROM r WHERE estado = 'aceite'")
 def json_corpus_load(spark, sf_dir):
-    """Documents written as JSON dump files, 50 to a file (an array, or a single object where one is alone),
-    and loaded from these files again: some files are cut off, some elements are no objects."""
+    """Documents written as JSON dump files, 50 to a file as a list, every 97th alone as an object, and loaded from
+    these files again: some files are cut off, some elements are no objects, some texts are too large."""
     return corpus.documents(_dumped(spark, sf_dir)).select("id", "n_chars", "tipo", "numero", "data_publicacao")
 
 
@@ -120,16 +120,19 @@ def json_reject_counts(spark, sf_dir):
 def _dumped(spark, sf_dir):
     """Elements read back from dump files made of documents."""
     docs = table(spark, sf_dir, "documents")
+    much = F.repeat(F.concat("text", F.lit(" ")), F.expr("cast(500001 div greatest(length(text), 1) + 1 as int)"))
     item = F.struct(
         F.when(F.col("doc_id") % 11 != 3, _md5(F.col("text"))).alias("guid"), F.concat(F.lit("Despacho "), F.col("doc_id").cast("string"), F.lit("/2026, de 2 de Março")).alias("title"),
-        F.col("text").alias("article_text"), F.when(F.col("doc_id") % 13 == 5, "timeout").otherwise("").alias("error"),
+        F.when(F.col("doc_id") % 89 == 9, much).otherwise(F.col("text")).alias("article_text"), F.when(F.col("doc_id") % 13 == 5, "timeout").otherwise("").alias("error"),
     )
-    each = docs.select(F.expr("doc_id div 50").alias("f"), "doc_id", F.when(F.col("doc_id") % 17 == 4, F.lit('"solto"')).otherwise(F.to_json(item)).alias("j"))
+    alone = F.col("doc_id") % 97 == 6
+    file = F.when(alone, 10_000_000 + F.col("doc_id")).otherwise(F.expr("doc_id div 50"))
+    each = docs.select(file.alias("f"), "doc_id", F.when(F.col("doc_id") % 17 == 4, F.lit('"solto"')).otherwise(F.to_json(item)).alias("j"))
     files = each.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("doc_id", "j"))).alias("all"))  # 50 a row
     items = F.transform("all", lambda x: x["j"])
-    whole = F.when((F.size("all") == 1) & F.get(items, F.lit(0)).startswith("{"), F.get(items, F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")))
+    whole = F.when(F.col("f") >= 10_000_000, F.get(items, F.lit(0))).otherwise(F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")))
     files = files.select(F.lpad(F.col("f").cast("string"), 12, "0").alias("dump"), "f", whole.alias("value"))
-    files = files.withColumn("value", F.when(F.col("f") % 7 == 2, F.substring("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))).drop("f")
+    files = files.withColumn("value", F.when((F.col("f") < 10_000_000) & (F.col("f") % 7 == 2), F.substring("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))).drop("f")
     root = shared(spark, "dumps")
     files.repartition("dump").write.partitionBy("dump").option("lineSep", "\n").text(root)
     return corpus.classified(corpus.elements(spark, root, "*/part-*"))

@@ -1,7 +1,7 @@
 """JSON corpus dumps: loading with an account of every rejected element.
 
-Files are read whole as variants, so a root may be a list or one object and a
-list may hold anything; one odd element never spoils its file.
+A root may be a list or one object, and a list may hold anything; one odd element never
+spoils its file. Files are cut into elements by :mod:`dumps`.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textquarry.functions import text as T
+from textquarry.sources import dumps
+from textquarry.sources.scratch import small, written
 
 # Bounds that are themselves accepted.
 LEAST_CHARS, MOST_CHARS = 50, 500_000
@@ -18,18 +20,15 @@ STATUSES = ["nao_dict", "erro_scraping", "sem_guid", "guid_duplicado", "vazio_ou
 
 
 def elements(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
-    """Array elements of the folder's files: ficheiro, pos, item (variant); broken files have item null and pos -1.
+    """Array elements of the folder's files: ficheiro, pos, item (variant); broken files have one row, item null and pos -1.
 
-    A file's name has as many parts as the pattern; a file must fit into one variant.
+    A root that is no list is one element. A file's name has as many parts as the pattern. Files of
+    any size are read in pieces; a file breaks as a whole, by its structure or by any element.
     """
-    name = F.slice(F.split(F.input_file_name(), "/"), -1 - pattern.count("/"), 1 + pattern.count("/"))
-    raw = spark.read.text(f"{folder.rstrip('/')}/{pattern}", wholetext=True).select(F.array_join(name, "/").alias("ficheiro"), "value")
-    raw = raw.where(~F.col("ficheiro").startswith(".")).select("ficheiro", F.try_parse_json("value").alias("v"))
-    broken = raw.where("v is null").select("ficheiro", F.lit(-1).alias("pos"), F.col("v").alias("item"))
-    is_list = F.schema_of_variant("v").like("ARRAY%")
-    lists = raw.where("v is not null").select("ficheiro", F.when(is_list, F.col("v")).otherwise(F.parse_json(F.concat(F.lit("["), F.to_json("v"), F.lit("]")))).alias("v"))
-    each = lists.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("ficheiro", "pos", F.col("value").alias("item"))
-    return each.unionByName(broken)
+    rows = written(dumps.parsed(dumps.raw_elements(spark, folder, pattern)).select("ficheiro", "pos", "item"), "elements")
+    broken = rows.where("item is null").select("ficheiro").distinct()
+    whole = rows.join(small(broken), "ficheiro", "left_anti")
+    return whole.unionByName(broken.select("ficheiro", F.lit(-1).alias("pos"), F.lit(None).cast("variant").alias("item")))
 
 
 def _truthy(item: Column, path: str) -> Column:
