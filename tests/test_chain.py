@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from textquarry.operators import context as C
 from textquarry.plans import runner
 from textquarry.plans.conditions import CONDITIONS
@@ -72,3 +74,41 @@ def test_resume_keeps_valid_answers(spark, tmp_path):
     path = runner.benchmark(spark, c, docs, asked, out, resume=True, make=C.Extractive)
     got = {r["id"]: r["resposta"] for r in json.loads(open(path.removeprefix("file://")).read())["resultados"]}
     assert got["q0"] == "resposta" and not got["q1"].startswith("ERRO")
+
+
+def test_a_run_that_dies_goes_on(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", f"Lei {i}/2020", f"palavra{i} comum " * 30) for i in range(4)], "doc_id string, titulo string, texto string")
+    asked = spark.createDataFrame([(f"q{i}", f"palavra{i % 4}", [f"d{i % 4}"], "semantica", "r", True) for i in range(24)], "query_id string, query string, targets array<string>, tipo string, ground_truth string, para_geracao boolean")
+    out, c, real, seen = f"file://{tmp_path}", CONDITIONS["hibrido-esparso"], runner.run, []
+
+    def dies(cond, docs, questions, *args, **more):
+        seen.append({r.query_id for r in questions.collect()})
+        if len(seen) == 2:
+            raise RuntimeError("the second partition is killed")
+        return real(cond, docs, questions, *args, **more)
+
+    monkeypatch.setattr(runner, "run", dies)
+    with pytest.raises(RuntimeError, match="1 of 8 partitions failed.*killed"):
+        runner.benchmark(spark, c, docs, asked, out)
+    assert len(seen) == 8 and not list(tmp_path.glob("*_r1_*.json"))  # the others were asked all the same
+    path = runner.benchmark(spark, c, docs, asked, out, resume=True)
+    assert len(seen) == 9 and seen[8] == seen[1]  # only that one is asked again
+    got = json.loads(open(path.removeprefix("file://")).read())["resultados"]
+    assert sorted(r["id"] for r in got) == sorted(f"q{i}" for i in range(24)) and all(r["metadados"] for r in got)
+    assert not list((tmp_path / "journal").glob("*"))
+
+
+def test_an_index_follows_its_corpus(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", f"Lei {i}/2020", f"palavra{i} comum " * 30) for i in range(6)], "doc_id string, titulo string, texto string")
+    c, root = CONDITIONS["hibrido-esparso"], f"file://{tmp_path}"
+    first, _ = runner.ingest(spark, c, docs, root)
+    changed = docs.where("doc_id <> 'd2'").unionByName(spark.createDataFrame([("d9", "Lei 9/2020", "nova palavra")], docs.schema))
+    second, told = runner.ingest(spark, c, changed, root)
+    assert second.store.version == first.store.version + 1 and told["n_documentos"] == 6
+    asked = spark.createDataFrame([("a", "nova"), ("b", "palavra2")], "query_id string, query string")
+    assert [(r.query_id, r.doc_id) for r in c.hits(second, asked).collect()] == [("a", "d9")]
+
+
+def test_cells_of_a_table_with_commas(spark, tmp_path):
+    runs.write_comparison(spark.createDataFrame([('a, "b"', 1.5, None)], "condicao string, x double, y double"), f"file://{tmp_path}/c.csv")
+    assert (tmp_path / "c.csv").read_text() == 'condicao,x,y\n"a, ""b""",1.5,\n'

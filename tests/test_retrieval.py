@@ -106,6 +106,21 @@ def test_bootstrap():
     assert 0.3 < low < 0.5 < high < 0.7 and M.bootstrap([0.0, 1.0] * 20) == (low, high)
 
 
+def test_poisson_intervals(spark):
+    rng = random.Random(3)
+    rows = [(f"q{i}", rng.choice("ab"), rng.random() if i % 9 else None) for i in range(400)] + [("z", "one", 0.25)]
+    df = spark.createDataFrame(rows, "query_id string, tipo string, v double")
+    got = {r.grp: r for r in M.poisson_bootstrap(df, "v", "query_id", "tipo").collect()}
+    for g in "ab":
+        v = np.array([x for _, t, x in rows if t == g and x is not None])
+        half = 1.96 * v.std() / len(v) ** 0.5
+        assert got[g].n == len(v) and abs(got[g].low - (v.mean() - half)) < 0.25 * half and abs(got[g].high - (v.mean() + half)) < 0.25 * half
+    assert (got["one"].low, got["one"].high) == (0.25, 0.25)
+    assert M.poisson_bootstrap(df.repartition(7), "v", "query_id", "tipo").orderBy("grp").collect() == M.poisson_bootstrap(df.coalesce(1), "v", "query_id", "tipo").orderBy("grp").collect()
+    w = M.poisson_weights(np.arange(1, 3001) * 715_827 % M.PRIME)
+    assert abs(w.mean() - 1) < 0.005 and abs(w.var() - 1) < 0.01 and abs(np.corrcoef(w[:, 3], w[:, 900])[0, 1]) < 0.06 and abs(np.corrcoef(w[5], w[6])[0, 1]) < 0.06
+
+
 def test_bleu_and_rouge():
     assert O.bleu("a b c d e", "a b c d e") == pytest.approx(1.0) and O.bleu("x", "a") == 0.0
     assert O.bleu("the cat the cat", "the cat sat") == pytest.approx((2 / 4 * 1 / 3 * 0.1 / 2 * 0.1 / 1) ** 0.25)
@@ -189,6 +204,20 @@ def test_judge_and_patience(spark):
         C.Patient(lambda p: (_ for _ in ()).throw(RuntimeError("other")), sleep=slept.append)(["a"])
 
 
+def test_messages_and_system_rules(spark):
+    import json
+
+    from textquarry.functions import text as T
+
+    asked = []
+    assert C.Chat(lambda m: asked.append(m) or "ok")(["p"]) == ["ok"] and [m["role"] for m in asked[0]] == ["system", "user"]
+    assert asked[0][0]["content"] == T.SYSTEM_PROMPT and [m["role"] for m in C.Chat(lambda m: asked.append(m) or "ok", None)(["p"]) and asked[1]] == ["user"]
+    told = spark.range(1).select(T.messages(F.lit('a "b"')).alias("m"), T.messages(F.lit("c"), None).alias("n"), T.qa_prompt(F.lit("C"), F.lit("Q")).alias("q")).first()
+    assert json.loads(told.m) == [{"role": "system", "content": T.SYSTEM_PROMPT}, {"role": "user", "content": 'a "b"'}] and json.loads(told.n) == [{"role": "user", "content": "c"}]
+    assert told.q.startswith("SISTEMA: És") and told.q.endswith("RESPOSTA:")
+    assert C.Extractive()([told.q]) == ["C"]
+
+
 def test_one_failing_prompt_spoils_no_other(spark):
     class Picky:
         def __call__(self, prompts):

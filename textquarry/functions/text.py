@@ -117,6 +117,27 @@ def prompt(context: Column, question: Column) -> Column:
     return F.concat(F.lit("CONTEXTO LEGAL:\n"), context, F.lit("\n\nPERGUNTA: "), question)
 
 
+# A fixed value: the rules that every model is given.
+SYSTEM_PROMPT = (
+    "És um assistente jurídico especializado em legislação portuguesa. "
+    "Responde EXCLUSIVAMENTE com base no contexto fornecido. "
+    "Se a informação não estiver no contexto, diz explicitamente que "
+    "não encontraste essa informação nos documentos disponíveis. "
+    "Cita sempre o artigo e diploma de onde retiras a informação."
+)
+
+
+def qa_prompt(context: Column, question: Column) -> Column:
+    """One prompt with the rules in it."""
+    return F.concat(F.lit(f"SISTEMA: {SYSTEM_PROMPT}\n\nCONTEXTO LEGAL:\n-----\n"), context, F.lit("\n-----\n\nPERGUNTA: "), question, F.lit("\n\nRESPOSTA:"))
+
+
+def messages(text: Column, system: str | None = SYSTEM_PROMPT) -> Column:
+    """The messages of a chat as JSON text: the rules, if any, and the prompt."""
+    one = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.to_json(F.array(*([one("system", F.lit(system))] if system else []), one("user", text)))
+
+
 def token_estimate(text: Column) -> Column:
     """Tokens by length where no tokenizer is at hand: a quarter of the characters, 1 at least."""
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int")

@@ -64,11 +64,22 @@ class Extractive:
         out = []
         for p in prompts:
             body = p.split("CONTEXTO LEGAL:\n", 1)[-1].split("\n\nPERGUNTA: ", 1)[0]
-            lines = [x for x in body.split("\n") if x and not x.startswith("--- FONTE")]
+            lines = [x for x in body.split("\n") if x.strip("-") and not x.startswith("--- FONTE")]
             out.append((lines[0].split(". ")[0] if lines else "").strip())
         return out
 
 
+class Chat:
+    """A model that is asked by messages: the system's rules, if any, and the prompt."""
+
+    def __init__(self, complete: Callable[[list[dict]], str], system: str | None = T.SYSTEM_PROMPT):
+        self.complete, self.system = complete, system
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        rules = [{"role": "system", "content": self.system}] if self.system else []
+        return [self.complete([*rules, {"role": "user", "content": p}]) for p in prompts]
+
+
 class Patient:
     """A client that waits between calls and tries again when told that there were too many of them."""
 

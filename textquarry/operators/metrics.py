@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +119,53 @@ def hashed_bootstrap(measured: DataFrame, value: str, order: str, n: int = RESAM
     return ordered.join(F.broadcast(size)).select(F.col("m").alias("n"), F.round(F.get("a", F.lit(lo)), 4).alias("low"), F.round(F.get("a", F.lit(hi)), 4).alias("high"))
 
 
+#: A prime below 2^31 and multipliers that mix numbers modulo it; the cumulated Poisson(1) probabilities (fixed values).
+PRIME, MIXERS = 2147483647, (48271, 69621, 16807)
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975)
+
+
+def poisson_weights(key: np.ndarray, n: int = RESAMPLES, seed: int = SEED) -> np.ndarray:
+    """(rows, n): how often each row counts in each resample, from its key (0 to PRIME - 1) alone."""
+    b = np.arange(1, n + 1, dtype=np.int64)
+    x = (key[:, None] * MIXERS[0] + b * MIXERS[1] + seed) % PRIME
+    for m in MIXERS:  # all products stay below 2^63
+        x = (x ^ (x >> 15)) % PRIME * m % PRIME
+        x = (x * x + b) % PRIME
+    return np.searchsorted(np.array(POISSON), x / PRIME, side="right")
+
+
+def poisson_bootstrap(measured: DataFrame, value: str, key: str, group: str | None = None, n: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """(grp, n, low, high): percentile intervals of means, each row counting Poisson(1) times in a resample.
+
+    One pass: a task sums its rows' weights and weighted values of n resamples by group, and
+    these sums are all that is shuffled. Weights follow from the MD5 of a row's key and the
+    seed, the same in any engine and on any number of tasks. Without variance both ends are the mean.
+    """
+    own = F.lit("total") if group is None else F.coalesce(F.col(group).cast("string"), F.lit("?"))
+    place = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 12), 16, 10).cast("bigint") % PRIME
+    rows = measured.where(F.col(value).isNotNull()).select(own.alias("grp"), F.col(value).cast("double").alias("v"), place.alias("key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list] = {}
+        for batch in batches:
+            grp, v, at = batch.column("grp").to_numpy(zero_copy_only=False), batch.column("v").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)
+            for g in set(grp.tolist()):
+                mine = np.flatnonzero(grp == g)
+                total = sums.setdefault(g, [0, np.zeros(n, dtype=np.int64), np.zeros(n)])
+                for lo in range(0, len(mine), 1024):
+                    w = poisson_weights(at[mine[lo : lo + 1024]], n, seed)
+                    total[0] += len(w)
+                    total[1] += w.sum(axis=0)
+                    total[2] += v[mine[lo : lo + 1024]] @ w
+        for g, (count, w, s) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * n), pa.array(range(n), pa.int32()), pa.array([count] * n, pa.int64()), pa.array(w), pa.array(s)], names=["grp", "b", "n", "w", "s"])
+
+    each = rows.mapInArrow(run, "grp string, b int, n long, w long, s double").groupBy("grp", "b").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("s").alias("s"))
+    means = each.where("w > 0").groupBy("grp").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.round(F.col("s") / F.col("w"), 12))).alias("a"))  # n numbers a group
+    at = lambda share: F.get("a", F.floor(F.lit(share) * (F.size("a") - 1)).cast("int"))
+    return means.select("grp", "n", F.round(at(alpha / 2), 4).alias("low"), F.round(at(1 - alpha / 2), 4).alias("high"))
+
+
 def held_by(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id): documents (doc_id, texto) that hold a passage (query_id, query) as it is.
 

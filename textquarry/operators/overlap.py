@@ -7,7 +7,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,16 +112,16 @@ def rouge_tokens(text: str) -> list[str]:
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence; one numpy row per token of a."""
-    if not a or not b:
-        return 0
-    number = {w: i for i, w in enumerate(dict.fromkeys(b))}
-    y = np.array([number[w] for w in b])
-    row = np.zeros(len(b) + 1, dtype=np.int64)
+    """Length of the longest common subsequence, all of b's places in one integer: a bit is 0 where the length steps up."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << i
+    whole = (1 << len(b)) - 1
+    row = whole
     for w in a:
-        hit = np.concatenate(([0], np.where(y == number.get(w, -1), row[:-1] + 1, 0)))
-        row = np.maximum.accumulate(np.maximum(row, hit))
-    return int(row[-1])
+        hit = row & places.get(w, 0)
+        row = (row + hit | row - hit) & whole
+    return len(b) - row.bit_count()
 
 
 def rouge_l(answer: str, reference: str) -> float:
@@ -138,10 +137,11 @@ def overlap(pairs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             both = list(zip(p["resposta"].fillna(""), p["referencia"].fillna(""), strict=True))
-            yield pd.DataFrame({"query_id": p["query_id"], "bleu": [round(bleu(a, r), 6) for a, r in both], "rouge_l": [round(rouge_l(a, r), 6) for a, r in both]})
+            yield pd.DataFrame({"query_id": p["query_id"], "bleu": [bleu(a, r) for a, r in both], "rouge_l": [rouge_l(a, r) for a, r in both]})
 
     kind = pairs.schema["query_id"].dataType.simpleString()
-    return pairs.select("query_id", "resposta", "referencia").mapInPandas(run, f"query_id {kind}, bleu double, rouge_l double")
+    out = pairs.select("query_id", "resposta", "referencia").mapInPandas(run, f"query_id {kind}, bleu double, rouge_l double")
+    return out.withColumns({c: F.round(c, 6) for c in ("bleu", "rouge_l")})  # halves go up
 
 
 def overlap_means(scores: DataFrame) -> DataFrame:

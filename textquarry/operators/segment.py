@@ -1,11 +1,7 @@
-"""Segmentation: articles, sliding windows, one block; and two greedy splitters."""
+"""Segmentation: articles, sliding windows, one block; and what it is diagnosed by."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,93 +89,7 @@ def firing_samples(docs: DataFrame, types: list[str], n_docs: int = 5, n_heading
     return placed.select("tipo", "doc_id", F.slice(found, 1, n_headings).alias("amostras"))
 
 
-def recursive_pieces(text: str, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
-    """Greedy pieces of at most size characters with up to overlap characters in common.
-
-    The first separator that occurs cuts the text and stays with the piece it opens;
-    pieces too large are cut by the separators after it.
-    """
-    i = next((i for i, s in enumerate(separators) if s == "" or s in text), len(separators) - 1)
-    sep, finer = separators[i], separators[i + 1 :]
-    if sep:
-        raw = re.split(f"(?={re.escape(sep)})", text)
-        cuts = [x for x in raw if x]
-    else:
-        cuts = list(text)
-    out: list[str] = []
-    run: list[str] = []
-
-    def merge(parts: list[str]) -> None:
-        window: list[str] = []
-        total = 0
-        for p in parts:
-            if window and total + len(p) > size:
-                if doc := "".join(window).strip():
-                    out.append(doc)
-                while window and (total > overlap or total + len(p) > size):
-                    total -= len(window.pop(0))
-            window.append(p)
-            total += len(p)
-        if doc := "".join(window).strip():
-            out.append(doc)
-
-    for c in cuts:
-        if len(c) < size:
-            run.append(c)
-            continue
-        if run:
-            merge(run)
-            run = []
-        if finer:
-            out.extend(recursive_pieces(c, size, overlap, finer))
-        else:
-            out.append(c)
-    if run:
-        merge(run)
-    return out
-
-
-_SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|\n|$)\s*")
-
-
-def sentence_pieces(text: str, size: int = 1024, overlap: int = 200, count: Callable[[str], int] | None = None) -> list[str]:
-    """Greedy runs of sentences of at most size tokens, overlapping by up to overlap tokens.
-
-    Sentences over size are cut at clauses, then at words.
-    """
-    count = count or (lambda s: max(1, len(s) // 4))
-    units: list[str] = []
-    for para in re.split(r"(?<=\n\n\n)", text):
-        for s in _SENTENCE.findall(para) or ([para] if para.strip() else []):
-            if count(s) <= size:
-                units.append(s)
-                continue
-            for clause in re.findall(r"[^,;:]+[,;:]?\s*", s):
-                units.extend([clause] if count(clause) <= size else re.findall(r"\S+\s*", clause))
-    out: list[str] = []
-    window: list[str] = []
-    total = 0
-    for u in units:
-        n = count(u)
-        if window and total + n > size:
-            out.append("".join(window).strip())
-            while window and (total > overlap or total + n > size):
-                total -= count(window.pop(0))
-        window.append(u)
-        total += n
-    if "".join(window).strip():
-        out.append("".join(window).strip())
-    return [x for x in out if x]
-
-
-def split_with(docs: DataFrame, cut: Callable[[str], list[str]], level: str) -> DataFrame:
-    """(doc_id, chunk_ix, chunk_id, texto, nivel_segmentacao) of a Python splitter over whole texts."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(d, i, f"{d}::{i}", p) for d, t in zip(part["doc_id"], part["texto"], strict=True) for i, p in enumerate(cut(t or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_ix", "chunk_id", "texto"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "texto").mapInPandas(run, f"doc_id {kind}, chunk_ix int, chunk_id string, texto string")
-    return out.withColumn("nivel_segmentacao", F.lit(level))
+def most_sections(docs: DataFrame, most: int = 15) -> DataFrame:
+    """(doc_id, tipo, n, n_chars): of docs (doc_id, tipo, texto) with two level-1 section headings at least those with most, ties by doc_id."""
+    n = F.size(T.section_headings(F.col("texto")))
+    return docs.select("doc_id", "tipo", n.alias("n"), F.length("texto").alias("n_chars")).where("n >= 2").orderBy(F.desc("n"), "doc_id").limit(most)

@@ -18,7 +18,7 @@ from textquarry.functions import text as T
 from textquarry.operators import cells as cells_
 from textquarry.operators import retrieve as R
 from textquarry.operators import segment as S
-from textquarry.operators import sparse
+from textquarry.operators import sparse, splitters
 from textquarry.sources.parts import Staged, Store
 from textquarry.sources.scratch import shared, written
 
@@ -52,7 +52,7 @@ class Condition:
         text = T.enriched(F.col("fm"), F.col("texto")) if self.enriched else F.col("texto")
         return out.withColumns({"texto_embebido": text, "point_id": T.point_id(F.col("chunk_id"))}).select(*PAYLOAD)
 
-    def index(self, docs: DataFrame, embed: Callable | None = None, root: str | None = None, buckets: int | None = None, cells: bool = False) -> Index:
+    def index(self, docs: DataFrame, embed: Callable | None = None, root: str | None = None, buckets: int | None = None, cells: bool = False, config: str | None = None) -> Index:
         """All that a search needs of docs (doc_id, titulo, texto), as tables under root (else in the shared folder), which replace those of before.
 
         Documents lie in buckets by the hash of their ids, about BUCKET each; vectors as well, or in cells.
@@ -60,9 +60,13 @@ class Condition:
         spark = docs.sparkSession
         n = buckets or max(1, -(-docs.count() // BUCKET))
         store = Store.open(spark, (root or shared(spark, "index")).rstrip("/"))
-        info = {"buckets": n, "search": self.search, "cells": cells}
+        info = {"buckets": n, "search": self.search, "cells": cells, "config": config}
         return Index(store.commit(*self._staged(store, marked(docs, n), embed, info)), info)
 
+    def prompt(self, context: Column, question: Column) -> Column:
+        """What a model is asked; the sentence family's template names the system's rules itself."""
+        return T.qa_prompt(context, question) if self.family == "llamaindex" else T.prompt(context, question)
+
     def _vectors(self, segs: DataFrame, embed: Callable | None, n: int) -> DataFrame:
         """(doc_id, vector, bucket) of segments; doc_id is the segment's."""
         text = F.col("texto_embebido")
@@ -265,16 +269,14 @@ def _plain(docs: DataFrame) -> DataFrame:
     return S.segment_corpus(docs)
 
 
-def _split(docs: DataFrame, cut: Callable[[str], list[str]], level: str) -> DataFrame:
-    return S.split_with(docs, cut, level).join(docs.drop("texto"), "doc_id")
-
-
 def _recursive(docs: DataFrame) -> DataFrame:
-    return _split(docs, S.recursive_pieces, "recursivo")
+    return splitters.split_with(docs, splitters.recursive_pieces, "recursivo").join(docs.drop("texto"), "doc_id")
 
 
 def _sentences(docs: DataFrame) -> DataFrame:
-    return _split(docs, S.sentence_pieces, "frase")
+    """Pieces leave room for what stands before each: id, title, type and number."""
+    told = F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("doc_id", "titulo", "tipo", "numero")))
+    return splitters.split_with(docs, splitters.sentence_pieces, "frase", T.token_estimate(told)).join(docs.drop("texto"), "doc_id")
 
 
 CONDITIONS = {

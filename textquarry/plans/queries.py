@@ -15,7 +15,9 @@ from textquarry.operators import overlap as O
 from textquarry.operators import questions as Q
 from textquarry.operators import retrieve as R
 from textquarry.operators import segment as S
+from textquarry.operators import splitters
 from textquarry.operators.cells import Cells
+from textquarry.plans import oracles
 from textquarry.plans.conditions import CONDITIONS, described
 from textquarry.plans.gazette import GAZETTE_SQL, gazette, table
 from textquarry.sources import corpus, runs
@@ -310,14 +312,29 @@ def segmentation_diagnosis(spark, sf_dir):
     return t.agg(F.count_if(F.col("a") > 0).alias("disparam"), F.count_if(F.col("s") >= 2).alias("com_seccoes"), F.max("s").alias("maximo"), F.round(F.avg(many), 6).alias("media"), F.round(F.median(many), 6).alias("mediana"))
 
 
-@query()
+@query(f"WITH RECURSIVE ds AS (SELECT doc_id, text AS texto FROM documents), {oracles.recursive_sql('ds')} SELECT doc_id, chunk_ix, length(texto)::INT AS n, md5(texto) AS m FROM sp")
 def recursive_split(spark, sf_dir):
-    return S.split_with(_texts(spark, sf_dir), S.recursive_pieces, "recursivo").select("doc_id", "chunk_ix", F.length("texto").alias("n"), _md5(F.col("texto")).alias("m"))
+    return splitters.split_with(_texts(spark, sf_dir), splitters.recursive_pieces, "recursivo").select("doc_id", "chunk_ix", F.length("texto").alias("n"), _md5(F.col("texto")).alias("m"))
 
 
-@query()
+@query(f"WITH RECURSIVE ds AS (SELECT doc_id, text AS texto, doc_id % 50 AS told FROM documents), {oracles.sentence_sql('ds')} SELECT doc_id, chunk_ix, length(texto)::INT AS n, md5(texto) AS m FROM sp")
 def sentence_split(spark, sf_dir):
-    return S.split_with(_texts(spark, sf_dir), S.sentence_pieces, "frase").select("doc_id", "chunk_ix", F.length("texto").alias("n"), _md5(F.col("texto")).alias("m"))
+    """Whole documents by sentences, with some room taken by metadata."""
+    rows = splitters.split_with(_texts(spark, sf_dir), splitters.sentence_pieces, "frase", F.col("doc_id") % 50)
+    return rows.select("doc_id", "chunk_ix", F.length("texto").alias("n"), _md5(F.col("texto")).alias("m"))
+
+
+@query(f"WITH {GAZETTE_SQL}, t AS (SELECT doc_id, length(texto)::INT AS n_chars, len(regexp_extract_all(texto, '(?:^|\\n)\\s*(\\d+)\\s*[-–]\\s+([A-ZÀ-Ú][^\\n]{{3,80}})', 1))::INT AS n FROM g) SELECT doc_id, 'Despacho' AS tipo, n, n_chars FROM t WHERE n >= 2 ORDER BY n DESC, doc_id LIMIT 15")
+def most_sections(spark, sf_dir):
+    return S.most_sections(described(gazette(spark, sf_dir)))
+
+
+@query(f"""WITH {GAZETTE_SQL}, p AS (SELECT doc_id, 'CONTEXTO LEGAL:' || chr(10) || texto || chr(10) || chr(10) || 'PERGUNTA: ' || titulo AS p,
+  'SISTEMA: {T.SYSTEM_PROMPT}' || chr(10) || chr(10) || 'CONTEXTO LEGAL:' || chr(10) || '-----' || chr(10) || texto || chr(10) || '-----' || chr(10) || chr(10) || 'PERGUNTA: ' || titulo || chr(10) || chr(10) || 'RESPOSTA:' AS q FROM g)
+SELECT doc_id, md5('[{{"role":"system","content":"{T.SYSTEM_PROMPT}"}},{{"role":"user","content":' || to_json(p) || '}}]') AS m, md5(q) AS q FROM p""")
+def chat_prompts(spark, sf_dir):
+    d = gazette(spark, sf_dir)
+    return d.select("doc_id", _md5(T.messages(T.prompt(F.col("texto"), F.col("titulo")))).alias("m"), _md5(T.qa_prompt(F.col("texto"), F.col("titulo"))).alias("q"))
 
 
 # Retrieval.
@@ -590,6 +607,24 @@ def hashed_bootstrap_ci(spark, sf_dir):
     return M.hashed_bootstrap(M.per_query(_results(spark, sf_dir)), "mrr", "query_id")
 
 
+def _poisson_sql() -> str:
+    x, steps = f"(k * {M.MIXERS[0]} + (b + 1) * {M.MIXERS[1]} + {M.SEED}) % {M.PRIME}", []
+    for i, m in enumerate(M.MIXERS):
+        steps.append(f"x{i} AS (SELECT grp, v, b, ((y * y + (b + 1)) % {M.PRIME})::BIGINT AS x FROM (SELECT grp, v, b, xor(x, x >> 15) % {M.PRIME} * {m} % {M.PRIME} AS y FROM {'xs' if not i else f'x{i - 1}'}))")
+    weight = " + ".join(f"(x / {M.PRIME} >= {p})::INT" for p in M.POISSON)
+    return f"""xs AS (SELECT tipo AS grp, mrr::DOUBLE AS v, b, {x} AS x FROM (SELECT tipo, mrr, ('0x' || substr(md5(query_id::VARCHAR), 1, 12))::BIGINT % {M.PRIME} AS k, unnest(range({M.RESAMPLES})) AS b FROM me)),
+{', '.join(steps)},
+wt AS (SELECT grp, b, count(*) AS n, sum(w) AS w, sum(w * v) AS s FROM (SELECT grp, b, v, {weight} AS w FROM x{len(M.MIXERS) - 1}) GROUP BY ALL),
+mn AS (SELECT grp, max(n) AS n, list(round(s / w, 12) ORDER BY round(s / w, 12)) AS a FROM wt WHERE w > 0 GROUP BY grp)
+SELECT grp, n, round(a[floor({M.ALPHA / 2} * (len(a) - 1))::INT + 1], 4) AS low, round(a[floor({1 - M.ALPHA / 2} * (len(a) - 1))::INT + 1], 4) AS high FROM mn"""
+
+
+@query(f"WITH {_MEASURE_SQL}, {_poisson_sql()}")
+def poisson_bootstrap_ci(spark, sf_dir):
+    """Intervals of every stratum in one pass over the queries."""
+    return M.poisson_bootstrap(M.per_query(_results(spark, sf_dir)), "mrr", "query_id", "tipo")
+
+
 # Run files, by way of the events table: an event is a result of the condition of its type.
 
 _RUN_SQL = """
@@ -648,12 +683,18 @@ def _pairs(spark, sf_dir):
     return c.where("role = 'assistant' and before is not null").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("resposta"), F.col("before").alias("referencia"))
 
 
-@query()
+_PAIRS_SQL = """
+pa AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role) AS before FROM conversations),
+pp AS (SELECT conv_id || ':' || turn AS query_id, text AS resposta, before AS referencia FROM pa WHERE role = 'assistant' AND before IS NOT NULL)
+"""
+
+
+@query(f"WITH RECURSIVE {_PAIRS_SQL}, {oracles.overlap_sql('pp')} SELECT query_id, bleu, rouge_l FROM ov")
 def bleu_rouge(spark, sf_dir):
     return O.overlap(_pairs(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_PAIRS_SQL}, {oracles.overlap_sql('pp')} SELECT count(*) AS n, round(avg(bleu), 6) AS bleu, round(avg(rouge_l), 6) AS rouge_l FROM ov")
 def bleu_rouge_means(spark, sf_dir):
     return O.overlap_means(O.overlap(_pairs(spark, sf_dir)))
 
@@ -778,12 +819,21 @@ def graph_visible_subset(spark, sf_dir):
     return R.visible(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")), chosen)
 
 
-def _condition_sql(search: str, enriched: bool, graph: bool) -> str:
+#: Segments of the gazette, as the CTE cg (doc_id, chunk_id, texto).
+_PLAIN_SQL = "cg AS (SELECT doc_id, doc_id || '::' || j AS chunk_id, texto FROM art UNION ALL SELECT doc_id, doc_id || '::0', texto FROM ad WHERE NOT ok)"
+_TOLD_SQL = f"greatest(1, length('doc_id: ' || doc_id || chr(10) || 'titulo: ' || titulo || chr(10) || 'tipo: Despacho' || chr(10) || 'numero: ' || {_NUM_SQL}) // 4)"
+_SPLIT_SQL = {
+    "langchain": oracles.recursive_sql("g") + ", cg AS (SELECT doc_id, doc_id || '::' || chunk_ix AS chunk_id, texto FROM sp)",
+    "llamaindex": f"gm AS (SELECT doc_id, texto, {_TOLD_SQL} AS told FROM g), " + oracles.sentence_sql("gm") + ", cg AS (SELECT doc_id, doc_id || '::' || chunk_ix AS chunk_id, texto FROM sp)",
+}
+
+
+def _condition_sql(search: str, enriched: bool, graph: bool, cut: str = _PLAIN_SQL) -> str:
     """The same condition in DuckDB's SQL: segments, questions, rankings, their fusion, the expansion."""
     head = "'Tipo: Despacho | Número: ' || numero || ' | Entidade: ' || entidade || ' | Assunto: ' || sumario || chr(10) || chr(10) || " if enriched else ""
     parts = [
         f"""{GAZETTE_SQL}, {_SEG_SQL}, {_QUESTION_SQL},
-cg AS (SELECT doc_id, doc_id || '::' || j AS chunk_id, texto FROM art UNION ALL SELECT doc_id, doc_id || '::0', texto FROM ad WHERE NOT ok),
+{cut},
 cs AS (SELECT cg.doc_id, chunk_id, {head}cg.texto AS te FROM cg JOIN fm USING (doc_id)),
 qs AS (SELECT 'ID_DES_' || CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 3, '0') ELSE i::VARCHAR END AS query_id,
   CASE i % 3 WHEN 0 THEN 'Que despacho do Diário da República trata de: ' || s || '?' WHEN 1 THEN 'Identifique o despacho que tem como objeto: ' || s || '.' ELSE 'Qual o despacho relativo a: ' || s || '?' END AS query
@@ -831,7 +881,7 @@ ex AS (SELECT query_id, target, row_number() OVER (PARTITION BY query_id ORDER B
 la AS (SELECT query_id, max(rank) AS last FROM hh GROUP BY query_id)"""
         )
         last += " UNION ALL SELECT query_id, target, (last + i)::INT, 0.0, 'grafo_expansao' FROM ex JOIN la USING (query_id) WHERE i <= 3"
-    return f"WITH {', '.join(parts)} {last}"
+    return f"WITH RECURSIVE {', '.join(parts)} {last}"
 
 
 def _asked(docs):
@@ -875,5 +925,4 @@ def index_upsert(spark, sf_dir):
 
 
 for _name, _c in CONDITIONS.items():
-    # The splitters of two families are greedy loops; SQL has no such thing.
-    query(_condition_sql(_c.search, _c.enriched, _c.graph) if _c.family in ("hibrido", "estrutural") else None)(_condition(_name))
+    query(_condition_sql(_c.search, _c.enriched, _c.graph, _SPLIT_SQL.get(_c.family, _PLAIN_SQL)))(_condition(_name))

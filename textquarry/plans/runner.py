@@ -16,7 +16,7 @@ from textquarry.operators import questions as Q
 from textquarry.operators.tokens import counter
 from textquarry.plans.conditions import CONDITIONS, Condition, Index, condition, described, family
 from textquarry.sources import corpus, runs
-from textquarry.sources.scratch import sweep, written
+from textquarry.sources.scratch import remove, sweep, written
 
 _HIT = "array<struct<doc_id:string,titulo:string,tipo:string,numero:string,nivel:string,score:double,method:string>>"
 
@@ -46,7 +46,7 @@ def run(
     asked = questions.where("para_geracao") if not retrieval_only else questions.limit(0)
     old = runs.valid_answers(previous) if previous is not None else None
     prompts = asked if old is None else runs.to_generate(asked, old)
-    prompts = prompts.join(packed.select("query_id", "context"), "query_id", "left").select("query_id", T.prompt(F.coalesce("context", F.lit("")), F.col("query")).alias("prompt"))
+    prompts = prompts.join(packed.select("query_id", "context"), "query_id", "left").select("query_id", cond.prompt(F.coalesce("context", F.lit("")), F.col("query")).alias("prompt"))
     began = time.time()
     answers = written(C.answered(prompts, make), "answers")
     made = (time.time() - began) / max(1, answers.count())
@@ -67,6 +67,33 @@ def run(
     return measured_as(written(out, "results"))
 
 
+#: Partitions of questions in a journal.
+JOURNAL_PARTS = 8
+
+
+def journaled(cond: Condition, questions: DataFrame, journal: str, parts: int = JOURNAL_PARTS, **how) -> DataFrame:
+    """The results of :func:`run`, partition by partition of the questions, each written when it is done.
+
+    Partitions that an earlier try has finished are read, not asked again. One that fails
+    keeps none of the others from being asked; in the end the failures are told together.
+    Questions are dealt by the hash of their ids. how: of :func:`run`, with an index.
+    """
+    spark, failed = questions.sparkSession, []
+    for p in range(parts):
+        path = f"{journal.rstrip('/')}/part={p}-of-{parts}"
+        if runs.exists(spark, f"{path}/_SUCCESS"):
+            continue
+        own = questions.where(F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(parts)) == p)
+        try:
+            run(cond, None, own, **how).drop("query_id", "hits", "targets").write.mode("overwrite").parquet(path)
+        except Exception as e:
+            failed.append((p, e))
+    if failed:
+        told = "; ".join(f"{p}: {str(e).splitlines()[0] if str(e) else type(e).__name__}" for p, e in failed)
+        raise RuntimeError(f"{len(failed)} of {parts} partitions failed, the others are kept in {journal}: {told}") from failed[0][1]
+    return measured_as(spark.read.parquet(*(f"{journal.rstrip('/')}/part={p}-of-{parts}" for p in range(parts))))
+
+
 def _or_null(df: DataFrame, name: str, kind: str):
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
 
@@ -161,8 +188,16 @@ def ingest(spark: SparkSession, cond: Condition, docs: DataFrame, root: str, for
     name = f"{cond.family}-{cond.search}-{int(cond.enriched)}{int(cond.graph)}"
     at = f"{root.rstrip('/')}/index/{name}"
     why = runs.must_ingest(spark, at, f"{at}.json", wanted, forced)
-    if why:
-        index = cond.index(docs, embed, at)
+    settings = T.fingerprint(cond.config())
+    if why == "other configuration" and (old := Index.load(spark, at)).info.get("config") == settings:
+        # Only the corpus differs: what has changed is put in.
+        gone = old.store.read("marks").select("doc_id").join(docs.select("doc_id"), "doc_id", "left_anti")
+        index = cond.upsert(old, docs, gone, embed)
+        index.store.vacuum()
+        runs.store_fingerprint(spark, f"{at}.json", wanted)
+    elif why:
+        index = cond.index(docs, embed, at, config=settings)
+        index.store.vacuum()
         runs.store_fingerprint(spark, f"{at}.json", wanted)
     else:
         index = Index.load(spark, at)
@@ -172,7 +207,10 @@ def ingest(spark: SparkSession, cond: Condition, docs: DataFrame, root: str, for
 
 
 def benchmark(spark: SparkSession, cond: Condition, docs: DataFrame, asked: DataFrame, out: str, k: int = 5, repetition: int = 1, retrieval_only: bool = False, forced: bool = False, resume: bool = False, make=C.Extractive, embed=None, ranks: str | None = None) -> str:
-    """Ingests, runs and writes one repetition of a condition; the run file's path. resume: valid answers of its last run are kept."""
+    """Ingests, runs and writes one repetition of a condition; the run file's path.
+
+    resume: a run that died goes on with the questions that it had left, and valid answers of the last run are kept.
+    """
     index, told = ingest(spark, cond, docs, out, forced, embed)
     before = None
     if resume and runs.exists(spark, f"{out.rstrip('/')}/runs/condicao={cond.name}"):
@@ -180,8 +218,13 @@ def benchmark(spark: SparkSession, cond: Condition, docs: DataFrame, asked: Data
         last = earlier.agg(F.max(F.col("quando").cast("string"))).first()[0]
         before = earlier.where(F.col("quando").cast("string") == last).select(F.col("id").alias("query_id"), "resposta") if last else None
     count, counted = counter(ranks)
-    results = run(cond, docs, asked, k, retrieval_only, make=make, index=index, previous=before, embed=embed, count=count)
-    return runs.write_run(results.drop("query_id", "hits", "targets"), out, cond.family, cond.name, repetition, cond.config() | {"top_k": k, "context_budget_tokens": C.BUDGET, "variante": cond.name, "tokenizer_orcamento": counted}, told)
+    journal = f"{out.rstrip('/')}/journal/{cond.name}-r{repetition}-{T.fingerprint({'k': k, 'retrieval_only': retrieval_only, 'corpus': told['corpus']})}"
+    if not resume:  # a run from the start; with resume one that died goes on
+        remove(spark, journal)
+    results = journaled(cond, asked, journal, k=k, retrieval_only=retrieval_only, make=make, index=index, previous=before, embed=embed, count=count)
+    path = runs.write_run(results.drop("query_id", "hits", "targets"), out, cond.family, cond.name, repetition, cond.config() | {"top_k": k, "context_budget_tokens": C.BUDGET, "variante": cond.name, "tokenizer_orcamento": counted}, told)
+    remove(spark, journal)
+    return path
 
 
 def main(argv: list[str] | None = None) -> None:

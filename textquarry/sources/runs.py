@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import datetime
+import io
 import json
 from collections.abc import Iterable
 
@@ -113,8 +115,11 @@ def write_evaluation(spark: SparkSession, run_file: str, summary: dict) -> str:
 def write_comparison(table: DataFrame, path: str) -> None:
     """The table as one CSV file: a row per condition."""
     names = table.columns
-    cell = lambda x: "" if x is None else str(x)
-    put_text(table.sparkSession, path, [",".join(names) + "\n", *(",".join(cell(x) for x in r) + "\n" for r in table.collect())])
+    out = io.StringIO()
+    rows = csv.writer(out, lineterminator="\n")  # cells with commas or quotes are quoted
+    rows.writerow(names)
+    rows.writerows(["" if x is None else x for x in r] for r in table.collect())
+    put_text(table.sparkSession, path, [out.getvalue()])
 
 
 def write_questions(rows: DataFrame, path: str) -> None:
@@ -156,8 +161,8 @@ def must_ingest(spark: SparkSession, index: str, mark: str, wanted: str, forced:
 
 
 def valid_answers(previous: DataFrame) -> DataFrame:
-    """(query_id, resposta) that a previous run answered without an error."""
-    return previous.where(~F.coalesce("resposta", F.lit("ERRO")).startswith("ERRO")).select("query_id", "resposta").dropDuplicates(["query_id"])
+    """(query_id, resposta) that a previous run answered without an error; of several answers the greatest, so that reruns agree."""
+    return previous.where(~F.coalesce("resposta", F.lit("ERRO")).startswith("ERRO")).groupBy("query_id").agg(F.max("resposta").alias("resposta"))
 
 
 def to_generate(questions: DataFrame, previous: DataFrame) -> DataFrame:
