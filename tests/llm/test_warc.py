@@ -76,6 +76,21 @@ def test_large_and_null_ids(spark, table):
     assert got == sorted(want, key=str)
 
 
+def test_repeated_rows(spark, table):
+    """Rows that repeat an id are records of their own; all of the largest id are responses."""
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "v", "same"), (2, "v", "same"), (3, "w", "alone"), (3, "w", "alone")]
+    assert sorted([tuple(r) for r in W.op10_warc(spark, table("pages", rows, PAGES)).collect()], key=str) == brute(rows)
+
+
+def test_files_of_failed_tasks_go(spark, tmp_path):
+    root = f"file://{tmp_path}/w"
+    (tmp_path / "w").mkdir()
+    for name in ("pages-dead.warc.gz.open", "pages-twice.warc.gz", "other.txt"):
+        (tmp_path / "w" / name).write_bytes(b"x")
+    archives = W.write(spark.createDataFrame(_rows()[:9], PAGES).coalesce(2), root).collect()
+    assert {p.name for p in (tmp_path / "w").iterdir()} == {r.path.rpartition("/")[2] for r in archives} | {"other.txt"}
+
+
 def test_shuffled_digests_give_the_same(spark, table, monkeypatch):
     monkeypatch.setattr(W, "BROADCAST_ROWS", 0)
     out = W.op10_warc(spark, table("pages", _rows(), PAGES)).collect()

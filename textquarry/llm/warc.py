@@ -83,7 +83,7 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, archive_bytes: int
 
     Payloads of least_bytes or more are deduplicated. Digests of payloads that occur twice
     or more are broadcast to the pages while they are few; else pages meet them by digest.
-    A task that runs twice leaves a file that the returned table doesn't name.
+    Files of tasks that failed or ran twice, which the table doesn't name, are deleted in the end.
     """
     small_batches(pages.sparkSession)
     body = F.coalesce(F.col("html"), F.lit(""))
@@ -127,7 +127,21 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0, archive_bytes: int
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "bytes"])
         give_back()
 
-    return written(marked.mapInArrow(run, "path string, bytes long"), "warc-list")
+    listed = written(marked.mapInArrow(run, "path string, bytes long"), "warc-list")
+    swept_root(root, {r.path.rpartition("/")[2] for r in listed.select("path").collect()})  # a name an archive
+    return listed
+
+
+def swept_root(root: str, kept: set[str]) -> list[str]:
+    """Deletes the files of root that have other names; what it deleted."""
+    from pyarrow import fs
+
+    files, base = _fs(root)
+    found = files.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    gone = sorted(f.path for f in found if f.is_file and f.base_name not in kept and ".warc.gz" in f.base_name)
+    for path in gone:
+        files.delete_file(path)
+    return gone
 
 
 def members(data: bytes, start: int, stop: int, more, whole: int) -> Iterator[tuple[int, bytes]]:
