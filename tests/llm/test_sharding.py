@@ -165,3 +165,11 @@ def test_stage_keeps_null_ids(spark):
     rows = [(None, "a b", "en", "s", 3), (None, "a b", "en", "t", 3), (None, "c", None, None, 1), (None, None, None, None, None), (1, "c", "en", "s", 1)]
     got = S.stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted(map(repr, (tuple(r)[:5] for r in got))) == sorted(map(repr, rows))
+
+
+def test_a_very_long_text_is_one_row(spark, table):
+    rows = [*_rows(60), (5000, "é" * 3_000_000, "en", "s1", 0)]
+    out = S.op1_sharding(spark, table("documents", rows, DOCS)).collect()
+    long = next(r for r in out if r.doc_id == 5000)
+    assert len(out) == 61 and long["size"] == 6_000_001 and long.text_crc32 == zlib.crc32(("é" * 3_000_000).encode())
+    assert all(sorted(r.slot for r in out if r.shard == i) == list(range(sum(r.shard == i for r in out))) for i in range(8))

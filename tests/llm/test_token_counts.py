@@ -39,3 +39,8 @@ def test_pieces_of_long_texts():
         for step in (1, 7, 64):
             assert K.length(encode, text, step) == len(encode(text))
     assert K.length(encode, None) == K.length(encode, "") == 0
+
+
+def test_other_columns(spark, table):
+    path = table("documents", [(1, "Hello world", 9, "x"), (2, None, 8, "y")], "doc_id int, text string, n_tokens int, n_docs string")
+    assert {r.n_tokens: r.n_docs for r in K.op7_token_counts(spark, path).collect()} == {0: 1, 2: 1}

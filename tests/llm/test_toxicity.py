@@ -81,6 +81,18 @@ def test_scores_do_not_depend_on_company():
     assert np.allclose(whole, single, atol=1e-5)
 
 
+def test_very_long_texts_are_scored_whole():
+    rows, labels = _labelled(120)
+    scorer = X.Scorer(X.train([r[1] for r in rows], np.array([x[2] for x in labels])))
+    rng = random.Random(4)
+    clean = " ".join(words(rng, 200_000, 3000))
+    at = clean.index(" ", len(clean) * 3 // 4)
+    bad = clean[:at] + " idiot moron idiot" + clean[at:]
+    low, high = scorer.scores([clean, bad])
+    assert low < high and high >= 0.5
+    assert len(scorer.logits([clean])[0]) == -(-(200_000 - X.WINDOW) // X.STRIDE) + 1
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0)]])
 def test_without_both_classes(spark, table, labels):
     table("labels", labels, "doc_id long, quality int, toxic int")
