@@ -206,3 +206,25 @@ def test_counts_within_a_row(spark):
     assert got == {1: (3, {"b": 2}), 2: (0, {}), 3: (0, {}), 4: (3, {})}
     for df in (sparse.postings(docs), R.hash_embedding(docs)):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_stream_feeds_an_index(spark, tmp_path):
+    import json
+
+    from textquarry.streaming.ingest import stream_index
+
+    cond, asked, folder = CONDITIONS["hibrido-esparso"], _questions(spark), tmp_path / "in"
+    folder.mkdir()
+    docs = _docs(12)
+    batches = [docs[:8], [*docs[8:], ("d1", "Lei 1/2020", "w3 w3 w4")], [("d2", None, None), ("d5", "t", "w9 w9")]]
+    state = {}
+    for n, batch in enumerate(batches):
+        lines = [{"doc_id": d, "titulo": t, "texto": x, "apagado": x is None} for d, t, x in batch]
+        (folder / f"{n}.json").write_text("".join(json.dumps(x) + "\n" for x in lines))
+        stream_index(spark, str(folder), cond, f"file://{tmp_path}/i", f"{tmp_path}/check").awaitTermination()
+        for d, t, x in batch:
+            state.pop(d, None)
+            if x is not None:
+                state[d] = (d, t, x)
+        index = Index.load(spark, f"file://{tmp_path}/i")
+        assert _hits(cond, index, asked) == _hits(cond, cond.index(spark.createDataFrame(list(state.values()), DOCS)), asked)

@@ -170,8 +170,8 @@ def held_by(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """(query_id, doc_id): documents (doc_id, texto) that hold a passage (query_id, query) as it is.
 
     What lies between a passage's first and last white space are whole words of such a
-    document, so its longest one leads to the candidates. Passages without one (two words
-    or fewer) are held against all documents.
+    document, so its longest one leads to the candidates; for passages without one (two words
+    or fewer) their first three characters do.
     """
     words = F.split("query", r"\s+")
     inner = F.array_sort(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
@@ -183,9 +183,18 @@ def held_by(passages: DataFrame, docs: DataFrame) -> DataFrame:
     found = found if asked is None else F.array_intersect(found, F.lit(asked) if asked else F.array().cast("array<string>"))
     own = docs.select("doc_id", "texto", F.explode(found).alias("word"))
     found = own.join(small(whole), "word").select("query_id", "doc_id", "query", "texto")
-    short = small(keyed.where("word is null").select("query_id", "query"))
-    rest = docs.join(short, F.contains("texto", F.col("query")))
-    return found.where(F.contains("texto", F.col("query"))).select("query_id", "doc_id").unionByName(rest.select("query_id", "doc_id"))
+    out = found.where(F.contains("texto", F.col("query"))).select("query_id", "doc_id")
+    short = keyed.where("word is null").select("query_id", "query", F.substring("query", 1, 3).alias("gram"))
+    sizes = [r.n for r in short.select(F.length("gram").alias("n")).distinct().collect()]  # 1, 2, 3
+    if not sizes:
+        return out
+    # Of a short passage the first three characters lead to the candidates.
+    keys = few(short.select(F.col("gram").alias("term")).distinct(), 20_000)
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.length("texto") - (n - 1)), lambda i: F.substring(F.col("texto"), i, F.lit(n)))
+    grams = F.array_distinct(F.concat(*(F.when(F.length("texto") >= n, runs(n)).otherwise(F.array().cast("array<string>")) for n in sizes)))
+    grams = grams if keys is None else F.array_intersect(grams, F.lit(keys))
+    met = docs.select("doc_id", "texto", F.explode(grams).alias("gram")).join(small(short), "gram")
+    return out.unionByName(met.where(F.contains("texto", F.col("query"))).select("query_id", "doc_id"))
 
 
 def budget_stats(results: DataFrame) -> DataFrame:

@@ -91,9 +91,12 @@ def corpus_fingerprint(spark, sf_dir):
     return corpus.corpus_fingerprint(table(spark, sf_dir, "documents"), id_column="doc_id")
 
 
-@query("""SELECT substr(sha256('{"b": 0.75, "dim": 64, "k1": 1.2, "parser": "gazeta"}'), 1, 16) AS fingerprint""")
+@query("""SELECT lang, substr(sha256('{"b": 0.75, "corpus": ' || count(*) || ', "dim": 64, "k1": 1.2, "lang": ' || coalesce('"' || lang || '"', 'null') || ', "parser": "gazeta"}'), 1, 16) AS fingerprint FROM documents GROUP BY lang""")
 def config_fingerprint(spark, sf_dir):
-    return spark.createDataFrame([(T.fingerprint({"parser": "gazeta", "k1": 1.2, "b": 0.75, "dim": 64}),)], "fingerprint string")
+    """The mark of each language's configuration, the size of its corpus in it."""
+    known = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language
+    rows = [(r.lang, T.fingerprint({"parser": "gazeta", "k1": 1.2, "b": 0.75, "dim": 64, "lang": r.lang, "corpus": r.n})) for r in known]
+    return spark.createDataFrame(rows, "lang string, fingerprint string")
 
 
 _JSON_SQL = """
