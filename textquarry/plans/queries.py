@@ -20,6 +20,7 @@ from textquarry.operators.cells import Cells
 from textquarry.plans import oracles
 from textquarry.plans.conditions import CONDITIONS, described
 from textquarry.plans.gazette import GAZETTE_SQL, gazette, table
+from textquarry.plans.runner import run
 from textquarry.sources import corpus, runs
 from textquarry.sources.runs import to_generate
 from textquarry.sources.scratch import shared, written
@@ -143,6 +144,18 @@ def _dumped(spark, sf_dir):
     return corpus.classified(corpus.elements(spark, root, "*/part-*"))
 
 
+@query(f"""WITH {_JSON_SQL} SELECT (SELECT count(*) FROM r WHERE estado = 'aceite') AS aceite, (SELECT count(*) FROM r WHERE estado = 'grande_demais') AS grande_demais, (SELECT count(*) FROM r WHERE estado = 'ficheiro_partido') AS ficheiro_partido,
+  count(*) AS despachos, min(n) AS minimo, max(n) AS maximo, round(median(n), 6) AS mediana, round(avg(n), 6) AS media, count(*) FILTER (n > 8000) AS acima_8000, 50 AS min_chars, 500000 AS max_chars,
+  (SELECT least(20, count(*)) FROM r WHERE estado = 'grande_demais')::INT AS n_grandes FROM r WHERE estado = 'aceite'""")
+def corpus_report(spark, sf_dir):
+    """The account of a load, written as a file and read again."""
+    path = shared(spark, "report")
+    corpus.report(_dumped(spark, sf_dir), path)
+    told = spark.read.json(path)
+    cells = ["minimo", "maximo", "mediana", "media", "acima_8000", F.col("min_chars").cast("int").alias("min_chars"), F.col("max_chars").cast("int").alias("max_chars"), F.size("grandes").alias("n_grandes")]
+    return told.select(*(F.col(f"contagens.{c}").alias(c) for c in ("aceite", "grande_demais", "ficheiro_partido")), F.col("tipos.Despacho").alias("despachos"), *cells)
+
+
 # Scalar functions over the gazette.
 
 
@@ -205,6 +218,14 @@ def prompts(spark, sf_dir):
     return d.select("doc_id", _md5(p).alias("m"), _md5(T.passage_prefixed(F.col("texto"))).alias("p"), _md5(T.query_prefixed(F.col("titulo"))).alias("q"))
 
 
+@query("""SELECT doc_id, md5('Avalia a RESPOSTA de 0 a 1 em três pontos, usando só o que está abaixo. fidelidade: tudo o que diz está no CONTEXTO. relevancia: responde à PERGUNTA. correcao: concorda com a REFERÊNCIA. Devolve apenas um objeto JSON com estas três chaves.'
+  || chr(10) || chr(10) || 'PERGUNTA:' || chr(10) || coalesce(lang, '') || chr(10) || chr(10) || 'CONTEXTO:' || chr(10) || substr(text, 1, 4000) || chr(10) || chr(10) || 'REFERÊNCIA:' || chr(10) || coalesce(source, '') || chr(10) || chr(10) || 'RESPOSTA:' || chr(10) || doc_id) AS m FROM documents""")
+def judge_prompts(spark, sf_dir):
+    """What a judge is asked, the context cut to what it may see."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", _md5(C.judge_prompt(F.col("lang"), F.col("text"), F.col("source"), F.col("doc_id").cast("string"))).alias("m"))
+
+
 _JUDGE_SQL = """
 a AS (SELECT doc_id, 'Avaliação: ' || CASE WHEN doc_id % 3 = 0 THEN '```json ' ELSE '' END || '{"fidelidade": ' || (n_chars % 11) / 10 || ', "relevancia": ' || (n_chars % 7) / 10 ||
   CASE WHEN doc_id % 7 = 0 THEN '' ELSE ', "correcao": ' || (n_chars % 5) / 10 END || '}' || CASE WHEN doc_id % 3 = 0 THEN ' ```' ELSE ' fim' END AS t FROM documents),
@@ -502,6 +523,12 @@ def graph_property_filter(spark, sf_dir):
     return R.endpoints_by_property(_edges(spark, sf_dir), "flag", ["A"])
 
 
+@query("SELECT s_suppkey AS node FROM supplier WHERE s_nationkey IN (3, 7, 11)")
+def graph_nodes_by_property(spark, sf_dir):
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_nationkey").alias("nation"))
+    return R.nodes_by_property(nodes, "nation", [3, 7, 11])
+
+
 # Context, questions.
 
 
@@ -540,6 +567,15 @@ def question_gen(spark, sf_dir):
     return Q.questions(described(gazette(spark, sf_dir))).select("id", "query", "ancora", "ground_truth", F.get("documentos_esperados", F.lit(0)).alias("esperado"), "para_geracao")
 
 
+@query(ORACLES["question_gen"])
+def question_file_scan(spark, sf_dir):
+    """The same questions from the file that they are written to."""
+    path = f"{shared(spark, 'questions')}/q.json"
+    runs.write_questions(Q.questions(described(gazette(spark, sf_dir))), path)
+    rows = corpus.question_file(spark, path)
+    return rows.select("id", "query", "ancora", "ground_truth", F.get("documentos_esperados", F.lit(0)).cast("bigint").alias("esperado"), "para_geracao")
+
+
 @query(f"WITH {GAZETTE_SQL}, {_QUESTION_SQL} SELECT doc_id AS esperado, length(s)::INT AS n FROM ri WHERE rich <= 15")
 def question_top15(spark, sf_dir):
     rows = Q.questions(described(gazette(spark, sf_dir))).where("para_geracao")
@@ -905,6 +941,16 @@ def _condition(name: str):
     return f
 
 
+@query(f"""SELECT h.query_id AS id, h.rank::INT AS rank, h.doc_id::VARCHAR AS doc_id, titulo, 'Despacho' AS tipo, regexp_extract(titulo, '(\\d+(?:-[A-Za-z]+)?/\\d{{4}})', 1) AS numero, h.score, method, md5(te) AS m
+FROM ({_condition_sql("sparse", False, False).replace("SELECT query_id, doc_id, rank::INT AS rank, score, method FROM hh", "SELECT hh.query_id, hh.doc_id, hh.rank, hh.score, hh.method, g.titulo, te FROM hh JOIN g USING (doc_id) JOIN sk ON sk.query_id = hh.query_id AND sk.rank = hh.rank JOIN cs ON cs.chunk_id = sk.chunk_id")}) h""")
+def run_results(spark, sf_dir):
+    """The hits of a run as its results hold them: metadata and blocks by rank."""
+    docs = written(gazette(spark, sf_dir), "gazette")
+    rows = run(CONDITIONS["hibrido-esparso"], docs, written(_asked(docs), "questions"))
+    each = rows.select("id", F.posexplode(F.arrays_zip("metadados", "contextos")).alias("p", "x")).select("id", (F.col("p") + 1).alias("rank"), "x.metadados.*", F.col("x.contextos").alias("c"))
+    return each.select("id", "rank", "doc_id", "titulo", "tipo", "numero", F.round("score", 6).alias("score"), "method", _md5(F.col("c")).alias("m"))
+
+
 #: The gazette after a change: some acts say more, some are gone, some are new.
 _CHANGED_SQL = (
     GAZETTE_SQL.replace("\ng AS (", "\ng0 AS (")
