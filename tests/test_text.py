@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
 from textquarry.operators import segment as S
+from textquarry.operators import splitters as W
 
 
 def _column(spark, values, f):
@@ -117,13 +118,13 @@ def test_splitters():
     rng = random.Random(5)
     text = "\n\n".join(". ".join(" ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 9))) for _ in range(30))
     for size, overlap in ((200, 40), (50, 0), (1000, 200)):
-        pieces = S.recursive_pieces(text, size, overlap)
+        pieces = W.recursive_pieces(text, size, overlap)
         assert all(0 < len(p) <= size for p in pieces)
         assert {w.strip(".") for w in text.split()} == {w.strip(".") for p in pieces for w in p.split()} - {""}
-    runs = S.sentence_pieces(text, 100, 20)
+    runs = W.sentence_pieces(text, size=100, overlap=20)
     # Each sentence is rounded down by itself, so a run may be a few tokens longer.
     assert all(len(p) // 4 <= 120 for p in runs) and set(text.split()) == {w for p in runs for w in p.split()}
-    assert S.recursive_pieces("") == [] and S.sentence_pieces("") == []
+    assert W.recursive_pieces("") == [] and W.sentence_pieces("") == []
 
 
 def test_fingerprint_ignores_order():

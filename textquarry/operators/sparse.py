@@ -150,7 +150,7 @@ class _Query:
         if rest[0] < self.need:
             return 0
         major = int(np.searchsorted(-rest, -self.need, side="right"))  # a text without any of these can't reach it
-        score, read, lo, hi = np.zeros(len(ids)), 0, 0, max(1, major)
+        score, read, lo, hi, step = np.zeros(len(ids)), 0, 0, max(1, major), 1
         while lo < len(at):  # the terms that can give most first, then more and more of the minor ones
             part = at[lo:hi]
             n = ends[part + 1] - ends[part]
@@ -159,7 +159,7 @@ class _Query:
             read += int(n.sum())
             if not (score + rest[min(hi, len(at))] >= max(self.need, _NEAR)).any():
                 return read
-            lo, hi = hi, hi + max(1, hi - max(1, major)) * 2
+            lo, hi, step = hi, hi + step, step * 2
         score = np.round(score, 12)
         hit = np.flatnonzero((score > 0) & (score >= self.need))
         shown = np.round(score[hit], 9)
