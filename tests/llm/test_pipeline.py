@@ -4,6 +4,7 @@ from collections import defaultdict
 import corpus_pipeline
 from textquarry.llm import mixing
 from tests.llm.conftest import DOCS, words
+from tests.llm.test_mixing import _targets
 from tests.llm.test_ngram_join import brute, sets
 from tests.llm.test_toxicity import RUDE
 
@@ -57,7 +58,7 @@ def test_stages_and_run(spark, table):
         size[r.source] += len(r.text.split())
     for r in seen[3]:
         got[r.source] += len(r.text.split())
-    goal = mixing.targets(list(size.items()))
+    goal = _targets(list(size.items()))
     assert all(abs(got[s] - goal[s]) <= 2 * mixing.BLOCK for s in size)
     key = lambda r: (r.doc_id, r.text)
     assert sorted(map(key, seen[3])) == sorted(map(key, seen[4]))
