@@ -40,6 +40,32 @@ def test_dense_without_queries(spark):
     assert R.dense_topk(rows, rows.limit(0).withColumnRenamed("doc_id", "query_id")).count() == 0
 
 
+@pytest.mark.parametrize("alike", [True, False])
+def test_dense_rows_and_queries_that_are_alike(spark, monkeypatch, alike):
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(12, 6))[rng.integers(0, 12, 900)], rng.normal(size=(5, 6))[rng.integers(0, 5, 40)]
+    monkeypatch.setattr(R, "SCORES", 50)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 3)
+    rows = spark.createDataFrame([(f"{i}::0", v.tolist()) for i, v in enumerate(x)], "doc_id string, vector array<double>").repartition(3)
+    got = R.dense_topk(rows, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, vector array<double>"), 7, alike=alike).collect()
+    s = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    for i in range(40):
+        want = [f"{j}::0" for j in sorted(range(900), key=lambda j: (-round(s[i, j], 9), f"{j}::0"))[:7]]
+        assert [r.doc_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == want
+
+
+def test_a_dense_task_holds_little():
+    """Many rows of one score leave k of a query, whatever their number."""
+    import pyarrow as pa
+
+    best = R._Best(2, 3)
+    best.most = 100
+    for at in range(0, 1000, 10):
+        best.take(np.ones((2, 10)), pa.array(range(at, at + 10)), np.arange(10), np.ones(10, dtype=np.int64))
+        assert best.size <= 120
+    assert best.settle()["id"].to_pylist() == [0, 1, 2, 0, 1, 2]
+
+
 def test_fusion(spark):
     schema = "query_id long, doc_id long, rank int"
     a, b = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], schema), spark.createDataFrame([(1, 11, 1), (1, 12, 2)], schema)
