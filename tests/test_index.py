@@ -179,6 +179,39 @@ def test_sparse_search_by_a_loop(spark, monkeypatch):
     assert run() == want
 
 
+def test_queries_with_the_same_terms_are_answered_as_one(spark, monkeypatch):
+    import math
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    common = ["urgente", "do", "cliente"]
+    texts = [" ".join(rng.sample(common, rng.randrange(1, 4)) + [f"n{rng.randrange(150)}"] * rng.randrange(0, 3)) for _ in range(500)]
+    asked = {i: f"do cliente urgente n{i}" for i in range(200)}
+    n, words = len(texts), [t.split() for t in texts]
+    df = {}
+    for t in words:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    score = lambda q, t: sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * sparse.weight(t.count(w), len(t)) for w in set(q.split()) if w in t)
+    want = {}
+    for q, text in asked.items():
+        best = sorted(((round(score(text, t), 9), d) for d, t in enumerate(words)), key=lambda x: (-x[0], x[1]))
+        want |= {(q, i + 1): d for i, (s, d) in enumerate([b for b in best if b[0] > 0][:12])}
+    monkeypatch.setattr(sparse, "SHARD", 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, texto string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, query string")
+    run = lambda: {(r.query_id, r["rank"]): r.doc_id for r in R.bm25_topk(docs, queries, 12).collect()}
+    assert run() == want
+    monkeypatch.setattr(sparse, "PAIRS", 300)
+    assert run() == want
+    # 200 queries, of which two have a term of their own in the shard.
+    codes = np.array([[0, 1, 2, 3 + i] for i in range(200)]).ravel()
+    all_ = sparse._Asked(list(range(200)), pa.array([*common, *(f"n{i}" for i in range(200))]), codes, np.ones(800), np.arange(0, 800, 4), np.zeros(200), 5)
+    all_.shard(["do", "n7", "n9"], np.array([0, 3, 4, 5]), np.array([0, 1, 2, 1, 2]), np.array([1.0, 1.0, 1.0, 2.0, 2.0]), pa.array([10, 11, 12]))
+    assert len(all_.groups) == 1 and sorted(all_.alone) == [7, 9] and all_.alone[7].best[0] == (3.0, 11)
+
+
 def test_lists_are_skipped():
     """Minor terms and hopeless shards aren't read."""
     import pyarrow as pa
