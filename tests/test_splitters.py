@@ -96,3 +96,16 @@ def test_rows(spark):
     docs = spark.createDataFrame([(1, "a " * 900), (2, None), (3, "")], "doc_id long, texto string")
     got = S.split_with(docs, S.recursive_pieces, "recursivo").collect()
     assert {r.doc_id for r in got} == {1} and [r.chunk_id for r in got] == [f"1::{i}" for i in range(len(got))] and len(got) > 1
+
+
+def test_pieces_of_many_texts_come_together():
+    import pyarrow as pa
+
+    from textquarry.operators import splitters
+
+    texts = ["um dois tres " * n for n in range(300)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(301)), pa.array(texts)], names=["doc_id", "texto"])
+    got = list(splitters.cut_batches([batch], splitters.recursive_pieces))
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert rows == [(i, k, f"{i}::{k}", p) for i, t in enumerate(texts) for k, p in enumerate(splitters.recursive_pieces(t or ""))]
+    assert len(got) == 1  # a batch a text is far slower
