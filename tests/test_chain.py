@@ -112,3 +112,34 @@ def test_an_index_follows_its_corpus(spark, tmp_path):
 def test_cells_of_a_table_with_commas(spark, tmp_path):
     runs.write_comparison(spark.createDataFrame([('a, "b"', 1.5, None)], "condicao string, x double, y double"), f"file://{tmp_path}/c.csv")
     assert (tmp_path / "c.csv").read_text() == 'condicao,x,y\n"a, ""b""",1.5,\n'
+
+
+def test_files_with_a_row_a_line_are_read_by_many_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"q{i:03}", "a \"b\",\n[x" + "y" * i, ["d1"], i % 2 == 0) for i in range(200)], "id string, query string, documentos_esperados array<string>, para_geracao boolean")
+    rows = rows.selectExpr("id", "query", "'semantica' tipo", "1 camada", "'r' ground_truth", "documentos_esperados", "para_geracao", "cast(null as string) resposta", "array('c') contextos", "array(named_struct('doc_id', 'd1')) metadados", "0.5D tempo_retrieval_s")
+    root = f"file://{tmp_path}/r"
+    path = runs.write_run(rows.repartition(7), root, "f", "c", 1, {"k": 5}, {}, "x")
+    want = sorted(map(str, runs.run_results(runs.run_files(spark, root)).collect()))
+    assert len(want) == 200 and sorted(map(str, runs.results(spark, root).collect())) == want == sorted(map(str, runs.results(spark, path).collect()))
+    _, _, so, odd = runs.lined(spark, f"{root}/*.json", runs.RESULT, lambda c: c.startswith("{") & c.rlike(r'"resultados":\s*\[$'), "]}")
+    assert len(so) == 1 and not odd
+    file = next((tmp_path / "r").glob("*.json"))
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    whole = file.read_text()
+    told = json.loads(whole)
+    assert [r["id"] for r in told["resultados"]] == [f"q{i:03}" for i in range(200)]
+    for other in (json.dumps(told), json.dumps(told, indent=1), whole.replace("},\n", "}\n,")):
+        file.write_text(other)
+        assert sorted(map(str, runs.results(spark, root).collect())) == want
+    file.write_text(whole[:-3])  # cut off: no rows, as before
+    assert runs.results(spark, root).count() == runs.run_results(runs.run_files(spark, root)).count() == 0
+    asked = rows.select("id", "query", "tipo", "camada", "documentos_esperados")
+    runs.write_questions(asked.repartition(5), f"{root}/q/q.json")
+    plain = (tmp_path / "r" / "q" / "q.json").read_text()
+    got = sorted(map(str, corpus.question_file(spark, f"{root}/q/q.json").collect()))
+    (tmp_path / "r" / "q" / "p.json").write_text(json.dumps(json.loads(plain), indent=2))
+    assert len(got) == 200 and got == sorted(map(str, corpus.question_file(spark, f"{root}/q/p.json").collect()))
+    runs.write_questions(asked.limit(0), f"{root}/q/none.json")
+    assert json.loads((tmp_path / "r" / "q" / "none.json").read_text()) == []
+    with pytest.raises(ValueError, match="no questions"):
+        corpus.question_file(spark, f"{root}/q/none.json")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textquarry.functions import text as T
-from textquarry.sources import dumps
+from textquarry.sources import dumps, runs
 from textquarry.sources.scratch import small, written
 
 # Bounds that are themselves accepted.
@@ -121,7 +121,9 @@ def report(rows: DataFrame, path: str, least: int = LEAST_CHARS, most: int = MOS
 def question_file(spark: SparkSession, path: str) -> DataFrame:
     """Questions of a JSON array file; an empty one is an error."""
     schema = "id string, query string, tipo string, camada int, ground_truth string, documentos_esperados array<string>, ancora string, para_geracao boolean"
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+    rows, _, so, _ = runs.lined(spark, path, schema, lambda c: c == "[", "]")
+    # A question a line is read by many tasks, any other layout as a whole.
+    rows = rows.select("r.*") if so else spark.read.schema(schema).json(path, multiLine=True)
     if rows.isEmpty():
         raise ValueError(f"no questions in {path}")
     return rows
