@@ -1,6 +1,7 @@
 """Stored indexes: parts and manifests, upserts against rebuilds, pages, cells."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -88,6 +89,71 @@ def test_a_writer_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
     assert _hits(cond, Index.load(spark, f"file://{tmp_path}/i"), asked) == want
 
 
+def _shuffled(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size())}
+
+
+@pytest.mark.parametrize("name", ["hibrido-esparso", "estrutural-enriquecido_grafo"])
+def test_an_index_leaves_nothing_beside_its_parts(spark, tmp_path, name):
+    """Neither shuffle files nor documents stay, and documents are dealt in passes."""
+    cond, asked = CONDITIONS[name], _questions(spark)
+    docs = spark.createDataFrame(_docs(60) + [("short", "Lei 70/2020", "w1"), ("none", None, None)], DOCS)
+    before, was = {x for x in _shuffled(spark) if x.startswith("shuffle_")}, spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    index = cond.index(docs, root=f"file://{tmp_path}/i", buckets=6)
+    for _ in range(20):  # files go a little later
+        left = {x for x in _shuffled(spark) if x.startswith("shuffle_")} - before
+        if not left:
+            break
+        time.sleep(0.5)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+    named = {f.split("/")[0] for t in index.store.tables.values() for f in t.values()}
+    assert {p.name for p in (tmp_path / "i").iterdir() if p.is_dir()} == named and "documents" not in index.store.tables
+    assert sorted(r.doc_id for r in index.store.read("marks").collect()) == sorted(r.doc_id for r in docs.collect())
+    for t in ("segments", "marks", "lists"):
+        for part in index.store.tables[t]:
+            assert {r.bucket for r in index.store.read(t, [part]).select("bucket").distinct().collect()} == {int(part)}
+    assert _hits(cond, index, asked) == _hits(cond, cond.index(docs, buckets=1), asked)
+
+
+def test_an_older_index_is_read_and_upserted(spark, tmp_path):
+    cond, asked, docs = CONDITIONS["hibrido-esparso"], _questions(spark), _docs(40)
+    store = cond.index(spark.createDataFrame(docs, DOCS), root=f"file://{tmp_path}/i", buckets=5).store
+    marks = store.read("marks").withColumn("ranges", F.array(F.lit(1)))
+    lists = store.read("lists").withColumn("sub", F.pmod(F.xxhash64("sub"), F.lit(1_000_003)).cast("int"))
+    old = store.commit({"marks": store.stage("marks", marks, "bucket"), "lists": store.stage("lists", lists, "bucket")})
+    docs[5] = ("d5", "Lei 5/2020, de 2 de maio", "w1 w2 w3 w1 nos termos da Lei 9/2020")
+    new = cond.upsert(Index(old, old.info), spark.createDataFrame(docs, DOCS))
+    assert new.store.read("marks").columns == ["doc_id", "bucket", "mark"]
+    assert _hits(cond, new, asked) == _hits(cond, cond.index(spark.createDataFrame(docs, DOCS)), asked)
+    assert [tuple(r) for page in new.pages(32) for r in page] == [tuple(r) for r in new.segments.select(*P.POINT).orderBy("point_id").collect()]
+
+
+def test_parts_in_passes(spark, tmp_path):
+    rows = spark.range(500).select((F.col("id") % 9).cast("int").alias("k"), F.col("id").cast("string").alias("v"))
+    store = Store.open(spark, f"file://{tmp_path}/s")
+    staged = store.stage("t", rows, "k", ["v"], passes=4)
+    assert sorted(staged.folders) == [str(i) for i in range(9)] and sorted(map(tuple, store.staged(staged).collect())) == sorted(map(tuple, rows.collect()))
+    store.drop(staged)
+    assert not list((tmp_path / "s").iterdir())
+
+
+def test_shards_in_place(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 9)))) for i in range(300)], "doc_id string, texto string").coalesce(2)
+    counts = sparse.term_counts(docs).withColumn("bucket", F.substring("doc_id", 2, 1).cast("int"))
+    got = sparse.shards_in_place(counts, 35)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    heads = [r for r in rows if r.term is None]
+    assert len({(r.bucket, r.sub) for r in heads}) == len(heads) and max(len(r.ids) for r in heads) == 35
+    assert sorted(i for r in heads for i in r.ids) == [f"d{i:03}" for i in range(300)] and all(i[1] == str(r.bucket) for r in heads for i in r.ids)
+    ids = {(r.bucket, r.sub): r.ids for r in heads}
+    found = {(ids[r.bucket, r.sub][d], r.term): round(w, 9) for r in rows if r.term is not None for d, w in zip(r.docs, r.weights, strict=True)}
+    assert found == {(r.doc_id, r.term): round(r.weight, 9) for r in sparse.postings(docs).collect()}
+
+
 def test_pages(spark, tmp_path):
     cond = CONDITIONS["hibrido-esparso"]
     index = cond.index(spark.createDataFrame(_docs(90), DOCS), root=f"file://{tmp_path}/i", buckets=2)
