@@ -1,3 +1,4 @@
+import contextlib
 import itertools
 import random
 import zlib
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.llm import sharding as S
+from textquarry.sources import parts
 from tests.llm.conftest import DOCS
 
 
@@ -155,6 +157,54 @@ def test_reshard_numbers_untouched_shards(spark, tmp_path):
     assert all(sorted(r.slot for r in got if r.shard == i) == list(range(10)) for i in range(4))
 
 
+def test_a_rewrite_shuffles_a_text_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, rng.randbytes(500).hex(), "en", f"s{min(rng.randrange(9), 5)}", 1000) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    total = sum(len(r[1]) for r in rows)
+    S.lay_out(docs, f"{tmp_path}/all", S.old_shard_of("source", 8))
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in map(found.apply, range(found.size())) if f.getName().startswith("shuffle_")}
+
+    shuffled = []
+
+    @contextlib.contextmanager
+    def kept(spark):  # what a write shuffles stays, to be measured
+        before = set(files())
+        yield
+        shuffled.append(sum(n for name, n in files().items() if name not in before))
+
+    old = S.layout(spark, f"{tmp_path}/all")
+    planned = S.plan(old, F.col("shard"), 8, 8, keep=True)
+    monkeypatch.setattr(parts, "freed", kept)
+    told = S.rewrite_affected(None, planned, f"{tmp_path}/all").collect()
+    assert all(r.rewritten for r in told) and S.layout(spark, f"{tmp_path}/all").count() == 3000
+    assert len(shuffled) == 1 and 0.9 * total < shuffled[0] < 1.5 * total  # random digits: lz4 leaves their size as it is
+
+
+@pytest.mark.parametrize("most", [20_000, 1 << 20])
+def test_tasks_take_runs_of_blocks(spark, table, tmp_path, monkeypatch, most):
+    """A task's rows go to few shards, so files are few; the result doesn't depend on the tasks."""
+    monkeypatch.setattr(S, "LEAST_PACK", 1)
+    monkeypatch.setattr(S, "MOST_PACK", most)
+    monkeypatch.setattr(S, "scratch_path", lambda spark, name: f"{tmp_path}/layout")
+    rows = [*_rows(3000), *[(9000 + i % 7, "same", "en", "s1", 4) for i in range(300)]]
+    out = S.op1_sharding(spark, table("documents", rows, DOCS)).collect()
+    room = sum(r["size"] + S.ROW_BYTES for r in out)
+    tasks = room // min(most, max(1, room // 4)) + 1
+    folders = S.Store.open(spark, f"{tmp_path}/layout").tables["shards"].values()
+    files = [f for n in folders for f in (tmp_path / "layout" / n).glob("*.parquet")]
+    assert len(files) <= tasks + len({(r.old_shard, r.shard) for r in out}) and tasks >= (30 if most == 20_000 else 4)
+    monkeypatch.setattr(S, "MOST_PACK", 1 << 30)
+    monkeypatch.setattr(S, "LEAST_PACK", 1 << 30)
+    docs = spark.createDataFrame(rows, DOCS)
+    whole = S.plan(docs, S.old_shard_of("source", 8), 8, 8).collect()
+    key = lambda r: (r.doc_id, r["size"], r.text_crc32, r.old_shard, r.shard, r.slot)
+    assert sorted(map(key, whole)) == sorted(map(key, out))
+
+
 def test_stage_keeps_rows_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "en", "s", 3, 9, "x"), (1, "a b", "en", "s", 3, 9, "x"), (1, "c", "en", "s", 1, 8, "y"), (2, None, None, None, None, None, None)], DOCS + ", tag long, shard string")
     out = S.stage(spark, docs, "")

@@ -30,6 +30,9 @@ from textquarry.sources.parts import Store
 #: Buckets of a (old shard, size class), at least and at most, and documents to a bucket in all
 #: shards: more buckets make smaller sort groups, and more block totals on the driver.
 BUCKETS, MOST_BUCKETS, BUCKET_DOCS = 128, 1024, 1_000_000
+#: Bytes that a task gets, at least and at most (a block is never cut), and what a row counts beside its size.
+#: In between, Spark's number of shuffle partitions decides.
+LEAST_PACK, MOST_PACK, ROW_BYTES = 1 << 20, 32 << 20, 100
 #: Size classes are powers of two; sizes are longs, so there are 63 at most.
 
 
@@ -105,7 +108,8 @@ def plan(
 
     old_shard: an int from 0 to n_old - 1. capacities: bytes of each new shard
     (scaled to the total), equal by default. keep: the whole row goes along as the
-    struct kept; whole blocks are dealt by hash, so that large documents are spread.
+    struct kept. It is shuffled once: a task gets a run of whole blocks of about as many
+    bytes as any other task's, in the order of the layout, so its rows go to few shards.
     """
     spark = docs.sparkSession
     buckets = buckets or min(MOST_BUCKETS, max(BUCKETS, docs.count() // BUCKET_DOCS))
@@ -121,12 +125,15 @@ def plan(
             "bucket": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"),
         }
     )
-    blocks = keys.groupBy("old_shard", "cls", "bucket").agg(F.sum("size").alias("bytes")).collect()
+    blocks = keys.groupBy("old_shard", "cls", "bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("n_rows")).collect()
+    room = sum(r.bytes + ROW_BYTES * r.n_rows for r in blocks)
+    pack = min(MOST_PACK, max(LEAST_PACK, room // int(spark.conf.get("spark.sql.shuffle.partitions"))))
     at: dict[int, int] = dict.fromkeys(range(n_old), 0)
-    starts = []
+    starts, run = [], 0
     for r in sorted(blocks, key=lambda r: (r.old_shard, -r.cls, r.bucket)):
-        starts.append((r.old_shard, r.cls, r.bucket, at[r.old_shard]))
+        starts.append((r.old_shard, r.cls, r.bucket, at[r.old_shard], run // pack))
         at[r.old_shard] += r.bytes
+        run += r.bytes + ROW_BYTES * r.n_rows
     supply = [at[i] for i in range(n_old)]
     total = sum(supply)
     if capacities is None:
@@ -145,12 +152,14 @@ def plan(
         for j in order:
             cuts.append((i, run, run + flow[i][j], j))
             run += flow[i][j]
-    start = spark.createDataFrame(starts, "old_shard int, cls int, bucket int, start long")  # one row a block
-    inside = Window.partitionBy("old_shard", "cls", "bucket").orderBy(F.desc("size"), "doc_id", "text_crc32")
+    start = spark.createDataFrame(starts, "old_shard int, cls int, bucket int, start long, pack int")  # one row a block
+    block = ["pack", "old_shard", "cls", "bucket"]  # with its pack, so that Spark sees that packs hold whole blocks
+    inside = Window.partitionBy(*block).orderBy(F.desc("size"), "doc_id", "text_crc32")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
-        keys.withColumn("within", F.sum("size").over(upto))
-        .join(F.broadcast(start), ["old_shard", "cls", "bucket"])
+        keys.join(F.broadcast(start), ["old_shard", "cls", "bucket"])
+        .repartitionById(room // pack + 1, "pack")
+        .withColumn("within", F.sum("size").over(upto))
         .withColumn("middle", F.col("start") + F.col("within") - F.col("size") + F.expr("size div 2"))
     )
     target = F.lit(None).cast("int")
@@ -161,8 +170,8 @@ def plan(
         target = F.when(F.col("old_shard") == i, own).otherwise(target)
     placed = placed.withColumn("shard", target)
     # Slots: a running count of blocks within a shard (a small table), plus the place within the block.
-    part = ["shard", "old_shard", "cls", "bucket"]
-    place = F.row_number().over(Window.partitionBy("old_shard", "cls", "bucket", "shard").orderBy("within"))
+    part = ["shard", *block]
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("within"))
     placed = placed.withColumn("place", place)
     before = Window.partitionBy("shard").orderBy("old_shard", F.desc("cls"), "bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed.groupBy(*part).count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
@@ -198,6 +207,7 @@ def rewrite_affected(docs: DataFrame | None, planned: DataFrame, root: str) -> D
     A shard whose documents are the same as before keeps its old files. The new ones are
     written beside the old, and one manifest switches them all: a stop before it leaves the
     old layout whole, and after it nothing is left to do but to delete the old files.
+    Kept rows are written by the tasks that number them: their texts are shuffled once, for the plan.
     docs need doc_ids without repetition and nulls here; None takes the rows that planned
     keeps, whatever their ids. A file is in the order of slots; the kept rows' files of
     one shard hold blocks of slots in any order. Returns (shard, rewritten, n_rows, bytes).
@@ -214,7 +224,7 @@ def rewrite_affected(docs: DataFrame | None, planned: DataFrame, root: str) -> D
         else:
             rows = docs.drop("shard", "slot").join(inside.select("doc_id", "shard", "slot"), "doc_id").repartitionByRange("shard", "slot")
         store = Store.open(spark, root)
-        store.commit({"shards": store.stage("shards", rows, "shard", order=["slot"])}, {"shards": ids}).vacuum()
+        store.commit({"shards": store.stage("shards", rows, "shard", order=["slot"], stay=True)}, {"shards": ids}).vacuum()
     told = [(j, j in ids, sum(r.n_rows for r in moves if r.shard == j), sum(r.bytes for r in moves if r.shard == j)) for j in sorted({r.shard for r in moves})]
     return spark.createDataFrame(told, "shard int, rewritten boolean, n_rows long, bytes long")
 
