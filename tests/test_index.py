@@ -327,3 +327,62 @@ def test_a_stream_feeds_an_index(spark, tmp_path):
                 state[d] = (d, t, x)
         index = Index.load(spark, f"file://{tmp_path}/i")
         assert _hits(cond, index, asked) == _hits(cond, cond.index(spark.createDataFrame(list(state.values()), DOCS)), asked)
+
+
+def test_queries_with_rare_terms_of_their_own_are_answered_as_one(spark, monkeypatch):
+    import math
+
+    rng = random.Random(9)
+    common = ["urgente", "do", "cliente", "lei"]
+    texts = [" ".join(rng.choices(common, k=rng.randrange(1, 6)) + [f"n{rng.randrange(400)}" for _ in range(rng.randrange(3))]) for _ in range(900)]
+    asked = {i: f"do cliente urgente n{i} n{i + 1}" for i in range(250)} | {900: "n7 n8", 901: "n9"}
+    n, words = len(texts), [t.split() for t in texts]
+    df = {}
+    for t in words:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    gain = lambda w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
+    want = {}
+    for q, text in asked.items():
+        all_ = [(round(sum(gain(w) * sparse.weight(t.count(w), len(t)) for w in set(text.split()) if w in t), 9), d) for d, t in enumerate(words)]
+        want |= {(q, i + 1): d for i, (s, d) in enumerate(sorted((x for x in all_ if x[0] > 0), key=lambda x: (-x[0], x[1]))[:7])}
+    docs, queries = spark.createDataFrame(list(enumerate(texts)), "doc_id long, texto string"), spark.createDataFrame(list(asked.items()), "query_id long, query string")
+    run = lambda: {(r.query_id, r["rank"]): r.doc_id for r in R.bm25_topk(docs, queries, 7).collect()}
+    monkeypatch.setattr(sparse, "SHARD", 300)
+    for rare, groups, entries in ((20, 1, 8), (1 << 40, 256, 1 << 21)):
+        for name, value in (("RARE", rare), ("GROUPS", groups), ("ENTRIES", entries)):
+            monkeypatch.setattr(sparse, name, value)
+        assert run() == want
+
+
+def test_work_on_a_shard_does_not_grow_with_queries_that_differ_by_a_rare_term(monkeypatch):
+    import pyarrow as pa
+
+    m, n, calls = 300, 400, []
+    lists = [(np.arange(n), np.full(n, 0.9))] * 2 + [(np.array([i]), np.array([1.1])) for i in range(m)]
+    terms = ["do", "cliente"] + [f"n{i}" for i in range(m)]
+    ends = np.concatenate(([0], np.cumsum([len(d) for d, _ in lists])))
+    docs, weights = (np.concatenate([x[i] for x in lists]) for i in (0, 1))
+    codes = np.array([c for i in range(m) for c in (0, 1, 2 + i)])
+    gain, rare = np.array([0.01, 0.01, 5.0] * m), np.array([False] * 2 + [True] * m)
+    asked = sparse._Asked(list(range(m)), pa.array(terms), codes, gain, np.arange(0, 3 * m, 3), np.zeros(m), 3, rare)
+    real = sparse._scored
+    monkeypatch.setattr(sparse, "_scored", lambda *a: calls.append(1) or real(*a))
+    asked.shard(terms, ends, docs, weights, pa.array(range(n)))
+    assert not calls and not asked.alone and len(asked.groups) == 1
+    best = {}
+    for names, _, ids, score in asked.rows():
+        for q, d, s in zip(names, list(ids), score, strict=True):
+            best.setdefault(q, []).append((d.as_py() if hasattr(d, "as_py") else d, s))
+    assert all(best[i][0][0] == i and round(best[i][0][1], 9) == 5.518 for i in range(m))
+
+
+def test_tokens_of_a_batch(spark):
+    """The bytes of Latin-1 texts are looked at together; the tokens are those of the column expression."""
+    texts = ["", None, " ", "Ação É ª º µ ½ x² ÀÉÞ×÷ß ÿ", "aB9", "9", "...", "İstanbul ΑΒΓ straße", "日本 語 a1", "x\u0100.", "…", "a", "Z\x85z\xa0y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, texto string")
+    want = {r.doc_id: sorted(r.t or []) for r in docs.select("doc_id", sparse.tokens(F.col("texto")).alias("t")).collect()}
+    got = {r.doc_id: sorted(t for t, c in zip(r.terms, r.counts) for _ in range(c)) for r in sparse.term_counts(docs.coalesce(1)).collect()}
+    assert got == want
+    plan = sparse.term_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "array_join" in plan  # no lists go to the workers
