@@ -386,3 +386,17 @@ def test_tokens_of_a_batch(spark):
     assert got == want
     plan = sparse.term_counts(docs)._jdf.queryExecution().executedPlan().toString()
     assert "array_join" in plan  # no lists go to the workers
+
+
+def test_an_index_without_points(spark):
+    cond = CONDITIONS["hibrido-esparso"]
+    docs = spark.createDataFrame(_docs(20), DOCS)
+    whole, bare = cond.index(docs), cond.index(docs, points=False)
+    assert "points" in whole.store.tables and "points" not in bare.store.tables
+    assert _hits(cond, bare, _questions(spark)) == _hits(cond, whole, _questions(spark))
+    more = spark.createDataFrame([("d3", "Lei 3/2020, de 2 de maio", "w1 w2 w3 outro")], DOCS)
+    later = cond.upsert(bare, more)
+    assert "points" not in later.store.tables
+    assert _hits(cond, later, _questions(spark)) == _hits(cond, cond.upsert(whole, more), _questions(spark))
+    with pytest.raises(ValueError, match="without points"):
+        later.page()
